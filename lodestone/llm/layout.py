@@ -123,7 +123,7 @@ def layout_stats(relpath: str | None, text: str | None) -> dict:
         built = len(_LOCK.findall(t)) / len(lines) > 0.1
     else:
         bare_data = t.lstrip()[:1] in ("{", "[") and n < 1500
-        built = not bare_data and (counted >= 6 and counted_part > 0.12 or repeated > REPEATED.get(language, 0.6)
+        built = not bare_data and (counted >= 6 and counted_part > 0.12 or repeated > REPEATED.get(language, 0.6))
     if built and "generated" not in kinds:
         kinds.append("generated")
     banner = " ".join(x for x in t.lstrip("\ufeff \n\t").split("\n")[:5] if _COMMENT_START.match(x))
