@@ -14,6 +14,8 @@ import tempfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from lodestone.functions.text import repository_key
+
 from .batches import table
 
 BINS = 20
@@ -29,17 +31,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def repository_key(repo: Column) -> Column:
-    """organisation/name in lower case of a repository however written: path, URL, scp form, with .git or a tree suffix."""
-    s = F.lower(F.trim(F.regexp_replace(F.regexp_replace(repo, r"[\s ]+", " "), r"\\", "/")))
-    s = F.regexp_replace(s, r"[?#].*$", "")
-    s = F.regexp_replace(s, r"^(?:[a-z+]+://)(?:[^/@]*@)?[^/]+/|^[\w.\-]+@[^:/]+:/?", "")
-    s = F.regexp_replace(s, r"/+(?:-/)?(?:tree|blob|commit|commits|pull|issues|releases|wiki)(?:/.*)?$", "")
-    s = F.regexp_replace(F.regexp_replace(s, r"/+$", ""), r"\.git$", "")
-    key = F.regexp_extract(s, r"(?:^|/)([^/\s]+/+[^/\s]+)$", 1)
-    return F.when(s == "", None).otherwise(F.when(key != "", F.regexp_replace(key, "/+", "/")).otherwise(s))
-
-
 def id_key(col: Column) -> Column:
     s = F.lower(F.regexp_replace(col, r"^[\s 　]+|[\s 　]+$", ""))
     return F.when(s != "", s)
