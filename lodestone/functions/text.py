@@ -66,7 +66,7 @@ def route_matches(route: Column, literal: Column) -> Column:
     strip = lambda c: F.when(F.regexp_replace(c, "/+$", "") == "", "/").otherwise(F.regexp_replace(c, "/+$", ""))
     r, q = strip(route), strip(literal)
     pattern = F.regexp_replace(F.regexp_replace(r, r"([.{}()\[\]+*?^$|\\-])", r"\\$1"), ":[A-Za-z_][A-Za-z0-9_]*", "[^/]+")
-    return (r == q) | (r.contains(":") & q.rlike(F.concat(F.lit("^"), pattern, F.lit("$"))))
+    return (r == q) | (r.contains(":") & F.rlike(q, F.concat(F.lit("^"), pattern, F.lit("$"))))
 
 
 def ordered_unique(values: Column) -> Column:
