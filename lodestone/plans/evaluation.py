@@ -1,26 +1,31 @@
 """Evaluation queries: BM25, fused views and their ablations on the suite's questions.
 
-A chunk is relevant to a question (grade 1) if it is a route that the question's route literal names or matches, and
-(grade 2) if it is the handler such a route names in the same repository."""
+A chunk's grade for a question is the number of the question's verb and noun that its symbol name holds; the suite's
+own expected paths name files outside these tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from lodestone.functions import text as T
 from lodestone.operators import evaluate as E, index as I, retrieve as R
 from lodestone.sources.tables import chunks, questions, table
 
-from . import graphs, retrieval, sql as S
+from . import retrieval, sql as S
 
 VARIANTS = {"content": ("content",), "identifier": ("content", "identifier"), "structure": ("content", "structure"), "multiview": ("content", "identifier", "path", "structure")}
 
 
+_ASKED = r"(?i)which function (\w+?)s the ([a-z_]+)"
+
+
 def qrels(spark, d) -> DataFrame:
-    hits = graphs.route_anchors(spark, d).select("query_id", F.col("chunk_no").alias("doc_id"))
-    c = chunks(spark, d)
-    routes = c.where("symbol_kind = 'route'").select("repo", F.col("chunk_no").alias("doc_id"), F.explode("handler_names").alias("name"))
-    handlers = hits.join(routes, "doc_id").select("query_id", "repo", "name").distinct().join(c.select("repo", F.col("symbol_name").alias("name"), F.col("chunk_no").alias("doc_id")), ["repo", "name"])
-    return hits.withColumn("relevance", F.lit(1)).unionByName(handlers.select("query_id", "doc_id", F.lit(2).alias("relevance"))).groupBy("query_id", "doc_id").agg(F.max("relevance").alias("relevance"))
+    """Grade = how many of the question's verb and noun a symbol's name holds, in the question's repository."""
+    q = questions(spark, d)
+    words = F.array(F.lower(F.regexp_extract("question", _ASKED, 1)), F.lower(F.regexp_extract("question", _ASKED, 2)))
+    asked = q.select("query_id", "repo", F.explode(F.array_distinct(words)).alias("term")).where("term <> ''")
+    named = chunks(spark, d).where("symbol_name <> ''").select("repo", F.col("chunk_no").alias("doc_id"), F.explode(F.array_distinct(T.tokenize(F.col("symbol_name")))).alias("term"))
+    return asked.join(named, ["repo", "term"]).groupBy("query_id", "doc_id").agg(F.count("*").cast("int").alias("relevance"))
 
 
 def rankings(spark, d, depth: int = 100) -> DataFrame:
@@ -33,7 +38,7 @@ def rankings(spark, d, depth: int = 100) -> DataFrame:
 
 
 def _cases(spark, d):
-    return E.per_query(rankings(spark, d), qrels(spark, d))
+    return E.per_query(rankings(spark, d), qrels(spark, d), tuple(VARIANTS))
 
 
 def eval_qrels(spark, d):
@@ -148,15 +153,15 @@ QUERIES = {f.__name__: f for f in (eval_qrels, eval_per_query, eval_by_method, e
 
 _MEMBERS = "CASE " + " ".join(f"WHEN method = '{m}' THEN \"view\" IN ({', '.join(map(repr, v))})" for m, v in VARIANTS.items()) + " END"
 _CASES = S.with_(S.CHUNKS, S.QUESTIONS, S.TERMS, S.VIEW_TOKENS, S.BM25, S.PARTS).rstrip() + f""",
-  ra AS (SELECT DISTINCT{graphs.ORACLES['route_anchors'].partition('SELECT DISTINCT')[2]}),
-  ha AS (SELECT DISTINCT query_id, repo, unnest(handler_names) AS name FROM ra JOIN c USING (chunk_no) WHERE symbol_kind = 'route'),
-  ql AS (SELECT query_id, doc_id, max(relevance)::INT AS relevance FROM (SELECT query_id, chunk_no AS doc_id, 1 AS relevance FROM ra UNION ALL SELECT query_id, chunk_no, 2 FROM ha JOIN c ON c.repo = ha.repo AND c.symbol_name = ha.name) GROUP BY ALL),
+  qw AS (SELECT DISTINCT query_id, repo, unnest([lower(regexp_extract(question, '{_ASKED}', 1)), lower(regexp_extract(question, '{_ASKED}', 2))]) AS term FROM q),
+  sy AS (SELECT DISTINCT repo, chunk_no AS doc_id, unnest({S.tok('symbol_name')}) AS term FROM c WHERE symbol_name <> ''),
+  ql AS (SELECT query_id, doc_id, count(*)::INT AS relevance FROM qw JOIN sy USING (repo, term) WHERE term <> '' GROUP BY ALL),
   va AS (SELECT unnest([{', '.join(map(repr, VARIANTS))}]) AS method),
   fv AS (SELECT method, query_id, doc_id, round(sum(part), 9) AS score FROM pr, va WHERE {_MEMBERS} GROUP BY ALL),
   rk AS (SELECT method, query_id, doc_id, "rank" FROM {S.ranked('fv', 100, 'method, query_id')}),
   idl AS (SELECT query_id, sum(CASE WHEN i <= 10 THEN (pow(2.0, relevance) - 1) / log2(i + 1.0) END) AS idcg, count(*) AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, doc_id) AS i FROM ql) GROUP BY ALL),
   gt AS (SELECT method, query_id, min("rank") AS f, sum(CASE WHEN "rank" <= 10 THEN (pow(2.0, relevance) - 1) / log2("rank" + 1.0) ELSE 0.0 END) AS dcg, count(*) AS found, sum(seen / "rank") AS prec FROM (SELECT *, row_number() OVER (PARTITION BY method, query_id ORDER BY "rank") AS seen FROM rk JOIN ql USING (query_id, doc_id)) GROUP BY ALL),
-  ca AS (SELECT va.method, idl.query_id, f::INT AS "rank", coalesce((f <= 1)::INT, 0) AS hit1, coalesce((f <= 3)::INT, 0) AS hit3, coalesce((f <= 5)::INT, 0) AS hit5, round(coalesce(1.0::DOUBLE / f, 0.0), 6) AS mrr, round(coalesce(dcg / idcg, 0.0), 6) AS ndcg10, round(coalesce(found / relevant, 0.0), 6) AS recall100, round(coalesce(prec / relevant, 0.0), 6) AS map100
+  ca AS (SELECT va.method, idl.query_id, f::INT AS "rank", coalesce((f <= 1)::INT, 0) AS hit1, coalesce((f <= 3)::INT, 0) AS hit3, coalesce((f <= 5)::INT, 0) AS hit5, round(coalesce(1.0::DOUBLE / f, 0.0), 9) AS mrr, round(coalesce(dcg / idcg, 0.0), 9) AS ndcg10, round(coalesce(found / relevant, 0.0), 9) AS recall100, round(coalesce(prec / relevant, 0.0), 9) AS map100
     FROM idl, va LEFT JOIN gt ON gt.method = va.method AND gt.query_id = idl.query_id)
 """
 _MEANS = "count(*) AS queries, " + ", ".join(f"round(avg({m}), 5) AS {m}" for m in ("hit1", "hit3", "hit5", "mrr", "ndcg10", "recall100", "map100"))
