@@ -9,13 +9,20 @@ from lodestone.functions.text import ignored, language_of, repository_key
 MAX_FILE_BYTES = 512 * 1024
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spreads a scan of fewer splits than half the cores, as of one small file; larger inputs keep their own splits and
+    pay no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval units with their repository key; chunk_no is the document id, numeric order breaks ties."""
-    return table(spark, sf_dir, "code_chunks").withColumn("repo", repository_key(F.col("repo_root")))
+    return spread(table(spark, sf_dir, "code_chunks")).withColumn("repo", repository_key(F.col("repo_root")))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
