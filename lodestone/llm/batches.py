@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lodestone.sources import tables
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.table(spark, sf_dir, name)
 
 
 def map_rows(df: DataFrame, schema: str, row_fn: Callable[..., Iterable[tuple]], *, batch_rows: int = 1000) -> DataFrame:
@@ -40,7 +42,7 @@ def map_rows(df: DataFrame, schema: str, row_fn: Callable[..., Iterable[tuple]],
         if rows:
             yield flush()
 
-    return df.mapInArrow(run, parsed)
+    return tables.spread(df).mapInArrow(run, parsed)
 
 
 __all__ = ["F", "map_rows", "table"]
