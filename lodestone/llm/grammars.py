@@ -1,13 +1,14 @@
 """Token-level grammars, written from the public language references, for the derivative engine.
 
 Context flags of JS/TS: R return allowed, A await, Y yield, L loop, B break, N no ``in``, 0 left edge of a statement,
-T TypeScript (fixed).  None of the rules is left-recursive.
+T TypeScript (fixed).  NLB is a bracket behind a line break, which ends a type.  None of the rules is left-recursive.
 """
 
 JS = r"""
-module: EOFMARK | item*
+module: item*
 item: import_decl | export_decl | ^stmt | decl
 semi: ';' | ASI
+lb: '[' | NLB
 ident: NAME | 'async' | 'of' | 'get' | 'set' | 'from' | 'as' | 'meta' | 'target' | ?T 'type' | ?T 'declare' | ?T 'namespace' | ?T 'module' | ?T 'abstract' | ?T 'readonly' | ?T 'keyof' | ?T 'infer' | ?T 'unique' | ?T 'is' | ?T 'asserts' | ?T 'satisfies' | ?T 'override' | ?T 'accessor' | ?T 'global' | ?T 'require' | ?T 'out'
 kw: 'break' | 'case' | 'catch' | 'class' | 'const' | 'continue' | 'debugger' | 'default' | 'delete' | 'do' | 'else' | 'enum' | 'export' | 'extends' | 'false' | 'finally' | 'for' | 'function' | 'if' | 'import' | 'in' | 'instanceof' | 'new' | 'null' | 'return' | 'super' | 'switch' | 'this' | 'throw' | 'true' | 'try' | 'typeof' | 'var' | 'void' | 'while' | 'with' | 'let' | 'static' | 'yield' | 'await' | 'implements' | 'interface' | 'package' | 'private' | 'protected' | 'public'
 word: ident | kw
@@ -41,10 +42,10 @@ param: ?~T bind [ init ] | ?T decorator* tmod* ( bind | 'this' ) [ '?' ] [ ann ]
 tmod: 'public' | 'private' | 'protected' | 'readonly' | 'override'
 rest: '...' bind [ ?T ann ]
 bind: ident | pattern
-pattern: '{' [ bprop ( ',' bprop )* [ ',' [ '...' ident ] ] | '...' ident ] '}' | '[' [ belem ] ( ',' [ belem ] )* ']'
+pattern: '{' [ bprop ( ',' bprop )* [ ',' [ '...' ident ] ] | '...' ident ] '}' | lb [ belem ] ( ',' [ belem ] )* ']'
 bprop: ident [ init<-N> ] | propname ':' bind [ init<-N> ]
 belem: bind [ init<-N> ] | '...' bind
-propname: word | STRING | NUMBER | '[' ae<-N> ']'
+propname: word | STRING | NUMBER | lb ae<-N> ']'
 
 class_decl: decorator* [ ?T 'abstract' ] 'class' ident class_tail
 class_expr: decorator* 'class' [ ident ] class_tail
@@ -55,7 +56,7 @@ member: ';' | 'static' '{' stmts<=> '}' | decorator* cmod* ( method | field )
 method: cname [ ?T '?' ] fsig mbody<=R> | '*' cname fsig mbody<=RY> | 'async' cname fsig mbody<=RA> | 'async' '*' cname fsig mbody<=RAY>
   | 'get' cname '(' ')' [ ?T ret ] mbody<=R> | 'set' cname '(' param [ ',' ] ')' mbody<=R>
 mbody: '{' stmts '}' | ?T semi
-field: cname [ ?T ( '?' | '!' ) ] [ ?T ann ] [ '=' ae<=> ] semi | ?T '[' ident ':' type ']' ann semi
+field: cname [ ?T ( '?' | '!' ) ] [ ?T ann ] [ '=' ae<=> ] semi | ?T lb ident ':' type ']' ann semi
 cname: propname | PRIVATE
 
 import_decl: 'import' STRING [ withattr ] semi | 'import' [ ?T 'type' ] iclause 'from' STRING [ withattr ] semi | ?T 'import' [ 'type' ] ident '=' ( 'require' '(' STRING ')' | tname ) semi
@@ -83,15 +84,15 @@ bintail: ( binop unary | ?T ( 'as' | 'satisfies' ) ( type | 'const' ) )* [ '?' a
 binop: '||' | '&&' | '??' | '|' | '^' | '&' | '==' | '!=' | '===' | '!==' | '<' | '<=' | 'instanceof' | ?~N 'in' | '<<' | '+' | '-' | '*' | '/' | '%' | '**'
   | ?~T '>' | ?~T '>=' | ?~T '>>' | ?~T '>>>' | ?T '>' | ?T GTJ '=' | ?T GTJ '>' | ?T GTJ GTJ '>'
 lhs: ^primary suffix*
-lhst: ^primary suffix* ( '.' ( word | PRIVATE ) | '[' expr<-N> ']' | ?T '!' ) | ident | arr | ?~0 obj | '(' lhst ')'
+lhst: ^primary suffix* ( '.' ( word | PRIVATE ) | lb expr<-N> ']' | ?T '!' ) | ident | arr | ?~0 obj | '(' lhst ')'
   | ?T '(' lhst ( 'as' | 'satisfies' ) type ')'
-suffix: '.' ( word | PRIVATE ) | '?.' ( word | PRIVATE | '[' expr<-N> ']' | args | ?T typeargs args ) | '[' expr<-N> ']' | args | template | ?T '!' | ?T typeargs [ args | template ]
+suffix: '.' ( word | PRIVATE ) | '?.' ( word | PRIVATE | lb expr<-N> ']' | args | ?T typeargs args ) | lb expr<-N> ']' | args | template | ?T '!' | ?T typeargs [ args | template ]
 primary: ident | 'this' | 'super' | 'null' | 'true' | 'false' | NUMBER | STRING | REGEX | template | '(' expr<-N> ')' | arr | ?~0 obj | ?~0 func_expr | ?~0 class_expr
   | 'new' primary | 'new' '.' 'target' | 'import' '(' ae<-N> [ ',' [ ae<-N> [ ',' ] ] ] ')' | 'import' '.' 'meta' | PRIVATE
 template: TPL | THEAD expr<-N> ( TMID expr<-N> )* TTAIL
 args: '(' [ arg<-N> ( ',' arg<-N> )* [ ',' ] ] ')'
 arg: [ '...' ] ae
-arr: '[' [ arg<-N> ] ( ',' [ arg<-N> ] )* ']'
+arr: lb [ arg<-N> ] ( ',' [ arg<-N> ] )* ']'
 obj: '{' [ prop<-N> ( ',' prop<-N> )* [ ',' ] ] '}'
 prop: '...' ae | ident [ init ] | propname ':' ae | propname fsig '{' stmts<=R> '}' | '*' propname fsig '{' stmts<=RY> '}' | 'async' propname fsig '{' stmts<=RA> '}' | 'async' '*' propname fsig '{' stmts<=RAY> '}'
   | 'get' propname '(' ')' [ ?T ret ] '{' stmts<=R> '}' | 'set' propname '(' param [ ',' ] ')' '{' stmts<=R> '}'
@@ -108,15 +109,15 @@ utype: [ '|' | '&' ] ptype ( ( '|' | '&' ) ( ptype | ftype ) )*
 ptype: ( 'keyof' | 'unique' | 'readonly' ) ptype | 'infer' ident [ 'extends' utype ] | atype ( '[' [ type ] ']' )*
 atype: tname [ typeargs ] | 'this' | 'void' | 'null' | 'true' | 'false' | [ '-' ] NUMBER | STRING | TPL | THEAD type ( TMID type )* TTAIL
   | 'typeof' ( ident | 'this' | 'import' '(' STRING ')' ) ( '.' word )* [ typeargs ] | 'import' '(' STRING ')' ( '.' word )* [ typeargs ] | '(' type ')'
-  | '{' tmember* '}' | mapped | '[' [ telem ( ',' telem )* [ ',' ] ] ']'
+  | '{' tmember* '}' | mapped | lb [ telem ( ',' telem )* [ ',' ] ] ']'
 telem: [ '...' ] [ word [ '?' ] ':' ] type [ '?' ]
-mapped: '{' [ [ '+' | '-' ] 'readonly' ] '[' ident 'in' type [ 'as' type ] ']' [ [ '+' | '-' ] '?' ] [ ann ] [ ';' | ',' | ASI ] '}'
+mapped: '{' [ [ '+' | '-' ] 'readonly' ] lb ident 'in' type [ 'as' type ] ']' [ [ '+' | '-' ] '?' ] [ ann ] [ ';' | ',' | ASI ] '}'
 tname: ident ( '.' word )*
 typelist: tname [ typeargs ] ( ',' tname [ typeargs ] )*
 typeargs: '<' type ( ',' type )* gt
 typeparams: '<' typeparam ( ',' typeparam )* [ ',' ] '>'
 typeparam: ( 'const' | 'in' | 'out' )* ident [ 'extends' type ] [ '=' type ]
-tmember: ( 'readonly' | 'get' | 'set' )* propname [ '?' ] ( [ ann ] | tsig ) tsep | tsig tsep | 'new' tsig tsep | [ 'readonly' ] '[' ident ':' type ']' ann tsep
+tmember: ( 'readonly' | 'get' | 'set' )* propname [ '?' ] ( [ ann ] | tsig ) tsep | tsig tsep | 'new' tsig tsep | [ 'readonly' ] lb ident ':' type ']' ann tsep
 tsig: [ typeparams ] '(' params ')' [ ret ]
 tsep: ';' | ',' | ASI
 interface: 'interface' ident [ typeparams ] [ 'extends' typelist ] '{' tmember* '}'
@@ -125,7 +126,6 @@ enumm: propname [ init ]
 tsdecl: interface | 'type' ident [ typeparams ] '=' type semi | enum | 'declare' tsambient | ( 'namespace' | 'module' ) ( tname | STRING ) '{' item* '}'
 tsambient: decl | 'var' vars semi | 'const' ident ann semi | ( 'namespace' | 'module' | 'global' ) [ tname | STRING ] ( '{' item* '}' | semi )
 """
-JS = JS.replace("EOFMARK | ", "")
 
 PY = r"""
 file: ( NEWLINE | statement )*

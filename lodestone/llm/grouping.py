@@ -19,6 +19,7 @@ from lodestone.functions.text import repository_key
 from .batches import table
 
 BINS = 20
+HELD = 8
 SHARES = (("train", 0.8), ("dev", 0.1), ("test", 0.1))
 SALTS = 64
 
@@ -72,14 +73,16 @@ def ties(cases: DataFrame) -> DataFrame:
 def differencing(weights: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int]]:
     """(weight, bin, how many components of that weight) over a histogram [(weight, count)].
 
-    Equal weights fill all bins alike; the rest, fewer than ``bins`` per weight, goes through multi-way largest
-    differencing: the two partial partitions with the widest spread are combined, heaviest bin with lightest."""
+    Very common weights first fill all bins alike; the rest, at most ``HELD + 1`` per bin and weight, goes through
+    multi-way largest differencing: the two partial partitions with the widest spread are combined, heaviest bin with
+    lightest."""
     out: dict[tuple[int, int], int] = {}
     heap, n = [], 0
     for weight, count in weights:
-        for b in range(bins) if count >= bins else ():
-            out[weight, b] = count // bins
-        for _ in range(count % bins):
+        alike = max(0, count // bins - HELD)
+        for b in range(bins) if alike else ():
+            out[weight, b] = alike
+        for _ in range(count - alike * bins):
             heap.append((-weight, n, [(0, ())] * (bins - 1) + [(weight, (weight,))]))
             n += 1
     heapq.heapify(heap)

@@ -28,7 +28,9 @@ def _shape(language: str):
     a digit first, and all words with a meaning stay as they are."""
     words = _PY_KEYWORDS if language == "python" else _words(language == "typescript")
     stay = "|".join(sorted(words))
-    return re.compile(rf"(?<![\w\\/$#])(?<!\d\.)(?!(?:{stay})(?![\w$]))[A-Za-z_]\w*(?![\w'\"$\\])|(?<![\w.\\$#])(?:[1-9][0-9]*)(?![\w.$])", re.A).sub
+    plain = re.compile(rf"(?<![\w\\/$#])(?<!\d\.)(?!(?:{stay})(?![\w$]))[A-Za-z_]\w*(?![\w'\"$\\])", re.A).sub
+    number = re.compile(r"(?<![\w.\\$#])[1-9][0-9]*(?![\w.$])", re.A).sub
+    return lambda text: number("0", plain("a", text))
 
 
 def _drive(language: str, text: str, scan, first) -> Result:
@@ -38,7 +40,7 @@ def _drive(language: str, text: str, scan, first) -> Result:
     if len(eng.nodes) > MAX_NODES or len(memo) > MAX_LINES:
         eng.reset()
         memo.clear()
-    shape = _shape(language)("a", text)
+    shape = _shape(language)(text)
     pos, state, ctx, size = 0, eng.start, first, len(shape)
     while pos < size:
         end = shape.find("\n", pos) + 1 or size
@@ -116,7 +118,7 @@ def _scan_js(eng: Engine, text: str, pos: int, state: int, ctx: bool, typescript
     kinds, trans, step = eng.kinds, eng.trans, eng.step
     match = _JS_RE[typescript].match
     name, number, string, regex = kinds["NAME"], kinds["NUMBER"], kinds["STRING"], kinds["REGEX"]
-    div, diveq, inc, dec, close = kinds["/"], kinds["/="], kinds["++"], kinds["--"], kinds["}"]
+    div, diveq, inc, dec, close, bracket = kinds["/"], kinds["/="], kinds["++"], kinds["--"], kinds["}"], kinds["["]
     restricted = {kinds[x] for x in _RESTRICTED}
     nl, last, size = 1, ctx, len(text)
     braces: list[bool] = []  # braces opened here; True where one belongs to a template
@@ -191,6 +193,8 @@ def _scan_js(eng: Engine, text: str, pos: int, state: int, ctx: bool, typescript
             if eng.accepts(state):
                 return size, state, False, None
             return size, state, False, ("truncated", text.count("\n") + 1, "")
+        if nl and typescript and kind == bracket:
+            kind = kinds["NLB"]
         code = kind << 2
         if nl or kind == close:
             code |= 1

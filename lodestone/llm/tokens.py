@@ -157,8 +157,9 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     def gather(parts: pa.Table) -> pa.Table:
         rows = sorted(parts.to_pylist(), key=lambda r: r["_n"])
         ids = codec(path).merge([(r["_leaf"], r["_ids"]) for r in rows])
-        return pa.Table.from_pylist([{c: rows[0][c] for c in cols} | ({"n_tokens": len(ids)} if counts else {"ids": ids})], schema=_arrow(schema))
+        return pa.Table.from_pylist([{c: rows[0][c] for c in cols} | ({"n_tokens": len(ids)} if counts else {"ids": ids})], schema=arrow)
 
+    arrow = _arrow(schema)
     cut = map_rows(docs.where(long).select(text, *cols), keep + ", _n int, _leaf string", leaves, batch_rows=50)
     encoded = map_rows(cut.repartition(F.col(key), F.col("_n")), keep + ", _n int, _leaf string, _ids array<int>", encode_leaf, batch_rows=50)
     return map_rows(short, schema, whole).unionByName(encoded.groupBy(key).applyInArrow(gather, schema))
