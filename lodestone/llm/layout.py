@@ -119,11 +119,12 @@ def layout_stats(relpath: str | None, text: str | None) -> dict:
         kinds.append("generated")
     counted, counted_part = counted_share(lines)
     repeated = repeated_share(lines, language)
+    bare = t.lstrip()[:1] in ("{", "[") and n < 1500  # a small JSON text under a wrong name is no table of data
     if language == "toml":
         built = len(_LOCK.findall(t)) / len(lines) > 0.1
     else:
-        bare_data = t.lstrip()[:1] in ("{", "[") and n < 1500
-        built = not bare_data and (counted >= 6 and counted_part > 0.12 or repeated > REPEATED.get(language, 0.6))
+        run = counted >= 6 and (counted_part > 0.5 or counted_part > 0.12 and repeated > 0.3)
+        built = not bare and (run or repeated > REPEATED.get(language, 0.6))
     if built and "generated" not in kinds:
         kinds.append("generated")
     banner = " ".join(x for x in t.lstrip("\ufeff \n\t").split("\n")[:5] if _COMMENT_START.match(x))
@@ -132,7 +133,7 @@ def layout_stats(relpath: str | None, text: str | None) -> dict:
     packed = (mean > mean_limit or (longest > long_limit and longest > 0.5 * solid)) and space < space_limit
     if packed and encoded < 0.5 * n and language in ("python", "javascript", "typescript", "css", "html", ""):
         kinds.append("minified")
-    if n >= LEAST_DATA and language not in ("css", "html", "toml") and (
+    if n >= LEAST_DATA and not bare and language not in ("css", "html", "toml") and (
         (literal > 0.8 and code <= 3 + n / 2500) or numbers > digit_limit * (n - n * space) or encoded > 0.5 * n
     ):
         kinds.append("data")
