@@ -11,7 +11,7 @@ from lodestone.sources import tables
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tables.table(spark, sf_dir, name)
+    return tables.spread(tables.table(spark, sf_dir, name))
 
 
 def map_rows(df: DataFrame, schema: str, row_fn: Callable[..., Iterable[tuple]], *, batch_rows: int = 1000) -> DataFrame:
@@ -42,7 +42,7 @@ def map_rows(df: DataFrame, schema: str, row_fn: Callable[..., Iterable[tuple]],
         if rows:
             yield flush()
 
-    return tables.spread(df).mapInArrow(run, parsed)
+    return df.mapInArrow(run, parsed)
 
 
 __all__ = ["F", "map_rows", "table"]
