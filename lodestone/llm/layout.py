@@ -32,6 +32,7 @@ LEAST_DATA = 800
 #: Share of repeated line forms above which a text is taken for a template's output.
 REPEATED = {"python": 0.6, "javascript": 0.6, "typescript": 0.6, "css": 0.6, "html": 0.6}
 _LEAD = re.compile(r"\s*(?:#!?[^\n]*(?:\n|$)|//[^\n]*(?:\n|$)|/\*[\s\S]*?\*/|<!--[\s\S]*?-->)")
+_DOCSTRING = re.compile(r"""(?s)\s*[rRuU]?(?:(?P<q>\"{3}|'{3})(?:\\.|(?!(?P=q)).)*(?P=q)|(?P<p>["'])(?:\\.|(?!(?P=p))[^\\\n])*(?P=p)(?=[ \t]*(?:\n|$)))""")
 #: Directories that by convention hold other people's sources only.
 VENDOR_DIRS = frozenset(["vendor", "_vendor", "third_party", "thirdparty", "third-party", "3rdparty", "extern", "external", "externals", "deps", "node_modules", "bower_components", "jspm_packages", "site-packages"])
 _RELEASE = re.compile(r"""(?ix) (?:[\w.-]+ (?:\ -?\ ?v|@|\ (?:release|version)\ v?)) \d+\.\d+\.\d+""")
@@ -55,9 +56,11 @@ _CODE_WORD = re.compile(r"\b(?:def|class|return|if|for|while|function|import|exp
 
 
 def strip_banner(text: str) -> str:
-    """The text without its leading comments and without any white space."""
-    pos = 0
-    while (m := _LEAD.match(text, pos)) and m.end() > pos:
+    """The text without its leading comments and docstrings and without any white space.
+
+    A docstring may be the banner or stand behind it, so all go, here and in the known sources alike."""
+    pos = len(text) - len(text.lstrip("\ufeff"))
+    while (m := _LEAD.match(text, pos) or _DOCSTRING.match(text, pos)) and m.end() > pos:
         pos = m.end()
     return "".join(text[pos:].split())
 

@@ -31,3 +31,14 @@ def test_operator(spark):
     got = {(r.relpath, tuple(r.kinds)) for r in unwritten_files(a, c, f, t).collect()}
     assert got == {("src/c.py", ("vendored",)), ("src/only.py", ("generated",)), ("vendor/z.py", ("vendored",))}
     assert unwritten_files(a.limit(0), c.limit(0), f.limit(0), t).count() == 0
+
+
+def test_docstring_banner_does_not_hide_a_copy(spark):
+    lib = 'import api.span\n\n\ndef alpha(x):\n    return x + 1\n\n\ndef beta(y):\n    return alpha(y) * 2\n'
+    known = '"""vikmol 7.9.9 - released under the MIT licence."""\n"""Fold spans."""\n' + lib
+    copies = {"none.py": '"""Fold spans."""\n' + lib, "changed.py": "﻿# -- vikmol 8, ISC\n'''Fold\nspans.'''\n\n" + lib, "same.py": known.replace("\n\n\n", "\n")}
+    a = spark.createDataFrame([("r", "src/" + k, v) for k, v in copies.items()] + [("r", "src/h.py", '"""Fold spans."""\n' + HAND)], "repo_root string, relpath string, source_text string")
+    c = spark.createDataFrame([], "repo_root string, chunk_id string, relpath string, text string")
+    t = spark.createDataFrame([("python", known)], "language string, file_text string")
+    got = {r.relpath for r in unwritten_files(a, c, c.select("repo_root", "relpath"), t).where("array_contains(kinds, 'vendored')").collect()}
+    assert got == {"src/none.py", "src/changed.py", "src/same.py"}
