@@ -36,6 +36,9 @@ _DOCSTRING = re.compile(r"""(?s)\s*[rRuU]?(?:(?P<q>\"{3}|'{3})(?:\\.|(?!(?P=q)).
 #: Directories that by convention hold other people's sources only.
 VENDOR_DIRS = frozenset(["vendor", "_vendor", "third_party", "thirdparty", "third-party", "3rdparty", "extern", "external", "externals", "deps", "node_modules", "bower_components", "jspm_packages", "site-packages"])
 _RELEASE = re.compile(r"""(?ix) (?:[\w.-]+ (?:\ -?\ ?v|@|\ (?:release|version)\ v?)) \d+\.\d+\.\d+""")
+_FIRST_LINES = re.compile(r"\ufeff?(?:#![^\n]*(?:\n|$))?(?:\s*#[^\n]*coding[:=][^\n]*(?:\n|$))?")
+#: A banner line that begins with a name and a bare release, and ends there or goes on behind a mark.
+_TITLE = re.compile(r"""(?m)^[\s#/*!<"'-]*[A-Za-z@][\w.@/-]*,?\ +\d+\.\d+\.\d+[\w.+-]*(?=\s*(?:[-–—|,;:(*/"']|$))""")
 _LICENCE = re.compile(r"(?i)\b(?:MIT|ISC|BSD|Apache|MPL|LGPL|GPL|licen[cs]e|\(c\)|copyright)\b")
 _DIGITS = re.compile(r"\d+")
 _LOCK = re.compile(r"""(?m)^\s*"?(?:checksum|integrity|resolved|sha256|hash)"?\s*[:=]\s*["'][^"'\n]{16,}["']""")
@@ -65,6 +68,16 @@ def strip_banner(text: str) -> str:
     return "".join(text[pos:].split())
 
 
+def banner_of(text: str) -> str:
+    """First five lines of the leading comments, or of the docstring where no comment stands before it but an interpreter or encoding line."""
+    start = pos = _FIRST_LINES.match(text).end()
+    while (m := _LEAD.match(text, pos)) and m.end() > pos:
+        pos = m.end()
+    if not text[start:pos].strip() and (m := _DOCSTRING.match(text, pos)):
+        pos = m.end()
+    return "\n".join(text[start:pos].strip().split("\n")[:5])
+
+
 def counted_share(lines: list[str]) -> tuple[int, float]:
     """Length of the longest run of names numbered one after another, and its share of the lines."""
     best = run = 0
@@ -130,8 +143,8 @@ def layout_stats(relpath: str | None, text: str | None) -> dict:
         built = not bare and (run or repeated > REPEATED.get(language, 0.6))
     if built and "generated" not in kinds:
         kinds.append("generated")
-    banner = " ".join(x for x in t.lstrip("\ufeff \n\t").split("\n")[:5] if _COMMENT_START.match(x))
-    if foreign or (_RELEASE.search(banner) and _LICENCE.search(banner)):
+    banner = banner_of(t)
+    if foreign or ((_RELEASE.search(banner) or _TITLE.search(banner)) and _LICENCE.search(banner)):
         kinds.append("vendored")
     packed = (mean > mean_limit or (longest > long_limit and longest > 0.5 * solid)) and space < space_limit
     if packed and encoded < 0.5 * n and language in ("python", "javascript", "typescript", "css", "html", ""):

@@ -42,3 +42,10 @@ def test_docstring_banner_does_not_hide_a_copy(spark):
     t = spark.createDataFrame([("python", known)], "language string, file_text string")
     got = {r.relpath for r in unwritten_files(a, c, c.select("repo_root", "relpath"), t).where("array_contains(kinds, 'vendored')").collect()}
     assert got == {"src/none.py", "src/changed.py", "src/same.py"}
+
+
+def test_banners_of_unlisted_libraries():
+    for banner in ('"""molmol 3.6.1 - released under the MIT licence."""\n', "# molmol 3.2.0\n# Copyright (c) the molmol contributors\n# SPDX-License-Identifier: MIT\n", "#!/usr/bin/env python\n'''molmol 3.2.0 (ISC)\n'''\n", "/*! molmol v3.2.0 | (c) molmol contributors | MIT */\n", "# -- molmol release 4.1.2, BSD-3-Clause\n"):
+        assert kinds("src/a.py", banner + HAND) == ["vendored"], banner
+    for banner in ('"""Needs molmol 3.6.1, under the MIT licence."""\n', "# molmol 3.2.0 must be installed\n# Copyright (c) us\n", "# Copyright (c) us\n'''molmol 3.2.0'''\n", "# Licence: MIT\nV = '''molmol 3.2.0'''\n", '"""molmol 3.6.1"""\n'):
+        assert kinds("src/a.py", banner + HAND) == [], banner
