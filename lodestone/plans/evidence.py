@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import evidence as V
+from lodestone.operators import evidence as V, graph as G, replay as RP
 from lodestone.operators.flatten import flatten_bundles, flatten_runs
 from lodestone.sources.tables import chunks, table
 
@@ -64,7 +64,7 @@ def court_verdict(spark, d):
 
 
 def mutation_detection(spark, d):
-    """Six mutations per bundle, and whether the replay's counts would tell each from the original."""
+    """What the counts of six kinds of member allow to be mutated; nothing is replayed here, see mutation_lab."""
     c = _counts(spark, d)
     lab = F.array(*(F.struct(F.lit(m).alias("mutation"), q.alias("detected")) for m, q in (
         ("top_hit_missing", F.lit(True)), ("evidence_snippet_drift", F.col("evidence") > 0), ("route_anchor_missing", F.lit(True)), ("supporting_path_missing", F.col("paths") > 0), ("proof_graph_edge_unverified", F.lit(True)), ("decoy_audit_stale", F.col("decoys") > F.col("open_decoys")),
@@ -72,6 +72,21 @@ def mutation_detection(spark, d):
     return c.select(F.inline(lab)).groupBy("mutation").agg(F.count("*").alias("bundles"), F.count_if("detected").alias("detected"), F.round(F.avg(F.col("detected").cast("double")), 3).alias("rate"))
 
 
+def _replayed(spark, d) -> tuple[DataFrame, DataFrame]:
+    c, docs = chunks(spark, d), RP.proof_docs(_bundles(spark, d))
+    units = G.units(c)
+    return docs, RP.replay(docs, V.current_labels(c), units, G.edges(units))
+
+
+def mutation_lab(spark, d):
+    """Six mutations of every bundle replayed strictly: detected where the mutated replay fails, and, as it fails for many
+    bundles unmutated too, detected where it fails a check that the unmutated one passes."""
+    r = _replayed(spark, d)[1]
+    per = r.withColumn("base", F.max(F.when(F.col("mutation") == RP.BASELINE, F.col("failed"))).over(W.partitionBy("bundle_no"))).where(F.col("mutation") != RP.BASELINE)
+    detected, told = F.size("failed") > 0, F.size(F.array_except("failed", "base")) > 0
+    return per.groupBy("mutation").agg(F.count("*").alias("bundles"), F.count_if(detected).alias("detected"), F.round(F.avg(detected.cast("double")), 3).alias("rate"), F.count_if(F.size("base") == 0).alias("valid_before"), F.count_if(told).alias("newly_failed"))
+
+
 def adjacent_steps(spark, d):
     """Consecutive labels of every supporting path as edges."""
     rows = flatten_bundles(_bundles(spark, d), ("proof.supporting_paths.path",))
@@ -173,7 +188,7 @@ def run_pass_rate(spark, d):
     return r.groupBy("mode").agg(F.count("*").alias("runs"), F.count_if(F.col("s") == "completed").alias("completed"), F.round(F.avg(F.when(F.col("s").isin("completed", "failed"), (F.col("s") == "completed").cast("double"))), 5).alias("pass_rate"))
 
 
-QUERIES = {f.__name__: f for f in (missing_refs, snippet_drift, drift_diagnosis, diagnostics, proof_scorecard, court_verdict, mutation_detection, adjacent_steps, graph_delta, trace_steps, verifier_summary, pr_guard, successor_jaccard, first_failure, regression_status, html_links, css_imports, ordered_dedupe, impacted_files, run_pass_rate)}
+QUERIES = {f.__name__: f for f in (missing_refs, snippet_drift, drift_diagnosis, diagnostics, proof_scorecard, court_verdict, mutation_detection, mutation_lab, adjacent_steps, graph_delta, trace_steps, verifier_summary, pr_guard, successor_jaccard, first_failure, regression_status, html_links, css_imports, ordered_dedupe, impacted_files, run_pass_rate)}
 
 # ---------------------------------------------------------------- comparison SQL
 _IN = lambda x: f"CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid({x}->>'$') THEN CAST({x}->>'$' AS JSON) ELSE {x} END"
