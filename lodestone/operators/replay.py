@@ -126,3 +126,24 @@ def replay(docs: DataFrame, labels: DataFrame, units: DataFrame, edges: DataFram
     failed = c.drop("snippet").join(refuted(c, labels, units, edges), ["repo", "kind", "a", "b"]).groupBy("bundle_no", "mutation").agg(F.array_sort(F.collect_set("check")).alias("failed"))
     every = docs.select("bundle_no", F.explode(F.array(*map(F.lit, (BASELINE, *MUTATIONS)))).alias("mutation"))
     return every.join(failed, ["bundle_no", "mutation"], "left").select("bundle_no", "mutation", F.coalesce("failed", F.array().cast("array<string>")).alias("failed"))
+
+
+#: Weights and grades of the reliability score.
+WEIGHTS = {"proof_proved": 20, "strict_replay_valid": 20, "evidence_fingerprints_match": 10, "proof_edges_verified": 15, "decoy_audit_present": 10, "mutation_detection_complete": 25}
+GRADES = (("A", 95), ("B", 85), ("C", 70))
+
+
+def scorecard(docs: DataFrame, replayed: DataFrame) -> DataFrame:
+    """bundle_no, score, grade, status of every document of ``docs``."""
+    base = F.col("mutation") == BASELINE
+    r = replayed.groupBy("bundle_no").agg(F.max(F.when(base, F.col("failed"))).alias("failed"), F.bool_and(base | (F.size("failed") > 0)).alias("complete"))
+    j = docs.select("bundle_no", "proof_status", (F.size("doc.decoys") > 0).alias("decoys")).join(r, "bundle_no")
+    items = {
+        "proof_proved": F.coalesce(F.col("proof_status") == "proved", F.lit(False)), "strict_replay_valid": F.size("failed") == 0, "evidence_fingerprints_match": ~F.array_contains("failed", "evidence_fingerprints_match"),
+        "proof_edges_verified": ~F.array_contains("failed", "proof_graph_edges_verified"), "decoy_audit_present": F.col("decoys"), "mutation_detection_complete": F.col("complete"),
+    }
+    j = j.select("bundle_no", sum((F.when(items[k], w).otherwise(0) for k, w in WEIGHTS.items()), F.lit(0)).alias("score"))
+    score, grade = F.col("score"), F.lit("F")
+    for name, least in reversed(GRADES):
+        grade = F.when(score >= least, name).otherwise(grade)
+    return j.select("bundle_no", "score", grade.alias("grade"), F.when(score >= 85, "pass").when(score >= 70, "warn").otherwise("fail").alias("status"))

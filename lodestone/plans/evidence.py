@@ -40,7 +40,7 @@ def diagnostics(spark, d):
 
 
 def _counts(spark, d) -> DataFrame:
-    """Per bundle: rows of its child tables and its proof's status."""
+    """Per bundle with any: rows of its child tables, failed checks and open decoys."""
     rows = flatten_bundles(_bundles(spark, d), ("evidence", "proof.checks", "proof.supporting_paths", "proof.proof_graph.edges", "proof.decoy_audit"))
     n = lambda c: F.count_if(F.col("child") == c)
     failed = F.count_if((F.col("child") == "proof.checks") & (F.lower(F.get_json_object("value", "$.passed")) == "false"))
@@ -49,6 +49,7 @@ def _counts(spark, d) -> DataFrame:
 
 
 def proof_scorecard(spark, d):
+    """What members a bundle holds and whether its stored checks passed, on a scale of 80; see proof_reliability."""
     c = _counts(spark, d)
     items = {"checks_passed": (F.col("checks") > 0) & (F.col("failed") == 0), "edges_present": F.col("edges") > 0, "decoys_present": F.col("decoys") > 0, "evidence_present": F.col("evidence") > 0, "paths_present": F.col("paths") > 0}
     score = reduce(lambda a, b: a + b, (F.when(items[k], w).otherwise(0) for k, w in V.SCORE if k in items))
@@ -74,8 +75,13 @@ def mutation_detection(spark, d):
 
 def _replayed(spark, d) -> tuple[DataFrame, DataFrame]:
     c, docs = chunks(spark, d), RP.proof_docs(_bundles(spark, d))
-    units = G.units(c)
-    return docs, RP.replay(docs, V.current_labels(c), units, G.edges(units))
+    units, none = G.units(c), F.array().cast("array<string>")
+    return docs, RP.replay(docs, V.current_labels(c), units, G.edges(units.withColumns({"refs": none, "inherits": none})))  # their edges back no proof
+
+
+def proof_reliability(spark, d):
+    """Score of every bundle with a valid payload: status, strict replay, two of its checks, decoys and mutations."""
+    return RP.scorecard(*_replayed(spark, d))
 
 
 def mutation_lab(spark, d):
@@ -188,7 +194,7 @@ def run_pass_rate(spark, d):
     return r.groupBy("mode").agg(F.count("*").alias("runs"), F.count_if(F.col("s") == "completed").alias("completed"), F.round(F.avg(F.when(F.col("s").isin("completed", "failed"), (F.col("s") == "completed").cast("double"))), 5).alias("pass_rate"))
 
 
-QUERIES = {f.__name__: f for f in (missing_refs, snippet_drift, drift_diagnosis, diagnostics, proof_scorecard, court_verdict, mutation_detection, mutation_lab, adjacent_steps, graph_delta, trace_steps, verifier_summary, pr_guard, successor_jaccard, first_failure, regression_status, html_links, css_imports, ordered_dedupe, impacted_files, run_pass_rate)}
+QUERIES = {f.__name__: f for f in (missing_refs, snippet_drift, drift_diagnosis, diagnostics, proof_scorecard, court_verdict, mutation_detection, mutation_lab, proof_reliability, adjacent_steps, graph_delta, trace_steps, verifier_summary, pr_guard, successor_jaccard, first_failure, regression_status, html_links, css_imports, ordered_dedupe, impacted_files, run_pass_rate)}
 
 # ---------------------------------------------------------------- comparison SQL
 _IN = lambda x: f"CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid({x}->>'$') THEN CAST({x}->>'$' AS JSON) ELSE {x} END"
