@@ -41,6 +41,9 @@ _URL = re.compile(r"://(?P<u>[^\s:/@\"'`<>]*):(?P<v>[^\s/\"'`]*?[^\s/\"'`@])@(?=
 _QUERY = re.compile(r"(?i)[?&;](?P<k>[\w\-]*(?:token|key|sig|signature|auth|secret|password|passwd|pwd))=(?P<v>[^&\s\"'`#<>)]+)")
 _META = re.compile(r"""(?i)<meta\s+(?:name|property|http-equiv)=["'](?P<k>[^"']+)["']\s+content=["'](?P<v>[^"'\n]+)["']""")
 _SCHEME = re.compile(r"(?i)\b(?P<s>Authorization[\"']?\s*[:=,]\s*[\"'`]?(?:Bearer|Basic|Token)|(?<=[\"'`])Bearer|(?<=[\"'`])Basic)\s+(?P<v>[A-Za-z0-9+/=_.~\-]{8,})")
+_BARE = re.compile(r"""(?<![\w.$\-])(?P<k>[A-Za-z_][\w.\-]{1,60})(?:[ \t]*=[ \t]*|:[ \t]+)(?P<v>[^\s"'`,;<>(){}\[\]\\=]{6,}={0,2})(?![(\[])""")
+_CALLEE = re.compile(r"(?i)(?:sha|md|base|utf|aes|int|uint|float|oauth|hmac|rsa|ed|x|http|s|ec|ipv|str|to|is|get|make|new|parse|decode|encode)_?\d|[a-z]+[A-Z]?[a-z]*\d?$|[A-Za-z_]+\.")
+_ENDS = re.compile(r"""[ \t]*(?:\r?$|\\n|["'`]|\*/|-->|[#;])""", re.M)
 _COMMENT = re.compile(r"(?:#|//|/\*|<!--|--\s|^\s*\*\s)(?P<c>[^\n]*)", re.M)
 _REMARK = re.compile(r"(?i)\b(?:(?:remove after \w+|rotate|works with)(?=:)|login|logins|creds?|credentials?|password|passwd|passphrase|passcode|pw|pwd|pass|token|key|secret)\b\s*(?:is|was|[:=])?\s+(?:(?:is|was|key|token|pw|password|pwd|secret)\s+)?(?P<u>[\w.\-@]{2,20}\s*/\s*)?(?P<v>[^\s,;\"'`<>]{6,})")
 
@@ -188,6 +191,8 @@ def _keyed(text: str, spans: list[tuple[int, int, str]]) -> None:
     for m in _SCHEME.finditer(text) if "bearer" in low or "authorization" in low or "basic" in low else ():
         if plausible(m["v"]) and any(c.isdigit() for c in m["v"]):
             spans.append((*m.span("v"), "authorization"))
+    if any(w in low for w in _WORDS):
+        _bare(text, spans)
     for c in _COMMENT.finditer(text):
         for m in _REMARK.finditer(text, *c.span("c")):
             v = m["v"].rstrip(".)")
@@ -195,6 +200,19 @@ def _keyed(text: str, spans: list[tuple[int, int, str]]) -> None:
                 spans.append((m.start("v"), m.start("v") + len(v), "comment"))
 
 
+def _bare(text: str, spans: list[tuple[int, int, str]]) -> None:
+    """Unquoted values of ``key=value`` and ``key: value``, as in env, INI and YAML texts, also in strings and comments.
+
+    A value that could be an identifier or a call counts only if it ends its line, string or comment and has digits in plenty."""
+    for m in _BARE.finditer(text):
+        v = m["v"].rstrip(".")
+        if not sensitive(m["k"]) or "://" in v or not plausible(v, strict=True):
+            continue
+        if re.fullmatch(r"[A-Za-z_]\w*(?:\.\w+)*", v) and not (len(v) >= 8 and sum(map(str.isdigit, v)) >= 2 and not _CALLEE.match(v) and _ENDS.match(text, m.end())):
+            continue
+        spans.append((m.start("v"), m.start("v") + len(v), _path(text, m.start("k"), m["k"])))
+
+
 def _assignments(text: str, low: str):
     """Matches of _ASSIGN from every sensitive word on, once per assignment."""
     seen: set[int] = set()
@@ -236,16 +254,64 @@ def _joined(text: str, pos: int) -> tuple[int, str] | None:
     return (end, "".join(parts)) if len(parts) > 1 else None
 
 
-_SECTION = re.compile(r"(?m)^\s*\[\[?([\w.\-\"' ]+)\]\]?\s*$")
+_SECTION = re.compile(r"(?m)^[ \t]*\[\[?([\w.\-\"' ]+)\]\]?[ \t]*\r?$")
+_MEMBER = re.compile(r"""(?:\\?["'])?([\w.\-$]+)(?:\\?["'])?\s*[:=]\s*$""")
+_PARENT = re.compile(r"""(?!(?:else|try|finally|default)\b)(?:- )?["']?([\w.\-]+)["']?:\s*$""")
+_TOKEN = re.compile(r"""\"{3}|'{3}|["'`{}\[\]]""")
+
+
+def _parents(text: str, at: int, start: int = 0) -> list[str]:
+    """Names of the members whose braces or brackets are open at ``at``; a string around it is read as a text of its own."""
+    open_: list[str] = []
+    pos = start
+    while (m := _TOKEN.search(text, pos, at)) is not None:
+        pos = m.end()
+        t = m[0]
+        if t in "{[":
+            k = _MEMBER.search(text, max(start, m.start() - 80), m.start())
+            open_.append(k[1] if k else "")
+        elif t in "}]":
+            if open_:
+                open_.pop()
+        elif start and text[m.start() - 1] == "\\":
+            continue
+        else:
+            end = pos
+            while (end := text.find(t, end)) >= 0 and (len(text[pos:end]) - len(text[pos:end].rstrip("\\"))) % 2:
+                end += 1
+            line = text.find("\n", pos) if len(t) == 1 and t != "`" else -1
+            if 0 <= line and not 0 <= end <= line:
+                continue  # an apostrophe
+            if end >= at:
+                return open_ + _parents(text, at, pos) if start == 0 and text[pos : pos + 1] != "" else open_
+            if end < 0:
+                continue
+            pos = end + len(t)
+    return open_
 
 
 def _path(text: str, at: int, name: str) -> str:
-    """Key path: a TOML or INI section before the key, if there is one."""
-    section = ""
+    """Key path: the TOML or INI section before the key, or the mappings it is indented under, then the members around it."""
+    outer: list[str] = []
+    line = text.rfind("\n", 0, at) + 1
     if text.find("[", 0, at) >= 0:
-        for m in _SECTION.finditer(text, max(0, at - 4000), at):
-            section = m[1] + "."
-    return section + name
+        for m in _SECTION.finditer(text, 0, at):
+            outer = [m[1]]
+    indent = len(text[line:at]) - len(text[line:at].lstrip())
+    above: list[str] = []
+    end = line - 1
+    while indent and end > 0 and not outer:
+        begin = text.rfind("\n", 0, end) + 1
+        row = text[begin:end]
+        if row.strip() and not row.lstrip().startswith("#") and (depth := len(row) - len(row.lstrip())) < indent:
+            m = _PARENT.match(row.strip())
+            if not m:
+                break
+            above.insert(0, m[1])
+            indent = depth
+        end = begin - 1
+    inner = [x for x in _parents(text, at) if x] if "{" in text[:at] or "[" in text[:at] else []
+    return ".".join([*outer, *above, *inner, name.strip("\"'\\ \t[")])
 
 
 def redact(text: str | None, spans: list[tuple[int, int, str]] | None = None) -> str | None:
@@ -261,7 +327,7 @@ def redact(text: str | None, spans: list[tuple[int, int, str]] | None = None) ->
 
 
 def secret_places(df: DataFrame, text: str, keys: tuple[str, ...], masked: bool = False) -> DataFrame:
-    """keys, line_no, key_path of each secret; with ``masked`` one row per text that has any, with its redacted text."""
+    """keys, line_no, key_path and offset in bytes of the first secret of each line; with ``masked`` one row per text that has any, with its redacted text."""
     kinds = dict(df.dtypes)
     head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
 
@@ -271,15 +337,16 @@ def secret_places(df: DataFrame, text: str, keys: tuple[str, ...], masked: bool
             if spans:
                 yield (*rest, len(spans), redact(body, spans))
             return
-        line, pos, last = 1, 0, 0
+        line, pos, last, at = 1, 0, 0, 0
         for a, _, path in spans:
             line += body.count("\n", pos, a)
+            at += len(body[pos:a].encode("utf-8", "surrogatepass"))
             pos = a
             if line != last:
-                yield (*rest, line, path)
+                yield (*rest, line, path, at)
             last = line
 
-    schema = head + (", secrets int, redacted string" if masked else ", line_no int, key_path string")
+    schema = head + (", secrets int, redacted string" if masked else ", line_no int, key_path string, byte_offset long")
     return map_rows(df.select(text, *keys).where(F.col(text) != ""), schema, one)
 
 

@@ -38,3 +38,27 @@ def test_operator_lines_nulls_and_columns(spark):
     m = {r.record_no: r.redacted for r in secret_places(df, "text", keys, masked=True).collect()}
     assert m[1] == "a\npassword = '**********'\nb\n"
     assert secret_places(df.limit(0), "text", keys).count() == 0
+
+
+@pytest.mark.parametrize("text", ["PASSWORD=Xy12kQ9rTz\n", "db:\n  password: Xy12kQ9rTz!\n", "export API_TOKEN=a8Fk2lQ0zP3mVb7x\n", "env = 'MODE=x\\nDB_PASSWORD=Tr4!kQ9rTz\\n'", "# run with DB_PASSWORD=Tr4!kQ9rTz here"])
+def test_unquoted_values(text):
+    masked = redact(text)
+    assert find_secrets(text) and len(masked) == len(text) and not find_secrets(masked)
+
+
+@pytest.mark.parametrize("text", ["f(token=sha256Token)", "  password: md5Hash\n", "token = make2Token()\n", "PASSWORD=${DB_PASS1}\n", "password: !vault Ab12\n", "token_count=1234567\n", "key = args.key2\n", "if token == Other12Token:\n"])
+def test_unquoted_code_is_no_case(text):
+    assert find_secrets(text) == []
+
+
+def test_key_paths():
+    path = lambda text: [p for _, _, p in find_secrets(text)]
+    assert path('{"db": {"list": [{"password": "Decoy*9233"}]}}') == ["db.list.password"]
+    assert path('[srv.db]\n' + "x = 1\n" * 2000 + 'auth = { user = "u", password = "Decoy*9233" }\n') == ["srv.db.auth.password"]
+    assert path("prod:\n  db:\n    user: u\n    password: Xy12kQ9rTz!\n") == ["prod.db.password"]
+    assert path("""b = '{"o": {"client_secret": "9dRXGz31EVaec6T5pr1xuTv"}}'""") == ["o.client_secret"]
+
+
+def test_offsets_are_bytes(spark):
+    df = spark.createDataFrame([(1, "é = 1\npassword = 'Decoy*9233'\n")], "k long, text string")
+    assert [(r.line_no, r.byte_offset) for r in secret_places(df, "text", ("k",)).collect()] == [(2, 19)]
