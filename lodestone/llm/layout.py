@@ -2,8 +2,8 @@
 
 One pass per text computes layout statistics; thresholds tuned per language decide ``minified`` and ``data``, a marker
 comment at the head decides ``generated``, and a digest of the text without banner and white space, joined with the
-known third-party sources, decides ``vendored``.  A file of any table that has text is judged on every text it has;
-null and empty texts are never cases.
+known third-party sources, decides ``vendored``.  A file is judged on the texts of its analyses, without any on its
+overview chunks, without those on its symbols' chunks; every file of any table is judged by its path.
 """
 
 from __future__ import annotations
@@ -172,16 +172,19 @@ def file_layout(files: DataFrame, text: str, keys: tuple[str, ...] = ("repo_root
 def unwritten_files(analysis: DataFrame, chunks: DataFrame, facts: DataFrame, third_party: DataFrame) -> DataFrame:
     """repo_root, relpath and kinds of the files nobody in the repository wrote by hand; one row per file.
 
-    Texts come from the stored analyses; a file without one is judged by its overview chunk, and one known by name only
-    by its path.  Which files those are is settled on keys alone, before any text moves."""
+    Texts come from the stored analyses; a file without one is judged by its overview chunks, one without those by its
+    symbols' chunks, and one known by name only by its path.  Which files those are is settled on keys alone, before any text moves."""
     keys = ["repo_root", "relpath"]
     named = lambda df: df.where("repo_root is not null and relpath is not null")
-    analysis, chunks, facts = named(analysis), named(chunks).where(F.col("chunk_id").endswith("::file")), named(facts)
+    analysis, chunks, facts = named(analysis), named(chunks), named(facts)
     have = analysis.where("source_text is not null").select(*keys).distinct()
     missing = chunks.select(*keys).distinct().join(have, keys, "left_anti")
-    overviews = chunks.join(missing, keys, "left_semi")
+    overview = F.coalesce(F.col("chunk_id").endswith("::file"), F.lit(False))
+    told = chunks.where(overview & (F.col("text") != "")).select(*keys).distinct()
+    parts = chunks.join(missing, keys, "left_semi")
+    parts = parts.where(overview).unionByName(parts.where(~overview).join(told, keys, "left_anti"))
     bare = facts.select(*keys).distinct().join(have, keys, "left_anti").join(missing, keys, "left_anti").withColumn("text", F.lit(None).cast("string"))
-    seen = file_layout(analysis, "source_text").unionByName(file_layout(overviews, "text")).unionByName(file_layout(bare, "text"))
+    seen = file_layout(analysis, "source_text").unionByName(file_layout(parts, "text")).unionByName(file_layout(bare, "text"))
     known = file_layout(third_party.select("file_text", F.concat(F.lit("x."), F.expr("map('python','py','javascript','js','typescript','ts')[language]")).alias("relpath")), "file_text", ("relpath",)).where("digest is not null").select("digest").distinct()
     marked = seen.join(known.withColumn("known", F.lit(True)), "digest", "left")
     found = marked.withColumn("kinds", F.when(F.col("known"), F.array_union("kinds", F.array(F.lit("vendored")))).otherwise(F.col("kinds"))).where(F.size("kinds") > 0)

@@ -49,3 +49,12 @@ def test_banners_of_unlisted_libraries():
         assert kinds("src/a.py", banner + HAND) == ["vendored"], banner
     for banner in ('"""Needs molmol 3.6.1, under the MIT licence."""\n', "# molmol 3.2.0 must be installed\n# Copyright (c) us\n", "# Copyright (c) us\n'''molmol 3.2.0'''\n", "# Licence: MIT\nV = '''molmol 3.2.0'''\n", '"""molmol 3.6.1"""\n'):
         assert kinds("src/a.py", banner + HAND) == [], banner
+
+
+def test_files_known_by_symbol_chunks_only(spark):
+    a = spark.createDataFrame([("r", "src/h.py", HAND)], "repo_root string, relpath string, source_text string")
+    rows = [("r", "vendor/v.py::f", "vendor/v.py", "x = 1"), ("r", "src/g.py::f", "src/g.py", "# @generated\nx = 1\n"), ("r", "src/n.py::file", "src/n.py", None), ("r", "src/n.py::f", "src/n.py", "# @generated\n"), ("r", "vendor/i.py", "vendor/i.py", None)]
+    rows += [("r", "src/h.py::f", "src/h.py", "# @generated\n"), ("r", "src/o.py::file", "src/o.py", HAND), ("r", "src/o.py::f", "src/o.py", "# @generated\n")]
+    c = spark.createDataFrame(rows, "repo_root string, chunk_id string, relpath string, text string")
+    t = spark.createDataFrame([], "language string, file_text string")
+    assert {r.relpath for r in unwritten_files(a, c, c.select("repo_root", "relpath").limit(0), t).collect()} == {"vendor/v.py", "src/g.py", "src/n.py", "vendor/i.py"}
