@@ -7,22 +7,14 @@ checkpoints in the folder the session names.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .lineage import checkpointed
+
 LABELS = ("calls", "references", "inherits", "imports", "routes_to")
 FANOUT_PPR, FANOUT_IMPACT, FANOUT_ROUTE = 24, 12, 14
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder that the session names; a temporary one is set only where none is, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-"))
-    return df.checkpoint()
-
-
 def units(chunks: DataFrame) -> DataFrame:
     """One row per (repo, chunk_id): the columns the graph needs of its latest chunk_no."""
     cols = ["chunk_no", "relpath", "symbol_name", "symbol_kind", "qualified_name", "route_path", "imports", "calls", "refs", "inherits", "handler_names"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import evidence as V, graph as G, replay as RP
-from lodestone.operators.flatten import flatten_bundles, flatten_runs
+from lodestone.operators.flatten import TABLES, flatten_bundles, flatten_runs
 from lodestone.sources.tables import chunks, table
 
 from . import sql as S
@@ -225,6 +225,25 @@ P4 = "WITH " + _DOCS + " " + " UNION ALL ".join([
     f"SELECT 'bundle', no, 'proof.supporting_paths.path', outer_pos || '.' || pos FROM {_INNER(_BR['proof.supporting_paths'], 'path')}", f"SELECT 'bundle', no, 'proof.proof_graph.nodes.roles', outer_pos || '.' || pos FROM {_INNER(_BR['proof.proof_graph.nodes'], 'roles')}",
     f"SELECT 'run', no, 'timeline', pos::VARCHAR FROM {_STEPS}", f"SELECT 'run', no, 'timeline.details.commands', a || '.' || pos FROM {_CMD}", f"SELECT 'run', no, 'timeline.details.findings', a || '.' || pos FROM {_FIND}", f"SELECT 'run', no, 'timeline.details.commands.failures', a || '.' || b || '.' || pos FROM {_FAIL}"])
 _X = lambda name: f"({_MEM('v', name)}->>'$')"
+_FAILS = f"(SELECT no, a, b, v, pos FROM (SELECT no, a, b, unnest(l) AS v, unnest(range(1, len(l) + 1)) AS pos FROM (SELECT no, a, pos AS b, {_LS(_MEM('v', 'failures'))} AS l FROM {_CMD})) WHERE v IS NOT NULL AND json_type(v) <> 'NULL')"
+_NESTED = {
+    "proof.supporting_paths.path": (_INNER(_BR["proof.supporting_paths"], "path"), "outer_pos::VARCHAR"), "proof.proof_graph.nodes.roles": (_INNER(_BR["proof.proof_graph.nodes"], "roles"), "outer_pos::VARCHAR"), "timeline": (_STEPS, "''"),
+    "timeline.details.commands": (_CMD, "a::VARCHAR"), "timeline.details.findings": (_FIND, "a::VARCHAR"), "timeline.details.commands.failures": (_FAILS, "a || '.' || b"),
+}
+
+
+def _member(field: str) -> str:
+    name, kind = field.split() if " " in field else (field, "string")
+    if kind == "list":
+        return f"CASE WHEN json_type({_MEM('v', name)}) = 'ARRAY' THEN array_to_string(list_transform(json_extract({_MEM('v', name)}, '$[*]'), lambda x: x->>'$'), ',') END AS {name}"
+    return f"try_cast({_X(name)} AS {kind}) AS {name}" if kind in ("int", "double", "boolean") else f"{_X(name)} AS {name}"
+
+
+def _table_sql(child: str, *fields: str) -> str:
+    source, parent = _NESTED.get(child) or (_BR[child], "''")
+    return f"WITH {_DOCS} SELECT no AS record_no, {parent} AS parent_path, pos::INT AS pos, {', '.join(map(_member, fields)) or 'v->>' + repr('$') + ' AS value'} FROM {source}"
+
+
 _EV = f"ev AS (SELECT no AS bundle_no, pos::INT AS pos, {_X('source_label')} AS label, {_X('relpath')} AS relpath, {_X('symbol_name')} AS symbol_name, {_X('route_path')} AS route_path, try_cast({_X('score')} AS DOUBLE) AS score, {_X('snippet')} AS snippet FROM {_BR['evidence']})"
 _EVR = f"er AS (SELECT ev.*, {S.repo('b.repo_root')} AS repo FROM ev JOIN evidence_bundles b USING (bundle_no))"
 _NORM = lambda x: f"regexp_replace(replace({x}, chr(13) || chr(10), chr(10)), '^\\s+|\\s+$', '', 'g')"
@@ -247,6 +266,7 @@ _SUMS = dict(V.SCORE)
 _LINKS = lambda ext, pattern, clean: f"SELECT file_no, (pos - 1)::INT AS pos, l[pos] AS link FROM (SELECT file_no, l, unnest(range(1, len(l) + 1)) AS pos FROM (SELECT file_no, {_unique(clean.replace('@', 'regexp_extract_all(source_text, ' + pattern + ', 1)'))} AS l FROM file_analysis WHERE lower(relpath) LIKE '%{ext}'))"
 ORACLES = {
     "p4_found": P4,
+    **{name: _table_sql(*spec) for name, spec in TABLES.items()},
     "p4_counts": f"SELECT record_kind, child, count(*) AS rows, count(DISTINCT record_no) AS records FROM ({P4}) GROUP BY ALL",
     "missing_refs": S.with_(_DOCS, S.CHUNKS, _EV, _EVR) + "SELECT bundle_no, pos, label FROM er WHERE label IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c WHERE c.repo = er.repo AND c.relpath || CASE WHEN c.symbol_name <> '' THEN ':' || c.symbol_name ELSE '' END = er.label)",
     "snippet_drift": S.with_(_DOCS, S.CHUNKS, _EV, _EVR, "lb AS (SELECT repo, label, text FROM (SELECT repo, relpath || CASE WHEN symbol_name <> '' THEN ':' || symbol_name ELSE '' END AS label, text, row_number() OVER (PARTITION BY repo, relpath || CASE WHEN symbol_name <> '' THEN ':' || symbol_name ELSE '' END ORDER BY chunk_no DESC) AS rn FROM c WHERE repo IS NOT NULL) WHERE rn = 1)") + f"""SELECT bundle_no, pos, CASE WHEN x IS NULL THEN 'missing' WHEN s = x THEN 'same' WHEN st <> s AND starts_with(x, st) THEN 'cut' ELSE 'drift' END AS status

@@ -9,10 +9,17 @@ from lodestone.functions.text import ignored, language_of, repository_key
 MAX_FILE_BYTES = 512 * 1024
 
 
+#: Most bytes that are dealt anew for balance's sake, as Spark estimates a plan's size.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Spreads a scan of fewer splits than half the cores, as of one small file; larger inputs keep their own splits and
-    pay no shuffle."""
+    """Deals a scan over the cores if its files have fewer row groups than half of them and it holds at most ``SPREAD_BYTES``.
+
+    A larger scan keeps its splits whatever the number of cores, so no large table crosses a shuffle here."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toLong() > SPREAD_BYTES:
+        return df
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
 
 

@@ -33,3 +33,23 @@ def test_runs_and_child_table(spark):
 
 def test_empty_table(spark):
     assert N.flatten_bundles(spark.createDataFrame([], "bundle_no long, payload string")).count() == 0
+
+
+def test_members_named_twice_count_as_their_last(spark):
+    twice = '{"evidence": [{"rank": 1, "rank": 2}], "graph_edges": [1], "graph_edges": [{"source": "s"}, {"source": "t"}]}'
+    flat = N.flatten_bundles(bundles(spark, twice, '{"evidence": [{"x": 1, "x": 2}]}'))
+    assert rows(flat) == [(1, "evidence", "1"), (1, "graph_edges", "1"), (1, "graph_edges", "2"), (2, "evidence", "1")]
+    assert [r.rank for r in N.typed_table(flat, "evidence", "rank int").orderBy("record_no").collect()] == [2, None]
+
+
+def test_only_strict_json_counts(spark):
+    loose = ["{'evidence': [1]}", '{"evidence": [NaN]}', '{"evidence": [01]}', '{evidence: [1]}', '{"evidence": ["\t"]}', '{"evidence": [1,]}', '{"evidence": [1]} // x', '{"evidence": ["\\x"]}']
+    assert rows(N.flatten_bundles(bundles(spark, *loose))) == []
+
+
+def test_child_tables_link_to_their_parents(spark):
+    p = json.dumps({"proof": {"supporting_paths": [{"route": "/a", "depth": 2, "path": ["x", "y"]}, {"route": None, "path": "odd"}]}})
+    flat = N.flatten_bundles(bundles(spark, p))
+    assert sorted(map(tuple, N.typed_table(flat, "proof.supporting_paths", "route", "depth int").collect())) == [(1, "", 1, "/a", 2), (1, "", 2, None, None)]
+    assert sorted(map(tuple, N.typed_table(flat, "proof.supporting_paths.path").collect())) == [(1, "1", 1, "x"), (1, "1", 2, "y")]
+    assert set(N.TABLES) <= set(N.QUERIES)
