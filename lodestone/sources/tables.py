@@ -18,7 +18,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     A larger scan keeps its splits whatever the number of cores, so no large table crosses a shuffle here."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toLong() > SPREAD_BYTES:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
         return df
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
 
