@@ -9,29 +9,21 @@ and whole bins go to splits.  Null and blank keys tie nothing; a null suite_id i
 from __future__ import annotations
 
 import heapq
-import tempfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from lodestone.functions.text import repository_key
+from lodestone.operators.lineage import checkpointed
+from lodestone.plans import sql as S
 
 from .batches import table
 
 BINS = 20
-HELD = 8
 SHARES = (("train", 0.8), ("dev", 0.1), ("test", 0.1))
 SALTS = 64
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder that the session names; a temporary one is set only where none is, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-"))
-    return df.checkpoint()
-
-
 def id_key(col: Column) -> Column:
     s = F.lower(F.regexp_replace(col, r"^[\s 　]+|[\s 　]+$", ""))
     return F.when(s != "", s)
@@ -73,36 +65,69 @@ def ties(cases: DataFrame) -> DataFrame:
 def differencing(weights: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int]]:
     """(weight, bin, how many components of that weight) over a histogram [(weight, count)].
 
-    Very common weights first fill all bins alike; the rest, at most ``HELD + 1`` per bin and weight, goes through
-    multi-way largest differencing: the two partial partitions with the widest spread are combined, heaviest bin with
-    lightest."""
+    Multi-way largest differencing: of all partial partitions the two with the widest spread are combined, heaviest bin
+    with lightest, until one is left.  Components of one weight are handled together, with the result they would have one
+    by one: ``bins`` of them combine to a level partition, and those that a wide partition takes in go to its lightest bin
+    each until its spread is down to their weight.  Ties: partitions of equal components first, single ones next."""
     out: dict[tuple[int, int], int] = {}
-    heap, n = [], 0
-    for weight, count in weights:
-        alike = max(0, count // bins - HELD)
-        for b in range(bins) if alike else ():
-            out[weight, b] = alike
-        for _ in range(count - alike * bins):
-            heap.append((-weight, n, [(0, ())] * (bins - 1) + [(weight, (weight,))]))
-            n += 1
-    heapq.heapify(heap)
+    heap: list[tuple[int, int, int, list]] = []  # (-spread, 0 if of equal components else 1, order, [(load, parts)] by load)
+    made = 0
+
+    def put(partition: list, mixed: int) -> None:
+        nonlocal made
+        made += 1
+        heapq.heappush(heap, (partition[0][0] - partition[-1][0], mixed, made, partition))
+
+    def combine(a: list, b: list) -> list:
+        return sorted(((x[0] + y[0], (x[1], y[1])) for x, y in zip(a, reversed(b))), key=lambda x: x[0])
+
+    for weight, count in sorted(((w, n) for w, n in weights if w > 0 and n > 0), reverse=True):
+        while count:
+            while len(heap) > 1 and -heap[1 if len(heap) == 2 or heap[1] < heap[2] else 2][0] > weight:
+                put(combine(heapq.heappop(heap)[3], heapq.heappop(heap)[3]), 1)
+            if heap and -heap[0][0] > weight:
+                part, count = _fill(heapq.heappop(heap)[3], weight, count)
+                put(part, 1)
+                continue
+            level, count = divmod(count, bins)
+            for b in range(bins) if level else ():
+                out[weight, b] = level
+            if count:
+                put([(0, ())] * (bins - count) + [(weight, (weight, 1))] * count, 0)
+            count = 0
     while len(heap) > 1:
-        _, _, a = heapq.heappop(heap)
-        _, _, b = heapq.heappop(heap)
-        mixed = sorted(((x[0] + y[0], (x[1], y[1])) for x, y in zip(a, reversed(b))), key=lambda x: x[0])
-        n += 1
-        heapq.heappush(heap, (-(mixed[-1][0] - mixed[0][0]), n, mixed))
-    for b, (_, tree) in enumerate(heap[0][2] if heap else []):
+        put(combine(heapq.heappop(heap)[3], heapq.heappop(heap)[3]), 1)
+    for b, (_, tree) in enumerate(heap[0][3] if heap else []):
         stack = [tree]
         while stack:
             x = stack.pop()
-            if isinstance(x, tuple):
-                stack.extend(x)
+            if x and isinstance(x[0], int):
+                out[x[0], b] = out.get((x[0], b), 0) + x[1]
             else:
-                out[x, b] = out.get((x, b), 0) + 1
+                stack.extend(x)
     return sorted((w, b, c) for (w, b), c in out.items())
 
 
+def _fill(partition: list, weight: int, count: int) -> tuple[list, int]:
+    """The partition after components of one weight went to its lightest bin each, while its spread is over the weight and any are left; and how many are left."""
+    loads = [x[0] for x in partition]
+    need = lambda floor: sum(-(-(floor - x) // weight) for x in loads if x < floor)
+    floor = loads[-1] - weight
+    if need(floor) > count:  # the highest floor that so many lift all bins to
+        low, high = loads[0], floor
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if need(mid) <= count else (low, mid - 1)
+        floor = low
+    given = [max(0, -(-(floor - x) // weight)) for x in loads]
+    left = count - sum(given)
+    if floor < loads[-1] - weight:  # too few for the next floor: one each to the lightest bins
+        for i in sorted(range(len(loads)), key=lambda i: (loads[i] + given[i] * weight, i))[:left]:
+            given[i] += 1
+        left = 0
+    return sorted(((x + g * weight, (t, (weight, g)) if g else t) for (x, t), g in zip(partition, given)), key=lambda x: x[0]), left
+
+
 def allot(loads: list[int], shares=SHARES) -> list[int]:
     """Split of each bin: heaviest first, to the split that is farthest below its target."""
     total = sum(loads) or 1
@@ -165,4 +190,11 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("suite_id", "cases", *(f"{n}_cases" for n, _ in SHARES), *(F.round(F.col(f"{n}_cases") / F.col("cases"), 6).alias(f"{n}_share") for n, _ in SHARES))
 
 
+_KEY = "lower(regexp_replace(id, '^[\\s\u00a0\u3000]+|[\\s\u00a0\u3000]+$', '', 'g'))"
+_CASES = f"SELECT case_no, coalesce(suite_id, chr(1)) AS suite, {S.repo('repo')} AS r, nullif({_KEY}, '') AS i FROM benchmark_challenge_suite"
+ORACLES = {
+    "p3_found": f"""WITH RECURSIVE k AS ({_CASES}), e AS (SELECT DISTINCT case_no AS a, unnest([min(case_no) OVER (PARTITION BY suite, r), case_no]) AS b FROM k WHERE r IS NOT NULL UNION SELECT case_no, min(case_no) OVER (PARTITION BY suite, i) FROM k WHERE i IS NOT NULL),
+      g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT DISTINCT a AS node, a AS seen FROM g UNION SELECT w.node, g.b FROM w JOIN g ON g.a = w.seen)
+      SELECT min(seen) AS first_case_no, node AS case_no FROM w GROUP BY node HAVING min(seen) <> node""",
+}
 QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p3_report": p3_report}

@@ -15,8 +15,9 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from lodestone.operators.lineage import checkpointed
+
 from .batches import table
-from .grouping import checkpointed
 from .tokens import VOCABULARY, encode_texts
 
 TOLERANCE = 1e-9

@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from lodestone.llm.grouping import allot, assign_splits, components, differencing, ties
 
 SCHEMA = "case_no long, suite_id string, id string, repo string, split string"
@@ -36,3 +40,28 @@ def test_splits_keep_groups_and_proportions(spark):
     share = sum(r.split == "train" for r in got) / len(got)
     assert 0.77 < share < 0.83
     assert assign_splits(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def _one_by_one(weights, k):
+    """Largest differencing component by component, with the operator's ties."""
+    heap, n = [], 0
+    for w, c in sorted(weights, reverse=True):
+        for _ in range(c):
+            heap.append(([0] * (k - 1) + [w], w, 1, n := n + 1))
+    while len(heap) > 1:
+        heap.sort(key=lambda e: (e[0][0] - e[0][-1], 1 if e[2] else 0 if e[1] else 2, e[3]))
+        a, b = heap[:2]
+        heap = [*heap[2:], (sorted(x + y for x, y in zip(a[0], reversed(b[0]))), a[1] if a[1] == b[1] else 0, 0, n := n + 1)]
+    return heap[0][0]
+
+
+@pytest.mark.parametrize("seed", range(150))
+def test_differencing_of_a_histogram_is_that_of_its_components(seed):
+    r = random.Random(seed)
+    k = r.choice([2, 3, 5, 20])
+    weights = [(w, r.choice([1, 1, 2, 3, 5, 17, 40])) for w in r.sample(range(1, r.choice([6, 30, 200])), r.randint(1, 5))]
+    loads, seen = [0] * k, {}
+    for w, b, c in differencing(weights, k):
+        loads[b] += w * c
+        seen[w] = seen.get(w, 0) + c
+    assert seen == dict(weights) and sorted(loads) == _one_by_one(weights, k)
