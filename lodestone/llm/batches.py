@@ -14,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tables.spread(tables.table(spark, sf_dir, name))
 
 
+def values(column: pa.Array) -> list:
+    """The column's values; bytes that are no UTF-8 in a string become replacement characters."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if v is None else v.decode("utf-8", "replace") for v in column.cast(pa.binary()).to_pylist()]
+
+
 def map_rows(df: DataFrame, schema: str, row_fn: Callable[..., Iterable[tuple]], *, batch_rows: int = 1000) -> DataFrame:
     """Flat-maps ``row_fn(*values of a row)`` over Arrow batches; output rows leave in bounded batches.
 
@@ -35,8 +43,8 @@ def map_rows(df: DataFrame, schema: str, row_fn: Callable[..., Iterable[tuple]],
             return batch
 
         for batch in batches:
-            for values in zip(*(c.to_pylist() for c in batch.columns)):
-                rows.extend(row_fn(*values))
+            for row in zip(*map(values, batch.columns)):
+                rows.extend(row_fn(*row))
                 if len(rows) >= batch_rows:
                     yield flush()
         if rows:

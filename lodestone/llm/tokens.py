@@ -1,8 +1,10 @@
 """Problem 7: the whole corpus as token ids of a public byte-level BPE, by tree concatenation.
 
-A text up to ``leaf`` code points is one leaf.  A longer text is cut into leaves that are encoded in parallel tasks;
-joins then re-encode a window around each seam, growing it until both sides agree exactly.  Null and empty texts give
-an empty list.  Nothing is trained; the vocabulary's path is a parameter and the file is read by the workers.
+A text is cut into leaves of ``leaf`` code points whatever stands there; leaves are encoded, those of a long text in
+parallel threads, and neighbours are joined pair by pair: a window around each seam is encoded anew and grows until both
+sides agree exactly.  One Arrow pass without a shuffle; a row is one text, whatever its key or the number of its copies.
+Null and empty texts give an empty list.  Nothing is trained; the vocabulary's path is a parameter and the file is read
+by the workers.
 """
 
 from __future__ import annotations
@@ -10,13 +12,13 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .batches import map_rows, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-LEAF = 20_000
+#: Code points of a leaf, and from how many leaves on the encoder's own threads share them.
+LEAF, MANY, THREADS = 1024, 64, 4
 #: Fixed value: the published split pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -118,10 +120,10 @@ class Codec:
             return lt + rt, out + ri[rest:]
 
     def tree(self, text: str, leaf: int = LEAF) -> list[int]:
-        if len(text) <= leaf:
-            return self.flat(text)
-        parts = [(text[i : i + leaf], self.flat(text[i : i + leaf])) for i in range(0, len(text), leaf)]
-        return self.merge(parts)
+        text = text.encode("utf-8", "replace").decode()
+        leaves = [text[i : i + leaf] for i in range(0, len(text), leaf)]
+        ids = self.encoding.encode_ordinary_batch(leaves, num_threads=THREADS) if len(leaves) >= MANY else map(self.flat, leaves)
+        return self.merge(list(zip(leaves, ids)))
 
     def merge(self, parts: list[tuple[str, list[int]]]) -> list[int]:
         while len(parts) > 1:
@@ -140,36 +142,12 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     cols = [key, *carry]
     keep = ", ".join(f"`{c}` {kinds[c]}" for c in cols)
     schema = keep + (", n_tokens int" if counts else ", ids array<int>")
-    long = F.length(text) > leaf
-    short = docs.where(F.col(text).isNull() | ~long).select(text, *cols)
 
-    def whole(body, *rest):
-        ids = codec(path).flat(body or "")
+    def one(body, *rest):
+        ids = codec(path).tree(body or "", leaf)
         yield (*rest, len(ids) if counts else ids)
 
-    def leaves(body, *rest):
-        for n, i in enumerate(range(0, len(body), leaf)):
-            yield (*rest, n, body[i : i + leaf])
-
-    def encode_leaf(*row):
-        yield (*row, codec(path).flat(row[-1]))
-
-    def gather(parts: pa.Table) -> pa.Table:
-        rows = sorted(parts.to_pylist(), key=lambda r: r["_n"])
-        ids = codec(path).merge([(r["_leaf"], r["_ids"]) for r in rows])
-        return pa.Table.from_pylist([{c: rows[0][c] for c in cols} | ({"n_tokens": len(ids)} if counts else {"ids": ids})], schema=arrow)
-
-    arrow = _arrow(schema)
-    cut = map_rows(docs.where(long).select(text, *cols), keep + ", _n int, _leaf string", leaves, batch_rows=50)
-    encoded = map_rows(cut.repartition(F.col(key), F.col("_n")), keep + ", _n int, _leaf string, _ids array<int>", encode_leaf, batch_rows=50)
-    return map_rows(short, schema, whole).unionByName(encoded.groupBy(key).applyInArrow(gather, schema))
-
-
-def _arrow(schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_schema(_parse_datatype_string(schema))
+    return map_rows(docs.select(text, *cols), schema, one)
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,3 +32,19 @@ def test_round_trip_and_operator(spark):
     sizes = {r.doc_id: r.n_tokens for r in encode_texts(df, counts=True, leaf=7).collect()}
     assert sizes == {k: len(v) for k, v in got.items()}
     assert encode_texts(df.limit(0)).count() == 0
+
+
+def test_rows_that_share_a_key_stay_apart_and_bad_bytes_are_replaced(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(7, "a b " * 2000), (7, "c d " * 3000), (None, "x")], "doc_id long, text string")
+    c = codec(VOCABULARY)
+    assert sorted(len(r.ids) for r in encode_texts(df).collect()) == sorted(len(c.flat(t)) for t in ("a b " * 2000, "c d " * 3000, "x"))
+    bad = spark.range(1).select(F.col("id").alias("doc_id"), F.expr("cast(unhex('61ff62') as string)").alias("text"))
+    assert encode_texts(bad).collect()[0].ids == c.flat("a\ufffdb")
+
+
+def test_many_leaves_go_to_threads():
+    c = codec(VOCABULARY)
+    text = "".join(f"word{i} naïve 日本 " for i in range(9000))
+    assert c.tree(text) == c.flat(text)
