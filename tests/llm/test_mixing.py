@@ -24,3 +24,17 @@ def test_empty_documents(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     copies, report = mix(df, targets)
     assert copies.count() == 0 and report.collect()[0].actual_share == 0.0
+
+
+def test_shares_meet_their_targets_to_a_documents_size_within_caps(spark):
+    docs = [(None if i % 50 == 0 else i, "word " * (3 + (i * 7919) % 90), "abc"[i % 3], "z") for i in range(600)] + [(1, "twice told", "a", "z")] * 2
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, row string")
+    targets = spark.createDataFrame([("a", 0.55, 2), ("b", 0.35, 1), ("c", 0.1, 5)], "source string, target_share double, max_repeats int")
+    copies, report = mix(df, targets)
+    r = {x.source: x for x in report.collect()}
+    total = sum(x.used_tokens for x in r.values())
+    for s, share, cap in (("a", 0.55, 2), ("b", 0.35, 1), ("c", 0.1, 5)):
+        assert abs(r[s].used_tokens - share * total) <= 6 and r[s].most_copies <= cap
+    assert r["a"].used_tokens == 2 * r["a"].tokens or r["b"].used_tokens == r["b"].tokens or r["c"].used_tokens == 5 * r["c"].tokens
+    got = copies.collect()
+    assert len(got) == 602 and sum(x.copies * x.n_tokens for x in got) == total
