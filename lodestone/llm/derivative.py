@@ -3,6 +3,8 @@
 A language is a hash-consed expression over token kinds; its derivative by a token is the language of what may follow.
 Derivatives are memoised per (expression, token), so a lazily built automaton answers almost every step with two dict
 probes.  An *empty* derivative names the exact failing token; a non-nullable derivative at the end means truncation.
+Nullability and emptiness are least fixpoints, and a derivative that meets itself refers to itself, so rules may be
+left-recursive; texts may nest as deep as they like.
 
 Grammar notation: ``'x'`` a literal token, ``UPPER`` a token class, ``[x]`` optional, ``x*``, ``x+``, ``|`` choice.
 A rule is read under a context of flags.  ``rule<+AB>`` adds flags, ``<-A>`` removes, ``<=A>`` sets; an alternative that
@@ -13,11 +15,14 @@ references written ``^rule`` inherit it.
 from __future__ import annotations
 
 import re
+import sys
 
 EMPTY, EPS = 0, 1
 _TOK, _SEQ, _ALT, _STAR, _REF = 2, 3, 4, 5, 6
 #: Memory bound of one engine: past so many expressions all memo tables are rebuilt between two files.
 MAX_NODES = 300_000
+#: Derivatives recurse along a text's nesting, in interpreter frames that take no C stack.
+DEPTH = 2_000_000
 
 _LEX = re.compile(r"\s*(?:(#[^\n]*)|('[^']*')|(\^?[a-z_][a-z_0-9]*)(<[^>]*>)?|([A-Z][A-Z_0-9]*)|(\?~?[A-Z0])|([()\[\]|*+]))")
 _RULE = re.compile(r"^([a-z_][a-z_0-9]*)\s*:", re.M)
@@ -83,6 +88,7 @@ class Engine:
         self.rules = {m[1]: _read(grammar[m.end() : n.start() if n else None]) for m, n in zip(heads, [*heads[1:], None])}
         self.fixed, self.start_rule, self.asi = frozenset(flags), start, asi
         self.kinds: dict[str, int] = {}
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEPTH))
         for name in ("EOF", "ASI"):
             self.kind(name)
         self._names(self.rules.values())
@@ -106,6 +112,9 @@ class Engine:
         self.nodes: list[tuple] = [("empty",), ("eps",)]
         self.ids: dict[tuple, int] = {}
         self.null: dict[int, bool] = {EMPTY: False, EPS: True}
+        self.live: dict[int, bool] = {EMPTY: False, EPS: True}
+        self.open: set[tuple[int, int]] = set()
+        self.loops: set[int] = set()
         self.memo: list[dict[int, int]] = [{}, {}]
         self.trans: dict[int, dict[int, int]] = {}
         self.bodies: dict[int, int] = {}
@@ -192,15 +201,39 @@ class Engine:
             b = self.bodies[n] = self._build(self.rules[name], ctx)
         return b
 
+    def _least(self, n: int, known: dict[int, bool], token: bool) -> bool:
+        """Least fixpoint of a property that a sequence has if both parts have it, a choice if one has; kept in ``known``."""
+        below: dict[int, tuple] = {}
+        todo = [n]
+        while todo:
+            x = todo.pop()
+            if x in known or x in below:
+                continue
+            node = self.nodes[x]
+            if node[0] in (_TOK, _STAR):
+                known[x] = token or node[0] == _STAR
+                continue
+            below[x] = node[1:] if node[0] == _SEQ else node[1] if node[0] == _ALT else (self.body(x),)
+            todo.extend(below[x])
+        value = dict.fromkeys(below, False)
+        changed = True
+        while changed:
+            changed = False
+            for x in reversed(below):
+                if not value[x]:
+                    parts = [value[p] if p in value else known[p] for p in below[x]]
+                    if all(parts) if self.nodes[x][0] == _SEQ else any(parts):
+                        value[x] = changed = True
+        known.update(value)
+        return known[n]
+
     def nullable(self, n: int) -> bool:
         v = self.null.get(n)
-        if v is None:
-            self.null[n] = False
-            node = self.nodes[n]
-            kind = node[0]
-            v = kind == _STAR or (kind == _SEQ and self.nullable(node[1]) and self.nullable(node[2])) or (kind == _ALT and any(self.nullable(x) for x in node[1])) or (kind == _REF and self.nullable(self.body(n)))
-            self.null[n] = v
-        return v
+        return self._least(n, self.null, False) if v is None else v
+
+    def alive(self, n: int) -> int:
+        """The expression, or the empty one if it holds no text at all; only derivatives that refer to themselves can hide that."""
+        return n if not self.loops or self._least(n, self.live, True) else EMPTY
 
     def deriv(self, n: int, t: int) -> int:
         out = self.memo[n].get(t)
@@ -219,7 +252,16 @@ class Engine:
         elif kind == _STAR:
             out = self.cat(self.deriv(node[1], t), n)
         elif kind == _REF:
+            loop = (_REF, ("derivative", n, t), frozenset())
+            if (n, t) in self.open:
+                self.loops.add(self._new(loop))
+                return self.ids[loop]
+            self.open.add((n, t))
             out = self.deriv(self.body(n), t)
+            self.open.discard((n, t))
+            if loop in self.ids:
+                self.bodies[self.ids[loop]] = out
+                out = self.alive(out)
         else:
             out = EMPTY
         self.memo[n][t] = out
@@ -228,11 +270,11 @@ class Engine:
     def step(self, state: int, code: int) -> int:
         """code: 4 * kind + 2 * (insert a semicolon first) + (a line break precedes, or a semicolon may be inserted)."""
         t = code >> 2
-        if code & 2 and (forced := self.deriv(state, 1)) != EMPTY:
-            return self.deriv(forced, t)
-        out = self.deriv(state, t)
+        if code & 2 and (forced := self.alive(self.deriv(state, 1))) != EMPTY:
+            return self.alive(self.deriv(forced, t))
+        out = self.alive(self.deriv(state, t))
         if out == EMPTY and code & 1 and self.asi:
-            out = self.deriv(self.deriv(state, 1), t)
+            out = self.alive(self.deriv(self.deriv(state, 1), t))
         return out
 
     def accepts(self, state: int) -> bool:

@@ -153,7 +153,7 @@ compound: decorators | funcdef | classdef | 'if' named ':' block ( 'elif' named
   | 'async' ( funcdef | with | for )
 decorators: ( '@' named NEWLINE )+ ( funcdef | classdef | 'async' funcdef )
 funcdef: 'def' id [ tparams ] '(' [ params ] ')' [ '->' expr ] ':' block
-classdef: 'class' id [ tparams ] [ '(' [ args ] ')' ] ':' block
+classdef: 'class' id [ tparams ] [ '(' [ cargs ] ')' ] ':' block
 for: 'for' targets 'in' star_exprs ':' block [ 'else' ':' block ]
 with: 'with' ( witem ( ',' witem )* | '(' witem ( ',' witem )* [ ',' ] ')' ) ':' block
 witem: expr [ 'as' target ]
@@ -170,8 +170,14 @@ pany: id [ ':' expr ] [ '=' expr ]
 pstar: '*' id [ ':' [ '*' ] expr ] ( ',' pany )* [ ',' [ pkw ] ] | '*' ( ',' pany )+ [ ',' [ pkw ] ] | pkw
 pkw: '**' id [ ':' expr ] [ ',' ]
 lambda: 'lambda' [ lparams ] ':' expr
-lparams: lany ( ',' lany )* [ ',' ]
-lany: id [ '=' expr ] | '*' [ id ] | '**' id | '/'
+lparams: id ( ',' id )* [ ',' [ lslash | lpdef_tail | lstar ] ] | ldef ( ',' ldef )* [ ',' [ lslash2 | lstar ] ] | lstar
+lpdef_tail: ldef ( ',' ldef )* [ ',' [ lslash2 | lstar ] ]
+lslash: '/' [ ',' [ id ( ',' id )* [ ',' [ ldef ( ',' ldef )* [ ',' [ lstar ] ] | lstar ] ] | ldef ( ',' ldef )* [ ',' [ lstar ] ] | lstar ] ]
+lslash2: '/' [ ',' [ ldef ( ',' ldef )* [ ',' [ lstar ] ] | lstar ] ]
+ldef: id '=' expr
+lany: id [ '=' expr ]
+lstar: '*' id ( ',' lany )* [ ',' [ lkw ] ] | '*' ( ',' lany )+ [ ',' [ lkw ] ] | lkw
+lkw: '**' id [ ',' ]
 
 match: 'match' subject ':' NEWLINE INDENT case+ DEDENT
 subject: star_named ',' [ star_named ( ',' star_named )* [ ',' ] ] | named
@@ -179,10 +185,10 @@ case: 'case' ( opat | patterns ) [ 'if' named ] ':' block
 patterns: mspat ',' [ mspat ( ',' mspat )* [ ',' ] ]
 mspat: '*' id | opat
 opat: cpat ( '|' cpat )* [ 'as' id ]
-cpat: id | [ '-' ] NUMBER [ ( '+' | '-' ) NUMBER ] | string+ | 'None' | 'True' | 'False' | id ( '.' id )+ | '(' [ opat | patterns ] ')' | '[' [ mspat ( ',' mspat )* [ ',' ] ] ']'
+cpat: id | [ '-' ] NUMBER [ ( '+' | '-' ) NUMBER ] | strings | 'None' | 'True' | 'False' | id ( '.' id )+ | '(' [ opat | patterns ] ')' | '[' [ mspat ( ',' mspat )* [ ',' ] ] ']'
   | '{' [ mpitem ( ',' mpitem )* [ ',' ] ] '}' | id ( '.' id )* '(' [ kpat ( ',' kpat )* [ ',' ] ] ')'
 kpat: opat | id '=' opat
-mpitem: '**' id | ( [ '-' ] NUMBER [ ( '+' | '-' ) NUMBER ] | string+ | 'None' | 'True' | 'False' | id ( '.' id )+ ) ':' opat
+mpitem: '**' id | ( [ '-' ] NUMBER [ ( '+' | '-' ) NUMBER ] | strings | 'None' | 'True' | 'False' | id ( '.' id )+ ) ':' opat
 
 yield: 'yield' [ 'from' expr | star_exprs ]
 star_exprs: star_expr ( ',' star_expr )* [ ',' ]
@@ -199,17 +205,19 @@ factor: ( '+' | '-' | '~' )* [ 'await' ] atom trailer*
 trailer: '.' id | '(' [ args ] ')' | '[' slices ']'
 slices: slice ( ',' slice )* [ ',' ]
 slice: [ expr ] ':' [ expr ] [ ':' [ expr ] ] | named | '*' bitor
-atom: id | 'True' | 'False' | 'None' | '...' | NUMBER | string+ | '(' [ yield | named compfor | star_named ( ',' star_named )* [ ',' ] ] ')' | '[' [ named compfor | star_named ( ',' star_named )* [ ',' ] ] ']'
+atom: id | 'True' | 'False' | 'None' | '...' | NUMBER | strings | '(' [ yield | named compfor | star_named ( ',' star_named )* [ ',' ] ] ')' | '[' [ named compfor | star_named ( ',' star_named )* [ ',' ] ] ']'
   | '{' [ ditem ( ',' ditem )* [ ',' ] | expr ':' expr compfor | star_named ( ',' star_named )* [ ',' ] | named compfor ] '}'
 ditem: '**' bitor | expr ':' expr
 compfor: ( [ 'async' ] 'for' targets 'in' disj ( 'if' disj_or_named )* )+
 disj_or_named: disj | id ':=' expr
-args: named compfor | posarg ( ',' posarg )* [ ',' [ kwargs ] ] | kwargs
+args: named compfor | cargs
+cargs: posarg ( ',' posarg )* [ ',' [ kwargs ] ] | kwargs
 posarg: '*' expr | named
 kwargs: kw1 ( ',' kw1 )* [ ',' [ kw2s ] ] | kw2s
 kw1: id '=' expr | '*' expr
 kw2s: kw2 ( ',' kw2 )* [ ',' ]
 kw2: id '=' expr | '**' expr
+strings: string+ | BYTES+
 string: STRING | FSTART fpart* FEND
 fpart: FMID | '{' ( yield | star_exprs ) [ '=' ] [ '!' NAME ] [ ':' fpart* ] '}'
 """

@@ -7,6 +7,7 @@ derivative and ``lexical`` for text that is no token at all.
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 from . import grammars
@@ -25,12 +26,12 @@ _lines: dict[str, dict] = {}
 def _shape(language: str):
     """Substitution that gives every plain word and every plain number one spelling, so that lines of one shape share
     one derivative.  Words after a backslash or a slash (escapes, regex flags), before a quote (string prefixes), with
-    a digit first, and all words with a meaning stay as they are."""
+    a digit first, and all words with a meaning stay as they are, as do Python's conversions and texts with named characters."""
     words = _PY_KEYWORDS if language == "python" else _words(language == "typescript")
-    stay = "|".join(sorted(words))
-    plain = re.compile(rf"(?<![\w\\/$#])(?<!\d\.)(?!(?:{stay})(?![\w$]))[A-Za-z_]\w*(?![\w'\"$\\])", re.A).sub
+    stay, mark = "|".join(sorted(words)), "!" if language == "python" else ""
+    plain = re.compile(rf"(?<![\w\\/$#{mark}])(?<!\d\.)(?!(?:{stay})(?![\w$]))[A-Za-z_]\w*(?![\w'\"$\\])", re.A).sub
     number = re.compile(r"(?<![\w.\\$#])[1-9][0-9]*(?![\w.$])", re.A).sub
-    return lambda text: number("0", plain("a", text))
+    return lambda text: text if "\\N{" in text else number("0", plain("a", text))
 
 
 def _drive(language: str, text: str, scan, first) -> Result:
@@ -229,6 +230,27 @@ _PY_RE = re.compile(
 _PY_STR = {q: re.compile((r"(?:[^\\%s\n]|\\[\s\S])*%s" if len(q) == 1 else r"(?:[^\\%s]|\\[\s\S]|%s(?!%s))*?%s") % ((q, q) if len(q) == 1 else (q[0], q[0], q[0] * 2, q))) for q in ("'", '"', "'''", '"""')}
 _PY_NUM_TAIL = re.compile(r"(?:and|else|for|if|in|is|or|not)(?!\w)|(?!\w)")
 _PAIRS = {")": "(", "]": "[", "}": "{"}
+#: How deep the interpreter lets brackets and blocks nest.
+MOST_BRACKETS, MOST_INDENTS = 200, 100
+_ESCAPED = re.compile(r"\\(?:x(?P<x>[0-9a-fA-F]{2})?|u(?P<u>[0-9a-fA-F]{4})?|U(?P<U>(?:000[0-9a-fA-F]|0010)[0-9a-fA-F]{4})?|N(?:\{(?P<N>[^}]*)\})?|[\s\S])")
+
+
+def _escapes(body: str, raw: bool, binary: bool) -> bool:
+    """Whether a literal's characters and escapes are those of its kind."""
+    if binary and not body.isascii():
+        return False
+    if raw or "\\" not in body:
+        return True
+    for m in _ESCAPED.finditer(body):
+        kind = m[0][1]
+        if kind == "x" and m["x"] is None or not binary and (kind == "u" and m["u"] is None or kind == "U" and m["U"] is None):
+            return False
+        if kind == "N" and not binary:
+            try:
+                unicodedata.lookup(m["N"] or "")
+            except KeyError:
+                return False
+    return True
 
 
 def check_python(text: str) -> Result:
@@ -246,7 +268,7 @@ def _scan_python(eng: Engine, text: str, pos: int, state: int, ctx: tuple):
     kinds, trans, step = eng.kinds, eng.trans, eng.step
     match, size = _PY_RE.match, len(text)
     row = trans.setdefault(state, {})
-    indents, alts, bol, blank = [*ctx[0]], [*ctx[1]], True, not ctx[2]
+    indents, alts, bol, blank = [*ctx[0]], [*ctx[1]], not ctx[2], not ctx[2]
     # what is open, innermost last: ( [ { brackets, F the literal part of an f-string, f its field, S a field's format
     opened: list[tuple[str, str]] = [(x, "") for x in ctx[2]]
     pending: list[int] = []
@@ -273,6 +295,8 @@ def _scan_python(eng: Engine, text: str, pos: int, state: int, ctx: tuple):
                         return size, state, ctx, ("lexical", line(pos), "tabs")
                     indents.append(col)
                     alts.append(alt)
+                    if len(indents) > MOST_INDENTS:
+                        return size, state, ctx, ("lexical", line(pos), "indentation")
                     pending.append(kinds["INDENT"])
                 else:
                     while col < indents[-1]:
@@ -284,13 +308,15 @@ def _scan_python(eng: Engine, text: str, pos: int, state: int, ctx: tuple):
             bol = False
         at, top, quote = pos, *(opened[-1] if opened else ("", ""))
         if top in ("F", "S") and top:
-            mid = pos
+            mid, raw = pos, quote[0] == "r"
+            quote = quote.lstrip("r")
             while True:
                 if pos >= size:
                     return size, state, ctx, ("truncated", line(at), "f-string")
                 c = text[pos]
-                if top == "F" and c == "\\" :
-                    pos += 2
+                if top == "F" and c == "\\" and text[pos + 1 : pos + 2] not in ("{", "}"):
+                    named = re.compile(r"\\N\{[^{}\n]*\}").match(text, pos) if not raw else None
+                    pos = named.end() if named else pos + 2
                 elif text.startswith(quote, pos) and top == "F":
                     break
                 elif c == "\n" and len(quote) == 1:
@@ -301,11 +327,13 @@ def _scan_python(eng: Engine, text: str, pos: int, state: int, ctx: tuple):
                     break
                 else:
                     pos += 1
+            if not _escapes(text[mid:pos], raw, False):
+                return size, state, ctx, ("lexical", line(mid), text[mid:pos].split("\n")[0][:20])
             if pos > mid:
                 pending.append(kinds["FMID"])
             if c == "{":
                 pos += 1
-                opened.append(("f", quote))
+                opened.append(("f", "r" * raw + quote))
                 pending.append(kinds["{"])
             elif c == "}":
                 if top == "F":
@@ -326,6 +354,8 @@ def _scan_python(eng: Engine, text: str, pos: int, state: int, ctx: tuple):
             kind, done = -1, False
             if group == 2:
                 w = m[2]
+                if top == "f" and text[max(0, at - 80) : at].rstrip(" \t\f")[-1:] == "!" and (text[at - 1] != "!" or w not in ("s", "r", "a")):
+                    return size, state, ctx, ("token", line(at), w[:20])
                 if w in _PY_KEYWORDS:
                     kind = kinds[w]
                 else:
@@ -339,6 +369,8 @@ def _scan_python(eng: Engine, text: str, pos: int, state: int, ctx: tuple):
                     opened.append(("S", quote))
                 elif p in "([{":
                     opened.append((p, ""))
+                    if len(opened) > MOST_BRACKETS:
+                        return size, state, ctx, ("lexical", line(at), p)
                 elif p in ")]}":
                     if top != ("f" if top == "f" and p == "}" else _PAIRS[p]):
                         return size, state, ctx, ("token", line(at), p)
@@ -347,13 +379,16 @@ def _scan_python(eng: Engine, text: str, pos: int, state: int, ctx: tuple):
             elif group == 1:
                 q = m[1].lstrip("rRbBuUfF")
                 if "f" in m[1].lower():
-                    opened.append(("F", q))
+                    opened.append(("F", "r" + q if "r" in m[1].lower() else q))
                     kind = kinds["FSTART"]
                 else:
                     s = _PY_STR[q].match(text, pos)
                     if s is None:
                         return size, state, ctx, (("truncated" if len(q) == 3 else "lexical"), line(at), "string")
-                    pos, kind = s.end(), STRING
+                    prefix = m[1][: -len(q)].lower()
+                    if not _escapes(text[pos : s.end() - len(q)], "r" in prefix, "b" in prefix):
+                        return size, state, ctx, ("lexical", line(at), text[at : s.end()].split("\n")[0][:20])
+                    pos, kind = s.end(), kinds["BYTES"] if "b" in prefix else STRING
             elif group == 4:
                 if not _PY_NUM_TAIL.match(text, pos) or re.fullmatch(r"0[\d_]*[1-9][\d_]*", m[4]):
                     return size, state, ctx, ("lexical", line(at), text[at : pos + 10].split("\n")[0][:20])
@@ -407,6 +442,70 @@ _T_KEY = re.compile(rf"[ \t]*(?:({_T_STRING})|([A-Za-z0-9_-]+)|(\[\[|\]\]|[\[\].
 _T_VAL = re.compile(rf"[ \t]*(?:({_T_ML})|({_T_STRING})|((?:{_T_SCALAR})(?=[\s,\]}}#]|\Z))|([\[\]{{}},])|(\n)|(#[^{_CTRL}]*)|(\Z))")
 
 
+class _Defined:
+    """The keys and tables of a TOML text, as far as its rules on redefinition need them.
+
+    A table is a dict: name -> value (None), inline or array of values (False), table (dict) or array of tables (list of one dict, its last).
+    A table that a header has opened, or dotted keys of an earlier section, is not opened again by either."""
+
+    def __init__(self):
+        self.root: dict = {}
+        self.here = self.root
+        self.headed: set[int] = set()
+        self.dotted: set[int] = set()
+        self.kept: list = []  # keeps ids unique
+
+    def _table(self) -> dict:
+        self.kept.append({})
+        return self.kept[-1]
+
+    def header(self, path: list[str], array: bool) -> bool:
+        at = self.root
+        self.headed |= self.dotted
+        self.dotted.clear()
+        for name in path[:-1]:
+            at = at.setdefault(name, self._table())
+            at = at[0] if isinstance(at, list) else at
+            if not isinstance(at, dict):
+                return False
+        last = at.get(path[-1])
+        if array:
+            if last is None and path[-1] not in at:
+                last = at[path[-1]] = []
+            if not isinstance(last, list):
+                return False
+            last[:] = [self._table()]
+            self.here = last[0]
+            return True
+        if path[-1] not in at:
+            last = at[path[-1]] = self._table()
+        if not isinstance(last, dict) or id(last) in self.headed:
+            return False
+        self.headed.add(id(last))
+        self.here = last
+        return True
+
+    def key(self, table: dict, path: list[str]) -> bool:
+        at = table
+        for name in path[:-1]:
+            new = name not in at
+            at = at.setdefault(name, self._table())
+            if not isinstance(at, dict) or not new and id(at) in self.headed:
+                return False
+            self.dotted.add(id(at))
+        if path[-1] in at:
+            return False
+        at[path[-1]] = None
+        return True
+
+
+def _toml_name(kind: str, token: str) -> str:
+    if kind == "BARE" or token[0] == "'":
+        return token if kind == "BARE" else token[1:-1]
+    simple = {"b": "\b", "t": "\t", "n": "\n", "f": "\f", "r": "\r", '"': '"', "\\": "\\"}
+    return re.sub(r"\\(?:u(.{4})|U(.{8})|(.))", lambda m: simple[m[3]] if m[3] else chr(min(int(m[1] or m[2], 16), 0x10FFFF)), token[1:-1])
+
+
 def check_toml(text: str) -> Result:
     eng = engine("toml")
     if len(eng.nodes) > MAX_NODES:
@@ -415,6 +514,8 @@ def check_toml(text: str) -> Result:
     text = text.removeprefix("\ufeff").replace("\r\n", "\n")
     stack: list[str] = []  # '[' array, '{' inline table
     values = False  # whether a value is due next
+    known, path, head = _Defined(), [], ""
+    inner: list[dict] = []  # the open inline tables
     while True:
         m = (_T_VAL if values else _T_KEY).match(text, pos)
         if m is None:
@@ -440,6 +541,23 @@ def check_toml(text: str) -> Result:
         state = eng.deriv(state, kinds[name])
         if state == EMPTY:
             return ("truncated" if not text[pos:].strip() and name == "NL" else "token"), text.count("\n", 0, at) + 1, name
+        if not values and name in ("STRING", "BARE"):
+            path.append(_toml_name(name, m[group]))
+        elif not values and name in ("[", "[["):
+            head, path = name, []
+        elif head and name in ("]", "]]"):
+            if not known.header(path, head == "[["):
+                return "token", text.count("\n", 0, at) + 1, path[-1][:20]
+            head, path = "", []
+        if name == "=":
+            if not known.key(inner[-1] if inner else known.here, path):
+                return "token", text.count("\n", 0, at) + 1, path[-1][:20]
+            path = []
+        if name == "{":
+            inner.append({})
+            known.kept.append(inner[-1])
+        elif name == "}" and inner:
+            inner.pop()
         if name == "=":
             values = True
         elif values and name == "[":
