@@ -74,7 +74,7 @@ def test_toml():
 
 
 def test_toml_keys_and_tables_are_defined_once():
-    good = ["a.b = 1\na.c = 2", "[a.b]\n[a]\nc = 1", "[[a]]\nx = 1\n[[a]]\nx = 1", "[a.b]\n[a]\nb.c = 1", "a = {b = 1}\n[c]\nb = 1", "[[a]]\n[a.b]\n[[a]]\n[a.b]"]
+    good = ["a.b = 1\na.c = 2", "[a.b]\n[a]\nc = 1", "[[a]]\nx = 1\n[[a]]\nx = 1", "[a.b.c]\n[a]\nb.d = 1", "a = {b = 1}\n[c]\nb = 1", "[[a]]\n[a.b]\n[[a]]\n[a.b]"]
     bad = ["a = 1\na = 2", "a = 1\n\"a\" = 2", "[a]\n[a]", "a.b = 1\n[a]", "a = {b = 1}\na.c = 2", "a = 1\n[a.b]", "[a]\n[[a]]", "a = {b = 1, b = 2}", "[a.b]\nc = 1\n[a]\nb.c = 2", "a = []\n[[a]]", "a = {b.c = 1, b = 2}"]
     for text in good + bad:
         try:
