@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -18,3 +18,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestone-"))
     return df.checkpoint()
+
+
+#: Most keys that are sent to every executor; more are joined by a shuffle of both sides.
+FEW_KEYS = 200_000
+
+
+def narrowed(rows: DataFrame, keys: DataFrame, on: list[str], most: int = FEW_KEYS) -> DataFrame:
+    """The rows whose ``on`` columns are among ``keys``.  The keys are written and counted first; where they are few, wide rows (texts) stay where they are."""
+    kept = checkpointed(keys.select(*on).distinct())
+    return rows.join(F.broadcast(kept) if kept.count() <= most else kept, on, "left_semi")
