@@ -2,7 +2,8 @@
 
 One pass per text computes layout statistics; thresholds tuned per language decide ``minified`` and ``data``, a marker
 comment at the head decides ``generated``, and a digest of the text without banner and white space, joined with the
-known third-party sources, decides ``vendored``.  A file is judged on the texts of its analyses, without any on its
+known third-party sources, or a banner of name, release and licence decides ``vendored``; folder names decide it only
+where nothing but other people's packages stands by convention.  A file is judged on the texts of its analyses, without any on its
 overview chunks, without those on its symbols' chunks; every file of any table is judged by its path.
 """
 
@@ -14,6 +15,8 @@ from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lodestone.operators.lineage import narrowed
+
 from .batches import map_rows, table
 
 LANGUAGES = {"py": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "css": "css", "html": "html", "toml": "toml"}
@@ -27,14 +30,16 @@ THRESHOLDS = {
     "toml": (300, 800, 0.05, 0.45),
     "": (200, 500, 0.08, 0.35),
 }
-#: A shorter text holds a small table at most.
-LEAST_DATA = 800
+#: Literals, or characters of encoded runs, from which on a text may be data; less is a small table or a key at most.
+LEAST_LITERALS, LEAST_ENCODED = 24, 600
 #: Share of repeated line forms above which a text is taken for a template's output.
 REPEATED = {"python": 0.6, "javascript": 0.6, "typescript": 0.6, "css": 0.6, "html": 0.6}
 _LEAD = re.compile(r"\s*(?:#!?[^\n]*(?:\n|$)|//[^\n]*(?:\n|$)|/\*[\s\S]*?\*/|<!--[\s\S]*?-->)")
 _DOCSTRING = re.compile(r"""(?s)\s*[rRuU]?(?:(?P<q>\"{3}|'{3})(?:\\.|(?!(?P=q)).)*(?P=q)|(?P<p>["'])(?:\\.|(?!(?P=p))[^\\\n])*(?P=p)(?=[ \t]*(?:\n|$)))""")
-#: Directories that by convention hold other people's sources only.
-VENDOR_DIRS = frozenset(["vendor", "_vendor", "third_party", "thirdparty", "third-party", "3rdparty", "extern", "external", "externals", "deps", "node_modules", "bower_components", "jspm_packages", "site-packages"])
+_DIRECTIVE = re.compile(r"""\s*(["'])use [a-z ]+\1;?|\s*<!doctype[^>]*>|\s*@charset[^;\n]*;""", re.I)
+#: Directories that by convention hold other people's sources only, and such that do where a package has a folder of its own below them.
+VENDOR_DIRS = frozenset(["vendor", "_vendor", "third_party", "thirdparty", "third-party", "3rdparty", "node_modules", "bower_components", "jspm_packages", "site-packages"])
+PACKAGE_DIRS = frozenset(["extern", "external", "externals", "deps"])
 _RELEASE = re.compile(r"""(?ix) (?:[\w.-]+ (?:\ -?\ ?v|@|\ (?:release|version)\ v?)) \d+\.\d+\.\d+""")
 _FIRST_LINES = re.compile(r"\ufeff?(?:#![^\n]*(?:\n|$))?(?:\s*#[^\n]*coding[:=][^\n]*(?:\n|$))?")
 #: A banner line that begins with a name and a bare release, and ends there or goes on behind a mark.
@@ -68,14 +73,31 @@ def strip_banner(text: str) -> str:
     return "".join(text[pos:].split())
 
 
-def banner_of(text: str) -> str:
-    """First five lines of the leading comments, or of the docstring where no comment stands before it but an interpreter or encoding line."""
-    start = pos = _FIRST_LINES.match(text).end()
+def lead_of(text: str) -> str:
+    """The leading comments, however long, without those behind a docstring or a directive."""
+    pos = _FIRST_LINES.match(text).end()
+    start = pos
     while (m := _LEAD.match(text, pos)) and m.end() > pos:
         pos = m.end()
-    if not text[start:pos].strip() and (m := _DOCSTRING.match(text, pos)):
+    return text[start:pos]
+
+
+def banner_of(text: str) -> str:
+    """The leading comments, or the docstring where no comment stands before it but an interpreter or encoding line."""
+    lead = lead_of(text)
+    if not lead.strip() and (m := _DOCSTRING.match(text, _FIRST_LINES.match(text).end() + len(lead))):
+        lead = m[0]
+    return lead.strip()
+
+
+def head_comments(text: str) -> list[str]:
+    """The lines of all comments before the first line of code; directives and docstrings are passed over."""
+    pos, lines = len(text) - len(text.lstrip("\ufeff")), []
+    while (m := _LEAD.match(text, pos) or _DOCSTRING.match(text, pos) or _DIRECTIVE.match(text, pos)) and m.end() > pos:
+        if m.re is _LEAD:
+            lines += m[0].split("\n")
         pos = m.end()
-    return "\n".join(text[start:pos].strip().split("\n")[:5])
+    return lines
 
 
 def counted_share(lines: list[str]) -> tuple[int, float]:
@@ -109,9 +131,9 @@ def layout_stats(relpath: str | None, text: str | None) -> dict:
     language = LANGUAGES.get((relpath or "").rsplit(".", 1)[-1].lower(), "")
     n = len(t)
     lines = [x for x in t.split("\n") if x.strip()]
-    digest = hashlib.sha256(body.encode("utf-8", "replace")).hexdigest() if len(body := strip_banner(t)) >= 40 else None
+    digest = hashlib.sha256(body.encode("utf-8", "replace")).hexdigest() if (body := strip_banner(t)) else None
     parts = (relpath or "").lower().split("/")[:-1]
-    foreign = bool(VENDOR_DIRS.intersection(parts) or _NAMED_RELEASE.search((relpath or "").lower()))
+    foreign = bool(VENDOR_DIRS.intersection(parts) or PACKAGE_DIRS.intersection(parts[:-1]) or _NAMED_RELEASE.search((relpath or "").lower()))
     if not lines:
         return {"language": language, "chars": n, "lines": 0, "mean_line": 0.0, "longest_line": 0, "space_share": 0.0, "alnum_share": 0.0, "number_share": 0.0, "encoded_share": 0.0, "literal_share": 0.0, "counted": 0, "repeated_share": 0.0, "kinds": ["vendored"] if foreign else [], "digest": digest}
     longest = max(map(len, lines))
@@ -130,12 +152,12 @@ def layout_stats(relpath: str | None, text: str | None) -> dict:
     code = len(_CODE_WORD.findall(rest))
     mean_limit, long_limit, space_limit, digit_limit = THRESHOLDS[language]
     kinds = []
-    head = t.lstrip("﻿ \n\t").split("\n")[:4]
-    if any(_COMMENT_START.match(x) and _MARKER.search(x) for x in head):
+    if any(_MARKER.search(x) for x in head_comments(t)):
         kinds.append("generated")
     counted, counted_part = counted_share(lines)
     repeated = repeated_share(lines, language)
-    bare = t.lstrip()[:1] in ("{", "[") and n < 1500  # a small JSON text under a wrong name is no table of data
+    items = len(strings) + len(_NUMBER.findall(t))
+    bare = t.lstrip()[:1] in ("{", "[") and items < 4 * LEAST_LITERALS  # a small JSON text under a wrong name is no table of data
     if language == "toml":
         built = len(_LOCK.findall(t)) / len(lines) > 0.1
     else:
@@ -149,7 +171,7 @@ def layout_stats(relpath: str | None, text: str | None) -> dict:
     packed = (mean > mean_limit or (longest > long_limit and longest > 0.5 * solid)) and space < space_limit
     if packed and encoded < 0.5 * n and language in ("python", "javascript", "typescript", "css", "html", ""):
         kinds.append("minified")
-    if n >= LEAST_DATA and not bare and language not in ("css", "html", "toml") and (
+    if (items >= LEAST_LITERALS or encoded >= LEAST_ENCODED) and not bare and language not in ("css", "html", "toml") and (
         (literal > 0.8 and code <= 3 + n / 2500) or numbers > digit_limit * (n - n * space) or encoded > 0.5 * n
     ):
         kinds.append("data")
@@ -180,8 +202,8 @@ def unwritten_files(analysis: DataFrame, chunks: DataFrame, facts: DataFrame, th
     have = analysis.where("source_text is not null").select(*keys).distinct()
     missing = chunks.select(*keys).distinct().join(have, keys, "left_anti")
     overview = F.coalesce(F.col("chunk_id").endswith("::file"), F.lit(False))
-    told = chunks.where(overview & (F.col("text") != "")).select(*keys).distinct()
-    parts = chunks.join(missing, keys, "left_semi")
+    parts = narrowed(chunks, missing, keys)
+    told = parts.where(overview & (F.col("text") != "")).select(*keys).distinct()
     parts = parts.where(overview).unionByName(parts.where(~overview).join(told, keys, "left_anti"))
     bare = facts.select(*keys).distinct().join(have, keys, "left_anti").join(missing, keys, "left_anti").withColumn("text", F.lit(None).cast("string"))
     seen = file_layout(analysis, "source_text").unionByName(file_layout(parts, "text")).unionByName(file_layout(bare, "text"))

@@ -58,3 +58,21 @@ def test_files_known_by_symbol_chunks_only(spark):
     c = spark.createDataFrame(rows, "repo_root string, chunk_id string, relpath string, text string")
     t = spark.createDataFrame([], "language string, file_text string")
     assert {r.relpath for r in unwritten_files(a, c, c.select("repo_root", "relpath").limit(0), t).collect()} == {"vendor/v.py", "src/g.py", "src/n.py", "vendor/i.py"}
+
+
+def test_marks_behind_long_heads_and_folders_of_ones_own():
+    licence = "".join(f"# {a} {b} of a text\n" for a in ("whoever", "holder", "notice", "copy", "terms", "party") for b in ("grants", "keeps", "bears", "claims", "waives", "holds", "gives"))
+    assert kinds("a.py", licence + "# Code generated by x. DO NOT EDIT.\n" + HAND) == ["generated"]
+    assert kinds("a.js", "'use strict';\n/*\n" + " long\n" * 30 + " @generated\n*/\nlet a = 1;\n") == ["generated"]
+    assert kinds("a.py", licence + '"""Tells how to mark code as generated by tools."""\n' + HAND) == []
+    assert kinds("a.py", "# molmol 3.2.0\n" + licence + "# SPDX-License-Identifier: MIT\n" + HAND) == ["vendored"]
+    assert kinds("external/reader.py", HAND) == [] and kinds("src/deps/reader.py", None) == [] and kinds("external/zlib/reader.py", HAND) == ["vendored"]
+
+
+def test_short_known_sources_and_small_data(spark):
+    assert strip_banner("# only a banner\n") == "" and layout_stats("a.py", "# only a banner\n")["digest"] is None
+    a = spark.createDataFrame([("r", "src/a.py", "# x\nf = 1\n")], "repo_root string, relpath string, source_text string")
+    c = spark.createDataFrame([], "repo_root string, chunk_id string, relpath string, text string")
+    t = spark.createDataFrame([("python", "f=1")], "language string, file_text string")
+    assert [tuple(r) for r in unwritten_files(a, c, c.select("repo_root", "relpath"), t).collect()] == [("r", "src/a.py", ["vendored"])]
+    assert kinds("a.py", "P = (\n" + "".join(f'    "{"Ab3+" * 16}"\n' for _ in range(12)) + ")\n") == ["data"] and kinds("a.py", f'KEY = "{"Ab3+" * 16}"\n') == []
