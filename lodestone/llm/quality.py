@@ -34,11 +34,21 @@ _BULLET = re.compile(r"^\s*(?:[-*+•·–—▪◦‣○●→>»]\s+|\[[ xX]\]
 _HEADING = re.compile(r"^\s*(?:#{1,6}\s|={3,}|-{3,}|\*\*[^*]+\*\*\s*$)")
 _FIELD = re.compile(r"""^\s*(?:[\w ./\-]{1,32}?\s*(?:=|:(?!//)|\.{3,}|\t|->|=>)\s*\S.{0,60}$|[{\[<|].*[}\]>|],?\s*$)""")
 _CODE = re.compile(r"""(?x)[;{}]\s*$ | ^\s*(?:def|class|import|from|return|const|let|var|function|if|for|while|try|except|catch|else|export|async|await|public|private|static|\#include|@\w+)\b.*[:;({)\]]\s*$ | =>|\(\)\s*[;{]|\w+\.\w+\(.*\) | ^\s*</?\w+.*>\s*$ | ===|!==|&&|\|\|""")
+#: Every form of code has one of these.
+_CODE_MARK = re.compile(r"[;{}=(<&|\])]|:$")
 _LOG = re.compile(r"""(?x)^\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d | \d\d:\d\d:\d\d | \[?(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL)\b | at\ [\w.$<>]+\s*\( | File\ ".*",\ line\ \d+ | Traceback | [\w.]+(?:Error|Exception)\b: | [0-9a-f]{6,16}\s+(?:[0-9a-f]{2}\s){4} | \w{3}\s+\d+\s\d\d:\d\d )""")
 _PATH = re.compile(r"^[\w.@-]*(?:[/\\][\w.@-]+){1,}$")
 _STOP = tuple(".!?。！？…:;：；\"')”’»)]`")
 _TEXT_MARKS = ".,'\"!?。，！？、-–—`’‘“”„«»:;：；()（）…¿¡¡·%"
 _BREAK = re.compile(r"[,;、，；|•·]|\s[/–>-]{1,2}\s")
+_HAN_OFTEN = re.compile(f"[{''.join(sorted(HAN_COMMON))}]")
+_SYMBOL = re.compile(r"""[^\w.,'"!?。，！？、\-`’:;：；()]|_""")
+_DIGIT = re.compile(r"\d")
+_ODD = re.compile(rf"[^\w\s{re.escape(_TEXT_MARKS)}]|_")
+_COLUMNS = re.compile(r"\S(?:\s{2,}\S+){2,}")
+_ITEMS = re.compile(r"[,;|\t、，；/•·]|\s[-–>]\s|\n")
+#: Shares of repeated lines or paragraphs, and of characters under the dominant n-gram, of texts that say little.
+MOST_REPEATED, MOST_COVERED, FAIR_COVERED = 0.6, 0.5, 0.25
 #: Least share of a text's characters in running lines.
 PROSE_LEAST = 0.5
 _SENTENCE_END = re.compile(r"[.!?…][\"'”’»)\]]*(?=\s|$)|[。！？…]")
@@ -46,18 +56,99 @@ _SENTENCE_END = re.compile(r"[.!?…][\"'”’»)\]]*(?=\s|$)|[。！？…]")
 STATS = "chars int, words int, mean_word_length double, symbol_share double, digit_share double, line_end_share double, common_share double, lines int, mean_line_words double, bullet_share double, field_share double, code_share double, log_share double, separator_share double, duplicate_line_share double, duplicate_paragraph_share double, top_ngram_share double, top_word_share double, distinct_share double, sentence_words double, prose_share double, kind string"
 
 
-def _grams(words: list[str], n: int) -> float:
-    """Share of the words' characters covered by the most frequent n-gram, its first occurrence apart."""
+def _coverage(words: list[str], n: int) -> tuple[float, int]:
+    """(share of the words' characters that the most frequent n-gram covers, its first occurrence apart; its number).  Overlaps count once."""
     if len(words) < 2 * n:
+        return 0.0, 0
+    grams = list(zip(*(words[i:] for i in range(n)))) if n > 1 else words
+    gram, times = Counter(grams).most_common(1)[0]
+    if times < 2:
+        return 0.0, times
+    size = sum(map(len, gram)) if n > 1 else len(gram)
+    if n == 1 or times * n <= len(set(gram)):
+        covered = times * size
+    else:
+        covered, end, at = 0, 0, -1
+        for _ in range(times):
+            at = grams.index(gram, at + 1)
+            covered += sum(map(len, words[max(at, end) : at + n]))
+            end = at + n
+    return max(0, covered - size) / sum(map(len, words)), times
+
+
+def _dominant(tokens: list[str], most: int = 4) -> float:
+    """Greatest coverage of an n-gram of at most ``most`` words; a length whose n-grams could not reach it is passed over."""
+    if not tokens:
         return 0.0
-    count = Counter(zip(*(words[i:] for i in range(n))))
-    gram, times = count.most_common(1)[0]
-    total = sum(map(len, words))
-    return (times - 1) * sum(map(len, gram)) / total if times > 1 and total else 0.0
+    best, longest, total = 0.0, max(map(len, tokens)), sum(map(len, tokens))
+    times = len(tokens)
+    for n in range(1, most + 1):
+        if (times - 1) * n * longest <= best * total:
+            break
+        share, times = _coverage(tokens, n)
+        best = max(best, share)
+        if times < 2:
+            break
+    return best
 
 
-def _common(words: list[str]) -> int:
-    return sum(1 for w in words if w in COMMON or "'" in w and (w.partition("'")[0] + "'" in COMMON or w.partition("'")[2] in COMMON))
+class _Line:
+    """What one line shows; lines that occur again are measured once."""
+
+    __slots__ = ("size", "tokens", "words", "common", "han", "kana", "bullet", "field", "code", "log", "bare", "prose", "sentence")
+
+    def __init__(self, x: str):
+        s = x.strip()
+        self.size = len(s)
+        self.han = self.kana = frequent = 0
+        if s.isascii():
+            self.tokens = _TOKEN.findall(s.lower())
+        else:
+            self.han, self.kana, frequent = len(_HAN.findall(s)), len(_KANA.findall(s)), len(_HAN_OFTEN.findall(s))
+            self.tokens = [w.lower() for w in _TOKEN.findall(_HAN.sub(" ", s))]
+        self.words = begun = [w for w in self.tokens if w[0].isalpha()]
+        if len(begun) < len(self.tokens):
+            self.words = [w for w in self.tokens if any(map(str.isalpha, w))]
+        known = _common(self.words, "'" in s)
+        self.common = known + 2 * frequent + self.kana // 2
+        self.bullet, self.log = bool(_BULLET.match(x)), bool(_LOG.match(x))
+        cells = _delimited(x)
+        self.field, self.code = cells or bool(_FIELD.match(x)), bool(_CODE_MARK.search(s) and _CODE.search(x))
+        alpha = len(begun)
+        weight = alpha + (self.han + self.kana) / 2
+        self.bare = self.prose = self.sentence = False
+        if weight < 5:
+            self.bare = cells or self.log or self.bullet
+            return
+        odd = len(_ODD.findall(s)) / len(s)
+        breaks = len(_BREAK.findall(s))
+        listed = breaks >= 2 and weight / (breaks + 1) < 4.2 and not _SENTENCE_END.search(s[:-1])
+        self.bare = bool(cells or self.log or (odd > 0.05 and self.code) or odd > 0.15 or listed or (self.bullet and weight < 12))
+        if not self.bare:
+            share = self.common / (alpha + self.han + self.kana)
+            self.sentence = share >= 0.15
+            self.prose = self.sentence or _sentence_like(s, self.tokens)
+
+
+def _common(words: list[str], elided: bool) -> int:
+    known = sum(map(COMMON.__contains__, words))
+    if elided:  # words such as l'index, and those whose whole spelling is not listed
+        known += sum(w not in COMMON and (w.partition("'")[0] + "'" in COMMON or w.partition("'")[2] in COMMON) for w in words if "'" in w)
+    return known
+
+
+def _wrapped(lines: list[str], seen: list[_Line]) -> list[bool]:
+    """Whether each line reads as running text, by itself or in a paragraph whose joined lines do."""
+    flags = [x.prose for x in seen]
+    start = 0
+    for i in range(len(lines) + 1):
+        if i == len(lines) or not lines[i].strip():
+            if i - start > 1 and not any(flags[start:i]) and not any(x.bare for x in seen[start:i]):
+                whole = " ".join(x.strip() for x in lines[start:i])
+                if _sentence_like(whole, [w for x in seen[start:i] for w in x.tokens]):
+                    flags[start:i] = [True] * (i - start)
+            start = i + 1
+    return flags
 
 
 def text_stats(text: str | None) -> dict:
@@ -67,43 +158,36 @@ def text_stats(text: str | None) -> dict:
     zero = dict.fromkeys([p.split()[0] for p in STATS.split(", ")], 0.0)
     if n == 0:
         return zero | {"chars": len(text or ""), "words": 0, "lines": 0, "kind": None}
-    lines = [x for x in t.split("\n") if x.strip()]
+    every = t.split("\n")
+    memo: dict[str, _Line] = {}
+    measured = [memo.get(x) or memo.setdefault(x, _Line(x)) for x in every]
+    flags = _wrapped(every, measured)
+    lines, seen, flags = zip(*((x, m, f) for x, m, f in zip(every, measured, flags) if m.size))
     paragraphs = [p for p in re.split(r"\n\s*\n", t) if p.strip()]
-    han, kana = len(_HAN.findall(t)), len(_KANA.findall(t))
-    tokens = [w.lower() for w in _TOKEN.findall(_HAN.sub(" ", t))]
-    words = [w for w in tokens if any(c.isalpha() for c in w)]
-    count = len(tokens) + han + kana
-    common = _common(words) + sum(1 for c in t if c in HAN_COMMON) * 2 + kana // 2
-    symbols = sum(1 for c in solid if not c.isalnum() and c not in ".,'\"!?。，！？、-`’:;：；()")
-    digits = sum(1 for c in solid if c.isdigit())
-    ends = sum(1 for x in lines if x.rstrip().endswith(_STOP))
-    bullets = sum(1 for x in lines if _BULLET.match(x))
-    size = [len(x.strip()) for x in lines]
-    total = sum(size)
-    field = sum(s for x, s in zip(lines, size) if _FIELD.match(x) or _delimited(x))
-    code = sum(s for x, s in zip(lines, size) if _CODE.search(x))
-    logs = sum(s for x, s in zip(lines, size) if _LOG.match(x))
-    items = re.split(r"[,;|\t、，；/•·]|\s[-–>]\s|\n", t)
-    separators = len(items) / max(1, count)
-    seen = Counter(x.strip() for x in lines)
-    dup_lines = sum((k - 1) * len(x) for x, k in seen.items()) / total
+    tokens = [w for m in seen for w in m.tokens]
+    words = [w for m in seen for w in m.words]
+    han, kana = sum(m.han for m in seen), sum(m.kana for m in seen)
+    count, total = len(tokens) + han + kana, sum(m.size for m in seen)
+    field = code = log = bullets = 0
+    for m in seen:
+        field += m.size * m.field
+        code += m.size * m.code
+        log += m.size * m.log
+        bullets += m.bullet
+    items = len(_ITEMS.findall(t)) + 1
+    often = Counter(x.strip() for x in lines)
     par = Counter(" ".join(p.split()) for p in paragraphs)
-    dup_pars = sum((k - 1) * len(p) for p, k in par.items()) / sum(len(p) * k for p, k in par.items())
-    grams = max(_grams(tokens, k) for k in (1, 2, 3, 4)) if tokens else 0.0
+    grams = _dominant(tokens)
     if han > len(tokens):
-        chars = [c for c in t if not c.isspace()]
-        grams = max(grams, _grams(chars, 4))
-    distinct = len(set(tokens)) / len(tokens) if tokens else 1.0
-    sentences = [x for x in _SENTENCE_END.split(t) if x.strip()]
-    sizes, flags = _prose_lines(lines)
+        grams = max(grams, _coverage(list(solid), 4)[0])
     start = _body(lines, flags)
-    prose = sum(k for k, p in zip(sizes[start:], flags[start:]) if p) / max(1, sum(sizes[start:]))
-    top = Counter(tokens).most_common(1)[0][1] / count if tokens else 0.0
     stats = {
-        "chars": len(text), "words": count, "mean_word_length": sum(map(len, words)) / len(words) if words else 0.0, "symbol_share": symbols / n, "digit_share": digits / n,
-        "line_end_share": ends / len(lines), "common_share": common / max(1, len(words) + han + kana), "lines": len(lines), "mean_line_words": count / len(lines),
-        "bullet_share": bullets / len(lines), "field_share": field / total, "code_share": code / total, "log_share": logs / total, "separator_share": separators,
-        "duplicate_line_share": dup_lines, "duplicate_paragraph_share": dup_pars, "top_ngram_share": grams, "top_word_share": top, "distinct_share": distinct, "sentence_words": count / max(1, len(sentences)), "prose_share": prose,
+        "chars": len(text), "words": count, "mean_word_length": sum(map(len, words)) / len(words) if words else 0.0, "symbol_share": len(_SYMBOL.findall(solid)) / n, "digit_share": len(_DIGIT.findall(solid)) / n,
+        "line_end_share": sum(x.rstrip().endswith(_STOP) for x in lines) / len(lines), "common_share": sum(m.common for m in seen) / max(1, len(words) + han + kana), "lines": len(lines), "mean_line_words": count / len(lines),
+        "bullet_share": bullets / len(lines), "field_share": field / total, "code_share": code / total, "log_share": log / total, "separator_share": items / max(1, count),
+        "duplicate_line_share": sum((k - 1) * len(x) for x, k in often.items()) / total, "duplicate_paragraph_share": sum((k - 1) * len(p) for p, k in par.items()) / sum(len(p) * k for p, k in par.items()),
+        "top_ngram_share": grams, "top_word_share": Counter(tokens).most_common(1)[0][1] / count if tokens else 0.0, "distinct_share": len(set(tokens)) / len(tokens) if tokens else 1.0,
+        "sentence_words": count / max(1, sum(1 for x in _SENTENCE_END.split(t) if x.strip())), "prose_share": sum(m.size for m, f in zip(seen[start:], flags[start:]) if f) / max(1, sum(m.size for m in seen[start:])),
     }
     return zero | {k: round(v, 6) if isinstance(v, float) else v for k, v in stats.items()} | {"kind": kind_of(stats)}
 
@@ -111,11 +195,11 @@ def text_stats(text: str | None) -> dict:
 def _delimited(line: str) -> bool:
     """A record: three or more cells between one delimiter, none of them a sentence."""
     for d in ("|", "\t", ";", ","):
-        if line.count(d) >= 2:
+        if d in line and line.count(d) >= 2:
             cells = [c.strip() for c in line.split(d)]
             if sum(len(c.split()) <= 1 and len(c) < 40 for c in cells) >= 0.8 * len(cells):
                 return True
-    return bool(re.search(r"\S(?:\s{2,}\S+){2,}", line.strip()))
+    return ("  " in line or "\t" in line or not line.isascii()) and bool(_COLUMNS.search(line.strip()))
 
 
 def _sentence_like(line: str, words: list[str]) -> bool:
@@ -125,38 +209,24 @@ def _sentence_like(line: str, words: list[str]) -> bool:
     return len(words) >= 6 and plain >= 0.9 * len(words) and ends > 0 and 4 <= len(words) / ends <= 45 and line.lstrip("\"'«„“¿¡([")[:1].isupper() and sum(w != w.lower() and w != w.capitalize() for w in line.split()) <= 0.1 * len(words)
 
 
-def _prose_lines(lines: list[str]) -> tuple[list[int], list[bool]]:
-    """Length of each line and whether it reads as running text."""
-    sizes, prose = [], []
-    for x in lines:
-        s = x.strip()
-        sizes.append(len(s))
-        words = [w.lower() for w in _TOKEN.findall(_HAN.sub(" ", s))]
-        han = len(_HAN.findall(s)) + len(_KANA.findall(s))
-        alpha = [w for w in words if w[:1].isalpha()]
-        weight = len(alpha) + han / 2
-        if weight < 5:
-            prose.append(False)
-            continue
-        share = (_common(alpha) + 2 * sum(c in HAN_COMMON for c in s) + len(_KANA.findall(s)) // 2) / (len(alpha) + han)
-        odd = sum(not c.isalnum() and not c.isspace() and c not in _TEXT_MARKS for c in s) / len(s)
-        breaks = len(_BREAK.findall(s))
-        listed = breaks >= 2 and weight / (breaks + 1) < 4.2 and not _SENTENCE_END.search(s[:-1])
-        bare = _delimited(s) or _LOG.match(s) or (odd > 0.05 and _CODE.search(s)) or odd > 0.15 or listed or (_BULLET.match(x) and weight < 12)
-        prose.append(not bare and (share >= 0.15 or _sentence_like(s, words)))
-    return sizes, prose
-
-
 def _body(lines: list[str], flags: list[bool]) -> int:
     """Where the text starts behind one leading sentence, if three lines or more follow it and it stands for itself."""
     return 1 if len(lines) >= 4 and flags[0] and not flags[1] and not flags[2] else 0
 
 
 def kind_of(s: dict) -> str:
-    """prose, list, table or junk by combined rules; documented in the order they apply."""
-    if s["words"] == 0:
+    """prose, list, table or junk by combined rules, in this order.
+
+    1. No words, or mostly log and trace lines: junk.
+    2. Repetition: lines or paragraphs that repeat for the most part, or one n-gram that covers most of the words, are
+       junk whatever they say; what covers a fair part is junk (menus, boilerplate, minified code) unless it is read as
+       running text nearly throughout.
+    3. Mostly running lines: prose.
+    4. Mostly fields or records: a table.  Mostly bullets or short separated items: a list.  Else junk."""
+    repeated = max(s["duplicate_line_share"], s["duplicate_paragraph_share"])
+    if s["words"] == 0 or s["log_share"] > 0.5:
         return "junk"
-    if s["log_share"] > 0.5 or s["duplicate_line_share"] > 0.6 or (s["words"] >= 20 and s["distinct_share"] < 0.1 and s["prose_share"] < 0.9) or (s["words"] >= 12 and s["top_word_share"] > 0.5):
+    if repeated > MOST_REPEATED or s["top_ngram_share"] > MOST_COVERED or (s["top_ngram_share"] > FAIR_COVERED and s["prose_share"] < 0.9 and s["bullet_share"] < 0.4):
         return "junk"
     if s["prose_share"] >= PROSE_LEAST:
         return "prose"

@@ -31,3 +31,21 @@ def test_operator(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, " \n\t", "a"), (4, PROSE[0], "a"), (5, "~" * 300_000, "a")], "doc_id long, text string, kind string")
     assert {r.doc_id: r.kind for r in text_quality(df).collect()} == {1: None, 2: None, 3: None, 4: "prose", 5: "junk"}
     assert text_quality(df.limit(0)).count() == 0
+
+
+def test_repetition_decides():
+    from lodestone.llm.quality import text_stats as stats
+
+    sentence = "The reviewer rewrites the file overview before anyone edits a file.\n"
+    s = stats(sentence * 5)
+    assert s["duplicate_line_share"] > 0.6 and s["kind"] == "junk"
+    s = stats(f"{sentence}It was late.\n\n" * 6)
+    assert s["duplicate_paragraph_share"] > 0.6 and s["kind"] == "junk"
+    s = stats("Home » Share » Close » Home » Share » Close » Next » Home » Share » Close » Prev » Home » Share » Close")
+    assert s["top_ngram_share"] > 0.25 and s["kind"] == "junk"
+    assert abs(stats("a b a b a b a b")["top_ngram_share"] - 0.75) < 1e-6 and stats("one two three four")["top_ngram_share"] == 0.0
+
+
+def test_wrapped_sentences_of_a_language_without_a_list():
+    wrapped = "Kutsal ormanda yaşlı bilge sessizce yürüdü ve\nkimse onu görmedi. Akşam olunca köylüler\nateşin çevresinde toplandı. Herkes onun\ndöneceğini biliyordu."
+    assert text_stats(wrapped)["kind"] == "prose"
