@@ -506,7 +506,8 @@ def _toml_name(kind: str, token: str) -> str:
     return re.sub(r"\\(?:u(.{4})|U(.{8})|(.))", lambda m: simple[m[3]] if m[3] else chr(min(int(m[1] or m[2], 16), 0x10FFFF)), token[1:-1])
 
 
-def check_toml(text: str) -> Result:
+def check_toml(text: str, members: list | None = None) -> Result:
+    """``members``, if given, receives (key path, start, end, True) of every string value, offsets without quotes; the text must have plain line ends then."""
     eng = engine("toml")
     if len(eng.nodes) > MAX_NODES:
         eng.reset()
@@ -516,6 +517,8 @@ def check_toml(text: str) -> Result:
     values = False  # whether a value is due next
     known, path, head = _Defined(), [], ""
     inner: list[dict] = []  # the open inline tables
+    section: list[str] = []
+    names: list[list[str]] = [[]]  # the keys around the current value, one entry for each open inline table
     while True:
         m = (_T_VAL if values else _T_KEY).match(text, pos)
         if m is None:
@@ -548,16 +551,21 @@ def check_toml(text: str) -> Result:
         elif head and name in ("]", "]]"):
             if not known.header(path, head == "[["):
                 return "token", text.count("\n", 0, at) + 1, path[-1][:20]
-            head, path = "", []
+            head, section, path = "", path, []
         if name == "=":
             if not known.key(inner[-1] if inner else known.here, path):
                 return "token", text.count("\n", 0, at) + 1, path[-1][:20]
-            path = []
+            names[-1], path = path, []
+        if members is not None and values and name in ("STRING", "MLSTRING"):
+            quotes = 3 if name == "MLSTRING" else 1
+            members.append((".".join([*section, *(x for k in names for x in k)]), at + quotes, pos - quotes, True))
         if name == "{":
             inner.append({})
             known.kept.append(inner[-1])
+            names.append([])
         elif name == "}" and inner:
             inner.pop()
+            names.pop()
         if name == "=":
             values = True
         elif values and name == "[":

@@ -1,21 +1,25 @@
 """Problem 6: credentials in source code, configuration and evidence snippets.
 
-Each text is read as key paths with offsets: assignments, members of JSON (also inside strings), TOML keys with their
-section, call arguments, URL logins and query parameters, headers, meta tags, option lists and comments.  A place is a
-credential if its key name is sensitive and its value has the shape of one, or if the value alone has the shape of a
-known provider's key, or if it is private key material.  Redactions are spliced into the text at those offsets and
-keep its length and line ends.  Null and empty texts hold none; an invalid payload has no snippets.
+Configuration (JSON, TOML, INI, environment files, YAML; as a whole text or within a string literal) is parsed into key
+paths with offsets; in code, assignments, call arguments, URL logins and query parameters, headers, meta tags, option
+lists and comments are found by their forms and named by the brackets around them.  A place is a credential if its key
+name is sensitive and its value has the shape of one, or if the value alone has the shape of a known provider's key, or
+if it is private key material.  Redactions are spliced into the original bytes at those offsets: every character of the
+value gives way to one mark, quotes and operators between the pieces of a spread value stay.  Null and empty texts hold
+none; an invalid payload has no snippets.
 """
 
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.operators import flatten
 
 from .batches import map_rows, table
+from .config import Code, members
 
 #: Shapes of public providers' keys, and of prefixed keys in general.
 PROVIDERS = re.compile(
@@ -31,7 +35,7 @@ _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 #: Literals looked for first; regular expressions run only where one of them stands.
 _WORDS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "cred", "pw", "dsn")
 _PROVIDER_PARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "_live_", "_test_", "eyJ", "AIza", "SG.", "npm_", "hf_", "pypi-", "key-", "pat-", "svc-", "tok-", "sec-", "api-")
-_QUOTED = r"""(?P<q>\\?["'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\(?!(?P=q))[^\n])*)(?P=q)?"""
+_QUOTED = r"""(?P<q>\\?["'`])(?P<v>(?:(?!(?P=q))(?:\\[^\n]|[^\\\n]))*)(?P=q)?"""
 _CALL = r"""(?:new\s+)?[\w.]*(?:[bB]64|atob|[dD]ecode|from|[bB]ytes|[sS]tring|str|[sS]ecret\w*|[pP]assword|[eE]ncode)\w*\("""
 _ENVIRON = r"""(?:(?:getenv|environ\.get|env\.get|env)\(\s*["'](?P<e>\w+)["']\s*,\s*|env(?:\.(?P<e2>\w+)|\[["'](?P<e3>\w+)["']\])\s*(?:\|\||\?\?)\s*)"""
 _ASSIGN = re.compile(rf"""[\w\-]{{0,30}}(?P<c>\\?["'`]?\]?(?:\s*:\s*[A-Za-z][\w<>\[\]| ]{{0,24}}(?=\s*=))?\s*(?:===?|!==?|:=|=>|[:=])\s*)(?:(?:[\w.]*\.)?{_ENVIRON}|{_CALL}|[(\[]|[bBrRuUfF](?=["']))*{_QUOTED}""")
@@ -104,36 +108,86 @@ def plausible(value: str, strict: bool = False) -> bool:
     return len(v) >= 12 and (upper and lower or "-" in v) and not (v.isupper() or re.fullmatch(r"[A-Z][a-z]+(?:[A-Z][a-z]+)*|[a-z]+(?:[_.][a-z]+)*|[A-Z_]+|[a-z]+(?:[A-Z][a-z]+)+", v))
 
 
+class Secret(NamedTuple):
+    """Offsets of a value, its key path, the pieces to mask and the mark; ``at`` is where its name begins, or -1 if the path is whole."""
+
+    start: int
+    end: int
+    path: str
+    at: int = -1
+    pieces: tuple[tuple[int, int], ...] = ()
+    mark: str = "*"
+
+
+
 def _head(text: str, start: int) -> str:
     """The rest of a key name to the left of ``start``."""
     i = start
-    while i > 0 and start - i < 60 and (text[i - 1].isalnum() or text[i - 1] in "_-"):
+    while i > 0 and (text[i - 1].isalnum() or text[i - 1] in "_-"):
         i -= 1
     return text[i:start]
 
 
-def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, key path) of each secret value, in order, without overlaps."""
+def scan(text: str | None) -> list[Secret]:
+    """The secrets of a text in order, without overlaps."""
     if not text:
         return []
-    spans: list[tuple[int, int, str]] = []
+    found: list[Secret] = []
     if any(x in text for x in _PROVIDER_PARTS):
         for m in PROVIDERS.finditer(text):
             if not _PLACEHOLDER.match(m[0]):
-                spans.append((m.start(), m.end(), "value"))
-    _keyed(text, spans)
-    spans.sort(key=lambda s: (s[0], -s[1]))
-    out: list[tuple[int, int, str]] = []
-    for s in spans:
-        if out and s[0] < out[-1][1]:
-            if s[1] > out[-1][1]:
-                out[-1] = (out[-1][0], s[1], out[-1][2])
+                found.append(Secret(m.start(), m.end(), "value"))
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if c.isascii() else c for c in text)
+    _keyed(text, low, found)
+    if any(w in low for w in _WORDS):
+        code = _configured(text, found)
+    elif found:
+        code = Code(text)
+    found.sort(key=lambda s: (s.start, -s.end, s.at))
+    out: list[Secret] = []
+    for s in found:
+        s = s._replace(pieces=s.pieces or ((s.start, s.end),))
+        if out and s.start < out[-1].end:
+            last = out[-1]
+            more = tuple((max(a, last.end), b) for a, b in s.pieces if b > last.end)
+            path, at = (s.path, s.at) if last.path == "value" and s.start == last.start else (last.path, last.at)
+            out[-1] = last._replace(end=max(last.end, s.end), path=path, at=at, pieces=last.pieces + more)
         else:
             out.append(s)
-    return out
+    return [s if s.at < 0 else s._replace(path=".".join([*code.path(s.at), s.path]), at=-1) for s in out]
+
 
+def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
+    """(start, end, key path) of each secret value, in order, without overlaps."""
+    return [(s.start, s.end, s.path) for s in scan(text)]
+
+
+def _configured(text: str, found: list[Secret]) -> Code:
+    """Adds the secrets among the members of configuration documents; what was found at the same place before gets their path."""
+    code = Code(text)
+    whole = members(text)
+    worth = lambda raw: any(w in raw.lower() for w in _WORDS)
+    for path, a, b, quoted in whole if whole is not None else code.embedded(worth):
+        name, value = path.rsplit(".", 1)[-1], text[a:b]
+        known = [i for i, s in enumerate(found) if s.at >= 0 and a <= s.start < b]
+        for i in known:
+            found[i] = found[i]._replace(path=path, at=-1)
+        if not known and sensitive(name) and "://" not in value and (plausible(value) if quoted else _plain(value)):
+            lead = re.match(r"(?i)\s*(?:bearer|basic|token)\s+", value)
+            found.append(Secret(a + (lead.end() if lead else 0), b, path, mark="*" if quoted else "x"))
+    return code
 
-def _keyed(text: str, spans: list[tuple[int, int, str]]) -> None:
+
+def _plain(v: str) -> bool:
+    """Whether an unquoted value may be a secret: an identifier or a call only with digits in plenty."""
+    if not plausible(v, strict=True):
+        return False
+    return not re.fullmatch(r"[A-Za-z_]\w*(?:\.\w+)*", v) or len(v) >= 8 and sum(map(str.isdigit, v)) >= 2 and not _CALLEE.match(v)
+
+
+def _keyed(text: str, low: str, spans: list[Secret]) -> None:
     if "PRIVATE KEY" in text:
         for m in _BEGIN.finditer(text):
             body = _MATERIAL.match(text, m.end())
@@ -141,10 +195,7 @@ def _keyed(text: str, spans: list[tuple[int, int, str]]) -> None:
                 end = _END.search(text, body.end())
                 nxt = _BEGIN.search(text, m.end())
                 stop = end.end() if end and not (nxt and nxt.start() < end.start()) else _run(text, body.end())
-                spans.append((m.start(), stop, "private_key"))
-    low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c.lower() if c.isascii() else c for c in text)
+                spans.append(Secret(m.start(), stop, "private_key", pieces=tuple(x.span() for x in _KEY_TEXT.finditer(text, m.start(), stop))))
     for m in _assignments(text, low):
         name = _head(text, m.start()) + text[m.start() : m.start("c")]
         value = m["v"]
@@ -156,15 +207,15 @@ def _keyed(text: str, spans: list[tuple[int, int, str]]) -> None:
             start, end = m.span("v")
             lead = re.match(r"(?i)\s*(?:bearer|basic|token)\s+", value)
             start += lead.end() if lead else 0
-            end = _pieces(text, m.end(), end) if call.rstrip()[-1:] in ("(", "[") and "decode" not in call else end
-            spans.append((start, end, _path(text, m.start(), name)))
+            more = _pieces(text, m.end()) if call.rstrip()[-1:] in ("(", "[") and "decode" not in call else []
+            spans.append(Secret(start, more[-1][1] if more else end, _clean(name), m.start(), ((start, end), *more)))
         elif "://" not in value and call.rstrip()[-1:] in ("(", "["):
-            joined = _joined(text, m.start("q"))
-            if joined and plausible(joined[1]):
-                spans.append((m.start("v"), joined[0], _path(text, m.start(), name)))
+            more = _pieces(text, m.start("q"))
+            if len(more) > 1 and plausible("".join(text[x:y] for x, y in more)):
+                spans.append(Secret(m.start("v"), more[-1][1], _clean(name), m.start(), tuple(more)))
     for m in _FALLBACK.finditer(text) if "env" in text else ():
         if sensitive(m["e"] or m["e2"] or m["e3"]) and plausible(m["v"]):
-            spans.append((*m.span("v"), m["e"] or m["e2"] or m["e3"]))
+            spans.append(Secret(*m.span("v"), m["e"] or m["e2"] or m["e3"]))
     if "\"-" in text or "'-" in text or "--" in text:
         for m in _OPTION.finditer(text):
             option, value, span = (m["o"].strip("\"'"), m["v"], m.span("v")) if m["o"] else (m["o2"], m["v2"], m.span("v2"))
@@ -173,34 +224,34 @@ def _keyed(text: str, spans: list[tuple[int, int, str]]) -> None:
                 if not re.search(r"(?i)login|--user|-u\b|mysql|auth", line):
                     continue
             if plausible(value):
-                spans.append((*span, option))
+                spans.append(Secret(*span, option))
     if "://" in text:
         for m in _URL.finditer(text):
             v = m["v"]
             if not _PLACEHOLDER.match(v) and not re.match(r"[{<$%*]|\d{2,5}$", v) and v.lower() not in _TAILS and "{" not in v:
-                spans.append((*m.span("v"), "url.password"))
+                spans.append(Secret(*m.span("v"), "url.password"))
     if "=" in text:
         for m in _QUERY.finditer(text):
             v = m["v"]
             if len(v) >= 8 and not _PLACEHOLDER.match(v) and not re.search(r"[{}$%(\[]", v[:2]) and any(c.isdigit() for c in v) and not _UUID.match(v):
-                spans.append((*m.span("v"), "query." + m["k"]))
+                spans.append(Secret(*m.span("v"), "query." + m["k"]))
     if "<meta" in text:
         for m in _META.finditer(text):
             if sensitive(m["k"]) and plausible(m["v"]):
-                spans.append((*m.span("v"), "meta." + m["k"]))
+                spans.append(Secret(*m.span("v"), "meta." + m["k"]))
     for m in _SCHEME.finditer(text) if "bearer" in low or "authorization" in low or "basic" in low else ():
         if plausible(m["v"]) and any(c.isdigit() for c in m["v"]):
-            spans.append((*m.span("v"), "authorization"))
+            spans.append(Secret(*m.span("v"), "authorization"))
     if any(w in low for w in _WORDS):
         _bare(text, spans)
     for c in _COMMENT.finditer(text):
         for m in _REMARK.finditer(text, *c.span("c")):
             v = m["v"].rstrip(".)")
             if "://" not in v and plausible(v, strict=not m["u"]):
-                spans.append((m.start("v"), m.start("v") + len(v), "comment"))
+                spans.append(Secret(m.start("v"), m.start("v") + len(v), "comment", mark="x"))
 
 
-def _bare(text: str, spans: list[tuple[int, int, str]]) -> None:
+def _bare(text: str, spans: list[Secret]) -> None:
     """Unquoted values of ``key=value`` and ``key: value``, as in env, INI and YAML texts, also in strings and comments.
 
     A value that could be an identifier or a call counts only if it ends its line, string or comment and has digits in plenty."""
@@ -210,7 +261,7 @@ def _bare(text: str, spans: list[tuple[int, int, str]]) -> None:
             continue
         if re.fullmatch(r"[A-Za-z_]\w*(?:\.\w+)*", v) and not (len(v) >= 8 and sum(map(str.isdigit, v)) >= 2 and not _CALLEE.match(v) and _ENDS.match(text, m.end())):
             continue
-        spans.append((m.start("v"), m.start("v") + len(v), _path(text, m.start("k"), m["k"])))
+        spans.append(Secret(m.start("v"), m.start("v") + len(v), m["k"], m.start("k"), mark="x"))
 
 
 def _assignments(text: str, low: str):
@@ -228,102 +279,44 @@ def _assignments(text: str, low: str):
 
 def _run(text: str, pos: int) -> int:
     """End of key material that has no closing line."""
-    while (m := _MATERIAL.match(text, pos)) and m.end() > pos and m.end() - pos < 200:
+    while (m := _MATERIAL.match(text, pos)) and m.end() > pos:
         pos = m.end()
     return pos
 
 
 _NEXT = re.compile(r"""[\s,+]*(["'`])((?:(?!\1)[^\\\n]|\\.)*)\1""")
+#: What of private key material is masked: all but escapes, white space, quotes, brackets and operators between literals.
+_KEY_TEXT = re.compile(r"""(?:(?<!\\)(?!(?<![A-Za-z0-9+/=])\+(?![A-Za-z0-9+/=]))[^\\\s"'`,;()\[\]])+""")
 
 
-def _pieces(text: str, pos: int, end: int) -> int:
-    """End of the last literal of a value spread over adjacent literals."""
-    while m := _NEXT.match(text, pos):
-        if not re.fullmatch(r"[\w+/=.\-]{2,}", m[2]):
-            break
-        end, pos = m.end(2), m.end()
-    return end
-
-
-def _joined(text: str, pos: int) -> tuple[int, str] | None:
-    """(end, value) of adjacent literals from ``pos``."""
-    parts, end = [], pos
-    while m := _NEXT.match(text, pos):
-        parts.append(m[2])
-        end, pos = m.end(2), m.end()
-    return (end, "".join(parts)) if len(parts) > 1 else None
+def _pieces(text: str, pos: int) -> list[tuple[int, int]]:
+    """Spans of the adjacent literals from ``pos`` on that go on with a value."""
+    out = []
+    while (m := _NEXT.match(text, pos)) and re.fullmatch(r"[\w+/=.\-]{2,}", m[2]):
+        out.append(m.span(2))
+        pos = m.end()
+    return out
 
 
-_SECTION = re.compile(r"(?m)^[ \t]*\[\[?([\w.\-\"' ]+)\]\]?[ \t]*\r?$")
-_MEMBER = re.compile(r"""(?:\\?["'])?([\w.\-$]+)(?:\\?["'])?\s*[:=]\s*$""")
-_PARENT = re.compile(r"""(?!(?:else|try|finally|default)\b)(?:- )?["']?([\w.\-]+)["']?:\s*$""")
-_TOKEN = re.compile(r"""\"{3}|'{3}|["'`{}\[\]]""")
+def _clean(name: str) -> str:
+    return name.strip("\"'\\ \t[")
 
 
-def _parents(text: str, at: int, start: int = 0) -> list[str]:
-    """Names of the members whose braces or brackets are open at ``at``; a string around it is read as a text of its own."""
-    open_: list[str] = []
-    pos = start
-    while (m := _TOKEN.search(text, pos, at)) is not None:
-        pos = m.end()
-        t = m[0]
-        if t in "{[":
-            k = _MEMBER.search(text, max(start, m.start() - 80), m.start())
-            open_.append(k[1] if k else "")
-        elif t in "}]":
-            if open_:
-                open_.pop()
-        elif start and text[m.start() - 1] == "\\":
-            continue
-        else:
-            end = pos
-            while (end := text.find(t, end)) >= 0 and (len(text[pos:end]) - len(text[pos:end].rstrip("\\"))) % 2:
-                end += 1
-            line = text.find("\n", pos) if len(t) == 1 and t != "`" else -1
-            if 0 <= line and not 0 <= end <= line:
-                continue  # an apostrophe
-            if end >= at:
-                return open_ + _parents(text, at, pos) if start == 0 and text[pos : pos + 1] != "" else open_
-            if end < 0:
-                continue
-            pos = end + len(t)
-    return open_
-
-
-def _path(text: str, at: int, name: str) -> str:
-    """Key path: the TOML or INI section before the key, or the mappings it is indented under, then the members around it."""
-    outer: list[str] = []
-    line = text.rfind("\n", 0, at) + 1
-    if text.find("[", 0, at) >= 0:
-        for m in _SECTION.finditer(text, 0, at):
-            outer = [m[1]]
-    indent = len(text[line:at]) - len(text[line:at].lstrip())
-    above: list[str] = []
-    end = line - 1
-    while indent and end > 0 and not outer:
-        begin = text.rfind("\n", 0, end) + 1
-        row = text[begin:end]
-        if row.strip() and not row.lstrip().startswith("#") and (depth := len(row) - len(row.lstrip())) < indent:
-            m = _PARENT.match(row.strip())
-            if not m:
-                break
-            above.insert(0, m[1])
-            indent = depth
-        end = begin - 1
-    inner = [x for x in _parents(text, at) if x] if "{" in text[:at] or "[" in text[:at] else []
-    return ".".join([*outer, *above, *inner, name.strip("\"'\\ \t[")])
-
-
-def redact(text: str | None, spans: list[tuple[int, int, str]] | None = None) -> str | None:
-    """The text with every secret character but line ends and escapes replaced by an asterisk."""
-    spans = find_secrets(text) if spans is None else spans
-    if not spans:
+def redact(text: str | None, secrets: list[Secret] | None = None) -> str | None:
+    """The text with every character of every secret replaced by a mark, line ends aside."""
+    secrets = scan(text) if secrets is None else secrets
+    if not secrets:
         return text
-    out, pos = [], 0
-    for a, b, _ in spans:
-        out += [text[pos:a], re.sub(r"""\\[nr]|[\s"'`,+()\[\]]|(.)""", lambda m: "*" if m[1] else m[0], text[a:b])]
-        pos = b
-    return "".join(out) + text[pos:]
+    raw = text.encode("utf-8", "surrogatepass")
+    out, pos, at, done = [], 0, 0, 0
+    for s in secrets:
+        for a, b in s.pieces:
+            at += len(text[pos:a].encode("utf-8", "surrogatepass"))
+            value = text[a:b]
+            out += [raw[done:at], re.sub(r"[^\r\n]", s.mark, value).encode()]
+            done = at = at + len(value.encode("utf-8", "surrogatepass"))
+            pos = b
+    return (b"".join(out) + raw[done:]).decode("utf-8", "surrogatepass")
 
 
 def secret_places(df: DataFrame, text: str, keys: tuple[str, ...], masked: bool = False) -> DataFrame:
@@ -332,13 +325,13 @@ def secret_places(df: DataFrame, text: str, keys: tuple[str, ...], masked: bool
     head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
 
     def one(body, *rest):
-        spans = find_secrets(body)
+        spans = scan(body)
         if masked:
             if spans:
                 yield (*rest, len(spans), redact(body, spans))
             return
         line, pos, last, at = 1, 0, 0, 0
-        for a, _, path in spans:
+        for a, _, path, *_ in spans:
             line += body.count("\n", pos, a)
             at += len(body[pos:a].encode("utf-8", "surrogatepass"))
             pos = a
