@@ -190,11 +190,21 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("suite_id", "cases", *(f"{n}_cases" for n, _ in SHARES), *(F.round(F.col(f"{n}_cases") / F.col("cases"), 6).alias(f"{n}_share") for n, _ in SHARES))
 
 
+def p3_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per suite: cases, groups, groups that more than one split holds, cases without a split."""
+    s = assign_splits(table(spark, sf_dir, "benchmark_challenge_suite"))
+    g = s.groupBy("suite_id", "component").agg(F.count("*").alias("n"), (F.min("split") != F.max("split")).alias("torn"), F.count_if(F.col("split").isNull()).alias("unplaced"))
+    return g.groupBy("suite_id").agg(F.sum("n").alias("cases"), F.count("*").alias("groups"), F.count_if("torn").alias("torn"), F.sum("unplaced").alias("unplaced"))
+
+
 _KEY = "lower(regexp_replace(id, '^[\\s\u00a0\u3000]+|[\\s\u00a0\u3000]+$', '', 'g'))"
 _CASES = f"SELECT case_no, coalesce(suite_id, chr(1)) AS suite, {S.repo('repo')} AS r, nullif({_KEY}, '') AS i FROM benchmark_challenge_suite"
 ORACLES = {
+    "p3_kept": f"""WITH RECURSIVE k AS ({_CASES}), e AS (SELECT DISTINCT case_no AS a, unnest([min(case_no) OVER (PARTITION BY suite, r), case_no]) AS b FROM k WHERE r IS NOT NULL UNION SELECT case_no, min(case_no) OVER (PARTITION BY suite, i) FROM k WHERE i IS NOT NULL),
+      g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT DISTINCT a AS node, a AS seen FROM g UNION SELECT w.node, g.b FROM w JOIN g ON g.a = w.seen), m AS (SELECT node, min(seen) AS root FROM w GROUP BY node)
+      SELECT suite_id, count(*) AS cases, count(DISTINCT coalesce(root, case_no)) AS groups, 0::BIGINT AS torn, 0::BIGINT AS unplaced FROM benchmark_challenge_suite LEFT JOIN m ON node = case_no GROUP BY suite_id""",
     "p3_found": f"""WITH RECURSIVE k AS ({_CASES}), e AS (SELECT DISTINCT case_no AS a, unnest([min(case_no) OVER (PARTITION BY suite, r), case_no]) AS b FROM k WHERE r IS NOT NULL UNION SELECT case_no, min(case_no) OVER (PARTITION BY suite, i) FROM k WHERE i IS NOT NULL),
       g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT DISTINCT a AS node, a AS seen FROM g UNION SELECT w.node, g.b FROM w JOIN g ON g.a = w.seen)
       SELECT min(seen) AS first_case_no, node AS case_no FROM w GROUP BY node HAVING min(seen) <> node""",
 }
-QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p3_report": p3_report}
+QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p3_report": p3_report, "p3_kept": p3_kept}

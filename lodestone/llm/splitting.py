@@ -128,5 +128,17 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_pieces(table(spark, sf_dir, "code_chunks"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces}
-ORACLES = {"p2_found": "SELECT chunk_no FROM code_chunks WHERE length(text) > 4000"}
+def p2_reassembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per oversized text: digest of its pieces put together again without their overlaps, and whether all lengths and overlaps hold."""
+    p = split_pieces(table(spark, sf_dir, "code_chunks"))
+    own = p.select("chunk_no", "piece_no", F.when(F.col("piece_no") == 1, F.col("text")).otherwise(F.substring("text", OVERLAP + 1, LIMIT)).alias("new"), F.col("text"))
+    g = own.groupBy("chunk_no").agg(F.array_sort(F.collect_list(F.struct("piece_no", "new", "text"))).alias("p"))  # the pieces of one text
+    steps = F.zip_with(F.slice("p", 2, F.size("p")), F.slice("p", 1, F.size("p") - 1), lambda b, a: F.left(b["text"], F.lit(OVERLAP)) == F.right(a["text"], F.lit(OVERLAP)))
+    return g.select("chunk_no", F.sha2(F.array_join(F.transform("p", lambda x: x["new"]), ""), 256).alias("digest"), F.forall("p", lambda x: F.length(x["text"]) <= LIMIT).alias("within_limit"), F.forall(steps, lambda x: x).alias("overlaps"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_reassembled": p2_reassembled}
+ORACLES = {
+    "p2_found": "SELECT chunk_no FROM code_chunks WHERE length(text) > 4000",
+    "p2_reassembled": "SELECT chunk_no, sha256(text) AS digest, true AS within_limit, true AS overlaps FROM code_chunks WHERE length(text) > 4000",
+}

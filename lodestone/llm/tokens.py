@@ -10,6 +10,7 @@ by the workers.
 from __future__ import annotations
 
 import base64
+import hashlib
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -160,4 +161,15 @@ def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.groupBy("source", "lang").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_totals": p7_totals}
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the text that each document's ids stand for, and their number."""
+    ids = encode_texts(table(spark, sf_dir, "documents"))
+
+    def one(doc_id, row):
+        yield doc_id, hashlib.sha256(b"".join(map(codec(VOCABULARY).bytes.__getitem__, row))).hexdigest()
+
+    return map_rows(ids, "doc_id long, digest string", one)
+
+
+QUERIES = {"p7_ids": p7_ids, "p7_totals": p7_totals, "p7_decoded": p7_decoded}
+ORACLES = {"p7_decoded": "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents"}
