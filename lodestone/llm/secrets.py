@@ -120,6 +120,22 @@ class Secret(NamedTuple):
 
 
 
+#: The end of a key in the forms of any configuration format, before a colon or an equals sign with a value behind it.
+_KEY_END = re.compile(r"""([\w\-]*)\\?["']?[ \t]*(?::[ \t]+|=[ \t]*)(?![=\s]|[A-Za-z_][\w.]*[(\[,;)]|[A-Za-z_][\w.]*$)""", re.M)
+
+
+def _has_key(text: str, low: str) -> bool:
+    """Whether a sensitive name stands where a member's key could, before anything but a plain name or a call."""
+    for word in _WORDS:
+        at = low.find(word)
+        while at >= 0:
+            m = _KEY_END.match(text, at)
+            if m and sensitive(_head(text, at) + text[at : m.end(1)]):
+                return True
+            at = low.find(word, at + len(word))
+    return False
+
+
 def _head(text: str, start: int) -> str:
     """The rest of a key name to the left of ``start``."""
     i = start
@@ -141,10 +157,9 @@ def scan(text: str | None) -> list[Secret]:
     if len(low) != len(text):
         low = "".join(c.lower() if c.isascii() else c for c in text)
     _keyed(text, low, found)
-    if any(w in low for w in _WORDS):
+    code = None
+    if any(s.at >= 0 for s in found) or _has_key(text, low):
         code = _configured(text, found)
-    elif found:
-        code = Code(text)
     found.sort(key=lambda s: (s.start, -s.end, s.at))
     out: list[Secret] = []
     for s in found:
