@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.functions.text import expand_query, tokenize
 
@@ -35,9 +35,19 @@ def view_tokens(chunks: DataFrame, facts: DataFrame) -> DataFrame:
     return withroles.select("repo", F.col("chunk_no").alias("doc_id"), F.inline(texts)).select("repo", "doc_id", "view", tokenize(F.col("body")).alias("tokens"))
 
 
+def counted(tokens: Column) -> Column:
+    """array<struct<term, tf>> of the distinct tokens, by runs of the sorted array: n log n inside the row, no shuffle."""
+    bound = lambda value, then: F.transform(F.array(value), then)[0]  # noqa: E731 - evaluates the value once
+    begins = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+    ends = lambda s, b: F.concat(F.slice(b, 2, F.size(b)), F.array(F.size(s) + 1))
+    runs = lambda s, b: F.zip_with(b, ends(s, b), lambda x, y: F.struct(F.get(s, x - 1).alias("term"), (y - x).alias("tf")))
+    return bound(F.array_sort(tokens), lambda s: bound(begins(s), lambda b: runs(s, b)))
+
+
 def term_frequencies(tokens: DataFrame) -> DataFrame:
     """repo, view, doc_id, dl, term, tf: distinct terms of each document, counted inside its own row without a shuffle."""
-    return tokens.select("repo", "view", "doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("repo", "view", "doc_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+    sorted_ = tokens.select("repo", "view", "doc_id", F.size("tokens").alias("dl"), "tokens").where("dl > 0")
+    return sorted_.select("repo", "view", "doc_id", "dl", F.inline(counted(F.col("tokens"))))
 
 
 def view_stats(tokens: DataFrame) -> DataFrame:

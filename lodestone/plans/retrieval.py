@@ -51,12 +51,12 @@ def route_literals(spark, d):
 
 def bm25_topk(spark, d):
     tokens, terms = _content(spark, d)
-    return R.top_k(R.bm25(tokens, terms), K, "query_id").select("query_id", "doc_id", "rank", "score")
+    return R.bm25_top(tokens, terms, K).select("query_id", "doc_id", "rank", "score")
 
 
 def rrf(spark, d):
     """Content and identifier rankings fused without weights."""
-    b = R.bm25(_views(spark, d), I.query_terms(questions(spark, d))).where(F.col("view").isin("content", "identifier"))
+    b = R.bm25(_views(spark, d).where(F.col("view").isin("content", "identifier")), I.query_terms(questions(spark, d)))
     return R.top_k(R.rrf(R.ranked(b, "query_id", "view")), K, "query_id").select("query_id", "doc_id", "rank", "score")
 
 
