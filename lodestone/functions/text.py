@@ -14,8 +14,28 @@ ASCII_TRIGGERS = (
     (("handler",), ("handle", "function", "request")),
     (("web", "frontend", "page", "ui", "browser"), ("web", "frontend", "html", "css", "ui", "page")),
 )
+#: Chinese words of a question and the terms they call for; those of the second table are terms themselves.
+CHINESE = (
+    ("聊天", ("chat", "message")), ("流式", ("stream", "streaming", "sse", "delta")), ("输出", ("output", "content", "response", "write", "send")), ("实现", ("implement", "handle", "run", "function")), ("接口", ("api", "route", "endpoint", "handler")),
+    ("路由", ("api", "route", "endpoint", "handler")), ("入口", ("entry", "route", "handler", "endpoint")), ("处理", ("handle", "handler", "process", "function")), ("函数", ("function", "handler", "method")), ("会话", ("session", "messages", "history")),
+    ("上传", ("upload", "ingest", "document")), ("文档", ("document", "documents", "rag")), ("流程", ("flow", "pipeline", "process", "execution")), ("检索", ("retrieve", "retrieval", "search", "lookup", "rag")), ("定位", ("locate", "find", "search")),
+    ("调用链", ("call", "caller", "callee", "import")), ("测试", ("test", "pytest", "spec", "case")), ("配置", ("config", "env", "environment")), ("错误", ("error", "throw", "catch", "failure")), ("页面", ("page", "html", "web", "ui")),
+    ("样式", ("style", "stylesheet", "css")), ("浏览器", ("browser", "frontend", "web", "javascript")), ("交互", ("interaction", "event", "click", "frontend")), ("包", ("package", "pyproject", "manifest")),
+)
+CHINESE_TERMS = (
+    ("聊天", ("chat", "message")), ("流式", ("stream", "streamed", "sse", "delta")), ("输出", ("output", "content", "response")), ("实现", ("handle", "run", "create", "function")), ("接口", ("api", "route", "post", "get")),
+    ("路由", ("api", "route", "endpoint", "post", "get")), ("入口", ("entry", "route", "handler", "endpoint")), ("处理", ("handle", "handler", "process", "function")), ("函数", ("function", "handler", "method")), ("重置", ("reset", "clear", "delete")),
+    ("会话", ("session", "messages", "history")), ("上传", ("upload", "ingest", "document")), ("文档", ("document", "documents", "rag")), ("流程", ("runagent", "flow", "pipeline", "process")), ("主流程", ("runagent", "handleagentrequest")),
+    ("检索", ("retrieve", "search", "rag")), ("缺陷", ("bug", "error", "throw", "catch")), ("错误", ("error", "throw", "catch", "status")), ("报错", ("error", "throw", "catch", "status")), ("故障", ("bug", "error", "failure")),
+    ("异常", ("error", "throw", "catch", "status")), ("定位", ("locate", "find", "search")), ("调用链", ("call", "handler", "import")), ("网页", ("web", "html", "frontend", "page", "ui", "browser")), ("前端", ("web", "frontend", "html", "css", "ui", "browser")),
+    ("页面", ("page", "html", "view", "ui", "screen")), ("界面", ("ui", "frontend", "view", "page", "html")), ("样式", ("css", "style", "stylesheet")), ("浏览器", ("browser", "frontend", "web", "client")), ("按钮", ("button", "click", "action")),
+    ("交互", ("interaction", "event", "click", "frontend", "ui")), ("逻辑", ("logic", "handler", "state", "function")),
+)
+#: Languages by suffix.
 LANGUAGE_OF = {"py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "html": "html", "css": "css", "toml": "toml"}
-IGNORED_PARTS = (".git", ".venv", "venv", "node_modules", "__pycache__", "dist", "build", ".pytest_cache", ".mypy_cache", ".idea", ".vscode", "coverage", ".next", ".cache", "site-packages")
+#: Folders and files that are never read.
+IGNORED_PARTS = (".cache", ".git", ".mypy_cache", ".next", ".pytest_cache", ".pytest_tmp", ".ruff_cache", ".tmp", ".venv", ".vs", "__pycache__", "build", "dist", "logs", "node_modules", "reports", "runs", "test-tmp", "test-workspaces", "venv")
+IGNORED_FILES = (".env", ".env.development", ".env.local", ".env.production")
 
 
 def raw_tokens(text: Column) -> Column:
@@ -42,17 +62,23 @@ def tokenize(text: Column) -> Column:
     return F.flatten(F.transform(raw_tokens(text), spellings))
 
 
+def expansions() -> list[tuple[tuple[str, ...], tuple[str, ...], bool]]:
+    """(substrings, terms, whether letter case counts), in the order in which terms are added."""
+    return [((w,), terms, True) for w, terms in CHINESE] + [((w,), (w, *terms), True) for w, terms in CHINESE_TERMS] + [(words, terms, False) for words, terms in ASCII_TRIGGERS]
+
+
 def expand_query(text: Column) -> Column:
     """Distinct tokens of a question and the terms its words call for, first spelling first."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    none = F.array().cast("array<string>")
-    extra = []
-    for triggers, terms in ASCII_TRIGGERS:
-        hit = low.contains(triggers[0])
-        for t in triggers[1:]:
-            hit = hit | low.contains(t)
-        extra.append(F.when(hit, F.array(*map(F.lit, terms))).otherwise(none))
-    return F.array_distinct(F.concat(tokenize(text), *extra))
+    raw = F.coalesce(text, F.lit(""))
+    low, none = F.lower(raw), F.array().cast("array<string>")
+    extra = {True: [], False: []}
+    for words, terms, exact in expansions():
+        hit = (raw if exact else low).contains(words[0])
+        for w in words[1:]:
+            hit = hit | (raw if exact else low).contains(w)
+        extra[exact].append(F.when(hit, F.array(*map(F.lit, terms))).otherwise(none))
+    chinese = F.when(raw.rlike("[一-鿿]"), F.concat(*extra[True])).otherwise(none)
+    return F.array_distinct(F.concat(tokenize(text), chinese, *extra[False]))
 
 
 def route_literals(text: Column) -> Column:
@@ -94,11 +120,55 @@ def language_of(relpath: Column) -> Column:
 
 
 def ignored(relpath: Column) -> Column:
-    return F.arrays_overlap(F.split(relpath, "/"), F.array(*map(F.lit, IGNORED_PARTS)))
+    """Whether a path has an ignored folder or is an ignored file; null and blank paths are not."""
+    parts = F.split(F.trim(F.regexp_replace(F.coalesce(relpath, F.lit("")), r"\\", "/")), "/")
+    return F.arrays_overlap(parts, F.array(*map(F.lit, IGNORED_PARTS))) | F.element_at(parts, -1).isin(*IGNORED_FILES)
+
+
+def relpath_of(label: Column) -> Column:
+    """The path of a label ``path:symbol``, with forward slashes and without a leading ``./``."""
+    return F.regexp_replace(F.regexp_replace(F.substring_index(label, ":", 1), r"\\", "/"), r"^(?:\./)+", "")
+
+
+def escaped(text: Column, value: bool = False) -> Column:
+    """A workflow annotation's text with its control characters percent-encoded; in a property value colons and commas too."""
+    pairs = [("%", "%25"), ("\r", "%0D"), ("\n", "%0A"), *([(":", "%3A"), (",", "%2C")] if value else [])]
+    for char, code in pairs:
+        text = F.replace(text, F.lit(char), F.lit(code))
+    return text
+
+
+def short_hash(canonical: Column) -> Column:
+    """The first twelve hex digits of a canonical text's digest."""
+    return F.left(F.sha2(canonical, 256), F.lit(12))
+
+
+def json_string(text: Column) -> Column:
+    """A JSON string literal that keeps non-ASCII characters; null is null."""
+    body = F.substring(F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("v"))), 6, 1_000_000_000)
+    return F.when(text.isNull(), "null").otherwise(F.left(body, F.length(body) - 1))
+
+
+def canonical_json(**members: Column) -> Column:
+    """A flat JSON object of string members with sorted keys and no blanks."""
+    parts = [x for k in sorted(members) for x in (F.lit(("{" if k == min(members) else ",") + f'"{k}":'), json_string(members[k]))]
+    return F.concat(*parts, F.lit("}"))
+
+
+def pointer_get(document: Column, pointer: str) -> Column:
+    """The value that a JSON pointer names in a document, as text; null where there is none."""
+    names = [p.replace("~1", "/").replace("~0", "~") for p in pointer.split("/")[1:]]
+    path = "$" + "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in names)
+    return F.get_json_object(document, path)
+
+
+def embedding_input(relpath: Column, symbol: Column, kind: Column, route: Column, text: Column) -> Column:
+    """What is embedded of a chunk: where it stands, what it is, and its first 3,000 characters."""
+    return F.concat_ws("\n", relpath, symbol, kind, route, F.left(F.coalesce(text, F.lit("")), F.lit(3000)))
 
 
-def file_roles(relpath: Column, language: Column, has_route: Column, has_imports: Column) -> Column:
-    """Roles of a file by path, language and symbols, in rule order and without repeats."""
+def file_roles(relpath: Column, language: Column, has_route: Column, has_imports: Column, text: Column | None = None) -> Column:
+    """Roles of a file by path, language, symbols and text, in rule order and without repeats."""
     p = F.lower(F.regexp_replace(relpath, r"\\", "/"))
     name = F.element_at(F.split(p, "/"), -1)
     lang = F.coalesce(language, F.lit(""))
@@ -117,6 +187,9 @@ def file_roles(relpath: Column, language: Column, has_route: Column, has_imports
         (p.endswith(".md") | p.endswith(".rst"), ["docs"]),
         (has_imports & lang.isin("html", "css"), ["asset_entry"]),
     ]
+    if text is not None:
+        words = F.lower(F.coalesce(text, F.lit("")))
+        rules.append((words.contains("render") & words.contains("document") & p.endswith(".py"), ["reporting"]))
     none = F.array().cast("array<string>")
     return F.array_distinct(F.concat(*(F.when(c, F.array(*map(F.lit, r))).otherwise(none) for c, r in rules)))
 

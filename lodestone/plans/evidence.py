@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from lodestone.functions import text as T
 from lodestone.operators import evidence as V, graph as G, replay as RP
 from lodestone.operators.flatten import TABLES, flatten_bundles, flatten_runs
+from lodestone.operators.lineage import narrowed
 from lodestone.sources.tables import chunks, table
 
 from . import sql as S
@@ -141,6 +142,7 @@ def pr_guard(spark, d):
 def successor_jaccard(spark, d):
     """Files analysed again with another text: Jaccard similarity of the distinct tokens of both."""
     f = table(spark, d, "file_analysis").select("file_no", "repo_root", "relpath", "source_text")
+    f = narrowed(f, f.groupBy("repo_root", "relpath").agg(F.count("*").alias("n")).where("n > 1"), ["repo_root", "relpath"])
     w = W.partitionBy("repo_root", "relpath").orderBy("file_no")
     twice = f.withColumn("before", F.lag("source_text").over(w)).where("before is not null and before <> source_text")
     a, b = F.array_distinct(T.tokenize(F.col("before"))), F.array_distinct(T.tokenize(F.col("source_text")))
@@ -173,8 +175,9 @@ def html_links(spark, d):
 
 def css_imports(spark, d):
     f = table(spark, d, "file_analysis").where(F.lower(F.col("relpath")).endswith(".css"))
-    raw = F.regexp_extract_all("source_text", F.lit(r"""@import\s+(?:url\()?['"]([^'"]+)['"]"""), F.lit(1))
-    return f.select("file_no", F.posexplode(T.ordered_unique(raw)).alias("pos", "link"))
+    raw = F.regexp_extract_all("source_text", F.lit(r"""(?i)@import\s+(?:url\()?['"]?([^'")]+)"""), F.lit(1))
+    clean = F.transform(raw, lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"\\", "/"), "^/static/", ""))
+    return f.select("file_no", F.posexplode(T.ordered_unique(clean)).alias("pos", "link"))
 
 
 def ordered_dedupe(spark, d):
@@ -288,7 +291,7 @@ ORACLES = {
     "first_failure": "SELECT user_id, event_id AS first_error, prev AS last_good, (i - 1)::INT AS before FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i) AS k FROM (SELECT *, row_number() OVER w AS i, lag(event_id) OVER w AS prev FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE event_type = 'error') WHERE k = 1",
     "regression_status": "SELECT user_id, errors, CASE WHEN errors = 0 THEN 'valid_across_history' WHEN errors = n THEN 'always_failing' WHEN first = 'error' THEN 'recovered' ELSE 'regression_found' END AS status FROM (SELECT user_id, count(*) FILTER (event_type = 'error') AS errors, count(*) AS n, first(event_type ORDER BY ts, event_id) AS first FROM events GROUP BY ALL)",
     "html_links": _LINKS(".html", """'(?i)(?:src|href)=[''"]([^''"]+)[''"]'""", r"list_transform(@, lambda x: regexp_replace(replace(trim(x), chr(92), '/'), '^/static/', ''))"),
-    "css_imports": _LINKS(".css", r"""'@import\s+(?:url\()?[''"]([^''"]+)[''"]'""", "@"),
+    "css_imports": _LINKS(".css", r"""'(?i)@import\s+(?:url\()?[''"]?([^''")]+)'""", r"list_transform(@, lambda x: regexp_replace(replace(trim(x), chr(92), '/'), '^/static/', ''))").replace("'@import", "'(?i)@import"),
     "ordered_dedupe": f"SELECT chunk_no, array_to_string({_unique('(calls || refs || handler_names)')}, ',') AS names FROM code_chunks",
     "impacted_files": S.with_(_DOCS, _EV) + "SELECT bundle_no, relpath, count(*) AS nodes, array_to_string(list_sort(list_distinct(list(coalesce(symbol_name, '')))), ',') AS symbols FROM ev WHERE relpath IS NOT NULL GROUP BY ALL",
     "run_pass_rate": "SELECT mode, count(*) AS runs, count(*) FILTER (s = 'completed') AS completed, round(avg(CASE WHEN s IN ('completed', 'failed') THEN (s = 'completed')::INT END), 5) AS pass_rate FROM (SELECT coalesce(execution_mode, '?') AS mode, lower(trim(status)) AS s FROM engineering_runs) GROUP BY ALL",

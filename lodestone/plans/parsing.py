@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import parse as P
+from lodestone.operators.lineage import narrowed
 from lodestone.sources.tables import chunks, table
 
 
@@ -18,8 +19,33 @@ def python_symbols(spark, d):
 
 
 def python_chunks(spark, d):
-    f = _python(spark, d)
-    return P.symbol_chunks(f, P.python_symbols(f, "file_no", "source_text"), "file_no", "source_text").select("file_no", "pos", "name", F.sha2("text", 256).alias("digest"))
+    return P.symbol_chunks(P.python_symbols(_python(spark, d), "file_no", "source_text"), "file_no").select("file_no", "pos", "name", F.sha2("text", 256).alias("digest"))
+
+
+def _sources(spark, d):
+    return table(spark, d, "file_analysis").withColumn("lang", T.language_of(F.col("relpath")))
+
+
+def source_symbols(spark, d):
+    """Symbols of every source by its path's language, with the number of their calls and the digest of their snippet."""
+    return P.symbols(_sources(spark, d), "file_no", "source_text", "lang").select("file_no", "parser_backend", "pos", "name", "kind", "start_line", "end_line", F.size("calls").alias("calls"), "route_path", F.sha2("snippet", 256).alias("digest"))
+
+
+def js_declarations(spark, d):
+    """Functions, classes and arrow constants that JavaScript and TypeScript sources declare, by line."""
+    f = _sources(spark, d).where(F.col("lang").isin("javascript", "typescript"))
+    return P.symbols(f, "file_no", "source_text", "lang").where("kind <> 'route'").select("file_no", "name", "start_line")
+
+
+def rewritten_files(spark, d):
+    """Paths analysed again with another text: added and removed lines of the unified diff between the two."""
+    f = table(spark, d, "file_analysis").where("source_text is not null")
+    again = f.groupBy("repo_root", "relpath").agg(F.count("*").alias("n")).where("n > 1")
+    few = narrowed(f.select("file_no", "repo_root", "relpath", "source_text"), again, ["repo_root", "relpath"])
+    before = F.lag("source_text").over(W.partitionBy("repo_root", "relpath").orderBy("file_no"))
+    pair = few.withColumn("before", before).where("before is not null and before <> source_text")
+    diff = pair.select("file_no", P.unified_diff(F.col("relpath"), F.col("before"), F.col("source_text")).alias("diff"))
+    return P.diff_counts(diff, "file_no", "diff")
 
 
 def name_similarity(spark, d):
@@ -52,11 +78,16 @@ def overview_chunks(spark, d):
     return f.select("file_no", F.sha2(F.array_join(F.slice(F.split("t", "\n"), 1, 140), "\n"), 256).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (python_symbols, python_chunks, name_similarity, language_detect, diff_lines, diff_files, overview_chunks)}
+QUERIES = {f.__name__: f for f in (python_symbols, python_chunks, source_symbols, js_declarations, rewritten_files, name_similarity, language_detect, diff_lines, diff_files, overview_chunks)}
 
 _SUFFIX = "CASE lower(regexp_extract(relpath, '\\.([A-Za-z0-9]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.LANGUAGE_OF.items()) + " ELSE 'text' END"
 _DIFFS = "(SELECT file_no, replace(source_text, chr(13) || chr(10), chr(10)) AS t FROM file_analysis WHERE regexp_matches(source_text, '(?m)^\\+\\+\\+ b/'))"
+_JS_SUFFIX = f"{_SUFFIX} IN ('javascript', 'typescript')"
+_NAMED = r"^\s*(?:export\s+)?(?:(?:async\s+)?function\s+|class\s+|const\s+)([A-Za-z_][A-Za-z0-9_]*)"
+_DECLARES = r"^\s*(?:export\s+)?(?:(?:async\s+)?function\s+[A-Za-z_]|class\s+[A-Za-z_]|const\s+[A-Za-z_][A-Za-z0-9_]*\s*=\s*(?:async\s*)?\()"
 ORACLES = {
+    "js_declarations": f"""SELECT DISTINCT file_no, regexp_extract(l, '{_NAMED}', 1) AS name, start_line::INT AS start_line FROM (SELECT file_no, l, coalesce(lag(pos) OVER (PARTITION BY file_no ORDER BY pos) + 1, 1) AS start_line FROM
+      (SELECT file_no, unnest(string_split(source_text, chr(10))) AS l, unnest(range(1, len(string_split(source_text, chr(10))) + 1)) AS pos FROM file_analysis WHERE {_JS_SUFFIX}) WHERE regexp_matches(l, '\\S')) WHERE regexp_matches(l, '{_DECLARES}')""",
     "language_detect": f"SELECT file_no, detected, coalesce(lower(language) = detected, false) AS agrees FROM (SELECT file_no, language, {_SUFFIX} AS detected FROM file_analysis)",
     "diff_lines": f"""SELECT file_no, file, count(*) FILTER (starts_with(l, '+') AND NOT starts_with(l, '+++')) AS added, count(*) FILTER (starts_with(l, '-') AND NOT starts_with(l, '---')) AS removed FROM
       (SELECT file_no, l, last_value(CASE WHEN starts_with(l, '+++ b/') THEN trim(substring(l, 7)) END IGNORE NULLS) OVER (PARTITION BY file_no ORDER BY pos) AS file FROM (SELECT file_no, unnest(string_split(t, chr(10))) AS l, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS pos FROM {_DIFFS})) WHERE file IS NOT NULL GROUP BY ALL""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.functions.text import ASCII_TRIGGERS, ROUTE, TOKEN
+from lodestone.functions.text import ROUTE, TOKEN, expansions
 from lodestone.operators.index import B, K1, VIEWS
 
 
@@ -36,10 +36,11 @@ def routes(x: str) -> str:
 
 
 def expand(x: str) -> str:
-    low = f"lower(coalesce({x}, ''))"
+    raw = f"coalesce({x}, '')"
     parts = [tok(x)]
-    for triggers, terms in ASCII_TRIGGERS:
-        parts.append(f"CASE WHEN {' OR '.join(f'contains({low}, {t!r})' for t in triggers)} THEN [{', '.join(map(repr, terms))}] ELSE [] END")
+    for triggers, terms, exact in expansions():
+        hit = " OR ".join(f"contains({raw if exact else f'lower({raw})'}, {t!r})" for t in triggers)
+        parts.append(f"CASE WHEN {hit} THEN [{', '.join(map(repr, terms))}] ELSE [] END")
     return distinct("(" + " || ".join(parts) + ")")
 
 

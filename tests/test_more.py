@@ -38,6 +38,34 @@ def test_python_extractor():
     assert P.analyse_python("def f(:")[0] == "python-ast-error" and P.analyse_python(None)[2] == []
 
 
+def test_python_route_methods():
+    kinds = lambda text: [s[0] for s in P.analyse_python(text)[2] if s[1] == "route"]
+    assert kinds("@app.get('/a_b/', methods=['POST'])\ndef f(): pass\n") == ["get_a_b"]
+    assert kinds("@app.api_route('/', methods='PUT')\ndef f(): pass\n") == ["put_root"] and kinds("@app.route(rule='/x')\ndef f(): pass\n") == ["route_x"]
+
+
+def test_javascript_extractor():
+    text = "import a from 'x'\nconst fs = require('fs')\n\nexport async function handleChat(req) {\n  return send(load(req))\n}\nclass Store {}\nconst save = async (x) => persist(x)\napp.post('/api/chat', auth, handleChat);\nchatRouter.route('/b').get(listRequest)\n"
+    backend, imports, symbols = P.analyse_javascript(text)
+    assert backend == "regex-fallback" and imports == ["x", "fs"]
+    assert [(s[0], s[1], s[7]) for s in symbols] == [("handleChat", "function", ""), ("Store", "class", ""), ("save", "function", ""), ("post_api_chat", "route", "/api/chat"), ("get_b", "route", "/b")]
+    assert symbols[3][4] == ["auth", "handleChat"] and symbols[0][4][:2] == ["handleChat", "load"] and P.analyse_javascript(None)[2] == []
+    assert P.analyse("css", "@import url(theme.css); @IMPORT 'b.css'")[1] == ["theme.css", "b.css"] and P.analyse("text", "x") == ("none", [], [])
+
+
+def test_symbols_cut_their_snippets(spark):
+    f = spark.createDataFrame([(1, "def f():\n    return 1\nx = 2\n", "python"), (2, None, "javascript"), (3, "a", None)], "k long, t string, lang string")
+    got = P.symbols(f, "k", "t", "lang").collect()
+    assert [(r.k, r.name, r.snippet) for r in got] == [(1, "f", "def f():\n    return 1")]
+    assert P.symbol_chunks(P.symbols(f, "k", "t", "lang"), "k").count() == 1
+
+
+def test_unified_diff(spark):
+    df = spark.createDataFrame([("p", "a\nb\n", "a\nc\n"), ("p", "a", "a"), ("p", None, "x")], "p string, a string, b string")
+    got = [r[0] for r in df.select(P.unified_diff(F.col("p"), F.col("a"), F.col("b"))).collect()]
+    assert got[0] == "--- a/p\n+++ b/p\n@@ -1,2 +1,2 @@\n a\n-b\n+c" and got[1] == "" and got[2].endswith("+x")
+
+
 def test_diff_paths(spark):
     d = "--- a/x\n+++ b/src/service.py\n+one\n-two\n+++ /dev/null\n"
     df = spark.createDataFrame([(1, d)], "k long, d string")
