@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lodestone.functions.text import label_of, repository_key
 
-from .flatten import child_table, flatten_bundles
+from .flatten import child_table, elements, flatten_bundles
+from .lineage import narrowed
 
-#: What a failed check means, and weights of the scorecards.
+#: What a failed check means.
 DRIFT = {"graph_search_ran": ("proof_graph_stale", "medium"), "route_anchor_present": ("route_anchor_missing", "high"), "top_hit_on_route_path": ("execution_path_broken", "medium"), "top_hit_present": ("top_hit_missing", "high"), "decoy_audit_rejected": ("decoy_audit_stale", "medium")}
-SCORE = (("proved", 20), ("checks_passed", 20), ("edges_present", 15), ("decoys_present", 10), ("evidence_present", 10), ("paths_present", 25))
 
 
 def evidence_rows(bundles: DataFrame) -> DataFrame:
     """bundle_no, pos, rank, label, relpath, symbol_name, route_path, score, snippet of each evidence element."""
-    rows = child_table(flatten_bundles(bundles, ("evidence",)), "evidence", "rank", "source_label", "relpath", "symbol_name", "route_path", "score", "snippet")
-    return rows.select(F.col("record_no").alias("bundle_no"), "pos", F.col("source_label").alias("label"), "relpath", "symbol_name", "route_path", F.expr("try_cast(score AS DOUBLE)").alias("score"), "snippet")
+    rows = child_table(flatten_bundles(bundles, ("evidence",)), "evidence", "rank", "source_label", "relpath", "symbol_name", "route_path", "score", "snippet", "matched_terms")
+    terms = F.coalesce(F.when(F.col("matched_terms").startswith("["), elements(F.col("matched_terms"))), F.array().cast("array<string>"))
+    return rows.select(F.col("record_no").alias("bundle_no"), "pos", F.col("source_label").alias("label"), "relpath", "symbol_name", "route_path", F.expr("try_cast(score AS DOUBLE)").alias("score"), "snippet", terms.alias("terms"))
 
 
 def edge_rows(bundles: DataFrame, child: str = "graph_edges") -> DataFrame:
@@ -29,9 +30,10 @@ def check_rows(bundles: DataFrame) -> DataFrame:
     return rows.select(F.col("record_no").alias("bundle_no"), "pos", "name", (F.lower("passed") == "true").alias("passed"))
 
 
-def current_labels(chunks: DataFrame) -> DataFrame:
-    """repo, label, text: the last chunk of each label wins."""
-    return chunks.withColumn("label", label_of(F.col("relpath"), F.col("symbol_name"))).where("repo is not null").groupBy("repo", "label").agg(F.max_by("text", "chunk_no").alias("text"))
+def current_labels(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """repo, label, text: the last chunk of each label wins; of the ``asked`` labels only, if given, so that other texts stay where they are."""
+    named = chunks.select("repo", label_of(F.col("relpath"), F.col("symbol_name")).alias("label"), "text", "chunk_no").where("repo is not null")
+    return (named if asked is None else narrowed(named, asked, ["repo", "label"])).groupBy("repo", "label").agg(F.max_by("text", "chunk_no").alias("text"))
 
 
 def with_repo(rows: DataFrame, bundles: DataFrame) -> DataFrame:
@@ -60,18 +62,20 @@ def drift_of(checks: DataFrame) -> DataFrame:
 
 
 def diagnostics(evidence: DataFrame, edges: DataFrame) -> DataFrame:
-    """bundle_no and confidence of its hits: thresholds on the top score, its lead, files, symbols, routes and edges."""
-    first = W.partitionBy("bundle_no").orderBy(F.col("score").desc_nulls_last(), "pos")
-    e = evidence.withColumn("i", F.row_number().over(first))
+    """bundle_no and confidence of its hits, in their order: thresholds on the top score, its lead over the next, matched terms of the first four hits, files, symbols, routes and edges.
+
+    Counted in thousandths and rounded to two digits, halves up."""
+    e = evidence.withColumn("i", F.row_number().over(W.partitionBy("bundle_no").orderBy("pos")))
     g = e.groupBy("bundle_no").agg(
-        F.count("*").alias("hits"), F.max(F.when(F.col("i") == 1, F.col("score"))).alias("top"), F.max(F.when(F.col("i") == 2, F.col("score"))).alias("second"),
+        F.count("*").alias("hits"), F.max(F.when(F.col("i") == 1, F.col("score"))).alias("top"), F.max(F.when(F.col("i") == 2, F.col("score"))).alias("second"), F.least(F.lit(12), F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("i") <= 4, F.col("terms"))))))).alias("terms"),
         F.count_distinct("relpath").alias("files"), F.count_if(F.col("symbol_name") != "").alias("symbols"), F.count_if(F.col("route_path") != "").alias("routes"),
     )
     g = g.join(edges.groupBy("bundle_no").agg(F.count("*").alias("edges")), "bundle_no", "left").fillna(0, ["edges"])
-    top, gap = F.coalesce("top", F.lit(0.0)), F.coalesce("top", F.lit(0.0)) - F.coalesce("second", F.lit(0.0))
-    c = (
-        F.lit(0.28) + F.when(top >= 18, 0.22).when(top >= 10, 0.14).otherwise(0.06) + F.when(gap >= 6, 0.16).when(F.col("hits") > 1, 0.06).otherwise(0.0)
-        + F.least(F.lit(0.12), 0.035 * F.col("edges")) + F.when(F.col("files") >= 2, 0.06).otherwise(0.0) + F.when(F.col("symbols") > 0, 0.06).otherwise(0.0) + F.when(F.col("routes") > 0, 0.04).otherwise(0.0)
+    top = F.coalesce("top", F.lit(0.0))
+    gap = F.greatest(F.lit(0.0), top - F.coalesce("second", F.lit(0.0)))
+    m = (
+        F.lit(280) + F.when(top >= 18, 220).when(top >= 10, 140).otherwise(60) + F.when(gap >= 6, 160).when(F.col("hits") > 1, 60).otherwise(0) + F.least(F.lit(140), 35 * F.col("terms"))
+        + F.least(F.lit(120), 35 * F.col("edges")) + F.when(F.col("files") >= 2, 60).otherwise(0) + F.when(F.col("symbols") > 0, 60).otherwise(0) + F.when(F.col("routes") > 0, 40).otherwise(0)
     )
-    c = F.round(c, 3)
-    return g.select("bundle_no", "hits", "files", "edges", c.alias("confidence"), F.when(c >= 0.72, "high").when(c >= 0.45, "medium").otherwise("low").alias("level"))
+    level = F.when(m >= 720, "high").when(m >= 450, "medium").otherwise("low")
+    return g.select("bundle_no", "hits", "files", "edges", "terms", (F.floor((F.least(F.lit(1000), m) + 5) / 10) / 100.0).alias("confidence"), level.alias("level"))

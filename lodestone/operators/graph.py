@@ -15,11 +15,12 @@ LABELS = ("calls", "references", "inherits", "imports", "routes_to")
 FANOUT_PPR, FANOUT_IMPACT, FANOUT_ROUTE = 24, 12, 14
 
 
-def units(chunks: DataFrame) -> DataFrame:
-    """One row per (repo, chunk_id): the columns the graph needs of its latest chunk_no."""
+def units(chunks: DataFrame, latest: bool = True) -> DataFrame:
+    """One row per (repo, chunk_id): the columns the graph needs of its latest chunk_no, or of its first."""
     cols = ["chunk_no", "relpath", "symbol_name", "symbol_kind", "qualified_name", "route_path", "imports", "calls", "refs", "inherits", "handler_names"]
-    latest = chunks.where("repo is not null and chunk_id is not null").groupBy("repo", "chunk_id").agg(F.max_by(F.struct(*cols), "chunk_no").alias("u"))
-    return latest.select("repo", "u.*").withColumnRenamed("chunk_no", "node")
+    pick = F.max_by if latest else F.min_by
+    one = chunks.where("repo is not null and chunk_id is not null").groupBy("repo", "chunk_id").agg(pick(F.struct(*cols), "chunk_no").alias("u"))
+    return one.select("repo", "u.*").withColumnRenamed("chunk_no", "node")
 
 
 def names_asked(u: DataFrame) -> DataFrame:

@@ -147,3 +147,50 @@ def scorecard(docs: DataFrame, replayed: DataFrame) -> DataFrame:
     for name, least in reversed(GRADES):
         grade = F.when(score >= least, name).otherwise(grade)
     return j.select("bundle_no", "score", grade.alias("grade"), F.when(score >= 85, "pass").when(score >= 70, "warn").otherwise("fail").alias("status"))
+
+
+#: Agents of the court, their claims and weights.
+CLAIMS = (("retrieval_advocate", "top_hit_claim", 15), ("graph_navigator", "route_path_claim", 15), ("proof_verifier", "strict_replay_claim", 20), ("mutation_skeptic", "mutation_resistance_claim", 15))
+COURT_GRADES = (("A", 95), ("B", 85), ("C", 70))
+
+
+def court_claims(docs: DataFrame, replayed: DataFrame) -> DataFrame:
+    """bundle_no, ord, agent, claim, weight, passed: the four claims that every proof makes; claims on reports that no table holds are not active."""
+    base = F.col("mutation") == BASELINE
+    r = replayed.groupBy("bundle_no").agg(F.max(F.when(base, F.col("failed"))).alias("failed"), F.bool_and(base | (F.size("failed") > 0)).alias("complete"))
+    d = docs.select("bundle_no", "proof_status", "doc").join(r, "bundle_no")
+    passed = (
+        F.coalesce(F.col("proof_status") == "proved", F.lit(False)) & (F.col("doc.top_hit") != ""),
+        (F.size("doc.routes") > 0) & (F.size("doc.paths") > 0),
+        F.size("failed") == 0,
+        F.col("complete"),
+    )
+    rows = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(a).alias("agent"), F.lit(c).alias("claim"), F.lit(w).alias("weight"), p.alias("passed")) for i, ((a, c, w), p) in enumerate(zip(CLAIMS, passed), 1)))
+    return d.select("bundle_no", F.inline(rows))
+
+
+def court(docs: DataFrame, replayed: DataFrame) -> DataFrame:
+    """bundle_no, score, grade, passed_claims, challenges, open_challenges, status.
+
+    Challenges are the audited decoys (warnings, discharged where rejected) and the failed checks of the replay (errors,
+    open).  A proof is accepted with 90 points or more, no failed claim and no open error; 70 points need a review."""
+    c = court_claims(docs, replayed).groupBy("bundle_no").agg(F.sum(F.when(F.col("passed"), F.col("weight")).otherwise(0)).alias("won"), F.sum("weight").alias("active"), F.count_if("passed").alias("passed_claims"), F.bool_and("passed").alias("all_passed"))
+    failed = replayed.where(F.col("mutation") == BASELINE).select("bundle_no", F.size("failed").alias("errors"))
+    j = c.join(failed, "bundle_no").join(docs.select("bundle_no", F.size("doc.decoys").alias("decoys")), "bundle_no")
+    score = F.round(F.col("won") * 100 / F.col("active")).cast("int")
+    grade = F.lit("F")
+    for name, least in reversed(COURT_GRADES):
+        grade = F.when(score >= least, name).otherwise(grade)
+    status = F.when(F.col("all_passed") & (F.col("errors") == 0) & (score >= 90), "accepted").when(score >= 70, "needs_review").otherwise("rejected")
+    return j.select("bundle_no", score.alias("score"), grade.alias("grade"), "passed_claims", (F.col("decoys") + F.col("errors")).alias("challenges"), F.col("errors").alias("open_challenges"), status.alias("status"))
+
+
+#: The invariants of a regression contract that a replay settles, and the checks that settle them; none for all of them.
+INVARIANTS = (("target_exists", "P0", "top_hit_exists"), ("strict_proof_replay", "P0", None), ("route_literals_exist", "P0", "route_literals_exist"), ("supporting_paths_exist", "P0", "supporting_paths_exist"), ("decoys_remain_rejected", "P1", "decoy_audit_still_rejected"))
+
+
+def contract(replayed: DataFrame) -> DataFrame:
+    """bundle_no, invariant, level, passed of every bundle's contract."""
+    failed = F.col("failed")
+    rows = F.array(*(F.struct(F.lit(i).alias("invariant"), F.lit(level).alias("level"), (F.size(failed) == 0 if check is None else ~F.array_contains(failed, check)).alias("passed")) for i, level, check in INVARIANTS))
+    return replayed.where(F.col("mutation") == BASELINE).select("bundle_no", F.inline(rows))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from lodestone.operators import flatten
 
-from . import evaluation, evidence, graphs, parsing, retrieval
+from . import evaluation, evidence, graphs, parsing, proofs, retrieval
 
-_PARTS = (retrieval, graphs, evaluation, evidence, parsing)
+_PARTS = (retrieval, graphs, evaluation, evidence, proofs, parsing)
 QUERIES: dict = {k: v for m in (*_PARTS, flatten) for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _PARTS for k, v in m.ORACLES.items() if k in QUERIES}

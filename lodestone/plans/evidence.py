@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import evidence as V, graph as G, replay as RP
+from lodestone.operators import evidence as V
 from lodestone.operators.flatten import TABLES, flatten_bundles, flatten_runs
 from lodestone.operators.lineage import narrowed
 from lodestone.sources.tables import chunks, table
@@ -28,7 +26,8 @@ def missing_refs(spark, d):
 
 def snippet_drift(spark, d):
     b = _bundles(spark, d)
-    return V.snippet_drift(V.with_repo(V.evidence_rows(b), b), V.current_labels(chunks(spark, d)))
+    e = V.with_repo(V.evidence_rows(b), b)
+    return V.snippet_drift(e, V.current_labels(chunks(spark, d), e))
 
 
 def drift_diagnosis(spark, d):
@@ -40,60 +39,6 @@ def diagnostics(spark, d):
     return V.diagnostics(V.evidence_rows(b), V.edge_rows(b))
 
 
-def _counts(spark, d) -> DataFrame:
-    """Per bundle with any: rows of its child tables, failed checks and open decoys."""
-    rows = flatten_bundles(_bundles(spark, d), ("evidence", "proof.checks", "proof.supporting_paths", "proof.proof_graph.edges", "proof.decoy_audit"))
-    n = lambda c: F.count_if(F.col("child") == c)
-    failed = F.count_if((F.col("child") == "proof.checks") & (F.lower(F.get_json_object("value", "$.passed")) == "false"))
-    open_decoys = F.count_if((F.col("child") == "proof.decoy_audit") & (F.lower(F.get_json_object("value", "$.rejected")) == "false"))
-    return rows.groupBy(F.col("record_no").alias("bundle_no")).agg(n("evidence").alias("evidence"), n("proof.checks").alias("checks"), failed.alias("failed"), n("proof.supporting_paths").alias("paths"), n("proof.proof_graph.edges").alias("edges"), n("proof.decoy_audit").alias("decoys"), open_decoys.alias("open_decoys"))
-
-
-def proof_scorecard(spark, d):
-    """What members a bundle holds and whether its stored checks passed, on a scale of 80; see proof_reliability."""
-    c = _counts(spark, d)
-    items = {"checks_passed": (F.col("checks") > 0) & (F.col("failed") == 0), "edges_present": F.col("edges") > 0, "decoys_present": F.col("decoys") > 0, "evidence_present": F.col("evidence") > 0, "paths_present": F.col("paths") > 0}
-    score = reduce(lambda a, b: a + b, (F.when(items[k], w).otherwise(0) for k, w in V.SCORE if k in items))
-    return c.select("bundle_no", score.alias("score"), F.when(score >= 75, "A").when(score >= 65, "B").when(score >= 50, "C").otherwise("D").alias("grade"))
-
-
-def court_verdict(spark, d):
-    """Claims weighed against open challenges: accepted, needs_review or rejected."""
-    c = _counts(spark, d)
-    claims = (("checks > 0 and failed = 0", 40), ("evidence > 0", 30), ("paths > 0", 20), ("edges > 0", 10))
-    passed = reduce(lambda a, b: a + b, (F.when(F.expr(q), w).otherwise(0) for q, w in claims))
-    return c.select("bundle_no", passed.alias("score"), F.col("open_decoys"), F.when((passed >= 90) & (F.col("failed") == 0) & (F.col("open_decoys") == 0), "accepted").when(passed >= 70, "needs_review").otherwise("rejected").alias("status"))
-
-
-def mutation_detection(spark, d):
-    """What the counts of six kinds of member allow to be mutated; nothing is replayed here, see mutation_lab."""
-    c = _counts(spark, d)
-    lab = F.array(*(F.struct(F.lit(m).alias("mutation"), q.alias("detected")) for m, q in (
-        ("top_hit_missing", F.lit(True)), ("evidence_snippet_drift", F.col("evidence") > 0), ("route_anchor_missing", F.lit(True)), ("supporting_path_missing", F.col("paths") > 0), ("proof_graph_edge_unverified", F.lit(True)), ("decoy_audit_stale", F.col("decoys") > F.col("open_decoys")),
-    )))
-    return c.select(F.inline(lab)).groupBy("mutation").agg(F.count("*").alias("bundles"), F.count_if("detected").alias("detected"), F.round(F.avg(F.col("detected").cast("double")), 3).alias("rate"))
-
-
-def _replayed(spark, d) -> tuple[DataFrame, DataFrame]:
-    c, docs = chunks(spark, d), RP.proof_docs(_bundles(spark, d))
-    units, none = G.units(c), F.array().cast("array<string>")
-    return docs, RP.replay(docs, V.current_labels(c), units, G.edges(units.withColumns({"refs": none, "inherits": none})))  # their edges back no proof
-
-
-def proof_reliability(spark, d):
-    """Score of every bundle with a valid payload: status, strict replay, two of its checks, decoys and mutations."""
-    return RP.scorecard(*_replayed(spark, d))
-
-
-def mutation_lab(spark, d):
-    """Six mutations of every bundle replayed strictly: detected where the mutated replay fails, and, as it fails for many
-    bundles unmutated too, detected where it fails a check that the unmutated one passes."""
-    r = _replayed(spark, d)[1]
-    per = r.withColumn("base", F.max(F.when(F.col("mutation") == RP.BASELINE, F.col("failed"))).over(W.partitionBy("bundle_no"))).where(F.col("mutation") != RP.BASELINE)
-    detected, told = F.size("failed") > 0, F.size(F.array_except("failed", "base")) > 0
-    return per.groupBy("mutation").agg(F.count("*").alias("bundles"), F.count_if(detected).alias("detected"), F.round(F.avg(detected.cast("double")), 3).alias("rate"), F.count_if(F.size("base") == 0).alias("valid_before"), F.count_if(told).alias("newly_failed"))
-
-
 def adjacent_steps(spark, d):
     """Consecutive labels of every supporting path as edges."""
     rows = flatten_bundles(_bundles(spark, d), ("proof.supporting_paths.path",))
@@ -102,17 +47,6 @@ def adjacent_steps(spark, d):
     return p.withColumn("target", nxt).where("target is not null").groupBy(F.col("value").alias("source"), "target").agg(F.count("*").alias("steps"))
 
 
-def graph_delta(spark, d):
-    """Edges of each bundle against the bundle before it in its repository: preserved, removed, added."""
-    b = _bundles(spark, d)
-    order = b.select("bundle_no", "repo_root").withColumn("before", F.lag("bundle_no").over(W.partitionBy("repo_root").orderBy("bundle_no"))).where("before is not null")
-    e = V.edge_rows(b).select("bundle_no", "source", "target", "label").distinct()
-    now = order.join(e, "bundle_no").select("bundle_no", "source", "target", "label", F.lit(1).alias("now"), F.lit(0).alias("was"))
-    was = order.join(e.withColumnRenamed("bundle_no", "before"), "before").select("bundle_no", "source", "target", "label", F.lit(0).alias("now"), F.lit(1).alias("was"))
-    g = now.unionByName(was).groupBy("bundle_no", "source", "target", "label").agg(F.max("now").alias("now"), F.max("was").alias("was"))
-    return g.groupBy("bundle_no").agg(F.sum(F.col("now") * F.col("was")).alias("preserved"), F.sum((1 - F.col("now")) * F.col("was")).alias("removed"), F.sum(F.col("now") * (1 - F.col("was"))).alias("added"))
-
-
 def trace_steps(spark, d):
     """Steps of every run's timeline; whether the stored step number is its position."""
     rows = flatten_runs(table(spark, d, "engineering_runs"), ("timeline",))
@@ -127,18 +61,6 @@ def verifier_summary(spark, d):
     return g.withColumn("verdict", F.when(F.col("failed") > 0, "failed").when(F.col("missing") > 0, "incomplete").otherwise("passed"))
 
 
-def pr_guard(spark, d):
-    """Changed files of runs that a bundle of the same repository holds as evidence, whole or as a path suffix.
-
-    Suffixes are enumerated per changed path, which turns the suffix test into an equi-join."""
-    r = table(spark, d, "engineering_runs").select("run_no", "repo_root", F.explode("changed_files").alias("file"))
-    parts = F.split("file", "/")
-    r = r.withColumn("suffix", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))))
-    b = _bundles(spark, d)
-    p = V.evidence_rows(b).join(b.select("bundle_no", "repo_root"), "bundle_no").select("repo_root", F.col("relpath").alias("suffix")).where("suffix is not null and suffix <> ''").distinct()
-    return r.join(p, ["repo_root", "suffix"]).select("run_no", "file", F.col("suffix").alias("protected")).distinct()
-
-
 def successor_jaccard(spark, d):
     """Files analysed again with another text: Jaccard similarity of the distinct tokens of both."""
     f = table(spark, d, "file_analysis").select("file_no", "repo_root", "relpath", "source_text")
@@ -197,7 +119,7 @@ def run_pass_rate(spark, d):
     return r.groupBy("mode").agg(F.count("*").alias("runs"), F.count_if(F.col("s") == "completed").alias("completed"), F.round(F.avg(F.when(F.col("s").isin("completed", "failed"), (F.col("s") == "completed").cast("double"))), 5).alias("pass_rate"))
 
 
-QUERIES = {f.__name__: f for f in (missing_refs, snippet_drift, drift_diagnosis, diagnostics, proof_scorecard, court_verdict, mutation_detection, mutation_lab, proof_reliability, adjacent_steps, graph_delta, trace_steps, verifier_summary, pr_guard, successor_jaccard, first_failure, regression_status, html_links, css_imports, ordered_dedupe, impacted_files, run_pass_rate)}
+QUERIES = {f.__name__: f for f in (missing_refs, snippet_drift, drift_diagnosis, diagnostics, adjacent_steps, trace_steps, verifier_summary, successor_jaccard, first_failure, regression_status, html_links, css_imports, ordered_dedupe, impacted_files, run_pass_rate)}
 
 # ---------------------------------------------------------------- comparison SQL
 _IN = lambda x: f"CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid({x}->>'$') THEN CAST({x}->>'$' AS JSON) ELSE {x} END"
@@ -247,12 +169,9 @@ def _table_sql(child: str, *fields: str) -> str:
     return f"WITH {_DOCS} SELECT no AS record_no, {parent} AS parent_path, pos::INT AS pos, {', '.join(map(_member, fields)) or 'v->>' + repr('$') + ' AS value'} FROM {source}"
 
 
-_EV = f"ev AS (SELECT no AS bundle_no, pos::INT AS pos, {_X('source_label')} AS label, {_X('relpath')} AS relpath, {_X('symbol_name')} AS symbol_name, {_X('route_path')} AS route_path, try_cast({_X('score')} AS DOUBLE) AS score, {_X('snippet')} AS snippet FROM {_BR['evidence']})"
+_EV = f"ev AS (SELECT no AS bundle_no, pos::INT AS pos, {_X('source_label')} AS label, {_X('relpath')} AS relpath, {_X('symbol_name')} AS symbol_name, {_X('route_path')} AS route_path, try_cast({_X('score')} AS DOUBLE) AS score, {_X('snippet')} AS snippet, {_MEM('v', 'matched_terms')} AS mt FROM {_BR['evidence']})"
 _EVR = f"er AS (SELECT ev.*, {S.repo('b.repo_root')} AS repo FROM ev JOIN evidence_bundles b USING (bundle_no))"
 _NORM = lambda x: f"regexp_replace(replace({x}, chr(13) || chr(10), chr(10)), '^\\s+|\\s+$', '', 'g')"
-_CT = "ct AS (SELECT bundle_no, sum(e)::BIGINT AS evidence, sum(c)::BIGINT AS checks, sum(f)::BIGINT AS failed, sum(p)::BIGINT AS paths, sum(g)::BIGINT AS edges, sum(dc)::BIGINT AS decoys, sum(od)::BIGINT AS open_decoys FROM (" + " UNION ALL ".join([
-    f"SELECT no AS bundle_no, 1 AS e, 0 AS c, 0 AS f, 0 AS p, 0 AS g, 0 AS dc, 0 AS od FROM {_BR['evidence']}", f"SELECT no, 0, 1, coalesce((lower({_X('passed')}) = 'false')::INT, 0), 0, 0, 0, 0 FROM {_BR['proof.checks']}", f"SELECT no, 0, 0, 0, 1, 0, 0, 0 FROM {_BR['proof.supporting_paths']}",
-    f"SELECT no, 0, 0, 0, 0, 1, 0, 0 FROM {_BR['proof.proof_graph.edges']}", f"SELECT no, 0, 0, 0, 0, 0, 1, coalesce((lower({_X('rejected')}) = 'false')::INT, 0) FROM {_BR['proof.decoy_audit']}"]) + ") GROUP BY ALL)"
 _ED = f"ed AS (SELECT no AS bundle_no, pos, {_X('source')} AS source, {_X('target')} AS target, {_X('label')} AS label FROM {_BR['graph_edges']})"
 _CK = f"ck AS (SELECT no AS bundle_no, {_X('name')} AS name, lower({_X('passed')}) = 'true' AS passed FROM {_BR['proof.checks']})"
 
@@ -265,7 +184,6 @@ def _unique(l: str) -> str:  # noqa: E741
 
 
 _SEVERITY = "(VALUES " + ", ".join(f"('{n}', '{t}', '{s}')" for n, (t, s) in V.DRIFT.items()) + ") AS dm(name, type, severity)"
-_SUMS = dict(V.SCORE)
 _LINKS = lambda ext, pattern, clean: f"SELECT file_no, (pos - 1)::INT AS pos, l[pos] AS link FROM (SELECT file_no, l, unnest(range(1, len(l) + 1)) AS pos FROM (SELECT file_no, {_unique(clean.replace('@', 'regexp_extract_all(source_text, ' + pattern + ', 1)'))} AS l FROM file_analysis WHERE lower(relpath) LIKE '%{ext}'))"
 ORACLES = {
     "p4_found": P4,
@@ -275,18 +193,13 @@ ORACLES = {
     "snippet_drift": S.with_(_DOCS, S.CHUNKS, _EV, _EVR, "lb AS (SELECT repo, label, text FROM (SELECT repo, relpath || CASE WHEN symbol_name <> '' THEN ':' || symbol_name ELSE '' END AS label, text, row_number() OVER (PARTITION BY repo, relpath || CASE WHEN symbol_name <> '' THEN ':' || symbol_name ELSE '' END ORDER BY chunk_no DESC) AS rn FROM c WHERE repo IS NOT NULL) WHERE rn = 1)") + f"""SELECT bundle_no, pos, CASE WHEN x IS NULL THEN 'missing' WHEN s = x THEN 'same' WHEN st <> s AND starts_with(x, st) THEN 'cut' ELSE 'drift' END AS status
       FROM (SELECT bundle_no, pos, s, x, regexp_replace(s, '\\s*(?:\\.\\.\\.|…)$', '') AS st FROM (SELECT bundle_no, pos, {_NORM('snippet')} AS s, {_NORM('lb.text')} AS x FROM er LEFT JOIN lb ON lb.repo = er.repo AND lb.label = er.label WHERE er.label IS NOT NULL))""",
     "drift_diagnosis": S.with_(_DOCS, _CK) + f"SELECT DISTINCT bundle_no, coalesce(type, 'unknown_drift') AS type, coalesce(severity, 'unknown') AS severity FROM ck LEFT JOIN {_SEVERITY} USING (name) WHERE NOT passed UNION ALL SELECT bundle_no, 'none', 'none' FROM ck GROUP BY bundle_no HAVING bool_and(passed)",
-    "diagnostics": S.with_(_DOCS, _EV, _ED) + """, g AS (SELECT bundle_no, count(*) AS hits, max(score) FILTER (i = 1) AS top, max(score) FILTER (i = 2) AS second, count(DISTINCT relpath) AS files, count(*) FILTER (symbol_name <> '') AS symbols, count(*) FILTER (route_path <> '') AS routes
-        FROM (SELECT *, row_number() OVER (PARTITION BY bundle_no ORDER BY score DESC NULLS LAST, pos) AS i FROM ev) GROUP BY ALL), h AS (SELECT g.*, coalesce(n, 0) AS edges FROM g LEFT JOIN (SELECT bundle_no, count(*) AS n FROM ed GROUP BY ALL) USING (bundle_no)),
-      k AS (SELECT bundle_no, hits, files, edges, round((0.28 + CASE WHEN coalesce(top, 0) >= 18 THEN 0.22 WHEN coalesce(top, 0) >= 10 THEN 0.14 ELSE 0.06 END + CASE WHEN coalesce(top, 0) - coalesce(second, 0) >= 6 THEN 0.16 WHEN hits > 1 THEN 0.06 ELSE 0 END + least(0.12, 0.035 * edges) + CASE WHEN files >= 2 THEN 0.06 ELSE 0 END + CASE WHEN symbols > 0 THEN 0.06 ELSE 0 END + CASE WHEN routes > 0 THEN 0.04 ELSE 0 END)::DOUBLE, 3) AS confidence FROM h)
-      SELECT *, CASE WHEN confidence >= 0.72 THEN 'high' WHEN confidence >= 0.45 THEN 'medium' ELSE 'low' END AS level FROM k""",
-    "proof_scorecard": S.with_(_DOCS, _CT) + f", s AS (SELECT bundle_no, CASE WHEN checks > 0 AND failed = 0 THEN {_SUMS['checks_passed']} ELSE 0 END + CASE WHEN edges > 0 THEN {_SUMS['edges_present']} ELSE 0 END + CASE WHEN decoys > 0 THEN {_SUMS['decoys_present']} ELSE 0 END + CASE WHEN evidence > 0 THEN {_SUMS['evidence_present']} ELSE 0 END + CASE WHEN paths > 0 THEN {_SUMS['paths_present']} ELSE 0 END AS score FROM ct) SELECT bundle_no, score, CASE WHEN score >= 75 THEN 'A' WHEN score >= 65 THEN 'B' WHEN score >= 50 THEN 'C' ELSE 'D' END AS grade FROM s",
-    "court_verdict": S.with_(_DOCS, _CT) + ", s AS (SELECT bundle_no, failed, open_decoys, CASE WHEN checks > 0 AND failed = 0 THEN 40 ELSE 0 END + CASE WHEN evidence > 0 THEN 30 ELSE 0 END + CASE WHEN paths > 0 THEN 20 ELSE 0 END + CASE WHEN edges > 0 THEN 10 ELSE 0 END AS score FROM ct) SELECT bundle_no, score, open_decoys, CASE WHEN score >= 90 AND failed = 0 AND open_decoys = 0 THEN 'accepted' WHEN score >= 70 THEN 'needs_review' ELSE 'rejected' END AS status FROM s",
-    "mutation_detection": S.with_(_DOCS, _CT) + ", m AS (" + " UNION ALL ".join(f"SELECT '{n}' AS mutation, {q} AS detected FROM ct" for n, q in (("top_hit_missing", "true"), ("evidence_snippet_drift", "evidence > 0"), ("route_anchor_missing", "true"), ("supporting_path_missing", "paths > 0"), ("proof_graph_edge_unverified", "true"), ("decoy_audit_stale", "decoys > open_decoys"))) + ") SELECT mutation, count(*) AS bundles, count(*) FILTER (detected) AS detected, round(avg(detected::INT), 3) AS rate FROM m GROUP BY ALL",
+    "diagnostics": S.with_(_DOCS, _EV, _ED) + """, tm AS (SELECT bundle_no, count(DISTINCT t) AS terms FROM (SELECT bundle_no, unnest(CASE WHEN json_type(mt) = 'ARRAY' THEN json_extract_string(mt, '$[*]') ELSE [] END) AS t FROM (SELECT *, row_number() OVER (PARTITION BY bundle_no ORDER BY pos) AS i FROM ev) WHERE i <= 4) GROUP BY ALL), g AS (SELECT bundle_no, count(*) AS hits, max(score) FILTER (i = 1) AS top, max(score) FILTER (i = 2) AS second, count(DISTINCT relpath) AS files, count(*) FILTER (symbol_name <> '') AS symbols, count(*) FILTER (route_path <> '') AS routes
+        FROM (SELECT *, row_number() OVER (PARTITION BY bundle_no ORDER BY pos) AS i FROM ev) GROUP BY ALL), h AS (SELECT g.*, coalesce(n, 0) AS edges, least(12, coalesce(terms, 0)) AS terms FROM g LEFT JOIN tm USING (bundle_no) LEFT JOIN (SELECT bundle_no, count(*) AS n FROM ed GROUP BY ALL) USING (bundle_no)),
+      k AS (SELECT bundle_no, hits, files, edges, terms, 280 + CASE WHEN coalesce(top, 0) >= 18 THEN 220 WHEN coalesce(top, 0) >= 10 THEN 140 ELSE 60 END + CASE WHEN greatest(0, coalesce(top, 0) - coalesce(second, 0)) >= 6 THEN 160 WHEN hits > 1 THEN 60 ELSE 0 END + least(140, 35 * terms) + least(120, 35 * edges) + CASE WHEN files >= 2 THEN 60 ELSE 0 END + CASE WHEN symbols > 0 THEN 60 ELSE 0 END + CASE WHEN routes > 0 THEN 40 ELSE 0 END AS m FROM h)
+      SELECT bundle_no, hits, files, edges, terms::INT AS terms, ((least(1000, m) + 5) // 10) / 100.0::DOUBLE AS confidence, CASE WHEN m >= 720 THEN 'high' WHEN m >= 450 THEN 'medium' ELSE 'low' END AS level FROM k""",
     "adjacent_steps": S.with_(_DOCS) + f"SELECT source, target, count(*) AS steps FROM (SELECT v->>'$' AS source, lead(v->>'$') OVER (PARTITION BY no, outer_pos ORDER BY pos) AS target FROM {_INNER(_BR['proof.supporting_paths'], 'path')}) WHERE target IS NOT NULL GROUP BY ALL",
-    "graph_delta": S.with_(_DOCS, _ED) + ", o AS (SELECT * FROM (SELECT bundle_no, lag(bundle_no) OVER (PARTITION BY repo_root ORDER BY bundle_no) AS before FROM evidence_bundles) WHERE before IS NOT NULL), e AS (SELECT DISTINCT bundle_no, source, target, label FROM ed), x AS (SELECT bundle_no, source, target, label, max(n) AS n, max(w) AS w FROM (SELECT bundle_no, source, target, label, 1 AS n, 0 AS w FROM o JOIN e USING (bundle_no) UNION ALL SELECT o.bundle_no, source, target, label, 0, 1 FROM o JOIN e ON e.bundle_no = o.before) GROUP BY ALL) SELECT bundle_no, sum(n * w)::BIGINT AS preserved, sum((1 - n) * w)::BIGINT AS removed, sum(n * (1 - w))::BIGINT AS added FROM x GROUP BY ALL",
     "trace_steps": S.with_(_DOCS) + f"SELECT no AS run_no, pos::INT AS pos, {_X('agent')} AS agent, {_X('status')} AS status, coalesce({_X('step')} = pos::VARCHAR, false) AS in_place FROM {_STEPS}",
     "verifier_summary": S.with_(_DOCS) + f", g AS (SELECT no AS run_no, count(*) FILTER ({_X('exit_code')} = '0') AS passed, count(*) FILTER ({_X('exit_code')} <> '0') AS failed, count(*) FILTER ({_X('exit_code')} IS NULL) AS missing FROM {_CMD} GROUP BY ALL) SELECT *, CASE WHEN failed > 0 THEN 'failed' WHEN missing > 0 THEN 'incomplete' ELSE 'passed' END AS verdict FROM g",
-    "pr_guard": S.with_(_DOCS, _EV) + ", p AS (SELECT DISTINCT repo_root, relpath FROM ev JOIN evidence_bundles USING (bundle_no) WHERE relpath <> '') SELECT DISTINCT run_no, file, relpath AS protected FROM (SELECT run_no, repo_root, unnest(changed_files) AS file FROM engineering_runs) r JOIN p USING (repo_root) WHERE file = relpath OR file LIKE '%/' || relpath",
     "successor_jaccard": f"SELECT file_no, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) AS jaccard FROM (SELECT file_no, list_distinct({S.tok('before')}) AS a, list_distinct({S.tok('source_text')}) AS b FROM (SELECT *, lag(source_text) OVER (PARTITION BY repo_root, relpath ORDER BY file_no) AS before FROM file_analysis) WHERE before IS NOT NULL AND before <> source_text)",
     "first_failure": "SELECT user_id, event_id AS first_error, prev AS last_good, (i - 1)::INT AS before FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i) AS k FROM (SELECT *, row_number() OVER w AS i, lag(event_id) OVER w AS prev FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE event_type = 'error') WHERE k = 1",
     "regression_status": "SELECT user_id, errors, CASE WHEN errors = 0 THEN 'valid_across_history' WHEN errors = n THEN 'always_failing' WHEN first = 'error' THEN 'recovered' ELSE 'regression_found' END AS status FROM (SELECT user_id, count(*) FILTER (event_type = 'error') AS errors, count(*) AS n, first(event_type ORDER BY ts, event_id) AS first FROM events GROUP BY ALL)",
