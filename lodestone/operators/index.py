@@ -23,6 +23,12 @@ def content_tokens(chunks: DataFrame) -> DataFrame:
     return chunks.select("repo", F.col("chunk_no").alias("doc_id"), F.lit("content").alias("view"), tokenize(F.col("text")).alias("tokens"))
 
 
+def chunk_tokens(chunks: DataFrame) -> DataFrame:
+    """repo, doc_id, view, tokens of everything a chunk says: text, stored tokens, route, imports, calls, references, bases, qualified name and handlers."""
+    parts = [tokenize(F.col("text")), F.coalesce("metadata_tokens", F.array().cast("array<string>")), tokenize(F.col("route_path")), *(tokenize(F.array_join(c, " ")) for c in ("imports", "calls", "refs", "inherits")), tokenize(F.col("qualified_name")), tokenize(F.array_join("handler_names", " "))]
+    return chunks.select("repo", F.col("chunk_no").alias("doc_id"), F.lit("chunk").alias("view"), F.concat(*parts).alias("tokens"))
+
+
 def view_tokens(chunks: DataFrame, facts: DataFrame) -> DataFrame:
     """repo, doc_id, view, tokens of the four views from one scan of the chunks."""
     withroles = chunks.join(roles_by_file(facts), ["repo_root", "relpath"], "left")

@@ -39,10 +39,6 @@ def chunk_stats(spark, d):
     return c.groupingSets([["language"], ["parser"], []], "language", "parser").agg(F.count("*").alias("chunks"))
 
 
-def relevant_edges(spark, d):
-    return G.top_edges(_edges(spark, d), 3).select("source", "target", "label", F.col("rank").cast("int").alias("rank"))
-
-
 def relations(spark, d):
     """Outgoing and incoming edges of every class."""
     classes = _units(spark, d).where("symbol_kind = 'class'").select("node")
@@ -144,7 +140,7 @@ def route_anchors(spark, d):
     return j.where(T.route_matches(F.col("route_path"), F.col("literal"))).select("query_id", "chunk_no", "literal", "route_path").distinct()
 
 
-QUERIES = {f.__name__: f for f in (prioritized_resolve, edge_build, edge_stats, chunk_stats, relevant_edges, relations, neighborhood, impact_bfs, reachability, exposed_routes, ppr_fixed_iter, role_memory, overview, file_roles, grep_lines, symbol_search, route_anchors)}
+QUERIES = {f.__name__: f for f in (prioritized_resolve, edge_build, edge_stats, chunk_stats, relations, neighborhood, impact_bfs, reachability, exposed_routes, ppr_fixed_iter, role_memory, overview, file_roles, grep_lines, symbol_search, route_anchors)}
 
 _STEM = lambda x: rf"regexp_replace(lower(list_last(string_split(regexp_replace(regexp_replace({x}, '\\', '/', 'g'), '/+$', ''), '/'))), '^(.+)\.[^.]*$', '\1')"
 _U = f"""{S.CHUNKS}, u AS (SELECT * FROM (SELECT repo, chunk_no AS node, relpath, symbol_name, symbol_kind, qualified_name, route_path, imports, calls, refs, inherits, handler_names,
@@ -200,7 +196,6 @@ ORACLES = {
     "edge_build": S.with_(_E) + "SELECT source, target, label, weight FROM e",
     "edge_stats": S.with_(_E) + "SELECT repo, label, count(*) AS edges, round(sum(weight), 4) AS weight FROM e GROUP BY ROLLUP (repo, label)",
     "chunk_stats": "SELECT language, parser, count(*) AS chunks FROM (SELECT coalesce(language, '?') AS language, coalesce(parser_backend, '?') AS parser FROM code_chunks) GROUP BY GROUPING SETS ((language), (parser), ())",
-    "relevant_edges": S.with_(_E) + 'SELECT source, target, label, rn::INT AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, label DESC, target DESC) AS rn FROM e) WHERE rn <= 3',
     "relations": S.with_(_E) + "SELECT node, 'out' AS direction, target AS other, label, weight FROM e JOIN u ON e.source = u.node AND symbol_kind = 'class' UNION ALL SELECT node, 'in', source, label, weight FROM e JOIN u ON e.target = u.node AND symbol_kind = 'class'",
     "neighborhood": S.with_(_E, _SEED, _bfs("eb", "se", 2, 24)) + "SELECT start, node, depth, parent FROM s2",
     "impact_bfs": S.with_(_E, _SEED, _bfs("e", "se", 3, 12)) + "SELECT start, node, depth, parent FROM s3",

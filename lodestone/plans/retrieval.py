@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import index as I, retrieve as R
+from lodestone.operators import graph as G, index as I, rerank as RR, retrieve as R
+from lodestone.operators.lineage import checkpointed
 from lodestone.sources.tables import chunks, questions, table
 
 from . import sql as S
+from .graphs import _E
 
 K = 5
 
@@ -78,46 +80,117 @@ def dense_topk(spark, d):
     return R.dense_top_k(table(spark, d, "embeddings"), K).select("query_id", "doc_id", "rank", "score")
 
 
+def _plans(spark, d):
+    return RR.query_plans(questions(spark, d))
+
+
+def _facts(spark, d):
+    return table(spark, d, "file_facts").withColumn("repo", T.repository_key(F.col("repo_root")))
+
+
+def query_plan(spark, d):
+    """Mode, intent, target kind, roles and languages that each question asks for."""
+    return _plans(spark, d).select("query_id", "mode", "intent", "target", F.array_join(F.array_sort("roles"), ",").alias("roles"), F.array_join(F.array_sort("languages"), ",").alias("languages"))
+
+
+def _scouted(spark, d):
+    return R.file_scout(_facts(spark, d), I.query_terms(questions(spark, d), expand=True), _plans(spark, d))
+
+
 def file_scout(spark, d):
-    facts = table(spark, d, "file_facts").withColumn("repo", T.repository_key(F.col("repo_root")))
-    hits = R.file_scout(facts, I.query_terms(questions(spark, d), expand=True))
-    return R.top_k(hits, K, "query_id", id_="relpath").select("query_id", "relpath", "rank", "score", "matched")
+    return R.top_k(_scouted(spark, d), K, "query_id", id_="relpath").select("query_id", "relpath", "rank", "score", "matched")
 
 
 def _scores(spark, d):
     c = chunks(spark, d)
-    terms = I.query_terms(questions(spark, d))
-    return c, R.chunk_scores(c, I.content_tokens(c), terms, R.fuse(_parts(spark, d)))
+    terms = I.query_terms(questions(spark, d), expand=True)
+    parts = checkpointed(R.contributions(R.bm25(_views(spark, d), terms)))
+    return c, checkpointed(R.chunk_scores(c, I.chunk_tokens(c), terms, R.fuse(parts)))
 
 
 def chunk_score(spark, d):
     return R.top_k(_scores(spark, d)[1], K, "query_id").select("query_id", "doc_id", "rank", "score", "matched")
 
 
-def candidate_union(spark, d):
+def _candidates(spark, d):
     c, scores = _scores(spark, d)
-    facts = table(spark, d, "file_facts").withColumn("repo", T.repository_key(F.col("repo_root")))
-    return R.candidates(scores, c, R.file_scout(facts, I.query_terms(questions(spark, d), expand=True))).groupBy("query_id").agg(F.count("*").alias("candidates"), F.round(F.sum("score"), 3).alias("total"), F.round(F.max("score"), 4).alias("best"))
+    boosts = checkpointed(R.file_boosts(_scouted(spark, d)))
+    return c, boosts, checkpointed(R.candidates(scores, c, boosts, _plans(spark, d)))
+
+
+def candidate_union(spark, d):
+    return _candidates(spark, d)[2].groupBy("query_id").agg(F.count("*").alias("candidates"), (F.sum(F.round(F.col("score") * 100000).cast("long")) / 100000.0).alias("total"), F.max("score").alias("best"))
+
+
+def relevant_edges(spark, d):
+    """Edges between the five best candidates of each question."""
+    c, _, found = _candidates(spark, d)
+    hits = found.where("rank <= 5").select("query_id", "doc_id")
+    return R.edges_among(G.edges(G.units(c)), hits).select("query_id", "source", "target", "label", F.col("rank").cast("int").alias("rank"))
+
+
+def multiview_rerank(spark, d):
+    """Candidates by the rules of the multi-view rerank, without boosts from graph walks; a chunk is reachable if it stands for a route that the question names."""
+    c, boosts, found = _candidates(spark, d)
+    plans = _plans(spark, d)
+    roles = _facts(spark, d).groupBy("repo", "relpath").agg(F.max("roles").alias("file_roles"))
+    asked = I.query_terms(questions(spark, d), expand=True).groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    with_boost = found.select("query_id", "doc_id", "score").join(c.select(F.col("chunk_no").alias("doc_id"), "relpath"), "doc_id").join(boosts, ["query_id", "relpath"], "left").select("query_id", "doc_id", "score", "boost")
+    named = plans.select("query_id", "repo", F.explode("literals").alias("literal"))
+    routes = found.select("query_id", "doc_id").join(c.where("route_path <> ''").select(F.col("chunk_no").alias("doc_id"), "route_path"), "doc_id")
+    reached = routes.join(named, "query_id").where(T.route_matches(F.col("route_path"), F.col("literal"))).select("query_id", "doc_id").distinct()
+    return RR.reranked(RR.features(with_boost, plans, asked, c, roles, reached), K)
+
+
+def embedding_inputs(spark, d):
+    """Digest of what would be embedded of each chunk."""
+    return chunks(spark, d).select("chunk_no", F.sha2(T.embedding_input(F.col("relpath"), F.col("symbol_name"), F.col("symbol_kind"), F.col("route_path"), F.col("text")), 256).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_chunks, term_freq, doc_freq, view_stats, expand_terms, route_literals, bm25_topk, rrf, multiview_rrf, view_contributions, dense_topk, file_scout, chunk_score, candidate_union)}
+QUERIES = {f.__name__: f for f in (tokenize_chunks, term_freq, doc_freq, view_stats, expand_terms, route_literals, bm25_topk, rrf, multiview_rrf, view_contributions, dense_topk, query_plan, file_scout, chunk_score, candidate_union, relevant_edges, multiview_rerank, embedding_inputs)}
 
 _VIEWS = S.with_(S.CHUNKS, S.QUESTIONS, S.TERMS, S.VIEW_TOKENS, S.BM25, S.PARTS)
-_FILES = f"""f1 AS (SELECT repo, relpath, max(array_to_string(t, ' ') || chr(1) || array_to_string(roles, ' ') || chr(1) || coalesce(language, '')) AS bag FROM (SELECT {S.repo('repo_root')} AS repo, relpath, roles, language,
-    {S.tok("concat_ws(' ', relpath, array_to_string(imports, ' '), array_to_string(symbol_names, ' '), array_to_string(routes, ' '))")} AS t FROM file_facts) GROUP BY ALL),
+_FILES = f"""f1 AS (SELECT repo, relpath, b.bag AS bag, b.roles AS roles FROM (SELECT repo, relpath, max({{'bag': array_to_string(t, ' ') || chr(1) || array_to_string(roles, ' ') || chr(1) || coalesce(language, ''), 'roles': roles}}) AS b FROM (SELECT {S.repo('repo_root')} AS repo, relpath, roles, language,
+    {S.tok("concat_ws(' ', relpath, array_to_string(imports, ' '), array_to_string(symbol_names, ' '), array_to_string(routes, ' '))")} AS t FROM file_facts) GROUP BY ALL)),
   fb AS (SELECT repo, relpath, term, count(*) AS tf FROM (SELECT repo, relpath, unnest(string_split(replace(bag, chr(1), ' '), ' ')) AS term FROM f1) WHERE term <> '' GROUP BY ALL),
   fd AS (SELECT repo, term, count(*) AS df FROM fb GROUP BY ALL), fn AS (SELECT repo, count(*) AS files FROM f1 GROUP BY ALL),
-  sc AS (SELECT query_id, relpath, round(sum((1 + ln(tf)) * (ln((files + 1) / (1 + df)) + 1)), 6) AS score, count(*) AS matched FROM qx JOIN fb USING (repo, term) JOIN fd USING (repo, term) JOIN fn USING (repo) GROUP BY ALL)"""
+  fl2 AS (SELECT query_id, repo, relpath, sum((1 + ln(tf)) * (ln((files + 1) / (1 + df)) + 1)) AS s, count(*) AS matched FROM qx JOIN fb USING (repo, term) JOIN fd USING (repo, term) JOIN fn USING (repo) GROUP BY ALL),
+  sc AS (SELECT query_id, relpath, round(coalesce(s, 0.0) + CASE WHEN n > 0 THEN 3.0 + least(3.0, 0.75 * n) ELSE 0.0 END, 6) AS score, coalesce(matched, 0) AS matched FROM (SELECT pl.query_id, f1.repo, f1.relpath, len(list_intersect(f1.roles, pl.roles)) AS n FROM pl JOIN f1 USING (repo)) LEFT JOIN fl2 USING (query_id, repo, relpath) WHERE n > 0 OR matched > 0)"""
+_LIST = lambda rules: "list_distinct(" + " || ".join(f"CASE WHEN {c} THEN {list(v)!r} ELSE [] END" for c, v in rules) + ")"
+_PLAN = f"""pq AS (SELECT *, len(literals) > 0 AS routed FROM (SELECT query_id, repo, lower(coalesce(question, '')) AS low, {S.tok('question')} AS toks, {S.routes('question')} AS literals FROM q)),
+  pl AS (SELECT query_id, repo, low, toks, literals, routed, {RR.MODE} AS mode, {RR.INTENT} AS intent, {RR.KIND} AS target, {_LIST(RR.ROLES)} AS roles, {_LIST(RR.LANGUAGES)} AS languages FROM pq)"""
 _QX = S.EXPANDED.replace("qt AS", "qx AS", 1)
-_SCORES = f"""dn AS (SELECT repo, count(*) AS docs FROM c GROUP BY ALL), cd AS (SELECT repo, term, count(*) AS df FROM tf WHERE "view" = 'content' GROUP BY ALL),
-  lx AS (SELECT query_id, doc_id, least(6.0, sum(least(1.5, (1 + ln(tf)) * (ln((docs + 1) / (1 + df)) + 1)))) AS lexical, count(*) AS matched FROM qt JOIN tf ON qt.repo = tf.repo AND qt.term = tf.term AND "view" = 'content' JOIN cd ON cd.repo = tf.repo AND cd.term = tf.term JOIN dn ON dn.repo = tf.repo GROUP BY ALL),
+_CHUNK_TOKENS = " || ".join([S.tok("text"), "coalesce(metadata_tokens, [])", S.tok("route_path"), *(S.tok(f"array_to_string({c}, ' ')") for c in ("imports", "calls", "refs", "inherits")), S.tok("qualified_name"), S.tok("array_to_string(handler_names, ' ')")])
+_SCORES = f"""ck AS (SELECT repo, chunk_no AS doc_id, {_CHUNK_TOKENS} AS tokens FROM c), cf AS (SELECT repo, doc_id, term, count(*) AS tf FROM (SELECT repo, doc_id, unnest(tokens) AS term FROM ck) GROUP BY ALL),
+  dn AS (SELECT repo, count(*) AS docs FROM c GROUP BY ALL), cd AS (SELECT repo, term, count(*) AS df FROM cf GROUP BY ALL),
+  lx AS (SELECT query_id, doc_id, least(6.0, sum(least(1.5, (1 + ln(tf)) * (ln((docs + 1) / (1 + df)) + 1)))) AS lexical, count(*) AS matched FROM qt JOIN cf USING (repo, term) JOIN cd USING (repo, term) JOIN dn USING (repo) GROUP BY ALL),
   qa AS (SELECT query_id, list(DISTINCT term) AS terms FROM qt GROUP BY ALL),
-  b0 AS (SELECT query_id, doc_id, matched, symbol_kind, language, route_path, len(calls) AS calls, terms,
-      lexical + 16.0 * coalesce(score, 0.0) + least(6.0, 2.5 * len(list_intersect(terms, {S.tok('symbol_name')}))) + least(8.0, 3.0 * len(list_intersect(terms, {S.tok('relpath')}))) + least(5.0, 2.0 * len(list_intersect(terms, {S.tok('route_path')}))) AS s
-    FROM lx LEFT JOIN fu USING (query_id, doc_id) JOIN c ON chunk_no = doc_id JOIN qa USING (query_id)),
+  b0 AS (SELECT query_id, doc_id, coalesce(matched, 0) AS matched, symbol_kind, language, route_path, len(calls) AS calls, terms,
+      coalesce(lexical, 0.0) + 16.0 * coalesce(score, 0.0) + least(6.0, 2.5 * len(list_intersect(terms, {S.tok('symbol_name')}))) + least(8.0, 3.0 * len(list_intersect(terms, {S.tok('relpath')}))) + least(5.0, 2.0 * len(list_intersect(terms, {S.tok('route_path')}))) AS s
+    FROM (SELECT query_id, doc_id, lexical, matched, score FROM lx FULL JOIN fu USING (query_id, doc_id) WHERE matched IS NOT NULL OR score >= 0.16) JOIN c ON chunk_no = doc_id JOIN qa USING (query_id)),
   cs AS (SELECT query_id, doc_id, matched, round(CASE WHEN symbol_kind IN ('function', 'class', 'route') THEN s + 0.25 ELSE s * 0.38 END
       + CASE WHEN list_contains(terms, language) THEN 10.0 ELSE 0.0 END + CASE WHEN route_path <> '' THEN 0.3 ELSE 0.0 END + 0.08 * least(calls, 6), 5) AS score FROM b0)"""
-_ALL = S.with_(S.CHUNKS, S.QUESTIONS, S.TERMS, S.VIEW_TOKENS, S.BM25, S.PARTS, _SCORES)
+_ALL = S.with_(S.CHUNKS, S.QUESTIONS, S.EXPANDED, S.VIEW_TOKENS, S.BM25, S.PARTS, _SCORES)
+_CAND = f"""tf48 AS (SELECT query_id, relpath, least(2.5, greatest(0.0, score * 0.08)) AS boost FROM {S.ranked('sc', 48, id_='relpath')}),
+  un AS (SELECT tf48.query_id, c.chunk_no AS doc_id, greatest(coalesce(cs.score, 0.0), 0.0) + boost + CASE WHEN coalesce(symbol_name, '') = '' THEN CASE WHEN intent IN ('frontend_lookup', 'style_lookup', 'code_lookup') THEN 0.8 ELSE -1.2 END ELSE 0.0 END AS score
+      FROM tf48 JOIN pl USING (query_id) JOIN c ON c.repo = pl.repo AND c.relpath = tf48.relpath LEFT JOIN cs ON cs.query_id = tf48.query_id AND cs.doc_id = c.chunk_no WHERE cs.score > 0 OR coalesce(symbol_name, '') = ''
+    UNION ALL SELECT x.query_id, doc_id, x.score + coalesce(boost, 0.0) FROM {S.ranked('cs', 72)} x JOIN c ON chunk_no = doc_id LEFT JOIN tf48 ON tf48.query_id = x.query_id AND tf48.relpath = c.relpath),
+  mg AS (SELECT query_id, doc_id, round(max(score), 5) AS score FROM un GROUP BY ALL), cn AS (SELECT * FROM {S.ranked('mg', 48)})"""
+_CANDS = S.with_(S.CHUNKS, S.QUESTIONS, S.EXPANDED, S.VIEW_TOKENS, S.BM25, S.PARTS, _SCORES, _QX, _PLAN, _FILES, _CAND).rstrip()
+_SAME = "MAP {" + ", ".join(f"'{k}': {list(v)!r}" for k, v in RR.SAME_ACTIONS.items()) + "}"
+_STRIP = lambda x: f"CASE WHEN rtrim({x}, '/') = '' THEN '/' ELSE rtrim({x}, '/') END"
+_MATCH = lambda r, l: f"({_STRIP(r)} = {_STRIP(l)} OR (contains({r}, ':') AND regexp_full_match({_STRIP(l)}, regexp_replace({_STRIP(r)}, ':[A-Za-z_][A-Za-z0-9_]*', '[^/]+', 'g'))))"
+_EXCL = "(" + " OR ".join([*(f"((contains(low, 'not the {w}') OR contains(low, 'not {w}') OR ({RR.says(*RR.CONTRASTS)} AND contains(low, '{w}'))) AND contains(label, '{w}'))" for w in RR.EXCLUDED), *(f"(contains(low, '{m}') AND list_has_any(placed, list_filter({S.tok(f'substring(low, strpos(low, {m!r}) + {len(m)})')}, lambda x: NOT list_contains({list(RR.NO_CONTRAST)!r}, x))))" for m in RR.CONTRASTS)]) + ")"
+_RERANK = f"""pa AS (SELECT *, list_distinct(own || flatten(list_transform(own, lambda a: coalesce(({_SAME})[a], [])))) AS wanted, CASE WHEN first = '' THEN [] ELSE [first] || coalesce(({_SAME})[first], []) END AS prim FROM
+    (SELECT *, list_intersect(toks, {list(RR.ACTIONS)!r}) || CASE WHEN list_contains(toks, 'handler') THEN ['handle'] ELSE [] END || CASE WHEN list_contains(toks, 'retrieval') THEN ['retrieve'] ELSE [] END AS own, coalesce(list_filter(toks, lambda t: list_contains({list(RR.ACTIONS)!r}, t))[1], '') AS first FROM pl)),
+  fr2 AS (SELECT repo, relpath, max(roles) AS fr FROM (SELECT {S.repo('repo_root')} AS repo, relpath, roles FROM file_facts) GROUP BY ALL),
+  ft AS (SELECT cn.query_id, cn.doc_id, c.relpath, coalesce(c.start_line, 0) AS start_line, low, intent, target, coalesce(c.language, '') AS language, coalesce(c.symbol_kind, '') AS kind, coalesce(c.symbol_name, '') AS symbol, cn.score AS base, coalesce(boost, 0.0) AS boost, routed,
+      len(list_filter(literals, lambda l: coalesce(c.route_path, '') <> '' AND {_MATCH("coalesce(c.route_path, '')", 'l')})) > 0 AS reachable, len(list_filter(literals, lambda l: {_MATCH("coalesce(c.route_path, '')", 'l')})) = 0 AS off_route,
+      coalesce(list_has_any(fr, pa.roles), false) AS roles_match, list_contains(languages, coalesce(c.language, '')) AS language_match, coalesce(list_contains(fr, 'frontend_logic'), false) AS logic, coalesce(list_contains(fr, 'page_shell'), false) AS shell, coalesce(list_contains(fr, 'config'), false) AS config_file, coalesce(list_contains(fr, 'tests'), false) AS test_file, coalesce(list_contains(fr, 'docs'), false) AS doc_file,
+      list_intersect({S.tok('c.symbol_name')}, wanted) AS acted, prim, first, len(list_intersect({S.tok("array_to_string(c.calls, ' ')")}, qa.terms)) AS calls_match, list_contains(toks, 'call') AS asks_call, lower(c.relpath || CASE WHEN coalesce(c.symbol_name, '') <> '' THEN ':' || c.symbol_name ELSE '' END) AS label, {S.tok("concat_ws(' ', coalesce(c.symbol_name, ''), coalesce(c.route_path, ''), c.relpath)")} AS placed
+    FROM cn JOIN pa USING (query_id) JOIN qa USING (query_id) JOIN c ON c.chunk_no = cn.doc_id LEFT JOIN fr2 ON fr2.repo = pa.repo AND fr2.relpath = c.relpath LEFT JOIN tf48 ON tf48.query_id = cn.query_id AND tf48.relpath = c.relpath),
+  fx AS (SELECT *, len(acted) AS acts, list_has_any(acted, prim) AS primary_same, list_contains(acted, first) AS primary_own, {_EXCL} AS excluded FROM ft),
+  rr AS (SELECT query_id, doc_id, relpath, start_line, round({RR.total_sql()}, 5) AS score FROM fx)"""
 
 ORACLES = {
     "tokenize_chunks": f"SELECT chunk_no, array_to_string({S.tok('text')}, ' ') AS tokens FROM code_chunks",
@@ -132,12 +205,11 @@ ORACLES = {
     "view_contributions": _VIEWS + f"SELECT query_id, doc_id, \"view\", round(part, 9) AS part FROM pr JOIN (SELECT query_id, doc_id FROM {S.ranked('fu', 1)}) USING (query_id, doc_id)",
     "dense_topk": f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(least(1.0, greatest(0.0, (list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2)), 6) AS score
       FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) SELECT query_id, doc_id, "rank", score FROM {S.ranked('p', K)}""",
-    "file_scout": S.with_(S.QUESTIONS, _QX, _FILES) + f"SELECT query_id, relpath, \"rank\", score, matched FROM {S.ranked('sc', K, id_='relpath')}",
+    "query_plan": S.with_(S.QUESTIONS, _PLAN) + "SELECT query_id, mode, intent, target, array_to_string(list_sort(roles), ',') AS roles, array_to_string(list_sort(languages), ',') AS languages FROM pl",
+    "embedding_inputs": "SELECT chunk_no, sha256(concat_ws(chr(10), relpath, symbol_name, symbol_kind, route_path, left(coalesce(text, ''), 3000))) AS digest FROM code_chunks",
+    "relevant_edges": _CANDS + ",\n  u AS (SELECT * FROM" + _E.split("u AS (SELECT * FROM", 1)[1] + ", h5 AS (SELECT query_id, doc_id FROM cn WHERE \"rank\" <= 5) SELECT query_id, source, target, label, rn::INT AS \"rank\" FROM (SELECT e.*, a.query_id, row_number() OVER (PARTITION BY a.query_id ORDER BY weight DESC, source, target, label) AS rn FROM e JOIN h5 a ON a.doc_id = e.source JOIN h5 b ON b.doc_id = e.target AND b.query_id = a.query_id) WHERE rn <= 12",
+    "multiview_rerank": _CANDS + f",\n  {_RERANK} SELECT query_id, doc_id, rn::INT AS \"rank\", score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, relpath, start_line, doc_id) AS rn FROM rr WHERE score > 0) WHERE rn <= {K}",
+    "file_scout": S.with_(S.QUESTIONS, _QX, _PLAN, _FILES) + f"SELECT query_id, relpath, \"rank\", score, matched FROM {S.ranked('sc', K, id_='relpath')}",
     "chunk_score": _ALL + f"SELECT query_id, doc_id, \"rank\", score, matched FROM {S.ranked('cs', K)}",
-    "candidate_union": S.with_(S.CHUNKS, S.QUESTIONS, S.TERMS, S.VIEW_TOKENS, S.BM25, S.PARTS, _SCORES, _QX, _FILES).rstrip() + f""",
-  tf48 AS (SELECT query_id, relpath, least(2.5, greatest(0.0, score * 0.08)) AS boost FROM {S.ranked('sc', 48, id_='relpath')}),
-  bo AS (SELECT cs.query_id, cs.doc_id, score, symbol_name, boost FROM cs JOIN c ON chunk_no = doc_id LEFT JOIN tf48 ON tf48.query_id = cs.query_id AND tf48.relpath = c.relpath),
-  un AS (SELECT query_id, doc_id, greatest(score, 0.0) + boost + CASE WHEN symbol_name = '' THEN -1.2 ELSE 0.0 END AS score FROM bo WHERE boost IS NOT NULL UNION ALL SELECT query_id, doc_id, score + coalesce(boost, 0.0) FROM {S.ranked('bo', 72)}),
-  mg AS (SELECT query_id, doc_id, round(max(score), 5) AS score FROM un GROUP BY ALL)
-  SELECT query_id, count(*) AS candidates, round(sum(score), 3) AS total, round(max(score), 4) AS best FROM {S.ranked('mg', 48)} GROUP BY ALL""",
+    "candidate_union": _CANDS + " SELECT query_id, count(*) AS candidates, sum(round(score * 100000)::BIGINT)::DOUBLE / 100000.0::DOUBLE AS total, max(score) AS best FROM cn GROUP BY ALL",
 }
