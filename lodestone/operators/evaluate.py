@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 SEED = 17
@@ -80,3 +82,22 @@ def repository_splits(cases: DataFrame, seed: int = SEED) -> DataFrame:
     dev = F.greatest(F.lit(1), F.round(F.col("total") * RATIOS[1][1]))
     dev = F.when(train + dev >= F.col("total"), F.greatest(F.lit(1), F.col("total") - train - 1)).otherwise(dev)
     return ranked.select("repo", F.when(F.col("rank") <= train, "train").when(F.col("rank") <= train + dev, "dev").otherwise("test").alias("split"))
+
+
+def hash_sample(questions: DataFrame, repos: DataFrame, total: int, seed: int = SEED) -> DataFrame:
+    """query_id, repo: at most ``total`` questions.  Repositories come in the order of their seeded hash; each takes the
+    share of what is left, rounded up, at least one, as far as it has questions.  Sequential by definition, over one row per repository."""
+    order = sorted(((r["n"], r["repo"]) for r in repos.select("repo", "n").collect()), key=lambda x: hashlib.sha256(f"{seed}:{x[1]}".encode()).hexdigest())
+    takes, left = [], total
+    for i, (n, repo) in enumerate(order):
+        take = min(n, max(1, -(-left // (len(order) - i))) if left > 0 else 0)
+        takes.append((repo, take))
+        left -= take
+    spark = questions.sparkSession
+    t = spark.createDataFrame(takes, "repo string, take long").where("take > 0")
+    first = W.partitionBy("repo").orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("query_id").cast("string")), 256), "query_id")
+    return questions.join(t, "repo").withColumn("i", F.row_number().over(first)).where("i <= take").select("query_id", "repo")
+
+
+#: The same order and shares as a recursive query over b (repo, n, i, m).
+SAMPLE_SQL = """r AS (SELECT 0::BIGINT AS i, {total}::BIGINT AS lf, NULL::VARCHAR AS repo, 0::BIGINT AS take UNION ALL SELECT b.i, r.lf - least(b.n, CASE WHEN r.lf > 0 THEN greatest(1, ceil(r.lf / (b.m - b.i + 1))::BIGINT) ELSE 0 END), b.repo, least(b.n, CASE WHEN r.lf > 0 THEN greatest(1, ceil(r.lf / (b.m - b.i + 1))::BIGINT) ELSE 0 END) FROM r JOIN b ON b.i = r.i + 1), tk AS (SELECT repo, take FROM r WHERE take > 0)"""

@@ -35,14 +35,18 @@ def names_asked(u: DataFrame) -> DataFrame:
 
 
 def resolve(u: DataFrame, asked: DataFrame) -> DataFrame:
-    """Prioritised join: qualified names before bare ones, the same file before others; all that tie stay."""
+    """Prioritised join: qualified names before bare ones, the same file before others; all that tie stay.
+
+    The tier of a name is settled among its definitions, before any caller meets them, and callers with a definition in
+    their own file meet that one only; no window sees callers times definitions."""
     named = F.array(F.struct(F.lit(1).alias("tier"), F.lower("qualified_name").alias("name")), F.struct(F.lit(2).alias("tier"), F.lower("symbol_name").alias("name")))
-    targets = u.select("repo", F.col("node").alias("target"), F.col("relpath").alias("there"), F.inline(named)).where("name <> ''")
-    found = asked.join(targets, ["repo", "name"])
-    per = W.partitionBy("source", "label", "name")
-    best = found.withColumn("first", F.min("tier").over(per)).where("tier = first")
-    here = best.withColumn("same", F.col("there") == F.col("relpath")).withColumn("any", F.max("same").over(per))
-    return here.where("same or not any").select("repo", "source", "target", "label", "name", "tier", "same")
+    targets = u.select("repo", F.col("node").alias("target"), F.col("relpath").alias("relpath"), F.inline(named)).where("name <> ''")
+    tiers = targets.groupBy("repo", "name").agg(F.min("tier").alias("tier"))
+    targets = targets.join(tiers, ["repo", "name", "tier"]).select("repo", "name", "tier", "target", "relpath")
+    own = asked.join(targets, ["repo", "name", "relpath"]).select("repo", "source", "target", "label", "name", "tier", F.lit(True).alias("same"))
+    without = asked.join(targets.select("repo", "name", "relpath").distinct(), ["repo", "name", "relpath"], "left_anti")
+    far = without.join(targets.drop("relpath"), ["repo", "name"]).select("repo", "source", "target", "label", "name", "tier", F.lit(False).alias("same"))
+    return own.unionByName(far)
 
 
 def stem(col):
@@ -87,6 +91,35 @@ def bounded_bfs(e: DataFrame, seeds: DataFrame, depth: int, fanout: int) -> Data
     return seen
 
 
+def impact(e: DataFrame, targets: DataFrame, depth: int = 3, fanout: int = FANOUT_IMPACT, most: int = 24) -> DataFrame:
+    """start, node, direction, depth, weight, rank: what each target reaches along edges (forward) and what reaches it (reverse).
+
+    Every node expands its ``fanout`` best edges; a node counts where it is met first, by the heaviest path of that level
+    and then the smallest parent; at most ``most`` nodes per target and direction, by depth and path weight."""
+    both = e.select(F.lit("forward").alias("direction"), "repo", "source", "target", "label", "weight").unionByName(e.select(F.lit("reverse").alias("direction"), "repo", F.col("target").alias("source"), F.col("source").alias("target"), "label", "weight"))
+    order = W.partitionBy("direction", "source").orderBy(F.col("weight").desc(), F.col("label").desc(), F.col("target").desc())
+    kept = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= fanout).groupBy("direction", F.col("source").alias("node"), "target").agg(F.max("weight").alias("step"))
+    steps = checkpointed(kept)
+    seen = targets.select(F.col("node").alias("start"), "node", F.explode(F.array(F.lit("forward"), F.lit("reverse"))).alias("direction"), F.lit(0).alias("depth"), F.lit(0.0).alias("weight"))
+    seen = checkpointed(seen)
+    front = seen
+    for level in range(1, max(1, min(depth, 5)) + 1):
+        reached = front.join(steps, ["direction", "node"]).groupBy("start", "direction", F.col("target").alias("node")).agg(F.max(F.col("weight") + F.col("step")).alias("weight"))
+        front = checkpointed(reached.join(seen.select("start", "direction", "node"), ["start", "direction", "node"], "left_anti").select("start", "node", "direction", F.lit(level).alias("depth"), F.round("weight", 4).alias("weight")))
+        seen = seen.unionByName(front)
+    first = W.partitionBy("start", "direction").orderBy("depth", F.col("weight").desc(), "node")
+    return seen.where("depth > 0").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most)
+
+
+def route_anchors(e: DataFrame, anchors: DataFrame, handlers: DataFrame, depth: int = 3, fanout: int = FANOUT_ROUTE) -> DataFrame:
+    """start, node, depth, boost of what each anchor (start, node) reaches by its ``fanout`` best edges: 9 less 1.4 a level, at least 1.2, for functions called directly 7 more, for routes 0.35 of it.
+
+    handlers: node, kind."""
+    walked = bounded_bfs(e, anchors, depth, fanout).where("depth > 0")
+    base = F.greatest(F.lit(1.2), 9.0 - (F.col("depth") - 1) * 1.4) + F.when((F.col("depth") == 1) & (F.col("kind") == "function"), 7.0).otherwise(0.0)
+    return walked.join(handlers, "node").select("start", "node", "depth", F.round(F.when(F.col("kind") == "route", base * 0.35).otherwise(base), 4).alias("boost"))
+
+
 def pagerank(e: DataFrame, teleport: DataFrame, iterations: int, damping: float = 0.85, tolerance: float | None = None, every: int = 4) -> DataFrame:
     """node, rank of personalised PageRank over merged, clamped and row-normalised edges; dangling mass returns to the
     teleport nodes.  teleport: group, node, share (summing to 1 per group); nodes of a group meet only their own mass.

@@ -111,10 +111,22 @@ def group_by_repo_and_tag(spark, d):
 
 
 def suite_digest(spark, d):
-    """Digest of each suite's frozen cases, independent of row order."""
+    """Digest of each suite's frozen cases: canonical JSON of each, sorted by id; independent of row order."""
     s = table(spark, d, "benchmark_challenge_suite")
-    line = F.sha2(F.concat_ws("\u0001", F.col("case_no").cast("string"), F.coalesce("id", F.lit("")), F.coalesce("repo", F.lit("")), F.coalesce("question", F.lit(""))), 256)
-    return s.select("suite_id", line.alias("h")).groupBy("suite_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("digest"))  # a suite holds up to 260 cases
+    doc = T.canonical_json(**{c: F.col(c) for c in ("expected_path", "expected_symbol_contains", "id", "question", "repo")})
+    cases = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("id", F.lit("")).alias("id"), doc.alias("doc")))), lambda x: x["doc"])  # a suite holds up to 260 cases
+    return s.groupBy("suite_id").agg(F.count("*").alias("cases"), F.sha2(F.concat(F.lit("["), F.array_join(cases, ","), F.lit("]")), 256).alias("digest"))
+
+
+def suite_verify(spark, d):
+    """Each suite's digest now against that of its cases before the last day on which any were added: whether it was changed since."""
+    s = table(spark, d, "benchmark_challenge_suite")
+    day = s.groupBy("suite_id").agg(F.max(F.to_date("added_at")).alias("last"))
+    doc = T.canonical_json(**{c: F.col(c) for c in ("id", "question", "repo")})
+    old = s.join(day, "suite_id").withColumn("doc", doc).withColumn("early", F.to_date("added_at") < F.col("last"))
+    digest = lambda cond: F.sha2(F.array_join(F.array_sort(F.collect_list(F.when(cond, F.col("doc")))), ","), 256)
+    g = old.groupBy("suite_id").agg(digest(F.lit(True)).alias("now"), digest(F.col("early")).alias("frozen"), F.count_if(F.col("early")).alias("frozen_cases"))
+    return g.select("suite_id", "frozen_cases", (F.col("now") == F.col("frozen")).alias("unchanged"))
 
 
 def claim_conflicts(spark, d):
@@ -143,13 +155,70 @@ def pairwise_interactions(spark, d):
     return j.select("a", "b", "both", F.round(F.col("both") - F.col("na") * F.col("nb") / F.col("cases"), 5).alias("synergy"))
 
 
-def manifest_hash(spark, d):
-    """Stored analyses whose digest does not match their text, and texts' own digests."""
-    f = table(spark, d, "file_analysis").select("file_no", F.sha2(F.coalesce("source_text", F.lit("")), 256).alias("sha256"), F.length(F.coalesce("source_text", F.lit(""))).alias("size"))
-    return f
+def manifest_verify(spark, d):
+    """Stored analyses by whether their recorded digest is that of their text, and if not, why: text without a record, a record without text, or another digest.
+
+    A record may be a digest's leading digits; letter case and a scheme in front do not matter."""
+    f = table(spark, d, "file_analysis")
+    own = F.sha2(F.col("source_text"), 256)
+    kept = F.lower(F.regexp_replace(F.trim("content_digest"), "^[A-Za-z0-9]+:", ""))
+    some = F.col("source_text").isNotNull()
+    reason = F.when(some & F.coalesce(kept == "", F.lit(True)), "no_record").when(~some & (kept != ""), "no_text").when(some & ~F.startswith(own, kept), "sha256_mismatch")
+    return f.groupBy(F.coalesce(reason, F.lit("match")).alias("reason")).agg(F.count("*").alias("files"), F.min("file_no").alias("first_file"))
+
+
+def repository_sample(spark, d):
+    """At most fifty questions, dealt over the repositories in the order of their hash: each takes its share of what is left, at least one, in the order of the questions' hash."""
+    q = questions(spark, d)
+    by = q.groupBy("repo").agg(F.count("*").alias("n"))
+    return E.hash_sample(q, by, 50)
+
+
+def inferred_repository(spark, d):
+    """The one repository whose chunks are judged relevant to a question; questions judged in none or several have none."""
+    r = chunks(spark, d).select(F.col("chunk_no").alias("doc_id"), F.col("repo_root"))
+    g = qrels(spark, d).join(r, "doc_id").groupBy("query_id").agg(F.count_distinct("repo_root").alias("n"), F.min("repo_root").alias("repo_root"))
+    return g.select("query_id", "n", F.when(F.col("n") == 1, F.col("repo_root")).alias("repo_root"))
+
+
+def needle_audit(spark, d):
+    """Cases whose expected symbol no symbol of their repository contains, by name or as a route's name of verb and tail."""
+    s = table(spark, d, "benchmark_challenge_suite").select("case_no", T.repository_key(F.col("repo")).alias("repo"), F.lower(F.trim("expected_symbol_contains")).alias("needle")).where("repo is not null and needle <> ''")
+    names = chunks(spark, d).where("repo is not null and symbol_name <> ''").select("repo", F.lower("symbol_name").alias("name")).distinct()
+    asked = s.select("repo", "needle").distinct()
+    held = asked.join(names, "repo").where(F.col("name").contains(F.col("needle"))).select("repo", "needle").distinct()
+    return s.join(held.withColumn("found", F.lit(True)), ["repo", "needle"], "left").select("case_no", F.coalesce("found", F.lit(False)).alias("found"))
 
 
-QUERIES = {f.__name__: f for f in (eval_qrels, eval_per_query, eval_by_method, eval_by_repo, ablation_variants, paired_deltas, bootstrap_ci, split_assign, split_summary, split_audit, suite_audit, group_by_repo_and_tag, suite_digest, claim_conflicts, pareto_front, pairwise_interactions, manifest_hash)}
+def counterfactual(spark, d):
+    """Per variant: how often the right chunk comes first, and how often a distractor of the case does, over the cases that have distractors."""
+    r = rankings(spark, d).where("rank <= 10")
+    c = table(spark, d, "benchmark_challenge_suite").select(F.col("case_no").alias("query_id"), F.transform("distractor_symbol_contains", lambda x: F.lower(x)).alias("wrong")).where(F.size("wrong") > 0)
+    named = r.join(c, "query_id").join(chunks(spark, d).select(F.col("chunk_no").alias("doc_id"), F.lower(F.coalesce("symbol_name", F.lit(""))).alias("name")), "doc_id")
+    wrong = F.exists("wrong", lambda w: (w != "") & F.col("name").contains(w))
+    g = named.groupBy("method", "query_id").agg(F.min(F.when(wrong, F.col("rank"))).alias("distractor_rank"))
+    return g.groupBy("method").agg(F.count("*").alias("cases"), F.count_if(F.col("distractor_rank") == 1).alias("distractor_top1"), F.round(F.avg((F.coalesce(F.col("distractor_rank"), F.lit(0)) == 1).cast("double")), 5).alias("distractor_rate"))
+
+
+def diagnose(spark, d):
+    """Taxonomy of the multi-view cases: found first, near (second or third), deep, or missed, and the share that would be first if near ones were promoted."""
+    c = _cases(spark, d).where("method = 'multiview'")
+    label = F.when(F.col("rank") == 1, "first").when(F.col("rank") <= 3, "near").when(F.col("rank").isNotNull(), "deep").otherwise("missed")
+    g = c.groupBy(label.alias("label")).agg(F.count("*").alias("cases"))
+    n = c.agg(F.count("*").alias("all"), F.round(F.avg((F.coalesce(F.col("rank"), F.lit(999)) <= 3).cast("double")), 5).alias("projected_top1"))
+    return g.join(F.broadcast(n)).select("label", "cases", F.round(F.col("cases") / F.col("all"), 5).alias("share"), "projected_top1")
+
+
+def split_members(spark, d):
+    """Cases and repositories of each split with the digest of its sorted case numbers."""
+    s = questions(spark, d).join(_splits(spark, d), "repo")
+    by = s.select("split", "repo", "query_id", F.sha2(F.col("query_id").cast("string"), 256).alias("h"))
+    # an order-free digest: sums of four slices of the hashes, so that no split is collected
+    part = lambda i: F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"s{i}")
+    return by.groupBy("split").agg(F.count("*").alias("cases"), F.count_distinct("repo").alias("repos"), F.min("query_id").alias("first_case"), *(part(i) for i in range(2)))
+
+
+QUERIES = {f.__name__: f for f in (eval_qrels, eval_per_query, eval_by_method, eval_by_repo, ablation_variants, paired_deltas, bootstrap_ci, split_assign, split_summary, split_audit, suite_audit, group_by_repo_and_tag, suite_digest, suite_verify, claim_conflicts, pareto_front, pairwise_interactions, manifest_verify, repository_sample, inferred_repository, needle_audit, counterfactual, diagnose, split_members)}
 
 _MEMBERS = "CASE " + " ".join(f"WHEN method = '{m}' THEN \"view\" IN ({', '.join(map(repr, v))})" for m, v in VARIANTS.items()) + " END"
 _CASES = S.with_(S.CHUNKS, S.QUESTIONS, S.TERMS, S.VIEW_TOKENS, S.BM25, S.PARTS).rstrip() + f""",
@@ -169,6 +238,12 @@ _SPLIT = f"""{S.QUESTIONS}, nm AS (SELECT DISTINCT repo FROM q), rn AS (SELECT r
   rt AS (SELECT *, greatest(1, round(n * 0.6)) AS tr, greatest(1, round(n * 0.2)) AS dv FROM rn),
   sp AS (SELECT repo, CASE WHEN r <= tr THEN 'train' WHEN r <= tr + CASE WHEN tr + dv >= n THEN greatest(1, n - tr - 1) ELSE dv END THEN 'dev' ELSE 'test' END AS split FROM rt)"""
 _SUITE = "benchmark_challenge_suite"
+
+
+def _JSON(*names: str) -> str:
+    return "'{' || " + " || ',' || ".join(f"""'"{n}":' || coalesce(to_json({n}::VARCHAR)::VARCHAR, 'null')""" for n in sorted(names)) + " || '}'"
+
+
 ORACLES = {
     "eval_qrels": _CASES + "SELECT query_id, doc_id, relevance FROM ql",
     "eval_per_query": _CASES + "SELECT * FROM ca",
@@ -183,9 +258,16 @@ ORACLES = {
     "suite_audit": f"""SELECT suite_id, cases, no_path, hard_negatives, no_distractor, no_repo, coalesce(repeated_ids, 0) AS repeated_ids FROM (SELECT suite_id, count(*) AS cases, count(*) FILTER (expected_path IS NULL) AS no_path, count(*) FILTER (list_contains(tags, 'hard-negative')) AS hard_negatives, count(*) FILTER (len(distractor_symbol_contains) = 0) AS no_distractor, count(*) FILTER (coalesce(trim(repo), '') = '') AS no_repo FROM {_SUITE} GROUP BY ALL)
       LEFT JOIN (SELECT suite_id, count(*) AS repeated_ids FROM (SELECT suite_id, lower(trim(id)) AS k FROM {_SUITE} WHERE trim(id) <> '' GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL) USING (suite_id)""",
     "group_by_repo_and_tag": S.with_(S.QUESTIONS) + f"SELECT repo, tag, count(DISTINCT query_id) AS cases FROM (SELECT query_id, q.repo, tag FROM q JOIN (SELECT case_no, unnest(CASE WHEN len(tags) = 0 THEN [NULL] ELSE list_distinct(tags) END) AS tag FROM {_SUITE}) t ON t.case_no = q.query_id) GROUP BY GROUPING SETS ((repo), (tag), ())",
-    "suite_digest": f"SELECT suite_id, sha256(string_agg(h, ',' ORDER BY h)) AS digest FROM (SELECT suite_id, sha256(case_no::VARCHAR || chr(1) || coalesce(id, '') || chr(1) || coalesce(repo, '') || chr(1) || coalesce(question, '')) AS h FROM {_SUITE}) GROUP BY ALL",
+    "suite_digest": f"SELECT suite_id, count(*) AS cases, sha256('[' || string_agg(doc, ',' ORDER BY i, doc) || ']') AS digest FROM (SELECT suite_id, coalesce(id, '') AS i, {_JSON('expected_path', 'expected_symbol_contains', 'id', 'question', 'repo')} AS doc FROM {_SUITE}) GROUP BY ALL",
+    "suite_verify": f"SELECT suite_id, count(*) FILTER (early) AS frozen_cases, coalesce(string_agg(doc, ',' ORDER BY doc), '') = coalesce(string_agg(doc, ',' ORDER BY doc) FILTER (early), '') AS unchanged FROM (SELECT suite_id, {_JSON('id', 'question', 'repo')} AS doc, added_at::DATE < max(added_at::DATE) OVER (PARTITION BY suite_id) AS early FROM {_SUITE}) GROUP BY ALL",
+    "repository_sample": S.with_(S.QUESTIONS).replace("WITH ", "WITH RECURSIVE ", 1) + ", b AS (SELECT repo, count(*) AS n, row_number() OVER (ORDER BY sha256('17:' || repo)) AS i, count(*) OVER () AS m FROM q GROUP BY repo), " + E.SAMPLE_SQL.format(total=50) + " SELECT query_id, repo FROM (SELECT q.query_id, q.repo, take, row_number() OVER (PARTITION BY q.repo ORDER BY sha256('17:' || q.query_id), q.query_id) AS rn FROM q JOIN tk USING (repo)) WHERE rn <= take",
+    "inferred_repository": _CASES + "SELECT query_id, count(DISTINCT repo_root) AS n, CASE WHEN count(DISTINCT repo_root) = 1 THEN min(repo_root) END AS repo_root FROM ql JOIN c ON chunk_no = doc_id GROUP BY query_id",
+    "needle_audit": S.with_(S.CHUNKS) + f", s AS (SELECT case_no, {S.repo('repo')} AS repo, lower(trim(expected_symbol_contains)) AS needle FROM {_SUITE}) SELECT case_no, EXISTS (SELECT 1 FROM c WHERE c.repo = s.repo AND contains(lower(symbol_name), needle)) AS found FROM s WHERE repo IS NOT NULL AND needle <> ''",
+    "counterfactual": _CASES + f", g AS (SELECT method, query_id, min(CASE WHEN len(list_filter(distractor_symbol_contains, lambda w: w <> '' AND contains(lower(coalesce(symbol_name, '')), lower(w)))) > 0 THEN \"rank\" END) AS dr FROM rk JOIN {_SUITE} ON case_no = query_id JOIN c ON c.chunk_no = doc_id WHERE \"rank\" <= 10 AND len(distractor_symbol_contains) > 0 GROUP BY ALL) SELECT method, count(*) AS cases, count(*) FILTER (dr = 1) AS distractor_top1, round(avg((coalesce(dr, 0) = 1)::INT), 5) AS distractor_rate FROM g GROUP BY ALL",
+    "diagnose": _CASES + ", t AS (SELECT CASE WHEN \"rank\" = 1 THEN 'first' WHEN \"rank\" <= 3 THEN 'near' WHEN \"rank\" IS NOT NULL THEN 'deep' ELSE 'missed' END AS label, \"rank\" AS r FROM ca WHERE method = 'multiview') SELECT label, count(*) AS cases, round(count(*) / (SELECT count(*) FROM t), 5) AS share, (SELECT round(avg((coalesce(r, 999) <= 3)::INT), 5) FROM t) AS projected_top1 FROM t GROUP BY label",
+    "split_members": S.with_(_SPLIT) + "SELECT split, count(*) AS cases, count(DISTINCT repo) AS repos, min(query_id) AS first_case, sum(('0x' || left(h, 8))::BIGINT)::VARCHAR AS s0, sum(('0x' || substring(h, 9, 8))::BIGINT)::VARCHAR AS s1 FROM (SELECT *, sha256(query_id::VARCHAR) AS h FROM q JOIN sp USING (repo)) GROUP BY split",
     "claim_conflicts": "SELECT repo_root, file, count(DISTINCT run_id) AS runs, min(run_id) AS first_run FROM (SELECT repo_root, run_id, unnest(changed_files) AS file FROM engineering_runs) GROUP BY ALL HAVING count(DISTINCT run_id) > 1",
     "pareto_front": "SELECT DISTINCT p_brand, p_type, p_size, p_retailprice FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_brand = a.p_brand AND b.p_type = a.p_type AND b.p_size >= a.p_size AND b.p_retailprice <= a.p_retailprice AND (b.p_size > a.p_size OR b.p_retailprice < a.p_retailprice))",
     "pairwise_interactions": f"WITH s AS (SELECT case_no, list_distinct(tags) AS tags FROM {_SUITE}), o AS (SELECT case_no, unnest(tags) AS tag FROM s), n AS (SELECT tag, count(*) AS n FROM o GROUP BY ALL) SELECT x.a, x.b, x.both, round(x.both - na.n * nb.n / (SELECT count(*) FROM s), 5) AS synergy FROM (SELECT p.tag AS a, r.tag AS b, count(*) AS both FROM o p JOIN o r ON p.case_no = r.case_no AND p.tag < r.tag GROUP BY ALL) x JOIN n na ON na.tag = x.a JOIN n nb ON nb.tag = x.b",
-    "manifest_hash": "SELECT file_no, sha256(coalesce(source_text, '')) AS sha256, length(coalesce(source_text, ''))::INT AS size FROM file_analysis",
+    "manifest_verify": "SELECT coalesce(reason, 'match') AS reason, count(*) AS files, min(file_no) AS first_file FROM (SELECT file_no, CASE WHEN source_text IS NOT NULL AND coalesce(k = '', true) THEN 'no_record' WHEN source_text IS NULL AND k <> '' THEN 'no_text' WHEN source_text IS NOT NULL AND NOT starts_with(sha256(source_text), k) THEN 'sha256_mismatch' END AS reason FROM (SELECT *, lower(regexp_replace(trim(content_digest), '^[A-Za-z0-9]+:', '')) AS k FROM file_analysis)) GROUP BY ALL",
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import graph as G
+from lodestone.operators import evidence as V, graph as G, search as SE
+from lodestone.operators.lineage import checkpointed
 from lodestone.sources.tables import chunks, questions, table
 
 from . import sql as S
@@ -39,15 +40,6 @@ def chunk_stats(spark, d):
     return c.groupingSets([["language"], ["parser"], []], "language", "parser").agg(F.count("*").alias("chunks"))
 
 
-def relations(spark, d):
-    """Outgoing and incoming edges of every class."""
-    classes = _units(spark, d).where("symbol_kind = 'class'").select("node")
-    e = _edges(spark, d)
-    out = e.join(classes, e.source == classes.node).select("node", F.lit("out").alias("direction"), F.col("target").alias("other"), "label", "weight")
-    into = e.join(classes, e.target == classes.node).select("node", F.lit("in").alias("direction"), F.col("source").alias("other"), "label", "weight")
-    return out.unionByName(into)
-
-
 def _seeds(spark, d):
     """The first route unit of each repository."""
     return _units(spark, d).where("symbol_kind = 'route'").groupBy("repo").agg(F.min("node").alias("node"))
@@ -65,17 +57,104 @@ def impact_bfs(spark, d):
     return G.bounded_bfs(_edges(spark, d), _starts(spark, d), 3, G.FANOUT_IMPACT).select("start", "node", "depth", "parent")
 
 
+def _targets(u):
+    """The first function of each repository that has one."""
+    return u.where("symbol_kind = 'function'").groupBy("repo").agg(F.min("node").alias("node"))
+
+
+def _impact(spark, d):
+    u = checkpointed(_units(spark, d))
+    return u, _targets(u), checkpointed(G.impact(G.edges(u), _targets(u)))
+
+
+def impact_walk(spark, d):
+    """What the first function of each repository reaches, and what reaches it."""
+    return _impact(spark, d)[2].select("start", "node", "direction", "depth", "weight", F.col("rank").cast("int").alias("rank"))
+
+
+def impact_files(spark, d):
+    """Files of those nodes and of the target, with how many they are and whether the target stands in them."""
+    u, t, walk = _impact(spark, d)
+    nodes = walk.select("start", "node").union(t.select(F.col("node").alias("start"), "node")).distinct().join(u.select("node", "relpath"), "node")
+    home = t.join(u.select("node", F.col("relpath").alias("home")), "node").select(F.col("node").alias("start"), "home")
+    return nodes.join(home, "start").groupBy("start", "relpath").agg(F.count("*").alias("nodes"), F.bool_or(F.col("relpath") == F.col("home")).alias("target_file"))
+
+
+def impact_risk(spark, d):
+    """Risk of changing each target: high where a route is exposed, medium with three or more callers or callees, else low."""
+    u, t, walk = _impact(spark, d)
+    routes = walk.select("start", "node").join(u.where("route_path <> ''").select("node", "route_path"), "node").groupBy("start").agg(F.count_distinct("route_path").alias("routes"))
+    g = walk.groupBy("start").agg(F.count_if(F.col("direction") == "reverse").alias("upstream"), F.count_if(F.col("direction") == "forward").alias("downstream"))
+    j = t.select(F.col("node").alias("start")).join(g, "start", "left").join(routes, "start", "left").fillna(0)
+    risk = F.when(F.col("routes") > 0, "high").when((F.col("upstream") >= 3) | (F.col("downstream") >= 3), "medium").otherwise("low")
+    return j.select("start", "upstream", "downstream", "routes", risk.alias("risk_level"))
+
+
+def anchor_boosts(spark, d):
+    """Boosts around every route, as a question that names it and asks for a handler would get them."""
+    u = checkpointed(_units(spark, d))
+    starts = u.where("symbol_kind = 'route'").select(F.col("node").alias("start"), "node")
+    return G.route_anchors(G.edges(u), starts, u.select("node", F.col("symbol_kind").alias("kind")))
+
+
+def caller_test(spark, d):
+    """Whether each route calls or leads to the next unit of its own file."""
+    u = _units(spark, d)
+    nxt = F.lead("node").over(W.partitionBy("repo", "relpath").orderBy("node"))
+    pair = u.select("repo", "node", "symbol_kind", nxt.alias("next")).where("symbol_kind = 'route' and next is not null")
+    e = _edges(spark, d).where("label in ('calls', 'routes_to')").select(F.col("source").alias("node"), F.col("target").alias("next")).distinct()
+    return pair.select("node", "next").join(e.withColumn("called", F.lit(True)), ["node", "next"], "left").select("node", "next", F.coalesce("called", F.lit(False)).alias("called"))
+
+
+#: Requests of the text and symbol searches: each a list of terms.
+SEARCHES = (("freeze", "replay"), ("ledger", "the file"), ("password",), ("x",))
+
+
+def _requests(spark):
+    return spark.createDataFrame([(i, list(t)) for i, t in enumerate(SEARCHES, 1)], "request int, terms array<string>")
+
+
+def grep_lines(spark, d):
+    """The twelve best lines of each repository for each request, over its latest stored sources."""
+    f = table(spark, d, "file_analysis").withColumn("repo", T.repository_key(F.col("repo_root"))).where("repo is not null and source_text is not null")
+    f = f.groupBy("repo", "relpath").agg(F.max_by("source_text", "file_no").alias("text"))
+    return SE.search_text(f, _requests(spark), 12)
+
+
+def symbol_search(spark, d):
+    return SE.search_symbols(chunks(spark, d).where("repo is not null"), _requests(spark), 30)
+
+
+def relations(spark, d):
+    """Outgoing and incoming edges of the first class of each repository by name, thirty at most."""
+    u = checkpointed(_units(spark, d))
+    asked = u.where("symbol_kind = 'class'").groupBy("repo").agg(F.min("symbol_name").alias("symbol"))
+    return SE.relations(u, _edges(spark, d), asked, 30)
+
+
+def find_chunk(spark, d):
+    """The chunk that each evidence label stands for, by id, label, or either in another case or as a bare symbol."""
+    b = table(spark, d, "evidence_bundles")
+    asked = V.with_repo(V.evidence_rows(b), b).where("label is not null").select("repo", F.col("label").alias("target")).distinct()
+    return SE.find_chunk(chunks(spark, d), asked)
+
+
+def directory_listing(spark, d):
+    """Entries of each repository's top folder: folders first, then names whatever their case."""
+    return SE.list_directory(table(spark, d, "file_facts").withColumn("repo", T.repository_key(F.col("repo_root"))), "")
+
+
 def reachability(spark, d):
-    """Nodes every route reaches within three levels."""
+    """Nodes every route reaches within five levels by the best edges of each node."""
     u = _units(spark, d).where("symbol_kind = 'route'").select(F.col("node").alias("start"), "node")
-    return G.bounded_bfs(_edges(spark, d), u, 3, 1_000_000).groupBy("start").agg((F.count("*") - 1).alias("reached"), F.max("depth").alias("deepest"))
+    return G.bounded_bfs(_edges(spark, d), u, 5, G.FANOUT_ROUTE).groupBy("start").agg((F.count("*") - 1).alias("reached"), F.max("depth").alias("deepest"))
 
 
 def exposed_routes(spark, d):
     """Routes that lead to a function within two levels, by function."""
     u = _units(spark, d)
     r = u.where("symbol_kind = 'route'")
-    hits = G.bounded_bfs(_edges(spark, d), r.select(F.col("node").alias("start"), "node"), 2, 1_000_000).where("depth > 0")
+    hits = G.bounded_bfs(_edges(spark, d), r.select(F.col("node").alias("start"), "node"), 2, G.FANOUT_ROUTE).where("depth > 0")
     named = hits.join(r.select(F.col("node").alias("start"), "route_path"), "start")
     return named.groupBy("node").agg(F.count("*").alias("routes"), F.min("depth").alias("nearest"), F.min("route_path").alias("first_route"))
 
@@ -92,16 +171,12 @@ def ppr_fixed_iter(spark, d):
 def role_memory(spark, d):
     """Files per role in a repository, and the first four of them."""
     f = table(spark, d, "file_facts").withColumn("repo", T.repository_key(F.col("repo_root"))).select("repo", "relpath", F.explode("roles").alias("role")).distinct()
-    from pyspark.sql import Window as W
-
     r = f.withColumn("rank", F.row_number().over(W.partitionBy("repo", "role").orderBy("relpath"))).withColumn("files", F.count("*").over(W.partitionBy("repo", "role")))
     return r.where("rank <= 4").select("repo", "role", "relpath", F.col("rank").cast("int").alias("rank"), "files")
 
 
 def overview(spark, d):
     """The three files of each repository with most routes, symbols and imports."""
-    from pyspark.sql import Window as W
-
     f = table(spark, d, "file_facts").withColumn("repo", T.repository_key(F.col("repo_root"))).groupBy("repo", "relpath").agg(F.max(F.size("routes")).alias("routes"), F.max(F.size("symbol_names")).alias("symbols"), F.max(F.size("imports")).alias("imports"))
     order = [F.col(c).desc() for c in ("routes", "symbols", "imports")]
     return f.withColumn("rank", F.row_number().over(W.partitionBy("repo").orderBy(*order, "relpath"))).where("rank <= 3").withColumn("rank", F.col("rank").cast("int"))
@@ -113,23 +188,6 @@ def file_roles(spark, d):
     return f.select("repo_root", "relpath", F.array_join(T.file_roles(F.col("relpath"), F.col("language"), F.col("routes") > 0, F.col("imports") > 0), ",").alias("roles"))
 
 
-def grep_lines(spark, d):
-    """Lines of chunks that hold any of a few terms, by number of terms."""
-    terms = ("password", "freeze", "replay")
-    lines = chunks(spark, d).select("chunk_no", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    low = F.lower("line")
-    score = sum((low.contains(t).cast("int") for t in terms), F.lit(0))
-    return lines.select("chunk_no", (F.col("pos") + 1).alias("line_no"), score.alias("score")).where("score > 0")
-
-
-def symbol_search(spark, d):
-    """Symbols whose name, qualified name, route or calls hold one of the terms."""
-    terms = ("freeze", "ledger")
-    hay = F.lower(F.concat_ws(" ", "symbol_name", "qualified_name", "route_path", F.array_join("calls", " ")))
-    n = sum((hay.contains(t).cast("int") for t in terms), F.lit(0))
-    return chunks(spark, d).where("symbol_name <> ''").select("chunk_no", n.alias("matched")).where("matched > 0")
-
-
 def route_anchors(spark, d):
     """Route chunks that a question's route literals match, exactly or by pattern, within its repository."""
     q = questions(spark, d).select("query_id", "repo", F.explode(T.route_literals(F.col("question"))).alias("literal"))
@@ -140,7 +198,7 @@ def route_anchors(spark, d):
     return j.where(T.route_matches(F.col("route_path"), F.col("literal"))).select("query_id", "chunk_no", "literal", "route_path").distinct()
 
 
-QUERIES = {f.__name__: f for f in (prioritized_resolve, edge_build, edge_stats, chunk_stats, relations, neighborhood, impact_bfs, reachability, exposed_routes, ppr_fixed_iter, role_memory, overview, file_roles, grep_lines, symbol_search, route_anchors)}
+QUERIES = {f.__name__: f for f in (prioritized_resolve, edge_build, edge_stats, chunk_stats, relations, neighborhood, impact_bfs, impact_walk, impact_files, impact_risk, anchor_boosts, caller_test, reachability, exposed_routes, ppr_fixed_iter, role_memory, overview, file_roles, grep_lines, symbol_search, find_chunk, directory_listing, route_anchors)}
 
 _STEM = lambda x: rf"regexp_replace(lower(list_last(string_split(regexp_replace(regexp_replace({x}, '\\', '/', 'g'), '/+$', ''), '/'))), '^(.+)\.[^.]*$', '\1')"
 _U = f"""{S.CHUNKS}, u AS (SELECT * FROM (SELECT repo, chunk_no AS node, relpath, symbol_name, symbol_kind, qualified_name, route_path, imports, calls, refs, inherits, handler_names,
@@ -170,6 +228,20 @@ def _bfs(edges: str, starts: str, depth: int, fanout: int) -> str:
     return ",\n  ".join(out)
 
 
+def _impact_sql(depth: int, fanout: int, most: int) -> str:
+    """Unrolled levels in both directions."""
+    out = ["ts AS (SELECT min(node) AS start FROM u WHERE symbol_kind = 'function' GROUP BY repo)", "bo AS (SELECT 'forward' AS direction, source, target, label, weight FROM e UNION ALL SELECT 'reverse', target, source, label, weight FROM e)",
+           f"ks AS (SELECT direction, source, target, max(weight) AS step FROM (SELECT *, row_number() OVER (PARTITION BY direction, source ORDER BY weight DESC, label DESC, target DESC) AS rn FROM bo) WHERE rn <= {fanout} GROUP BY ALL)", "w0 AS (SELECT start, start AS node, unnest(['forward', 'reverse']) AS direction, 0 AS depth, 0.0::DOUBLE AS weight FROM ts)", "v0 AS (SELECT * FROM w0)"]
+    for k in range(1, depth + 1):
+        out.append(f"w{k} AS (SELECT w.start, ks.target AS node, w.direction, {k} AS depth, round(max(w.weight + step), 4) AS weight FROM w{k - 1} w JOIN ks ON ks.direction = w.direction AND ks.source = w.node WHERE NOT EXISTS (SELECT 1 FROM v{k - 1} v WHERE v.start = w.start AND v.direction = w.direction AND v.node = ks.target) GROUP BY w.start, ks.target, w.direction)")
+        out.append(f"v{k} AS (SELECT * FROM v{k - 1} UNION ALL SELECT * FROM w{k})")
+    out.append(f'iw AS (SELECT start, node, direction, depth, weight, rn::INT AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY start, direction ORDER BY depth, weight DESC, node) AS rn FROM v{depth} WHERE depth > 0) WHERE rn <= {most})')
+    return ",\n  ".join(out)
+
+
+_IMPACT = _impact_sql(3, G.FANOUT_IMPACT, 24)
+
+
 def _ppr(rounds: int) -> str:
     out = ["sd AS (SELECT repo, node, 1.0::DOUBLE / count(*) OVER (PARTITION BY repo) AS share FROM u WHERE symbol_kind = 'route')", "ee AS (SELECT * FROM eb WHERE repo IN (SELECT repo FROM sd))", "mg AS (SELECT source, target, sum(least(4.0, greatest(0.05, weight))) AS w FROM ee GROUP BY ALL)",
            "mv AS (SELECT source AS node, target, w / sum(w) OVER (PARTITION BY source) AS p FROM mg)", "nd AS (SELECT n.repo, n.node, coalesce(share, 0.0) AS share, n.node IN (SELECT node FROM mv) AS moves FROM (SELECT repo, source AS node FROM ee UNION SELECT repo, target FROM ee UNION SELECT repo, node FROM sd) n LEFT JOIN sd ON sd.repo = n.repo AND sd.node = n.node)", "p0 AS (SELECT repo, node, share AS r FROM nd)"]
@@ -196,17 +268,28 @@ ORACLES = {
     "edge_build": S.with_(_E) + "SELECT source, target, label, weight FROM e",
     "edge_stats": S.with_(_E) + "SELECT repo, label, count(*) AS edges, round(sum(weight), 4) AS weight FROM e GROUP BY ROLLUP (repo, label)",
     "chunk_stats": "SELECT language, parser, count(*) AS chunks FROM (SELECT coalesce(language, '?') AS language, coalesce(parser_backend, '?') AS parser FROM code_chunks) GROUP BY GROUPING SETS ((language), (parser), ())",
-    "relations": S.with_(_E) + "SELECT node, 'out' AS direction, target AS other, label, weight FROM e JOIN u ON e.source = u.node AND symbol_kind = 'class' UNION ALL SELECT node, 'in', source, label, weight FROM e JOIN u ON e.target = u.node AND symbol_kind = 'class'",
+    "relations": S.with_(_E) + """, k AS (SELECT repo, min(symbol_name) AS symbol FROM u WHERE symbol_kind = 'class' GROUP BY ALL), s AS (SELECT u.repo, node FROM u JOIN k ON k.repo = u.repo AND lower(k.symbol) IN (lower(symbol_name), lower(qualified_name))),
+      x AS (SELECT s.repo, s.node AS source, target, 'out' AS direction, label, weight FROM e JOIN s ON e.source = s.node UNION ALL SELECT s.repo, s.node, e.source, 'in', label, weight FROM e JOIN s ON e.target = s.node)
+      SELECT repo, source, target, direction, label, weight, rn::INT AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY weight DESC, target, source, label, direction) AS rn FROM x) WHERE rn <= 30""",
+    "grep_lines": f"""WITH f AS (SELECT repo, relpath, text FROM (SELECT {S.repo('repo_root')} AS repo, relpath, source_text AS text, row_number() OVER (PARTITION BY {S.repo('repo_root')}, relpath ORDER BY file_no DESC) AS rn FROM file_analysis WHERE source_text IS NOT NULL) WHERE rn = 1 AND repo IS NOT NULL), l AS (SELECT repo, relpath, lower(unnest(string_split(text, chr(10)))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM f),
+      q AS (SELECT * FROM (VALUES {', '.join(f"({i}, {[t for t in v if len(t) >= 2]!r}::VARCHAR[])" for i, v in enumerate(SEARCHES, 1))}) AS t(request, terms)), h AS (SELECT request, repo, relpath, line_no, len(m) + CASE WHEN len(list_filter(m, lambda t: contains(t, ' '))) > 0 THEN 1.5 ELSE 0.0 END AS score FROM (SELECT *, list_filter(terms, lambda t: contains(l, t)) AS m FROM l, q) WHERE len(m) > 0)
+      SELECT request, repo, relpath, line_no::INT AS line_no, score::DOUBLE AS score, rn::INT AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY request, repo ORDER BY score DESC, relpath, line_no) AS rn FROM h) WHERE rn <= 12""",
+    "symbol_search": f"""WITH {S.CHUNKS}, q AS (SELECT * FROM (VALUES {', '.join(f"({i}, {list(v)!r})" for i, v in enumerate(SEARCHES, 1))}) AS t(request, terms)), h AS (SELECT request, repo, chunk_no, relpath, start_line, len(list_filter(terms, lambda t: contains(hay, t))) AS matched FROM (SELECT *, lower(concat_ws(' ', symbol_name, qualified_name, route_path, array_to_string(calls, ' '))) AS hay FROM c WHERE symbol_name <> '' AND repo IS NOT NULL), q)
+      SELECT request, repo, chunk_no, matched::INT AS matched, rn::INT AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY request, repo ORDER BY matched DESC, relpath, start_line NULLS FIRST, chunk_no) AS rn FROM h WHERE matched > 0) WHERE rn <= 30""",
+    "directory_listing": f"SELECT DISTINCT repo, split_part(relpath, '/', 1) AS name, contains(relpath, '/') AS folder, dense_rank() OVER (PARTITION BY repo ORDER BY NOT contains(relpath, '/'), lower(split_part(relpath, '/', 1)), split_part(relpath, '/', 1))::INT AS \"rank\" FROM (SELECT DISTINCT {S.repo('repo_root')} AS repo, relpath FROM file_facts) WHERE repo IS NOT NULL",
+    "impact_walk": S.with_(_E, _IMPACT) + "SELECT start, node, direction, depth, weight, \"rank\" FROM iw",
+    "impact_files": S.with_(_E, _IMPACT) + "SELECT n.start, u.relpath, count(*) AS nodes, bool_or(u.relpath = h.relpath) AS target_file FROM (SELECT start, node FROM iw UNION SELECT start, start FROM ts) n JOIN u ON u.node = n.node JOIN u h ON h.node = n.start GROUP BY ALL",
+    "impact_risk": S.with_(_E, _IMPACT) + "SELECT start, upstream, downstream, routes, CASE WHEN routes > 0 THEN 'high' WHEN upstream >= 3 OR downstream >= 3 THEN 'medium' ELSE 'low' END AS risk_level FROM (SELECT ts.start, count(iw.node) FILTER (direction = 'reverse') AS upstream, count(iw.node) FILTER (direction = 'forward') AS downstream, count(DISTINCT route_path) FILTER (route_path <> '') AS routes FROM ts LEFT JOIN iw ON iw.start = ts.start LEFT JOIN u ON u.node = iw.node GROUP BY ALL)",
+    "anchor_boosts": S.with_(_E, "rt AS (SELECT node AS start FROM u WHERE symbol_kind = 'route')", _bfs("e", "rt", 3, G.FANOUT_ROUTE)) + "SELECT start, node, depth, round(CASE WHEN symbol_kind = 'route' THEN b * 0.35::DOUBLE ELSE b END, 4)::DOUBLE AS boost FROM (SELECT s3.start, s3.node, depth, symbol_kind, greatest(1.2::DOUBLE, 9.0::DOUBLE - (depth - 1) * 1.4::DOUBLE) + CASE WHEN depth = 1 AND symbol_kind = 'function' THEN 7.0 ELSE 0.0 END AS b FROM s3 JOIN u ON u.node = s3.node WHERE depth > 0)",
+    "caller_test": S.with_(_E) + "SELECT node, nx AS next, EXISTS (SELECT 1 FROM e WHERE e.source = p.node AND e.target = p.nx AND label IN ('calls', 'routes_to')) AS called FROM (SELECT node, symbol_kind, lead(node) OVER (PARTITION BY repo, relpath ORDER BY node) AS nx FROM u) p WHERE symbol_kind = 'route' AND nx IS NOT NULL",
     "neighborhood": S.with_(_E, _SEED, _bfs("eb", "se", 2, 24)) + "SELECT start, node, depth, parent FROM s2",
     "impact_bfs": S.with_(_E, _SEED, _bfs("e", "se", 3, 12)) + "SELECT start, node, depth, parent FROM s3",
-    "reachability": S.with_(_E, "rt AS (SELECT node AS start FROM u WHERE symbol_kind = 'route')", _bfs("e", "rt", 3, 1_000_000)) + "SELECT start, count(*) - 1 AS reached, max(depth) AS deepest FROM s3 GROUP BY ALL",
-    "exposed_routes": S.with_(_E, "rt AS (SELECT node AS start FROM u WHERE symbol_kind = 'route')", _bfs("e", "rt", 2, 1_000_000)) + "SELECT s2.node, count(*) AS routes, min(depth) AS nearest, min(u.route_path) AS first_route FROM s2 JOIN u ON u.node = s2.start WHERE depth > 0 GROUP BY ALL",
+    "reachability": S.with_(_E, "rt AS (SELECT node AS start FROM u WHERE symbol_kind = 'route')", _bfs("e", "rt", 5, G.FANOUT_ROUTE)) + "SELECT start, count(*) - 1 AS reached, max(depth) AS deepest FROM s5 GROUP BY ALL",
+    "exposed_routes": S.with_(_E, "rt AS (SELECT node AS start FROM u WHERE symbol_kind = 'route')", _bfs("e", "rt", 2, G.FANOUT_ROUTE)) + "SELECT s2.node, count(*) AS routes, min(depth) AS nearest, min(u.route_path) AS first_route FROM s2 JOIN u ON u.node = s2.start WHERE depth > 0 GROUP BY ALL",
     "ppr_fixed_iter": S.with_(_E, _ppr(5)) + 'SELECT node, round(r, 8) AS "rank" FROM p5 WHERE round(r, 8) > 0',
     "role_memory": f'SELECT repo, role, relpath, rn::INT AS "rank", files FROM (SELECT *, row_number() OVER (PARTITION BY repo, role ORDER BY relpath) AS rn, count(*) OVER (PARTITION BY repo, role) AS files FROM (SELECT DISTINCT repo, relpath, unnest(roles) AS role FROM {_FACTS})) WHERE rn <= 4',
     "overview": f'SELECT repo, relpath, routes, symbols, imports, rn::INT AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY routes DESC, symbols DESC, imports DESC, relpath) AS rn FROM (SELECT repo, relpath, max(len(routes))::INT AS routes, max(len(symbol_names))::INT AS symbols, max(len(imports))::INT AS imports FROM {_FACTS} GROUP BY ALL)) WHERE rn <= 3',
     "file_roles": f"SELECT repo_root, relpath, array_to_string({S.distinct(_ROLES)}, ',') AS roles FROM (SELECT DISTINCT repo_root, relpath, language, len(routes) AS routes, len(imports) AS imports FROM file_facts)",
-    "grep_lines": "SELECT chunk_no, line_no::INT AS line_no, score FROM (SELECT chunk_no, line_no, (contains(lower(l), 'password')::INT + contains(lower(l), 'freeze')::INT + contains(lower(l), 'replay')::INT) AS score FROM (SELECT chunk_no, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM code_chunks)) WHERE score > 0",
-    "symbol_search": "SELECT chunk_no, matched FROM (SELECT chunk_no, contains(h, 'freeze')::INT + contains(h, 'ledger')::INT AS matched FROM (SELECT chunk_no, lower(concat_ws(' ', symbol_name, qualified_name, route_path, array_to_string(calls, ' '))) AS h FROM code_chunks WHERE symbol_name <> '')) WHERE matched > 0",
     "route_anchors": S.with_(S.CHUNKS, S.QUESTIONS) + f"""SELECT DISTINCT query_id, chunk_no, literal, route_path FROM (SELECT query_id, repo, unnest({S.routes('question')}) AS literal FROM q) JOIN (SELECT repo, chunk_no, route_path FROM c WHERE symbol_kind = 'route' AND route_path <> '') USING (repo)
       WHERE {_STRIP('route_path')} = {_STRIP('literal')} OR (contains(route_path, ':') AND regexp_full_match({_STRIP('literal')}, regexp_replace({_STRIP('route_path')}, ':[A-Za-z_][A-Za-z0-9_]*', '[^/]+', 'g')))""",
 }
