@@ -197,16 +197,32 @@ def diff_counts(df: DataFrame, key: str, diff: str) -> DataFrame:
     return own.where("file is not null").groupBy(key, "file").agg(F.count_if(plus).alias("added"), F.count_if(minus).alias("removed"))
 
 
+#: What the output of a failed command tells, first match first; and the forms of files and tests in it.
+FAILURES = (("syntaxerror|syntax error", "syntax_error"), ("modulenotfounderror|cannot find module", "missing_dependency"), ("timeout|timed out", "timeout"), ("permission|access is denied", "environment_permission"))
+_FILE_FORMS = (r"([A-Za-z0-9_./\\-]+\.(?:py|js|ts|tsx|jsx|css|html|json|toml|md))[:(]\d+", r'File "([^"]+)"')
+
+
 def failure_type(log: Column) -> Column:
     """Class of a failed command's output."""
-    low = F.lower(log)
-    rules = (("syntaxerror|unexpected token|indentationerror", "syntax"), ("modulenotfounderror|cannot find module|importerror", "dependency"), ("assert", "assertion"), ("timeout|timed out", "timeout"), ("typeerror|attributeerror|nameerror|referenceerror", "runtime"))
-    out = F.lit("unknown")
-    for pattern, kind in reversed(rules):
+    low = F.lower(F.coalesce(log, F.lit("")))
+    out = F.when(low.contains("assert") | (low.contains("failed") & low.contains("pytest")), "test_failure").otherwise("unknown")
+    for pattern, kind in reversed(FAILURES):
         out = F.when(low.rlike(pattern), kind).otherwise(out)
     return out
 
 
+def referenced_files(log: Column) -> Column:
+    """Distinct files that an output names with a line, in order of form and place."""
+    found = F.concat(*(F.regexp_extract_all(F.coalesce(log, F.lit("")), F.lit(p), F.lit(1)) for p in _FILE_FORMS))
+    return F.array_distinct(F.filter(F.transform(found, lambda p: F.regexp_replace(p, r"\\", "/")), lambda p: p != ""))
+
+
+def failed_tests(log: Column) -> Column:
+    """Distinct tests that an output reports as failed."""
+    lines = F.filter(F.transform(F.split(F.coalesce(log, F.lit("")), "\r?\n"), lambda x: F.trim(x)), lambda x: x.startswith("FAILED ") | (x.contains("::") & (F.lower(x).contains(" failed") | F.lower(x).contains("error"))))
+    return F.array_distinct(F.filter(F.transform(lines, lambda x: F.trim(F.substring_index(F.regexp_replace(x, "^(.*?)FAILED ", "$1"), " - ", 1))), lambda x: x != ""))
+
+
 def unified_diff(path: Column, before: Column, after: Column) -> Column:
     """Unified diff of two texts of a path; empty where they are equal.  Line matching needs Python."""
     import difflib

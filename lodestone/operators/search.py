@@ -84,7 +84,7 @@ def list_directory(files: DataFrame, folder: str) -> DataFrame:
 
 def read_lines(files: DataFrame, start: int, end: int) -> DataFrame:
     """repo, relpath, start_line, end_line, line_count, content of a range of every file; an empty file is one empty line."""
-    lines = F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(F.split(F.regexp_replace("text", "\r?\n$", ""), "\r?\n"))
+    lines = F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(F.split(F.regexp_replace("text", r"\r?\n\z", ""), "\r?\n"))
     n = F.size(lines)
     first = F.lit(max(1, start))
     last = F.least(F.greatest(first, F.lit(end)), n)

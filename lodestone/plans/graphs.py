@@ -176,10 +176,16 @@ def role_memory(spark, d):
 
 
 def overview(spark, d):
-    """The three files of each repository with most routes, symbols and imports."""
+    """The three files of each repository with most routes, symbols and imports; among equals the last by path."""
     f = table(spark, d, "file_facts").withColumn("repo", T.repository_key(F.col("repo_root"))).groupBy("repo", "relpath").agg(F.max(F.size("routes")).alias("routes"), F.max(F.size("symbol_names")).alias("symbols"), F.max(F.size("imports")).alias("imports"))
     order = [F.col(c).desc() for c in ("routes", "symbols", "imports")]
-    return f.withColumn("rank", F.row_number().over(W.partitionBy("repo").orderBy(*order, "relpath"))).where("rank <= 3").withColumn("rank", F.col("rank").cast("int"))
+    return f.withColumn("rank", F.row_number().over(W.partitionBy("repo").orderBy(*order, F.col("relpath").desc()))).where("rank <= 3").withColumn("rank", F.col("rank").cast("int"))
+
+
+def overview_edges(spark, d):
+    """The twelve heaviest edges of each repository."""
+    order = W.partitionBy("repo").orderBy(F.col("weight").desc(), "source", "target", "label")
+    return _edges(spark, d).withColumn("rank", F.row_number().over(order).cast("int")).where("rank <= 12")
 
 
 def file_roles(spark, d):
@@ -198,7 +204,7 @@ def route_anchors(spark, d):
     return j.where(T.route_matches(F.col("route_path"), F.col("literal"))).select("query_id", "chunk_no", "literal", "route_path").distinct()
 
 
-QUERIES = {f.__name__: f for f in (prioritized_resolve, edge_build, edge_stats, chunk_stats, relations, neighborhood, impact_bfs, impact_walk, impact_files, impact_risk, anchor_boosts, caller_test, reachability, exposed_routes, ppr_fixed_iter, role_memory, overview, file_roles, grep_lines, symbol_search, find_chunk, directory_listing, route_anchors)}
+QUERIES = {f.__name__: f for f in (prioritized_resolve, edge_build, edge_stats, chunk_stats, relations, neighborhood, impact_bfs, impact_walk, impact_files, impact_risk, anchor_boosts, caller_test, reachability, exposed_routes, ppr_fixed_iter, role_memory, overview, overview_edges, file_roles, grep_lines, symbol_search, find_chunk, directory_listing, route_anchors)}
 
 _STEM = lambda x: rf"regexp_replace(lower(list_last(string_split(regexp_replace(regexp_replace({x}, '\\', '/', 'g'), '/+$', ''), '/'))), '^(.+)\.[^.]*$', '\1')"
 _U = f"""{S.CHUNKS}, u AS (SELECT * FROM (SELECT repo, chunk_no AS node, relpath, symbol_name, symbol_kind, qualified_name, route_path, imports, calls, refs, inherits, handler_names,
@@ -288,7 +294,8 @@ ORACLES = {
     "exposed_routes": S.with_(_E, "rt AS (SELECT node AS start FROM u WHERE symbol_kind = 'route')", _bfs("e", "rt", 2, G.FANOUT_ROUTE)) + "SELECT s2.node, count(*) AS routes, min(depth) AS nearest, min(u.route_path) AS first_route FROM s2 JOIN u ON u.node = s2.start WHERE depth > 0 GROUP BY ALL",
     "ppr_fixed_iter": S.with_(_E, _ppr(5)) + 'SELECT node, round(r, 8) AS "rank" FROM p5 WHERE round(r, 8) > 0',
     "role_memory": f'SELECT repo, role, relpath, rn::INT AS "rank", files FROM (SELECT *, row_number() OVER (PARTITION BY repo, role ORDER BY relpath) AS rn, count(*) OVER (PARTITION BY repo, role) AS files FROM (SELECT DISTINCT repo, relpath, unnest(roles) AS role FROM {_FACTS})) WHERE rn <= 4',
-    "overview": f'SELECT repo, relpath, routes, symbols, imports, rn::INT AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY routes DESC, symbols DESC, imports DESC, relpath) AS rn FROM (SELECT repo, relpath, max(len(routes))::INT AS routes, max(len(symbol_names))::INT AS symbols, max(len(imports))::INT AS imports FROM {_FACTS} GROUP BY ALL)) WHERE rn <= 3',
+    "overview": f'SELECT repo, relpath, routes, symbols, imports, rn::INT AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY routes DESC, symbols DESC, imports DESC, relpath DESC) AS rn FROM (SELECT repo, relpath, max(len(routes))::INT AS routes, max(len(symbol_names))::INT AS symbols, max(len(imports))::INT AS imports FROM {_FACTS} GROUP BY ALL)) WHERE rn <= 3',
+    "overview_edges": S.with_(_E) + "SELECT repo, source, target, label, weight, rn::INT AS \"rank\" FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY weight DESC, source, target, label) AS rn FROM e) WHERE rn <= 12",
     "file_roles": f"SELECT repo_root, relpath, array_to_string({S.distinct(_ROLES)}, ',') AS roles FROM (SELECT DISTINCT repo_root, relpath, language, len(routes) AS routes, len(imports) AS imports FROM file_facts)",
     "route_anchors": S.with_(S.CHUNKS, S.QUESTIONS) + f"""SELECT DISTINCT query_id, chunk_no, literal, route_path FROM (SELECT query_id, repo, unnest({S.routes('question')}) AS literal FROM q) JOIN (SELECT repo, chunk_no, route_path FROM c WHERE symbol_kind = 'route' AND route_path <> '') USING (repo)
       WHERE {_STRIP('route_path')} = {_STRIP('literal')} OR (contains(route_path, ':') AND regexp_full_match({_STRIP('literal')}, regexp_replace({_STRIP('route_path')}, ':[A-Za-z_][A-Za-z0-9_]*', '[^/]+', 'g')))""",
