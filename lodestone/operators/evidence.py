@@ -30,10 +30,10 @@ def check_rows(bundles: DataFrame) -> DataFrame:
     return rows.select(F.col("record_no").alias("bundle_no"), "pos", "name", (F.lower("passed") == "true").alias("passed"))
 
 
-def current_labels(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """repo, label, text: the last chunk of each label wins; of the ``asked`` labels only, if given, so that other texts stay where they are."""
+def current_labels(chunks: DataFrame, asked: DataFrame | None = None, latest: bool = True) -> DataFrame:
+    """repo, label, text: the last chunk of each label wins, or the first; of the ``asked`` labels only, if given, so that other texts stay where they are."""
     named = chunks.select("repo", label_of(F.col("relpath"), F.col("symbol_name")).alias("label"), "text", "chunk_no").where("repo is not null")
-    return (named if asked is None else narrowed(named, asked, ["repo", "label"])).groupBy("repo", "label").agg(F.max_by("text", "chunk_no").alias("text"))
+    return (named if asked is None else narrowed(named, asked, ["repo", "label"])).groupBy("repo", "label").agg((F.max_by if latest else F.min_by)("text", "chunk_no").alias("text"))
 
 
 def with_repo(rows: DataFrame, bundles: DataFrame) -> DataFrame:

@@ -57,8 +57,8 @@ def _with_first(items: Column, change) -> Column:
     return F.transform(items, lambda x, i: F.when(i == 0, change(x)).otherwise(x))
 
 
-def cases(docs: DataFrame) -> DataFrame:
-    """bundle_no, repo, mutation, doc: each bundle as it is and with each of the six mutations."""
+def cases(docs: DataFrame, mutations: tuple[str, ...] = MUTATIONS) -> DataFrame:
+    """bundle_no, repo, mutation, doc: each bundle as it is and with each of the mutations."""
     d = F.col("doc")
     edge = F.struct(*(F.lit(v).alias(k) for k, v in _EDGE.items()))
     changed = {
@@ -70,7 +70,7 @@ def cases(docs: DataFrame) -> DataFrame:
         "proof_graph_edge_unverified": d.withField("edges", F.concat(d["edges"], F.array(edge))),
         "decoy_audit_stale": d.withField("decoys", _with_first(d["decoys"], lambda x: x.withField("rejected", F.lit(False)))),
     }
-    return docs.select("bundle_no", "repo", F.explode(F.array(*(F.struct(F.lit(k).alias("mutation"), v.alias("doc")) for k, v in changed.items()))).alias("c")).select("bundle_no", "repo", "c.mutation", "c.doc")
+    return docs.select("bundle_no", "repo", F.explode(F.array(*(F.struct(F.lit(k).alias("mutation"), v.alias("doc")) for k, v in changed.items() if k in (BASELINE, *mutations)))).alias("c")).select("bundle_no", "repo", "c.mutation", "c.doc")
 
 
 def claims(cases: DataFrame) -> DataFrame:
@@ -118,13 +118,13 @@ def refuted(claims: DataFrame, labels: DataFrame, units: DataFrame, edges: DataF
     return asked.where(~holds).select("repo", "kind", "a", "b")
 
 
-def replay(docs: DataFrame, labels: DataFrame, units: DataFrame, edges: DataFrame) -> DataFrame:
+def replay(docs: DataFrame, labels: DataFrame, units: DataFrame, edges: DataFrame, mutations: tuple[str, ...] = MUTATIONS) -> DataFrame:
     """bundle_no, mutation, failed: the checks that fail in a strict replay of each bundle and of its six mutations.
 
     A bundle without a repository meets an empty one."""
-    c = claims(cases(docs))
+    c = claims(cases(docs, mutations))
     failed = c.drop("snippet").join(refuted(c, labels, units, edges), ["repo", "kind", "a", "b"]).groupBy("bundle_no", "mutation").agg(F.array_sort(F.collect_set("check")).alias("failed"))
-    every = docs.select("bundle_no", F.explode(F.array(*map(F.lit, (BASELINE, *MUTATIONS)))).alias("mutation"))
+    every = docs.select("bundle_no", F.explode(F.array(*map(F.lit, (BASELINE, *mutations)))).alias("mutation"))
     return every.join(failed, ["bundle_no", "mutation"], "left").select("bundle_no", "mutation", F.coalesce("failed", F.array().cast("array<string>")).alias("failed"))
 
 

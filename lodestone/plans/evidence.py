@@ -73,11 +73,11 @@ def successor_jaccard(spark, d):
 
 
 def first_failure(spark, d):
-    """Per user, the first error event, the last event before it, and how many came before."""
-    e = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    o = e.withColumn("i", F.row_number().over(order)).withColumn("prev", F.lag("event_id").over(order))
-    return o.where("event_type = 'error'").groupBy("user_id").agg(F.min_by(F.struct(F.col("event_id"), F.col("prev"), F.col("i")), "i").alias("x")).select("user_id", F.col("x.event_id").alias("first_error"), F.col("x.prev").alias("last_good"), (F.col("x.i") - 1).alias("before"))
+    """Per user, the first error event, the last event before it, and how many came before; sums combine map-side, no user's events meet in one window."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", F.struct("ts", "event_id").alias("at"))
+    first = e.where("event_type = 'error'").groupBy("user_id").agg(F.min("at").alias("first"))
+    before = e.join(first, "user_id").where("at < first").groupBy("user_id").agg(F.max("at").alias("last"), F.count("*").alias("before"))
+    return first.join(before, "user_id", "left").select("user_id", F.col("first.event_id").alias("first_error"), F.col("last.event_id").alias("last_good"), F.coalesce("before", F.lit(0)).cast("int").alias("before"))
 
 
 def regression_status(spark, d):

@@ -22,6 +22,27 @@ def _replayed(spark, d) -> tuple[DataFrame, DataFrame]:
     return docs, checkpointed(RP.replay(docs, V.current_labels(c, asked), units, G.edges(units.withColumns({"refs": none, "inherits": none}))))  # their edges back no proof
 
 
+def _history(spark, d) -> DataFrame:
+    """bundle_no, then, now: the failed checks of every proof against the first and the latest index of its repository."""
+    c, docs = chunks(spark, d), checkpointed(RP.proof_docs(table(spark, d, "evidence_bundles")))
+    asked = RP.claims(RP.cases(docs, ())).where("kind in ('label', 'text', 'end')").select("repo", F.col("a").alias("label"))
+    none = F.array().cast("array<string>")
+
+    def at(latest: bool) -> DataFrame:
+        u = G.units(c, latest)
+        return RP.replay(docs, V.current_labels(c, asked, latest), u, G.edges(u.withColumns({"refs": none, "inherits": none})), ()).select("bundle_no", "failed")
+
+    return at(False).withColumnRenamed("failed", "then").join(at(True).withColumnRenamed("failed", "now"), "bundle_no")
+
+
+def temporal_status(spark, d):
+    """Whether each proof holds in both indexes, in the first only, in the latest only, or in none, and the checks that broke in between."""
+    h = _history(spark, d)
+    then, now = F.size("then") == 0, F.size("now") == 0
+    status = F.when(then & now, "valid_across_history").when(then, "regression_found").when(now, "recovered").otherwise("always_failing")
+    return h.select("bundle_no", status.alias("status"), F.array_join(F.array_except("now", "then"), ",").alias("broken"), F.array_join(F.array_except("then", "now"), ",").alias("mended"))
+
+
 def proof_replay(spark, d):
     """The seven checks of every bundle's strict replay that fail."""
     return _replayed(spark, d)[1].where(F.col("mutation") == RP.BASELINE).select("bundle_no", F.explode("failed").alias("check"))
@@ -116,7 +137,7 @@ def graph_delta(spark, d):
     return g.withColumn("verdict", F.when(F.col("removed") + F.col("unresolved") > 0, "broken_path_found").otherwise("no_graph_delta"))
 
 
-QUERIES = {f.__name__: f for f in (proof_replay, mutation_lab, mutation_detection, proof_scorecard, court_verdict, court_agents, contract_checks, pr_guard, guard_annotations, graph_delta)}
+QUERIES = {f.__name__: f for f in (proof_replay, mutation_lab, mutation_detection, proof_scorecard, court_verdict, court_agents, contract_checks, temporal_status, pr_guard, guard_annotations, graph_delta)}
 
 # ---------------------------------------------------------------- comparison SQL
 _FALSE = "('', 'false', '0', 'null')"
@@ -161,7 +182,14 @@ _TOUCH = f"""sf AS (SELECT repo, bundle_no, protected, max(own) AS own, max(rout
     UNION ALL SELECT DISTINCT rp, bundle_no, {_RELPATH('x')}, 0, (SELECT count(*) FROM rl WHERE rl.bundle_no = p0.bundle_no) > 0 FROM pp JOIN p0 USING (bundle_no)) WHERE repo IS NOT NULL AND protected <> '' GROUP BY ALL),
   rn2 AS (SELECT DISTINCT run_no, repo, relpath FROM (SELECT run_no, {S.repo('repo_root')} AS repo, regexp_replace(replace(trim(file), '\\', '/'), '^(?:\\./)+', '') AS relpath FROM (SELECT run_no, repo_root, unnest(changed_files) AS file FROM engineering_runs)) WHERE relpath <> ''),
   tc AS (SELECT run_no, relpath, bundle_no, protected, CASE WHEN own = 0 THEN 'proof_supporting_path' WHEN routed THEN 'route_exposed_target' ELSE 'proved_target_file' END AS surface FROM rn2 JOIN sf USING (repo) WHERE relpath = protected OR ends_with(relpath, '/' || protected))"""
+_FIRST = _REPLAY.replace("ORDER BY chunk_no DESC", "ORDER BY chunk_no").replace("(text IS NULL), chunk_no DESC", "(text IS NULL), chunk_no")
+_EDGES_AT = lambda first: (S.with_(_E, _HELD.split("ul AS", 1)[0].replace("lb AS", "lb0 AS").rstrip(", \n") + ", ul AS" + _HELD.split("ul AS", 1)[1].split("st AS", 1)[0].rstrip(", \n"))).replace(*(("ORDER BY chunk_no DESC", "ORDER BY chunk_no") if first else ("", "")))
 ORACLES = {
+    "temporal_status": f"""SELECT bundle_no, CASE WHEN len(t) = 0 AND len(n) = 0 THEN 'valid_across_history' WHEN len(t) = 0 THEN 'regression_found' WHEN len(n) = 0 THEN 'recovered' ELSE 'always_failing' END AS status,
+      array_to_string(list_filter(n, lambda x: NOT list_contains(t, x)), ',') AS broken, array_to_string(list_filter(t, lambda x: NOT list_contains(n, x)), ',') AS mended FROM ({_FIRST} SELECT bundle_no, base AS t FROM bs) a JOIN ({_REPLAY} SELECT bundle_no, base AS n FROM bs) b USING (bundle_no)""",
+    "graph_delta": f"""WITH {_DOCS}, {_PROOF}, sq AS (SELECT bundle_no, rp AS repo, x AS a, lead(x) OVER (PARTITION BY bundle_no, outer_pos ORDER BY pos) AS b FROM (SELECT no AS bundle_no, outer_pos, pos, v->>'$' AS x FROM {_INNER(_BR['proof.supporting_paths'], 'path')}) JOIN p0 USING (bundle_no)),
+      jn AS (SELECT sq.bundle_no, w.a IS NOT NULL AS was, n.a IS NOT NULL AS now FROM sq LEFT JOIN (SELECT DISTINCT repo, a, b FROM ({_EDGES_AT(True)} SELECT repo, a, b FROM lk WHERE kind = 'route_path')) w ON w.repo = sq.repo AND w.a = sq.a AND w.b = sq.b LEFT JOIN (SELECT DISTINCT repo, a, b FROM ({_EDGES_AT(False)} SELECT repo, a, b FROM lk WHERE kind = 'route_path')) n ON n.repo = sq.repo AND n.a = sq.a AND n.b = sq.b WHERE sq.b IS NOT NULL AND sq.repo IS NOT NULL)
+      SELECT *, CASE WHEN removed + unresolved > 0 THEN 'broken_path_found' ELSE 'no_graph_delta' END AS verdict FROM (SELECT bundle_no, count(*) FILTER (was AND now) AS preserved, count(*) FILTER (was AND NOT now) AS removed, count(*) FILTER (now AND NOT was) AS added, count(*) FILTER (NOT was AND NOT now) AS unresolved FROM jn GROUP BY bundle_no)""",
     "proof_replay": _REPLAY + "SELECT bundle_no, unnest(base) AS check FROM bs",
     "mutation_lab": _REPLAY + f"SELECT bundle_no, mutation, array_to_string(failed, ',') AS failed FROM rf WHERE mutation <> '{RP.BASELINE}'",
     "mutation_detection": _REPLAY + f"SELECT mutation, count(*) AS bundles, count(*) FILTER (len(failed) > 0) AS detected, round(avg((len(failed) > 0)::INT), 3) AS rate, count(*) FILTER (len(base) = 0) AS valid_before, count(*) FILTER (len(list_filter(failed, lambda x: NOT list_contains(base, x))) > 0) AS newly_failed FROM rf JOIN bs USING (bundle_no) WHERE mutation <> '{RP.BASELINE}' GROUP BY ALL",
