@@ -227,10 +227,10 @@ _SEED = "se AS (SELECT min(node) AS start FROM u WHERE symbol_kind = 'route' GRO
 
 def _bfs(edges: str, starts: str, depth: int, fanout: int) -> str:
     """Unrolled levels."""
-    out = [f"fe AS (SELECT DISTINCT source, target FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, label DESC, target DESC) AS rn FROM {edges}) WHERE rn <= {fanout})", f"b0 AS (SELECT start, start AS node, 0 AS depth, NULL::BIGINT AS parent FROM {starts})", "s0 AS (SELECT * FROM b0)"]
+    out = [f"fe AS (SELECT DISTINCT source, target FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, label DESC, target DESC) AS rn FROM {edges}) WHERE rn <= {fanout})", f"bf0 AS (SELECT start, start AS node, 0 AS depth, NULL::BIGINT AS parent FROM {starts})", "s0 AS (SELECT * FROM bf0)"]
     for k in range(1, depth + 1):
-        out.append(f"b{k} AS (SELECT b.start, f.target AS node, {k} AS depth, min(f.source) AS parent FROM b{k - 1} b JOIN fe f ON f.source = b.node WHERE NOT EXISTS (SELECT 1 FROM s{k - 1} s WHERE s.start = b.start AND s.node = f.target) GROUP BY ALL)")
-        out.append(f"s{k} AS (SELECT * FROM s{k - 1} UNION ALL SELECT * FROM b{k})")
+        out.append(f"bf{k} AS (SELECT b.start, f.target AS node, {k} AS depth, min(f.source) AS parent FROM bf{k - 1} b JOIN fe f ON f.source = b.node WHERE NOT EXISTS (SELECT 1 FROM s{k - 1} s WHERE s.start = b.start AND s.node = f.target) GROUP BY ALL)")
+        out.append(f"s{k} AS (SELECT * FROM s{k - 1} UNION ALL SELECT * FROM bf{k})")
     return ",\n  ".join(out)
 
 

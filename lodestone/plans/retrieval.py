@@ -10,7 +10,7 @@ from lodestone.operators.lineage import checkpointed
 from lodestone.sources.tables import chunks, questions, table
 
 from . import sql as S
-from .graphs import _E
+from .graphs import _E, _bfs
 
 K = 5
 
@@ -142,12 +142,36 @@ def multiview_rerank(spark, d):
     return RR.reranked(RR.features(with_boost, plans, asked, c, roles, reached), K)
 
 
+def question_evidence(spark, d):
+    """The evidence of each question's bundle: its best candidates with label, score and the digest of their first 24 lines."""
+    c = chunks(spark, d).select(F.col("chunk_no").alias("doc_id"), T.label_of(F.col("relpath"), F.col("symbol_name")).alias("label"), F.sha2(F.coalesce(T.first_lines(F.regexp_replace("text", "\r\n", "\n"), 24), F.lit("")), 256).alias("snippet"))
+    return multiview_rerank(spark, d).join(c, "doc_id").select("query_id", "rank", "label", "score", "snippet")
+
+
+def proof_build(spark, d):
+    """Status of each question's proof: unanchored where it names no route of its repository, proved where its best candidate is such a route or reached from one, else partial."""
+    c, _, found = _candidates(spark, d)
+    u = checkpointed(G.units(c))
+    named = _plans(spark, d).select("query_id", "repo", F.explode("literals").alias("literal"))
+    routes = u.where("symbol_kind = 'route' and route_path <> ''").select("repo", F.col("node").alias("start"), "route_path")
+    first = lambda x: F.concat_ws("/", F.element_at(F.split(x, "/"), 2), F.size(F.split(F.regexp_replace(x, "/+$", ""), "/")).cast("string"))
+    anchors = named.withColumn("k", first(F.col("literal"))).join(routes.withColumn("k", first(F.col("route_path"))), ["repo", "k"]).where(T.route_matches(F.col("route_path"), F.col("literal"))).select("query_id", "start").distinct()
+    anchors = checkpointed(anchors)
+    reached = G.bounded_bfs(G.edges(u), anchors.select("start", F.col("start").alias("node")).distinct(), 3, G.FANOUT_ROUTE)
+    top = found.where("rank = 1").select("query_id", F.col("doc_id").alias("top"))
+    on = anchors.join(reached, "start").join(top, "query_id").where("node = top").select("query_id").distinct().withColumn("on_path", F.lit(True))
+    n = anchors.groupBy("query_id").agg(F.count("*").alias("anchors"))
+    j = questions(spark, d).select("query_id").join(top, "query_id", "left").join(n, "query_id", "left").join(on, "query_id", "left")
+    status = F.when(F.col("anchors").isNull(), "unanchored").when(F.col("on_path"), "proved").otherwise("partial")
+    return j.select("query_id", "top", F.coalesce("anchors", F.lit(0)).alias("anchors"), status.alias("status"))
+
+
 def embedding_inputs(spark, d):
     """Digest of what would be embedded of each chunk."""
     return chunks(spark, d).select("chunk_no", F.sha2(T.embedding_input(F.col("relpath"), F.col("symbol_name"), F.col("symbol_kind"), F.col("route_path"), F.col("text")), 256).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_chunks, term_freq, doc_freq, view_stats, expand_terms, route_literals, bm25_topk, rrf, multiview_rrf, view_contributions, dense_topk, query_plan, file_scout, chunk_score, candidate_union, relevant_edges, multiview_rerank, embedding_inputs)}
+QUERIES = {f.__name__: f for f in (tokenize_chunks, term_freq, doc_freq, view_stats, expand_terms, route_literals, bm25_topk, rrf, multiview_rrf, view_contributions, dense_topk, query_plan, file_scout, chunk_score, candidate_union, relevant_edges, multiview_rerank, question_evidence, proof_build, embedding_inputs)}
 
 _VIEWS = S.with_(S.CHUNKS, S.QUESTIONS, S.TERMS, S.VIEW_TOKENS, S.BM25, S.PARTS)
 _FILES = f"""f1 AS (SELECT repo, relpath, b.bag AS bag, b.roles AS roles FROM (SELECT repo, relpath, max({{'bag': array_to_string(t, ' ') || chr(1) || array_to_string(roles, ' ') || chr(1) || coalesce(language, ''), 'roles': roles}}) AS b FROM (SELECT {S.repo('repo_root')} AS repo, relpath, roles, language,
@@ -208,6 +232,8 @@ ORACLES = {
     "query_plan": S.with_(S.QUESTIONS, _PLAN) + "SELECT query_id, mode, intent, target, array_to_string(list_sort(roles), ',') AS roles, array_to_string(list_sort(languages), ',') AS languages FROM pl",
     "embedding_inputs": "SELECT chunk_no, sha256(concat_ws(chr(10), relpath, symbol_name, symbol_kind, route_path, left(coalesce(text, ''), 3000))) AS digest FROM code_chunks",
     "relevant_edges": _CANDS + ",\n  u AS (SELECT * FROM" + _E.split("u AS (SELECT * FROM", 1)[1] + ", h5 AS (SELECT query_id, doc_id FROM cn WHERE \"rank\" <= 5) SELECT query_id, source, target, label, rn::INT AS \"rank\" FROM (SELECT e.*, a.query_id, row_number() OVER (PARTITION BY a.query_id ORDER BY weight DESC, source, target, label) AS rn FROM e JOIN h5 a ON a.doc_id = e.source JOIN h5 b ON b.doc_id = e.target AND b.query_id = a.query_id) WHERE rn <= 12",
+    "question_evidence": _CANDS + f",\n  {_RERANK}, mr AS (SELECT query_id, doc_id, rn::INT AS \"rank\", score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, relpath, start_line, doc_id) AS rn FROM rr WHERE score > 0) WHERE rn <= {K}), sl AS (SELECT chunk_no, relpath || CASE WHEN symbol_name <> '' THEN ':' || symbol_name ELSE '' END AS label, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM c) SELECT query_id, \"rank\", label, score, sha256(coalesce(CASE WHEN len(l) <= 24 THEN array_to_string(l, chr(10)) ELSE array_to_string(l[1:24], chr(10)) || chr(10) || '...' END, '')) AS snippet FROM mr JOIN sl ON chunk_no = doc_id",
+    "proof_build": _CANDS + ",\n  u AS (SELECT * FROM" + _E.split("u AS (SELECT * FROM", 1)[1] + f", an AS (SELECT DISTINCT query_id, node AS start FROM (SELECT query_id, repo, unnest(literals) AS literal FROM pl) x JOIN u USING (repo) WHERE symbol_kind = 'route' AND route_path <> '' AND {_MATCH('route_path', 'literal')}), rt AS (SELECT DISTINCT start FROM an), {_bfs('e', 'rt', 3, G.FANOUT_ROUTE)}, tp AS (SELECT query_id, doc_id AS top FROM cn WHERE \"rank\" = 1) SELECT q.query_id, top, (SELECT count(*) FROM an WHERE an.query_id = q.query_id) AS anchors, CASE WHEN NOT EXISTS (SELECT 1 FROM an WHERE an.query_id = q.query_id) THEN 'unanchored' WHEN EXISTS (SELECT 1 FROM an JOIN s3 USING (start) WHERE an.query_id = q.query_id AND s3.node = top) THEN 'proved' ELSE 'partial' END AS status FROM q LEFT JOIN tp USING (query_id)",
     "multiview_rerank": _CANDS + f",\n  {_RERANK} SELECT query_id, doc_id, rn::INT AS \"rank\", score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, relpath, start_line, doc_id) AS rn FROM rr WHERE score > 0) WHERE rn <= {K}",
     "file_scout": S.with_(S.QUESTIONS, _QX, _PLAN, _FILES) + f"SELECT query_id, relpath, \"rank\", score, matched FROM {S.ranked('sc', K, id_='relpath')}",
     "chunk_score": _ALL + f"SELECT query_id, doc_id, \"rank\", score, matched FROM {S.ranked('cs', K)}",
