@@ -103,6 +103,33 @@ def suite_audit(spark, d):
     return m.join(ids, "suite_id", "left").withColumn("repeated_ids", F.coalesce("repeated_ids", F.lit(0).cast("long")))
 
 
+def suite_metrics(spark, d):
+    """Size and diversity of each suite."""
+    s = table(spark, d, "benchmark_challenge_suite")
+    tag = lambda t: F.count_if(F.array_contains("tags", t))
+    m = s.groupBy("suite_id").agg(F.count("*").alias("cases"), F.count_distinct(T.repository_key(F.col("repo"))).alias("repos"), F.count_if(F.trim("expected_symbol_contains") != "").alias("expected_symbols"), F.sum(F.size("distractor_symbol_contains")).alias("distractors"), tag("self-hosted").alias("self_hosted"), tag("route-grounded").alias("route_grounded"), tag("hard-negative").alias("hard_negatives"))
+    t = s.select("suite_id", F.explode("tags").alias("tag")).groupBy("suite_id").agg(F.count_distinct("tag").alias("tags"))
+    return m.join(t, "suite_id", "left").fillna(0, ["tags"])
+
+
+def case_checks(spark, d):
+    """Per suite and check: how many cases it concerns and how many fail it."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    s = table(spark, d, "benchmark_challenge_suite").select("case_no", "suite_id", "id", "question", "tags", T.repository_key(F.col("repo")).alias("repo"), F.trim("expected_path").alias("expected_path"), F.lower(F.trim("expected_symbol_contains")).alias("symbol"), F.filter(F.transform("distractor_symbol_contains", lambda x: F.lower(F.trim(x))), lambda x: x != "").alias("wrong"))
+    f = table(spark, d, "file_facts").select(T.repository_key(F.col("repo_root")).alias("repo"), F.col("relpath").alias("expected_path"))
+    names = chunks(spark, d).where("repo is not null and symbol_name <> ''").select("repo", F.lower("symbol_name").alias("name")).distinct()
+    asked = s.where("repo is not null").select("repo", F.explode("wrong").alias("needle")).distinct()
+    held = asked.join(names, "repo").where(F.col("name").contains(F.col("needle"))).select("repo", "needle").distinct()
+    open_ = s.select("case_no", "repo", F.explode("wrong").alias("needle")).join(held.withColumn("held", F.lit(True)), ["repo", "needle"], "left").groupBy("case_no").agg(F.count_if(F.col("held").isNull()).alias("unresolved"))
+    j = s.join(f.select("repo").distinct().withColumn("known", F.lit(True)), "repo", "left").join(f.distinct().withColumn("there", F.lit(True)), ["repo", "expected_path"], "left").join(open_, "case_no", "left")
+    some = F.size("wrong") > 0
+    checks = F.array(*(F.struct(F.lit(n).alias("check"), c.alias("failed")) for n, c in (
+        ("id_present", blank("id")), ("repo_exists", F.col("known").isNull()), ("expected_path_exists", F.col("there").isNull()), ("question_present", blank("question")), ("tags_present", F.size("tags") == 0),
+        ("distractors_resolve", F.when(some, F.coalesce("unresolved", F.lit(0)) > 0)), ("distractors_distinct", F.when(some, F.coalesce(F.array_contains("wrong", F.col("symbol")), F.lit(False)))),
+    )))
+    return j.select("suite_id", F.inline(checks)).where("failed is not null").groupBy("suite_id", "check").agg(F.count("*").alias("cases"), F.count_if("failed").alias("failed"))
+
+
 def group_by_repo_and_tag(spark, d):
     """Cases by repository, by tag, and in all, from one pass."""
     q = questions(spark, d).select("query_id", "repo")
@@ -218,7 +245,7 @@ def split_members(spark, d):
     return by.groupBy("split").agg(F.count("*").alias("cases"), F.count_distinct("repo").alias("repos"), F.min("query_id").alias("first_case"), *(part(i) for i in range(2)))
 
 
-QUERIES = {f.__name__: f for f in (eval_qrels, eval_per_query, eval_by_method, eval_by_repo, ablation_variants, paired_deltas, bootstrap_ci, split_assign, split_summary, split_audit, suite_audit, group_by_repo_and_tag, suite_digest, suite_verify, claim_conflicts, pareto_front, pairwise_interactions, manifest_verify, repository_sample, inferred_repository, needle_audit, counterfactual, diagnose, split_members)}
+QUERIES = {f.__name__: f for f in (eval_qrels, eval_per_query, eval_by_method, eval_by_repo, ablation_variants, paired_deltas, bootstrap_ci, split_assign, split_summary, split_audit, suite_audit, suite_metrics, case_checks, group_by_repo_and_tag, suite_digest, suite_verify, claim_conflicts, pareto_front, pairwise_interactions, manifest_verify, repository_sample, inferred_repository, needle_audit, counterfactual, diagnose, split_members)}
 
 _MEMBERS = "CASE " + " ".join(f"WHEN method = '{m}' THEN \"view\" IN ({', '.join(map(repr, v))})" for m, v in VARIANTS.items()) + " END"
 _CASES = S.with_(S.CHUNKS, S.QUESTIONS, S.TERMS, S.VIEW_TOKENS, S.BM25, S.PARTS).rstrip() + f""",
@@ -257,6 +284,12 @@ ORACLES = {
       SELECT 'enough_cases' AS "check", cases >= 200 AS passed FROM a UNION ALL SELECT 'enough_repositories', repos >= 20 FROM a UNION ALL SELECT 'disjoint', shared = 0 FROM b UNION ALL SELECT 'non_empty', splits = 3 FROM a""",
     "suite_audit": f"""SELECT suite_id, cases, no_path, hard_negatives, no_distractor, no_repo, coalesce(repeated_ids, 0) AS repeated_ids FROM (SELECT suite_id, count(*) AS cases, count(*) FILTER (expected_path IS NULL) AS no_path, count(*) FILTER (list_contains(tags, 'hard-negative')) AS hard_negatives, count(*) FILTER (len(distractor_symbol_contains) = 0) AS no_distractor, count(*) FILTER (coalesce(trim(repo), '') = '') AS no_repo FROM {_SUITE} GROUP BY ALL)
       LEFT JOIN (SELECT suite_id, count(*) AS repeated_ids FROM (SELECT suite_id, lower(trim(id)) AS k FROM {_SUITE} WHERE trim(id) <> '' GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL) USING (suite_id)""",
+    "suite_metrics": f"SELECT suite_id, count(*) AS cases, count(DISTINCT {S.repo('repo')}) AS repos, count(*) FILTER (trim(expected_symbol_contains) <> '') AS expected_symbols, sum(len(distractor_symbol_contains))::BIGINT AS distractors, count(*) FILTER (list_contains(tags, 'self-hosted')) AS self_hosted, count(*) FILTER (list_contains(tags, 'route-grounded')) AS route_grounded, count(*) FILTER (list_contains(tags, 'hard-negative')) AS hard_negatives, count(DISTINCT t) AS tags FROM (SELECT s.*, NULL AS t FROM {_SUITE} s) GROUP BY ALL".replace("count(DISTINCT t) AS tags FROM (SELECT s.*, NULL AS t FROM", "(SELECT count(DISTINCT t) FROM (SELECT suite_id AS i, unnest(tags) AS t FROM benchmark_challenge_suite) WHERE i = suite_id) AS tags FROM (SELECT * FROM"),
+    "case_checks": S.with_(S.CHUNKS) + f""", s AS (SELECT case_no, suite_id, id, question, tags, {S.repo('repo')} AS repo, trim(expected_path) AS path, lower(trim(expected_symbol_contains)) AS symbol, list_filter(list_transform(distractor_symbol_contains, lambda x: lower(trim(x))), lambda x: x <> '') AS wrong FROM {_SUITE}), f AS (SELECT DISTINCT {S.repo('repo_root')} AS repo, relpath FROM file_facts),
+      w AS (SELECT case_no, count(*) FILTER (NOT EXISTS (SELECT 1 FROM c WHERE c.repo = x.repo AND contains(lower(symbol_name), needle))) AS unresolved FROM (SELECT case_no, repo, unnest(wrong) AS needle FROM s) x GROUP BY case_no),
+      k AS (SELECT suite_id, unnest([{{'c': 'id_present', 'f': coalesce(trim(id), '') = ''}}, {{'c': 'repo_exists', 'f': NOT EXISTS (SELECT 1 FROM f WHERE f.repo = s.repo)}}, {{'c': 'expected_path_exists', 'f': NOT EXISTS (SELECT 1 FROM f WHERE f.repo = s.repo AND f.relpath = s.path)}}, {{'c': 'question_present', 'f': coalesce(trim(question), '') = ''}}, {{'c': 'tags_present', 'f': len(tags) = 0}},
+        {{'c': 'distractors_resolve', 'f': CASE WHEN len(wrong) > 0 THEN coalesce(unresolved, 0) > 0 END}}, {{'c': 'distractors_distinct', 'f': CASE WHEN len(wrong) > 0 THEN coalesce(list_contains(wrong, symbol), false) END}}]) AS r FROM s LEFT JOIN w USING (case_no))
+      SELECT suite_id, r.c AS "check", count(*) AS cases, count(*) FILTER (r.f) AS failed FROM k WHERE r.f IS NOT NULL GROUP BY ALL""",
     "group_by_repo_and_tag": S.with_(S.QUESTIONS) + f"SELECT repo, tag, count(DISTINCT query_id) AS cases FROM (SELECT query_id, q.repo, tag FROM q JOIN (SELECT case_no, unnest(CASE WHEN len(tags) = 0 THEN [NULL] ELSE list_distinct(tags) END) AS tag FROM {_SUITE}) t ON t.case_no = q.query_id) GROUP BY GROUPING SETS ((repo), (tag), ())",
     "suite_digest": f"SELECT suite_id, count(*) AS cases, sha256('[' || string_agg(doc, ',' ORDER BY i, doc) || ']') AS digest FROM (SELECT suite_id, coalesce(id, '') AS i, {_JSON('expected_path', 'expected_symbol_contains', 'id', 'question', 'repo')} AS doc FROM {_SUITE}) GROUP BY ALL",
     "suite_verify": f"SELECT suite_id, count(*) FILTER (early) AS frozen_cases, coalesce(string_agg(doc, ',' ORDER BY doc), '') = coalesce(string_agg(doc, ',' ORDER BY doc) FILTER (early), '') AS unchanged FROM (SELECT suite_id, {_JSON('id', 'question', 'repo')} AS doc, added_at::DATE < max(added_at::DATE) OVER (PARTITION BY suite_id) AS early FROM {_SUITE}) GROUP BY ALL",

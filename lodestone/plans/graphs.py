@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import evidence as V, graph as G, search as SE
+from lodestone.operators import evidence as V, graph as G, replay as RP, search as SE
 from lodestone.operators.lineage import checkpointed
 from lodestone.sources.tables import chunks, questions, table
 
@@ -106,6 +106,31 @@ def caller_test(spark, d):
     return pair.select("node", "next").join(e.withColumn("called", F.lit(True)), ["node", "next"], "left").select("node", "next", F.coalesce("called", F.lit(False)).alias("called"))
 
 
+def enclosing_class(spark, d):
+    """The nearest class around each function by its lines: the class of the same file with the latest start whose lines hold the function's; and the qualified name that follows.
+
+    Only classes and functions of one file meet."""
+    lines = lambda c: (F.least("start_line", F.coalesce("end_line", "start_line")).alias(f"{c}_from"), F.greatest("start_line", F.coalesce("end_line", "start_line")).alias(f"{c}_to"))
+    u = chunks(spark, d).where("start_line is not null and symbol_name <> ''")
+    f = u.where("symbol_kind = 'function'").select("repo_root", "relpath", "chunk_no", F.col("symbol_name").alias("name"), *lines("f"))
+    c = u.where("symbol_kind = 'class'").select("repo_root", "relpath", F.col("symbol_name").alias("class"), F.col("chunk_no").alias("class_no"), *lines("c"))
+    held = f.join(c, ["repo_root", "relpath"]).where("c_from <= f_from and f_to <= c_to")
+    best = held.groupBy("chunk_no", "name").agg(F.max_by("class", F.struct("c_from", -F.col("c_to"), "class_no")).alias("class"))
+    return best.select("chunk_no", "class", F.concat_ws(".", "class", "name").alias("qualified"))
+
+
+def edge_between(spark, d):
+    """The first edge between the two ends of each step of a proof's paths, in either direction."""
+    docs = RP.proof_docs(table(spark, d, "evidence_bundles")).where("repo is not null")
+    steps = docs.select("repo", F.explode("doc.paths").alias("p")).select("repo", F.inline(F.transform(F.sequence(F.lit(1), F.greatest(F.size("p") - 1, F.lit(1))), lambda i: F.struct(F.get("p", i - 1).alias("a"), F.get("p", i).alias("b"))))).where("b is not null").distinct()
+    u = checkpointed(_units(spark, d))
+    e = G.both_ways(G.edges(u)).select("repo", "source", "target", F.col("label").alias("edge"), "weight")
+    named = u.select("repo", "node", T.label_of(F.col("relpath"), F.col("symbol_name")).alias("l"))
+    end = lambda who, name: named.select("repo", F.col("node").alias(who), F.col("l").alias(name))
+    found = steps.join(end("source", "a"), ["repo", "a"]).join(end("target", "b"), ["repo", "b"]).join(e, ["repo", "source", "target"])
+    return found.groupBy("repo", "a", "b").agg(F.max(F.struct("weight", "edge")).alias("x")).select("repo", "a", "b", F.col("x.edge").alias("label"), F.col("x.weight").alias("weight"))
+
+
 #: Requests of the text and symbol searches: each a list of terms.
 SEARCHES = (("freeze", "replay"), ("ledger", "the file"), ("password",), ("x",))
 
@@ -204,7 +229,7 @@ def route_anchors(spark, d):
     return j.where(T.route_matches(F.col("route_path"), F.col("literal"))).select("query_id", "chunk_no", "literal", "route_path").distinct()
 
 
-QUERIES = {f.__name__: f for f in (prioritized_resolve, edge_build, edge_stats, chunk_stats, relations, neighborhood, impact_bfs, impact_walk, impact_files, impact_risk, anchor_boosts, caller_test, reachability, exposed_routes, ppr_fixed_iter, role_memory, overview, overview_edges, file_roles, grep_lines, symbol_search, find_chunk, directory_listing, route_anchors)}
+QUERIES = {f.__name__: f for f in (prioritized_resolve, edge_build, edge_stats, chunk_stats, relations, neighborhood, impact_bfs, impact_walk, impact_files, impact_risk, anchor_boosts, caller_test, enclosing_class, edge_between, reachability, exposed_routes, ppr_fixed_iter, role_memory, overview, overview_edges, file_roles, grep_lines, symbol_search, find_chunk, directory_listing, route_anchors)}
 
 _STEM = lambda x: rf"regexp_replace(lower(list_last(string_split(regexp_replace(regexp_replace({x}, '\\', '/', 'g'), '/+$', ''), '/'))), '^(.+)\.[^.]*$', '\1')"
 _U = f"""{S.CHUNKS}, u AS (SELECT * FROM (SELECT repo, chunk_no AS node, relpath, symbol_name, symbol_kind, qualified_name, route_path, imports, calls, refs, inherits, handler_names,
@@ -287,6 +312,8 @@ ORACLES = {
     "impact_files": S.with_(_E, _IMPACT) + "SELECT n.start, u.relpath, count(*) AS nodes, bool_or(u.relpath = h.relpath) AS target_file FROM (SELECT start, node FROM iw UNION SELECT start, start FROM ts) n JOIN u ON u.node = n.node JOIN u h ON h.node = n.start GROUP BY ALL",
     "impact_risk": S.with_(_E, _IMPACT) + "SELECT start, upstream, downstream, routes, CASE WHEN routes > 0 THEN 'high' WHEN upstream >= 3 OR downstream >= 3 THEN 'medium' ELSE 'low' END AS risk_level FROM (SELECT ts.start, count(iw.node) FILTER (direction = 'reverse') AS upstream, count(iw.node) FILTER (direction = 'forward') AS downstream, count(DISTINCT route_path) FILTER (route_path <> '') AS routes FROM ts LEFT JOIN iw ON iw.start = ts.start LEFT JOIN u ON u.node = iw.node GROUP BY ALL)",
     "anchor_boosts": S.with_(_E, "rt AS (SELECT node AS start FROM u WHERE symbol_kind = 'route')", _bfs("e", "rt", 3, G.FANOUT_ROUTE)) + "SELECT start, node, depth, round(CASE WHEN symbol_kind = 'route' THEN b * 0.35::DOUBLE ELSE b END, 4)::DOUBLE AS boost FROM (SELECT s3.start, s3.node, depth, symbol_kind, greatest(1.2::DOUBLE, 9.0::DOUBLE - (depth - 1) * 1.4::DOUBLE) + CASE WHEN depth = 1 AND symbol_kind = 'function' THEN 7.0 ELSE 0.0 END AS b FROM s3 JOIN u ON u.node = s3.node WHERE depth > 0)",
+    "enclosing_class": """WITH u AS (SELECT chunk_no, repo_root, relpath, symbol_name, symbol_kind, least(start_line, coalesce(end_line, start_line)) AS f, greatest(start_line, coalesce(end_line, start_line)) AS t FROM code_chunks WHERE start_line IS NOT NULL AND symbol_name <> '')
+      SELECT chunk_no, class, class || '.' || name AS qualified FROM (SELECT a.chunk_no, a.symbol_name AS name, c.symbol_name AS class, row_number() OVER (PARTITION BY a.chunk_no ORDER BY c.f DESC, c.t, c.chunk_no DESC) AS rn FROM u a JOIN u c ON a.repo_root = c.repo_root AND a.relpath = c.relpath AND a.symbol_kind = 'function' AND c.symbol_kind = 'class' AND c.f <= a.f AND a.t <= c.t) WHERE rn = 1""",
     "caller_test": S.with_(_E) + "SELECT node, nx AS next, EXISTS (SELECT 1 FROM e WHERE e.source = p.node AND e.target = p.nx AND label IN ('calls', 'routes_to')) AS called FROM (SELECT node, symbol_kind, lead(node) OVER (PARTITION BY repo, relpath ORDER BY node) AS nx FROM u) p WHERE symbol_kind = 'route' AND nx IS NOT NULL",
     "neighborhood": S.with_(_E, _SEED, _bfs("eb", "se", 2, 24)) + "SELECT start, node, depth, parent FROM s2",
     "impact_bfs": S.with_(_E, _SEED, _bfs("e", "se", 3, 12)) + "SELECT start, node, depth, parent FROM s3",

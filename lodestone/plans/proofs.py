@@ -196,6 +196,8 @@ ORACLES = {
     "proof_scorecard": _REPLAY + f", s AS (SELECT bundle_no, (CASE WHEN coalesce(status = 'proved', false) THEN {_W['proof_proved']} ELSE 0 END + CASE WHEN len(base) = 0 THEN {_W['strict_replay_valid']} ELSE 0 END + CASE WHEN NOT list_contains(base, 'evidence_fingerprints_match') THEN {_W['evidence_fingerprints_match']} ELSE 0 END + CASE WHEN NOT list_contains(base, 'proof_graph_edges_verified') THEN {_W['proof_edges_verified']} ELSE 0 END + CASE WHEN decoys > 0 THEN {_W['decoy_audit_present']} ELSE 0 END + CASE WHEN complete THEN {_W['mutation_detection_complete']} ELSE 0 END)::INT AS score FROM fu2) SELECT bundle_no, score, {_GRADE('score', RP.GRADES)} AS grade, CASE WHEN score >= 85 THEN 'pass' WHEN score >= 70 THEN 'warn' ELSE 'fail' END AS status FROM s",
     "court_verdict": _REPLAY + f", {_CLAIMED}, s AS (SELECT bundle_no, round(sum(CASE WHEN passed THEN weight ELSE 0 END) * 100.0 / sum(weight))::INT AS score, count(*) FILTER (passed) AS passed_claims, bool_and(passed) AS allp FROM ct GROUP BY ALL) SELECT bundle_no, score, {_GRADE('score', RP.COURT_GRADES)} AS grade, passed_claims, (decoys + len(base))::INT AS challenges, len(base)::INT AS open_challenges, CASE WHEN allp AND len(base) = 0 AND score >= 90 THEN 'accepted' WHEN score >= 70 THEN 'needs_review' ELSE 'rejected' END AS status FROM s JOIN fu2 USING (bundle_no)",
     "court_agents": _REPLAY + f", {_CLAIMED} SELECT agent, min(ord)::INT AS first, count(*) AS claims, count(*) FILTER (passed) AS passed FROM ct GROUP BY ALL",
+    "edge_between": S.with_(_DOCS, _E, _PROOF) + f""", sq AS (SELECT DISTINCT rp AS repo, a, b FROM (SELECT bundle_no, x AS a, lead(x) OVER (PARTITION BY bundle_no, outer_pos ORDER BY pos) AS b FROM pp2) JOIN p0 USING (bundle_no) WHERE b IS NOT NULL AND rp IS NOT NULL), un AS (SELECT repo, node, {_LABEL} AS l FROM u)
+      SELECT repo, a, b, label, weight FROM (SELECT sq.*, eb.label, eb.weight, row_number() OVER (PARTITION BY sq.repo, a, b ORDER BY eb.weight DESC, eb.label DESC) AS rn FROM sq JOIN un s ON s.repo = sq.repo AND s.l = a JOIN un t ON t.repo = sq.repo AND t.l = b JOIN eb ON eb.source = s.node AND eb.target = t.node) WHERE rn = 1""".replace("pp2", f"(SELECT no AS bundle_no, outer_pos, pos, v->>'$' AS x FROM {_INNER(_BR['proof.supporting_paths'], 'path')})"),
     "find_chunk": S.with_(_DOCS, S.CHUNKS, _EV, _EVR) + f""", a AS (SELECT DISTINCT repo, label AS target FROM er WHERE label IS NOT NULL AND repo IS NOT NULL), k AS (SELECT repo, chunk_no, chunk_id, {_LABEL} AS lab, symbol_name FROM c WHERE repo IS NOT NULL),
       m AS (SELECT a.repo, target, chunk_no, CASE WHEN chunk_id = target THEN 1 WHEN lab = target THEN 2 ELSE 3 END AS priority FROM a JOIN k ON k.repo = a.repo AND (chunk_id = target OR lab = target OR lower(lab) = lower(target) OR (lower(symbol_name) = lower(target) AND symbol_name <> '')))
       SELECT repo, target, chunk_no, priority::INT AS priority FROM (SELECT *, row_number() OVER (PARTITION BY repo, target ORDER BY priority, chunk_no) AS rn FROM m) WHERE rn = 1""",

@@ -12,7 +12,7 @@ from lodestone.plans.catalog import ORACLES, QUERIES
 duckdb = pytest.importorskip("duckdb")
 SMALL = "/root/testdata/sf0.001"
 #: Queries for which the smallest tables hold no rows.
-BARE = frozenset("pr_guard guard_annotations claim_conflicts successor_jaccard route_anchors diff_files diff_lines relevant_edges relations".split())
+BARE = frozenset("pr_guard guard_annotations claim_conflicts successor_jaccard route_anchors diff_files diff_lines relevant_edges relations edge_between enclosing_class".split())
 
 
 def same(spark, folder, name):
@@ -67,7 +67,7 @@ def mini(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["pr_guard", "guard_annotations", "claim_conflicts", "successor_jaccard", "route_anchors", "diff_files", "diff_lines", "relevant_edges", "relations", "proof_build", "proof_scorecard", "court_verdict", "mutation_detection", "temporal_status", "graph_delta", "manifest_verify", "counterfactual", "needle_audit", "multiview_rerank", "file_scout", "impact_walk"])
+@pytest.mark.parametrize("name", ["pr_guard", "guard_annotations", "claim_conflicts", "successor_jaccard", "route_anchors", "diff_files", "diff_lines", "relevant_edges", "relations", "proof_build", "proof_scorecard", "court_verdict", "mutation_detection", "temporal_status", "graph_delta", "manifest_verify", "counterfactual", "needle_audit", "multiview_rerank", "file_scout", "impact_walk", "edge_between", "case_checks", "suite_metrics"])
 def test_rows_of_its_own(spark, mini, name):
     assert same(spark, mini, name)
 
