@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from lodestone.functions.text import label_of, repository_key
+from lodestone.functions.text import label_of, repository_key, tokenize
 
 from .flatten import child_table, elements, flatten_bundles
 from .lineage import narrowed
+from .parse import jaccard, name_similarity
 
 #: What a failed check means.
 DRIFT = {"graph_search_ran": ("proof_graph_stale", "medium"), "route_anchor_present": ("route_anchor_missing", "high"), "top_hit_on_route_path": ("execution_path_broken", "medium"), "top_hit_present": ("top_hit_missing", "high"), "decoy_audit_rejected": ("decoy_audit_stale", "medium")}
@@ -79,3 +80,28 @@ def diagnostics(evidence: DataFrame, edges: DataFrame) -> DataFrame:
     )
     level = F.when(m >= 720, "high").when(m >= 450, "medium").otherwise("low")
     return g.select("bundle_no", "hits", "files", "edges", "terms", (F.floor((F.least(F.lit(1000), m) + 5) / 10) / 100.0).alias("confidence"), level.alias("level"))
+
+
+#: Weights of a successor's signs, with the least similarity from which names and bodies count, and the least scores to be kept and to be sure.
+SAME_FILE, SAME_KIND, NAME, BODY, CALLS, REACHED, CALLED = 0.18, 0.10, 0.22, 0.28, 0.12, 0.22, 0.18
+LEAST_NAME, LEAST_BODY, SURE_BODY, SURE_CALLS, KEPT, HIGH = 0.45, 0.35, 0.55, 0.5, 0.52, 0.78
+
+
+def successors(targets: DataFrame, before: DataFrame, after: DataFrame, continued: DataFrame, k: int = 5) -> DataFrame:
+    """bundle_no, target, candidate, score, confidence, rank: the best k units that may have taken a proof's target's place.
+
+    before and after: repo, node, label, relpath, symbol, kind, calls, text of units.  continued: bundle_no, node, reached,
+    called - units that the proof's routes reach or a predecessor on its paths calls; as only those may succeed, no target
+    meets other units.  Name, body and calls must show likeness too."""
+    old = targets.join(before.select("repo", F.col("label").alias("target"), *(F.col(c).alias("old_" + c) for c in ("relpath", "symbol", "kind", "calls", "text"))), ["repo", "target"])
+    pair = old.join(continued, "bundle_no").join(after.select("node", "label", "relpath", "symbol", "kind", "calls", "text"), "node").where("symbol <> '' and label <> target")
+    pair = name_similarity(pair, "old_symbol", "symbol", "name").withColumn("body", jaccard(tokenize(F.col("old_text")), tokenize(F.col("text")))).withColumn("call", jaccard(F.col("old_calls"), F.col("calls")))
+    when = lambda c, v: F.when(c, v).otherwise(0.0)
+    score = (
+        when(F.col("relpath") == F.col("old_relpath"), SAME_FILE) + when(F.col("kind") == F.col("old_kind"), SAME_KIND) + when(F.col("name") >= LEAST_NAME, NAME * F.col("name")) + when(F.col("body") >= LEAST_BODY, BODY * F.col("body"))
+        + when(F.col("call") > 0, CALLS * F.col("call")) + when(F.col("reached"), REACHED) + when(F.col("called"), CALLED)
+    )
+    like = (F.col("name") >= LEAST_NAME) | (F.col("body") >= SURE_BODY) | (F.col("call") >= SURE_CALLS)
+    best = pair.withColumn("score", F.round(F.least(F.lit(1.0), score), 3)).where(like & (F.col("score") >= KEPT))
+    first = W.partitionBy("bundle_no").orderBy(F.col("score").desc(), "label")
+    return best.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("bundle_no", "target", F.col("label").alias("candidate"), "score", F.when(F.col("score") >= HIGH, "high").otherwise("medium").alias("confidence"), "rank")

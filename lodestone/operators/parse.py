@@ -10,6 +10,8 @@ from bisect import bisect_right
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lodestone.functions.text import tokenize
+
 ROUTE_CALLS = frozenset(["route", "api_route", "get", "post", "put", "patch", "delete"])
 SYMBOLS = "array<struct<name:string,kind:string,start_line:int,end_line:int,calls:array<string>,refs:array<string>,inherits:array<string>,route_path:string>>"
 
@@ -234,16 +236,20 @@ def unified_diff(path: Column, before: Column, after: Column) -> Column:
 
 
 def similarity(a: str | None, b: str | None) -> float:
-    """Greater of the sequence-matching ratio and the token overlap of two names."""
+    """Sequence-matching ratio of two names, letter case aside."""
     import difflib
-    import re
 
-    a, b = a or "", b or ""
-    parts = lambda s: {p.lower() for p in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", s)}
-    x, y = parts(a), parts(b)
-    return round(max(difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio(), len(x & y) / len(x | y) if x | y else 0.0), 6)
+    return round(difflib.SequenceMatcher(None, (a or "").lower(), (b or "").lower()).ratio(), 6) if a and b else 0.0
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Share of two lists' distinct values, letter case aside, that both have; 0 where one has none."""
+    low = lambda x: F.array_distinct(F.filter(F.transform(F.coalesce(x, F.array().cast("array<string>")), lambda v: F.lower(v)), lambda v: v != ""))
+    x, y = low(a), low(b)
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(0.0)
 
 
 def name_similarity(pairs: DataFrame, a: str, b: str, to: str = "similarity") -> DataFrame:
-    one = F.pandas_udf(lambda x, y: pd.Series([similarity(p, q) for p, q in zip(x, y)], dtype="float64"), "double")
-    return pairs.withColumn(to, one(F.col(a), F.col(b)))
+    """Adds the greater of the two names' sequence ratio (which needs Python) and the overlap of their tokens."""
+    ratio = F.pandas_udf(lambda x, y: pd.Series([similarity(p, q) for p, q in zip(x, y)], dtype="float64"), "double")
+    return pairs.withColumn(to, F.round(F.greatest(ratio(F.col(a), F.col(b)), jaccard(tokenize(F.col(a)), tokenize(F.col(b)))), 6))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import evidence as V, graph as G, replay as RP
-from lodestone.operators.lineage import checkpointed
+from lodestone.operators.lineage import checkpointed, narrowed
 from lodestone.sources.tables import chunks, table
 
 from . import sql as S
@@ -137,7 +137,30 @@ def graph_delta(spark, d):
     return g.withColumn("verdict", F.when(F.col("removed") + F.col("unresolved") > 0, "broken_path_found").otherwise("no_graph_delta"))
 
 
-QUERIES = {f.__name__: f for f in (proof_replay, mutation_lab, mutation_detection, proof_scorecard, court_verdict, court_agents, contract_checks, temporal_status, pr_guard, guard_annotations, graph_delta)}
+def proof_successors(spark, d):
+    """Units of the latest index that may have taken the place of each proof's target in the first one."""
+    c, docs = chunks(spark, d), checkpointed(RP.proof_docs(table(spark, d, "evidence_bundles")).where("repo is not null"))
+    first, last = G.units(c, False), checkpointed(G.units(c))
+    targets = docs.where("doc.top_hit <> ''").select("bundle_no", "repo", F.col("doc.top_hit").alias("target"))
+    text = c.select(F.col("chunk_no").alias("node"), "text")
+    shape = lambda u: u.select("repo", "node", T.label_of(F.col("relpath"), F.col("symbol_name")).alias("label"), "relpath", F.col("symbol_name").alias("symbol"), F.col("symbol_kind").alias("kind"), "calls")
+    edges = checkpointed(G.edges(last))
+    labels = shape(last).select("repo", "node", "label")
+    literal = docs.select("bundle_no", "repo", F.explode("doc.routes").alias("route"))
+    starts = literal.join(last.select("repo", F.col("node").alias("start"), F.col("route_path").alias("route")), ["repo", "route"]).select("bundle_no", "start")
+    starts = checkpointed(starts.unionByName(literal.join(labels.select("repo", F.col("node").alias("start"), F.col("label").alias("route")), ["repo", "route"]).select("bundle_no", "start")).distinct())
+    reached = starts.join(G.bounded_bfs(edges, starts.select("start", F.col("start").alias("node")).distinct(), 5, G.FANOUT_ROUTE), "start").select("bundle_no", "node", F.lit(True).alias("reached"), F.lit(False).alias("called"))
+    steps = docs.select("bundle_no", "repo", F.col("doc.top_hit").alias("target"), F.explode("doc.paths").alias("p"))
+    ahead = steps.select("bundle_no", "repo", F.get("p", (F.array_position("p", F.col("target")) - 2).cast("int")).alias("label")).where("label is not null").distinct()
+    called = ahead.join(labels.withColumnRenamed("node", "source"), ["repo", "label"]).join(edges.where("label in ('calls', 'routes_to')").select("source", "target"), "source").select("bundle_no", F.col("target").alias("node"), F.lit(False).alias("reached"), F.lit(True).alias("called"))
+    continued = checkpointed(reached.unionByName(called).groupBy("bundle_no", "node").agg(F.bool_or("reached").alias("reached"), F.bool_or("called").alias("called")))
+    old = shape(first).join(targets.select("repo", F.col("target").alias("label")).distinct(), ["repo", "label"], "left_semi")
+    new = shape(last).join(continued.select("node").distinct(), "node", "left_semi")
+    with_text = lambda u: u.join(narrowed(text, u, ["node"]), "node")
+    return V.successors(targets, with_text(old), with_text(new), continued)
+
+
+QUERIES = {f.__name__: f for f in (proof_replay, mutation_lab, mutation_detection, proof_scorecard, court_verdict, court_agents, contract_checks, temporal_status, pr_guard, guard_annotations, graph_delta, proof_successors)}
 
 # ---------------------------------------------------------------- comparison SQL
 _FALSE = "('', 'false', '0', 'null')"

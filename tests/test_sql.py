@@ -51,7 +51,7 @@ def mini(spark, tmp_path_factory):
     put("code_chunks", [
         chunk(1, "src/app.py", "post_items_id", "route", "route", route="/items/:id", handlers=["handle"]), chunk(2, "src/app.py", "handle", "function", "def handle(): save()", calls=["save"]),
         chunk(3, "src/db.py", "save", "function", "def save(): pass"), chunk(4, "src/db.py", text="import x"), chunk(5, "src/db.py", "save", "function", "def save(): return 2"), chunk(6, "src/k.py", "Keeper", "class", "class Keeper: save()", calls=["save"]),
-        chunk(7, "src/app.py", "admin_save", "function", None, repo=None),
+        chunk(7, "src/app.py", "admin_save", "function", None, repo=None), chunk(8, "src/db.py", "save_all", "function", "def save(): return 3"), chunk(9, "src/app.py", "handle", "function", "def handle(): save_all()", calls=["save", "save_all"]),
     ], CHUNK)
     put("file_facts", [("/w/o/r", "src/app.py", "python", 9, [], ["handle"], ["/items/:id"], ["api"], NOW), ("/w/o/r", "src/db.py", None, None, [], ["save"], [], [], NOW)] * 2, "repo_root string, relpath string, language string, line_count int, imports array<string>, symbol_names array<string>, routes array<string>, roles array<string>, indexed_at timestamp_ntz")
     put("benchmark_challenge_suite", [(1, "s", "a", "git@h:o/r.git", "Which function saves /items/42 rather than admin?", "src/db.py", "save", ["admin"], ["t"], NOW), (2, "s", None, "o/r", None, None, None, [], [], NOW), (3, "s", "b", "o/r", "where is handle", "x", "zzz", ["handle"], ["t", "u"], NOW)],
@@ -79,5 +79,6 @@ def test_what_the_small_tables_say(spark, mini):
     assert rows("temporal_status") == {(1, "recovered", "", "evidence_fingerprints_match"), (2, "regression_found", "evidence_fingerprints_match", "")}
     assert {(r[0], r[1], r[4], r[5]) for r in rows("pr_guard")} == {(1, 1, "warn", 0), (1, 2, "fail", 1)}
     assert rows("claim_conflicts") == {("o/r", "docs/a.md", 2, "r1")} and rows("route_anchors") == {(1, 1, "/items/42", "/items/:id")}
+    assert {r[:3] for r in rows("proof_successors")} == {(1, "src/db.py:save", "src/db.py:save_all"), (2, "src/db.py:save", "src/db.py:save_all")} and all(r[3] > 0.7 for r in rows("proof_successors"))
     assert {(r[0], r[3]) for r in rows("proof_build")} == {(1, "proved"), (3, "unanchored")}
     assert {r[0]: r[1] for r in rows("manifest_verify")} == {"sha256_mismatch": 1, "no_record": 2, "no_text": 1}
