@@ -12,7 +12,7 @@ from lodestone.plans.catalog import ORACLES, QUERIES
 duckdb = pytest.importorskip("duckdb")
 SMALL = "/root/testdata/sf0.001"
 #: Queries for which the smallest tables hold no rows.
-BARE = frozenset("pr_guard guard_annotations claim_conflicts successor_jaccard route_anchors diff_files diff_lines relevant_edges relations edge_between enclosing_class".split())
+BARE = frozenset("pr_guard guard_annotations claim_conflicts successor_jaccard route_anchors css_imports html_links diff_files diff_lines relevant_edges relations edge_between enclosing_class".split())
 
 
 def same(spark, folder, name):
@@ -62,12 +62,12 @@ def mini(spark, tmp_path_factory):
     put("evidence_bundles", [(1, "b1", "/w/o/r", "q", NOW, NOW, whole), (2, "b2", "https://h/o/r", "q", NOW, NOW, stale), (3, "b3", None, "q", NOW, NOW, "{damaged"), (4, "b4", "/w/o/r", "q", NOW, NOW, None)], "bundle_no long, bundle_id string, repo_root string, question string, created_at timestamp_ntz, loaded_at timestamp_ntz, payload string")
     put("engineering_runs", [(1, "r1", "o/r", "t", "completed", "m", "x", ["./lib/src/db.py", "docs/a.md", "src\\\\app.py"], "[]", NOW, NOW), (2, "r2", "o/r", "t", None, "m", None, ["docs/a.md"], None, NOW, NOW), (3, "r3", "/w/other/z", "t", "failed", "m", "x", ["src/db.py"], "[]", NOW, NOW)],
         "run_no long, run_id string, repo_root string, task string, status string, model string, execution_mode string, changed_files array<string>, timeline string, created_at timestamp_ntz, loaded_at timestamp_ntz")
-    put("file_analysis", [(1, "o/r", "a.py", "sha256:abc", "python", "x", [], 1, "a = load(b)\n", NOW), (2, "o/r", "a.py", None, "python", "x", [], 1, "a = load(c)\nd = 2\n", NOW), (3, "o/r", "p.diff", "", None, None, [], 0, "+++ b/src/a.py\n+x\n-y\n-z\n", NOW), (4, "o/r", "n.py", "00", None, None, [], 0, None, NOW)],
+    put("file_analysis", [(1, "o/r", "a.py", "sha256:abc", "python", "x", [], 1, "a = load(b)\n", NOW), (2, "o/r", "a.py", None, "python", "x", [], 1, "a = load(c)\nd = 2\n", NOW), (3, "o/r", "p.diff", "", None, None, [], 0, "+++ b/src/a.py\n+x\n-y\n-z\n", NOW), (4, "o/r", "n.py", "00", None, None, [], 0, None, NOW), (5, "o/r", "w.html", None, None, None, [], 0, "<a href='/static/x.js'><img SRC='b.png'><a href='X.js'>", NOW), (6, "o/r", "w.css", None, None, None, [], 0, "@import url(theme.css); @IMPORT 'b.css';", NOW)],
         "file_no long, repo_root string, relpath string, content_digest string, language string, parser_backend string, imports array<string>, symbol_count int, source_text string, analyzed_at timestamp_ntz")
     return folder
 
 
-@pytest.mark.parametrize("name", ["pr_guard", "guard_annotations", "claim_conflicts", "successor_jaccard", "route_anchors", "diff_files", "diff_lines", "relevant_edges", "relations", "proof_build", "proof_scorecard", "court_verdict", "mutation_detection", "temporal_status", "graph_delta", "manifest_verify", "counterfactual", "needle_audit", "multiview_rerank", "file_scout", "impact_walk", "edge_between", "case_checks", "suite_metrics"])
+@pytest.mark.parametrize("name", ["pr_guard", "guard_annotations", "claim_conflicts", "successor_jaccard", "route_anchors", "diff_files", "diff_lines", "relevant_edges", "relations", "proof_build", "proof_scorecard", "court_verdict", "mutation_detection", "temporal_status", "graph_delta", "manifest_verify", "counterfactual", "needle_audit", "multiview_rerank", "file_scout", "impact_walk", "css_imports", "html_links", "edge_between", "case_checks", "suite_metrics"])
 def test_rows_of_its_own(spark, mini, name):
     assert same(spark, mini, name)
 
@@ -81,4 +81,4 @@ def test_what_the_small_tables_say(spark, mini):
     assert rows("claim_conflicts") == {("o/r", "docs/a.md", 2, "r1")} and rows("route_anchors") == {(1, 1, "/items/42", "/items/:id")}
     assert {r[:3] for r in rows("proof_successors")} == {(1, "src/db.py:save", "src/db.py:save_all"), (2, "src/db.py:save", "src/db.py:save_all")} and all(r[3] > 0.7 for r in rows("proof_successors"))
     assert {(r[0], r[3]) for r in rows("proof_build")} == {(1, "proved"), (3, "unanchored")}
-    assert {r[0]: r[1] for r in rows("manifest_verify")} == {"sha256_mismatch": 1, "no_record": 2, "no_text": 1}
+    assert {r[0]: r[1] for r in rows("manifest_verify")} == {"sha256_mismatch": 1, "no_record": 4, "no_text": 1}
