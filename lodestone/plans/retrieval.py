@@ -142,6 +142,28 @@ def multiview_rerank(spark, d):
     return RR.reranked(RR.features(with_boost, plans, asked, c, roles, reached), K)
 
 
+def _seeded(spark, d):
+    """Graph in both directions, and the three best candidates of each question that are units of it."""
+    c, _, found = _candidates(spark, d)
+    u = G.units(c)
+    seeds = found.where("rank <= 3").select(F.col("query_id").alias("start"), F.col("doc_id").alias("node"), "score").join(u.select("node"), "node", "left_semi")
+    return checkpointed(G.both_ways(G.edges(u))), checkpointed(seeds)
+
+
+def question_ppr(spark, d):
+    """Ten greatest boosts of each question from eight rounds of PageRank around its seeds, with the fused scores of the views."""
+    e, seeds = _seeded(spark, d)
+    terms = I.query_terms(questions(spark, d), expand=True)
+    hybrid = R.fuse(R.contributions(R.bm25(_views(spark, d), terms))).select(F.col("query_id").alias("start"), F.col("doc_id").alias("node"), "score")
+    return G.boosted(G.neighborhood_rank(e, seeds, 1, 8), hybrid).withColumnRenamed("start", "query_id")
+
+
+def explored_neighbors(spark, d):
+    """What the neighbors of each question's seeds gain within two hops."""
+    e, seeds = _seeded(spark, d)
+    return G.explored(e, seeds, 2).select(F.col("start").alias("query_id"), "node", "boost")
+
+
 def question_evidence(spark, d):
     """The evidence of each question's bundle: its best candidates with label, score and the digest of their first 24 lines."""
     c = chunks(spark, d).select(F.col("chunk_no").alias("doc_id"), T.label_of(F.col("relpath"), F.col("symbol_name")).alias("label"), F.sha2(F.coalesce(T.first_lines(F.regexp_replace("text", "\r\n", "\n"), 24), F.lit("")), 256).alias("snippet"))
@@ -171,7 +193,7 @@ def embedding_inputs(spark, d):
     return chunks(spark, d).select("chunk_no", F.sha2(T.embedding_input(F.col("relpath"), F.col("symbol_name"), F.col("symbol_kind"), F.col("route_path"), F.col("text")), 256).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_chunks, term_freq, doc_freq, view_stats, expand_terms, route_literals, bm25_topk, rrf, multiview_rrf, view_contributions, dense_topk, query_plan, file_scout, chunk_score, candidate_union, relevant_edges, multiview_rerank, question_evidence, proof_build, embedding_inputs)}
+QUERIES = {f.__name__: f for f in (tokenize_chunks, term_freq, doc_freq, view_stats, expand_terms, route_literals, bm25_topk, rrf, multiview_rrf, view_contributions, dense_topk, query_plan, file_scout, chunk_score, candidate_union, relevant_edges, multiview_rerank, question_ppr, explored_neighbors, question_evidence, proof_build, embedding_inputs)}
 
 _VIEWS = S.with_(S.CHUNKS, S.QUESTIONS, S.TERMS, S.VIEW_TOKENS, S.BM25, S.PARTS)
 _FILES = f"""f1 AS (SELECT repo, relpath, b.bag AS bag, b.roles AS roles FROM (SELECT repo, relpath, max({{'bag': array_to_string(t, ' ') || chr(1) || array_to_string(roles, ' ') || chr(1) || coalesce(language, ''), 'roles': roles}}) AS b FROM (SELECT {S.repo('repo_root')} AS repo, relpath, roles, language,
@@ -216,7 +238,29 @@ _RERANK = f"""pa AS (SELECT *, list_distinct(own || flatten(list_transform(own,
   fx AS (SELECT *, len(acted) AS acts, list_has_any(acted, prim) AS primary_same, list_contains(acted, first) AS primary_own, {_EXCL} AS excluded FROM ft),
   rr AS (SELECT query_id, doc_id, relpath, start_line, round({RR.total_sql()}, 5) AS score FROM fx)"""
 
+_GRAPH = ",\n  u AS (SELECT * FROM" + _E.split("u AS (SELECT * FROM", 1)[1] + ', sd0 AS (SELECT query_id AS start, doc_id AS node, score FROM cn WHERE "rank" <= 3 AND doc_id IN (SELECT node FROM u))'
+
+
+def _ppr_sql(rounds: int) -> str:
+    """One level of neighborhood and unrolled rounds, by question."""
+    out = [
+        f"fe AS (SELECT DISTINCT source, target FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, label DESC, target DESC) AS rn FROM eb) WHERE rn <= {G.FANOUT_PPR})",
+        "hd AS (SELECT start, node, 0 AS depth, NULL::BIGINT AS parent FROM sd0 UNION ALL SELECT s.start, f.target, 1, min(f.source) FROM sd0 s JOIN fe f ON f.source = s.node WHERE NOT EXISTS (SELECT 1 FROM sd0 x WHERE x.start = s.start AND x.node = f.target) GROUP BY s.start, f.target)",
+        f"cw AS (SELECT source, target, sum(least(4.0::DOUBLE, greatest(0.05::DOUBLE, weight))) AS w FROM eb WHERE source <> target GROUP BY ALL)", "ns AS (SELECT a.start, a.node, target, w FROM hd a JOIN cw ON cw.source = a.node JOIN hd b ON b.start = a.start AND b.node = cw.target)", "mv AS (SELECT start, node, target, w / sum(w) OVER (PARTITION BY start, node) AS p FROM ns)",
+        f"sh AS (SELECT start, node, greatest({G.LEAST_SEED}, score) / sum(greatest({G.LEAST_SEED}, score)) OVER (PARTITION BY start) AS share FROM sd0)", "nd AS (SELECT hd.start, hd.node, coalesce(share, 0.0) AS share, EXISTS (SELECT 1 FROM mv WHERE mv.start = hd.start AND mv.node = hd.node) AS moves FROM hd LEFT JOIN sh USING (start, node))", "g0 AS (SELECT start, node, share AS r FROM nd)",
+    ]
+    for k in range(1, rounds + 1):
+        q = f"g{k - 1}"
+        out.append(f"""g{k} AS (SELECT nd.start, nd.node, 0.15 * share + 0.85 * coalesce(flow, 0.0) + 0.85 * coalesce(lost, 0.0) * share AS r FROM nd LEFT JOIN (SELECT {q}.start, target AS node, sum(r * p) AS flow FROM {q} JOIN mv ON mv.start = {q}.start AND mv.node = {q}.node GROUP BY ALL) f ON f.start = nd.start AND f.node = nd.node
+      LEFT JOIN (SELECT {q}.start, sum(r) AS lost FROM {q} JOIN nd n2 ON n2.start = {q}.start AND n2.node = {q}.node AND NOT n2.moves GROUP BY ALL) l ON l.start = nd.start)""")
+    return ", " + ",\n  ".join(out)
+
+
 ORACLES = {
+    "question_ppr": _CANDS + _GRAPH + _ppr_sql(8) + f""" SELECT start AS query_id, node, boost, concat_ws('>', parent::VARCHAR, node::VARCHAR) AS path, rn::INT AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY boost DESC, node) AS rn FROM (SELECT hd.start, hd.node, parent, round(r * ({G.BASE_SHARE} + {G.HYBRID_SHARE} * coalesce(fu.score, 0.0)) * {G.BOOST}, 4) AS boost FROM hd JOIN g8 USING (start, node) LEFT JOIN fu ON fu.query_id = hd.start AND fu.doc_id = hd.node)) WHERE rn <= 10""",
+    "explored_neighbors": _CANDS + _GRAPH + """, x8 AS (SELECT source, target, weight FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, label DESC, target DESC) AS rn FROM eb) WHERE rn <= 8), h1 AS (SELECT start, target AS node, sum(weight) * 1.9::DOUBLE AS boost, max(weight) AS best FROM sd0 JOIN x8 ON x8.source = sd0.node GROUP BY ALL),
+      nf1 AS (SELECT start, node FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY best DESC, node) AS i FROM h1 WHERE NOT EXISTS (SELECT 1 FROM sd0 WHERE sd0.start = h1.start AND sd0.node = h1.node)) WHERE i <= 6), h2 AS (SELECT start, target AS node, sum(weight) * 1.15::DOUBLE AS boost FROM nf1 JOIN x8 ON x8.source = nf1.node GROUP BY ALL)
+      SELECT start AS query_id, node, round(sum(boost), 4) AS boost FROM (SELECT start, node, boost FROM h1 UNION ALL SELECT start, node, boost FROM h2) GROUP BY ALL""",
     "tokenize_chunks": f"SELECT chunk_no, array_to_string({S.tok('text')}, ' ') AS tokens FROM code_chunks",
     "term_freq": S.with_(S.CHUNKS, S.CONTENT, S.TF) + "SELECT doc_id, term, tf::BIGINT AS tf FROM tf",
     "doc_freq": S.with_(S.CHUNKS, S.CONTENT, S.TF) + "SELECT term, count(*) AS df FROM tf GROUP BY ALL",

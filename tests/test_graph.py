@@ -43,3 +43,29 @@ def test_empty_edges(spark):
     e = spark.createDataFrame([], EDGES)
     s = spark.createDataFrame([(1, 1)], "start long, node long")
     assert G.bounded_bfs(e, s, 2, 5).count() == 1
+
+
+def test_neighborhood_rank_keeps_each_starts_mass(spark):
+    e = spark.createDataFrame([("r", 1, 2, "calls", 1.0), ("r", 2, 3, "calls", 9.0), ("r", 1, 3, "calls", 1.0), ("r", 3, 9, "calls", 1.0)], EDGES)
+    seeds = spark.createDataFrame([(7, 1, 4.0), (7, 2, 0.0), (8, 3, 1.0)], "start long, node long, score double")
+    got = G.neighborhood_rank(G.both_ways(e), seeds, 1, 12).collect()
+    for start in (7, 8):
+        assert abs(sum(r.rank for r in got if r.start == start) - 1) < 1e-9
+    assert {r.node for r in got if r.start == 8} == {1, 2, 3, 9} and {(r.node, r.parent) for r in got if r.start == 7 and r.depth == 1} == {(3, 1)}
+    hybrid = spark.createDataFrame([(8, 9, 1.0)], "start long, node long, score double")
+    top = G.boosted(spark.createDataFrame(got), hybrid, 1).collect()
+    assert len(top) == 2 and {r.rank for r in top} == {1}
+
+
+def test_explored_gains(spark):
+    e = spark.createDataFrame([("r", 1, 2, "calls", 2.0), ("r", 2, 3, "calls", 1.0)], EDGES)
+    seeds = spark.createDataFrame([(5, 1)], "start long, node long")
+    assert {(r.node, r.boost) for r in G.explored(G.both_ways(e), seeds, 2).collect()} == {(2, 3.8), (1, 2.3), (3, 1.15)}
+
+
+def test_impact_goes_both_ways(spark):
+    e = spark.createDataFrame([("r", 1, 2, "calls", 2.0), ("r", 1, 3, "calls", 1.0), ("r", 2, 4, "calls", 1.0), ("r", 3, 4, "calls", 3.0), ("r", 9, 1, "calls", 1.0)], EDGES)
+    t = spark.createDataFrame([(1,)], "node long")
+    got = {(r.node, r.direction, r.depth, r.weight, r.rank) for r in G.impact(e, t, 2).collect()}
+    assert got == {(2, "forward", 1, 2.0, 1), (3, "forward", 1, 1.0, 2), (4, "forward", 2, 4.0, 3), (9, "reverse", 1, 1.0, 1)}
+    assert len(G.impact(e, t, 2, most=1).collect()) == 2
