@@ -20,7 +20,7 @@ BLANK_BEFORE_TOP, BLANK, LINE_TOP, LINE, SENTENCE, SPACE, HARD = 0.0, 0.6, 0.4,
 IMBALANCE = 2.0
 _LINES = re.compile(r"\n(?=([ \t]*\r?\n)?(\s?))")
 _SENTENCE = re.compile(r"[.!?;。！？；]\s*(?=\S)")
-_SPACE = re.compile(r"\s+(?=\S)")
+_SPACE = re.compile(r"(?<=\s)(?=\S)")
 _COMBINING = re.compile(r"[̀-ͯ‍︀-️]|(?<=\r)\n|(?<=‍)")
 
 
