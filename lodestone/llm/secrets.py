@@ -121,7 +121,8 @@ class Secret(NamedTuple):
 
 
 #: The end of a key in the forms of any configuration format, before a colon or an equals sign with a value behind it.
-_KEY_END = re.compile(r"""([\w\-]*)\\?["']?[ \t]*(?::[ \t]+|=[ \t]*)(?![=\s]|[A-Za-z_][\w.]*[(\[,;)]|[A-Za-z_][\w.]*$)""", re.M)
+_NAME = re.compile(r"[\w\-]*")
+_KEY_END = re.compile(r"""\\?["']?[ \t]*(?::[ \t]+|=[ \t]*)(?![=\s]|[A-Za-z_][\w.]*[(\[,;)]|[A-Za-z_][\w.]*$)""", re.M)
 
 
 def _has_key(text: str, low: str) -> bool:
@@ -129,10 +130,10 @@ def _has_key(text: str, low: str) -> bool:
     for word in _WORDS:
         at = low.find(word)
         while at >= 0:
-            m = _KEY_END.match(text, at)
-            if m and sensitive(_head(text, at) + text[at : m.end(1)]):
+            end = _NAME.match(text, at).end()
+            if _KEY_END.match(text, end) and sensitive(_head(text, at) + text[at:end]):
                 return True
-            at = low.find(word, at + len(word))
+            at = low.find(word, max(end, at + len(word)))
     return False
 
 
