@@ -33,7 +33,9 @@ _KANA = re.compile(r"[぀-ヿ]")
 _BULLET = re.compile(r"^\s*(?:[-*+•·–—▪◦‣○●→>»]\s+|\[[ xX]\]\s*|(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,4})[.)]\s+|[（(]\d{1,3}[)）]\s*|#\d+\s+|[①-⑳]|\d{1,2}、|第[一二三四五六七八九十]+[,、.])")
 _HEADING = re.compile(r"^\s*(?:#{1,6}\s|={3,}|-{3,}|\*\*[^*]+\*\*\s*$)")
 _FIELD = re.compile(r"""^\s*(?:[\w ./\-]{1,32}?\s*(?:=|:(?!//)|\.{3,}|\t|->|=>)\s*\S.{0,60}$|[{\[<|].*[}\]>|],?\s*$)""")
-_CODE = re.compile(r"""(?x)[;{}]\s*$ | ^\s*(?:def|class|import|from|return|const|let|var|function|if|for|while|try|except|catch|else|export|async|await|public|private|static|\#include|@\w+)\b.*[:;({)\]]\s*$ | =>|\(\)\s*[;{]|\w+\.\w+\(.*\) | ^\s*</?\w+.*>\s*$ | ===|!==|&&|\|\|""")
+_CODE = re.compile(r"""(?x)[;{}]\s*$ | ^\s*(?:def|class|import|from|return|const|let|var|function|if|for|while|try|except|catch|else|export|async|await|public|private|static|\#include|@\w+)\b.*[:;({)\]]\s*$ | =>|\(\)\s*[;{] | ^\s*</?\w+.*>\s*$ | ===|!==|&&|\|\|""")
+#: A method's call, if a closing bracket follows anywhere.
+_METHOD = re.compile(r"\w\.\w+\(")
 #: Every form of code has one of these.
 _CODE_MARK = re.compile(r"[;{}=(<&|\])]|:$")
 _LOG = re.compile(r"""(?x)^\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d | \d\d:\d\d:\d\d | \[?(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL)\b | at\ [\w.$<>]+\s*\( | File\ ".*",\ line\ \d+ | Traceback | [\w.]+(?:Error|Exception)\b: | [0-9a-f]{6,16}\s+(?:[0-9a-f]{2}\s){4} | \w{3}\s+\d+\s\d\d:\d\d )""")
@@ -113,7 +115,7 @@ class _Line:
         self.common = known + 2 * frequent + self.kana // 2
         self.bullet, self.log = bool(_BULLET.match(x)), bool(_LOG.match(x))
         cells = _delimited(x)
-        self.field, self.code = cells or bool(_FIELD.match(x)), bool(_CODE_MARK.search(s) and _CODE.search(x))
+        self.field, self.code = cells or bool(_FIELD.match(x)), bool(_CODE_MARK.search(s) and (_CODE.search(x) or (m := _METHOD.search(x)) and x.rfind(")") >= m.end()))
         alpha = len(begun)
         weight = alpha + (self.han + self.kana) / 2
         self.bare = self.prose = self.sentence = False
