@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import evidence as V, graph as G, replay as RP
+from lodestone.operators.flatten import flatten_bundles, members
 from lodestone.operators.lineage import checkpointed, narrowed
 from lodestone.sources.tables import chunks, table
 
@@ -160,7 +161,29 @@ def proof_successors(spark, d):
     return V.successors(targets, with_text(old), with_text(new), continued)
 
 
-QUERIES = {f.__name__: f for f in (proof_replay, mutation_lab, mutation_detection, proof_scorecard, court_verdict, court_agents, contract_checks, temporal_status, pr_guard, guard_annotations, graph_delta, proof_successors)}
+def migration_ops(spark, d):
+    """Replacements that would move each proof to its best successor: JSON pointers into the payload where the old target stands, and the new label."""
+    b = table(spark, d, "evidence_bundles")
+    best = checkpointed(proof_successors(spark, d).where("rank = 1").select("bundle_no", "target", "candidate"))
+    few = b.join(best.select("bundle_no"), "bundle_no", "left_semi")
+    rows = flatten_bundles(few, ("proof.supporting_paths.path", "evidence"))
+    at = F.transform(F.split("pos_path", "[.]"), lambda p: (p.cast("int") - 1).cast("string"))
+    path = F.concat(F.lit("/proof/supporting_paths/"), F.get(at, 0), F.lit("/path/"), F.get(at, 1))
+    evidence = F.concat(F.lit("/evidence/"), F.get(at, 0), F.lit("/source_label"))
+    held = F.when(F.col("child") == "evidence", members(F.col("value"), "source_label")["source_label"]).otherwise(F.col("value"))
+    ops = rows.select(F.col("record_no").alias("bundle_no"), F.when(F.col("child") == "evidence", evidence).otherwise(path).alias("path"), held.alias("held")).join(best, "bundle_no").where("held = target").select("bundle_no", "path", F.col("candidate").alias("value"))
+    return best.select("bundle_no", F.lit("/proof/top_hit").alias("path"), F.col("candidate").alias("value")).unionByName(ops).select("bundle_no", F.lit("replace").alias("op"), "path", "value")
+
+
+def temporal_scorecard(spark, d):
+    """Over all proofs: how many hold, broke, mended or never held, and of those that no longer hold how many have a successor."""
+    s = temporal_status(spark, d).select("bundle_no", "status")
+    best = proof_successors(spark, d).where("rank = 1").select("bundle_no", F.lit(True).alias("succeeded"))
+    g = s.join(best, "bundle_no", "left").groupBy("status").agg(F.count("*").alias("proofs"), F.count_if("succeeded").alias("with_successor"))
+    return g.withColumn("abstained", F.col("proofs") - F.col("with_successor"))
+
+
+QUERIES = {f.__name__: f for f in (proof_replay, mutation_lab, mutation_detection, proof_scorecard, court_verdict, court_agents, contract_checks, temporal_status, pr_guard, guard_annotations, graph_delta, proof_successors, migration_ops, temporal_scorecard)}
 
 # ---------------------------------------------------------------- comparison SQL
 _FALSE = "('', 'false', '0', 'null')"

@@ -170,8 +170,8 @@ def question_evidence(spark, d):
     return multiview_rerank(spark, d).join(c, "doc_id").select("query_id", "rank", "label", "score", "snippet")
 
 
-def proof_build(spark, d):
-    """Status of each question's proof: unanchored where it names no route of its repository, proved where its best candidate is such a route or reached from one, else partial."""
+def _anchored(spark, d):
+    """Candidates, units, anchors (query_id, start) - routes of its repository that a question names - and what they reach."""
     c, _, found = _candidates(spark, d)
     u = checkpointed(G.units(c))
     named = _plans(spark, d).select("query_id", "repo", F.explode("literals").alias("literal"))
@@ -180,6 +180,12 @@ def proof_build(spark, d):
     anchors = named.withColumn("k", first(F.col("literal"))).join(routes.withColumn("k", first(F.col("route_path"))), ["repo", "k"]).where(T.route_matches(F.col("route_path"), F.col("literal"))).select("query_id", "start").distinct()
     anchors = checkpointed(anchors)
     reached = G.bounded_bfs(G.edges(u), anchors.select("start", F.col("start").alias("node")).distinct(), 3, G.FANOUT_ROUTE)
+    return found, u, anchors, reached
+
+
+def proof_build(spark, d):
+    """Status of each question's proof: unanchored where it names no route of its repository, proved where its best candidate is such a route or reached from one, else partial."""
+    found, _, anchors, reached = _anchored(spark, d)
     top = found.where("rank = 1").select("query_id", F.col("doc_id").alias("top"))
     on = anchors.join(reached, "start").join(top, "query_id").where("node = top").select("query_id").distinct().withColumn("on_path", F.lit(True))
     n = anchors.groupBy("query_id").agg(F.count("*").alias("anchors"))
@@ -188,12 +194,46 @@ def proof_build(spark, d):
     return j.select("query_id", "top", F.coalesce("anchors", F.lit(0)).alias("anchors"), status.alias("status"))
 
 
+#: Words in labels that make a lookalike of an answer suspect, and what they stand for.
+DECOYS = (("admin", "admin"), ("legacy", "legacy"), ("fake", "fake/mock"), ("mock", "fake/mock"), ("note", "documentation/notes"), ("doc", "documentation/notes"))
+
+
+def decoy_audit(spark, d, topic: str | None = None):
+    """Candidates 2 to 10 of each question that a word in their label makes suspect, and whether a route that the question names leads there; all are rejected, for that word if for nothing else.
+
+    ``topic``: a word that both labels must share, such as the subject of a family of handlers."""
+    found, u, anchors, reached = _anchored(spark, d)
+    label = chunks(spark, d).select(F.col("chunk_no").alias("doc_id"), T.label_of(F.col("relpath"), F.col("symbol_name")).alias("label"))
+    hits = found.where("rank <= 10").join(label, "doc_id").select("query_id", "doc_id", "rank", "label", F.lower("label").alias("low"))
+    top = hits.where("rank = 1").select("query_id", F.col("label").alias("top"), F.col("low").alias("top_low"))
+    roles = F.array_distinct(F.filter(F.array(*(F.when(F.col("low").contains(w), F.lit(r)) for w, r in DECOYS)), lambda x: x.isNotNull()))
+    j = hits.where("rank > 1").join(top, "query_id").where(F.col("label") != F.col("top")).withColumn("roles", roles).where(F.size("roles") > 0)
+    j = j if topic is None else j.where(F.col("low").contains(topic) & F.col("top_low").contains(topic))
+    there = anchors.join(reached, "start").select("query_id", F.col("node").alias("doc_id"), F.lit(True).alias("there")).distinct()
+    j = j.join(there, ["query_id", "doc_id"], "left")
+    return j.select("query_id", "doc_id", "rank", F.array_join("roles", ",").alias("roles"), F.coalesce("there", F.lit(False)).alias("route_anchored"))
+
+
+def proof_nodes(spark, d):
+    """Nodes of each question's proof graph with their roles, in the order in which they are given."""
+    found, u, anchors, reached = _anchored(spark, d)
+    on = anchors.join(reached, "start").select("query_id", "node", "depth").groupBy("query_id", "node").agg(F.min("depth").alias("depth"))
+    parts = [
+        found.where("rank = 1").select("query_id", F.col("doc_id").alias("node"), F.lit(1).alias("ord"), F.lit("top_hit").alias("role")),
+        found.where("rank between 2 and 8").select("query_id", F.col("doc_id").alias("node"), F.lit(2).alias("ord"), F.lit("candidate").alias("role")),
+        on.where("depth > 0").select("query_id", "node", F.lit(3).alias("ord"), F.lit("route_reachable").alias("role")), on.where("depth = 0").select("query_id", "node", F.lit(0).alias("ord"), F.lit("route_anchor").alias("role")),
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    roles = F.transform(F.array_sort(F.collect_set(F.struct("ord", "role"))), lambda x: x["role"])  # at most four
+    return rows.groupBy("query_id", "node").agg(F.array_join(roles, ",").alias("roles"))
+
+
 def embedding_inputs(spark, d):
     """Digest of what would be embedded of each chunk."""
     return chunks(spark, d).select("chunk_no", F.sha2(T.embedding_input(F.col("relpath"), F.col("symbol_name"), F.col("symbol_kind"), F.col("route_path"), F.col("text")), 256).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_chunks, term_freq, doc_freq, view_stats, expand_terms, route_literals, bm25_topk, rrf, multiview_rrf, view_contributions, dense_topk, query_plan, file_scout, chunk_score, candidate_union, relevant_edges, multiview_rerank, question_ppr, explored_neighbors, question_evidence, proof_build, embedding_inputs)}
+QUERIES = {f.__name__: f for f in (tokenize_chunks, term_freq, doc_freq, view_stats, expand_terms, route_literals, bm25_topk, rrf, multiview_rrf, view_contributions, dense_topk, query_plan, file_scout, chunk_score, candidate_union, relevant_edges, multiview_rerank, question_ppr, explored_neighbors, question_evidence, proof_build, decoy_audit, proof_nodes, embedding_inputs)}
 
 _VIEWS = S.with_(S.CHUNKS, S.QUESTIONS, S.TERMS, S.VIEW_TOKENS, S.BM25, S.PARTS)
 _FILES = f"""f1 AS (SELECT repo, relpath, b.bag AS bag, b.roles AS roles FROM (SELECT repo, relpath, max({{'bag': array_to_string(t, ' ') || chr(1) || array_to_string(roles, ' ') || chr(1) || coalesce(language, ''), 'roles': roles}}) AS b FROM (SELECT {S.repo('repo_root')} AS repo, relpath, roles, language,
@@ -277,6 +317,8 @@ ORACLES = {
     "embedding_inputs": "SELECT chunk_no, sha256(concat_ws(chr(10), relpath, symbol_name, symbol_kind, route_path, left(coalesce(text, ''), 3000))) AS digest FROM code_chunks",
     "relevant_edges": _CANDS + ",\n  u AS (SELECT * FROM" + _E.split("u AS (SELECT * FROM", 1)[1] + ", h5 AS (SELECT query_id, doc_id FROM cn WHERE \"rank\" <= 5) SELECT query_id, source, target, label, rn::INT AS \"rank\" FROM (SELECT e.*, a.query_id, row_number() OVER (PARTITION BY a.query_id ORDER BY weight DESC, source, target, label) AS rn FROM e JOIN h5 a ON a.doc_id = e.source JOIN h5 b ON b.doc_id = e.target AND b.query_id = a.query_id) WHERE rn <= 12",
     "question_evidence": _CANDS + f",\n  {_RERANK}, mr AS (SELECT query_id, doc_id, rn::INT AS \"rank\", score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, relpath, start_line, doc_id) AS rn FROM rr WHERE score > 0) WHERE rn <= {K}), sl AS (SELECT chunk_no, relpath || CASE WHEN symbol_name <> '' THEN ':' || symbol_name ELSE '' END AS label, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM c) SELECT query_id, \"rank\", label, score, sha256(coalesce(CASE WHEN len(l) <= 24 THEN array_to_string(l, chr(10)) ELSE array_to_string(l[1:24], chr(10)) || chr(10) || '...' END, '')) AS snippet FROM mr JOIN sl ON chunk_no = doc_id",
+    "decoy_audit": _CANDS + ",\n  u AS (SELECT * FROM" + _E.split("u AS (SELECT * FROM", 1)[1] + f", an AS (SELECT DISTINCT query_id, node AS start FROM (SELECT query_id, repo, unnest(literals) AS literal FROM pl) x JOIN u USING (repo) WHERE symbol_kind = 'route' AND route_path <> '' AND {_MATCH('route_path', 'literal')}), rt AS (SELECT DISTINCT start FROM an), {_bfs('e', 'rt', 3, G.FANOUT_ROUTE)}, tp AS (SELECT query_id, doc_id AS top FROM cn WHERE \"rank\" = 1) , hl AS (SELECT cn.query_id, cn.doc_id, cn.\"rank\", relpath || CASE WHEN symbol_name <> '' THEN ':' || symbol_name ELSE '' END AS label FROM cn JOIN c ON chunk_no = doc_id WHERE cn.\"rank\" <= 10), dr AS (SELECT h.*, list_distinct(list_filter([{', '.join(f"CASE WHEN contains(lower(h.label), '{w}') THEN '{r}' END" for w, r in DECOYS)}], lambda x: x IS NOT NULL)) AS roles FROM hl h JOIN hl t ON t.query_id = h.query_id AND t.\"rank\" = 1 AND h.\"rank\" > 1 AND h.label <> t.label) SELECT query_id, doc_id, \"rank\", array_to_string(list_filter(['admin', 'legacy', 'fake/mock', 'documentation/notes'], lambda x: list_contains(roles, x)), ',') AS roles, EXISTS (SELECT 1 FROM an JOIN s3 USING (start) WHERE an.query_id = dr.query_id AND s3.node = dr.doc_id) AS route_anchored FROM dr WHERE len(roles) > 0",
+    "proof_nodes": _CANDS + ",\n  u AS (SELECT * FROM" + _E.split("u AS (SELECT * FROM", 1)[1] + f", an AS (SELECT DISTINCT query_id, node AS start FROM (SELECT query_id, repo, unnest(literals) AS literal FROM pl) x JOIN u USING (repo) WHERE symbol_kind = 'route' AND route_path <> '' AND {_MATCH('route_path', 'literal')}), rt AS (SELECT DISTINCT start FROM an), {_bfs('e', 'rt', 3, G.FANOUT_ROUTE)}, tp AS (SELECT query_id, doc_id AS top FROM cn WHERE \"rank\" = 1) , rn AS (SELECT query_id, doc_id AS node, CASE WHEN \"rank\" = 1 THEN 1 ELSE 2 END AS o, CASE WHEN \"rank\" = 1 THEN 'top_hit' ELSE 'candidate' END AS role FROM cn WHERE \"rank\" <= 8 UNION ALL SELECT query_id, node, CASE WHEN dp = 0 THEN 0 ELSE 3 END, CASE WHEN dp = 0 THEN 'route_anchor' ELSE 'route_reachable' END FROM (SELECT query_id, node, min(depth) AS dp FROM an JOIN s3 USING (start) GROUP BY ALL)) SELECT query_id, node, string_agg(role, ',' ORDER BY o) AS roles FROM rn GROUP BY ALL",
     "proof_build": _CANDS + ",\n  u AS (SELECT * FROM" + _E.split("u AS (SELECT * FROM", 1)[1] + f", an AS (SELECT DISTINCT query_id, node AS start FROM (SELECT query_id, repo, unnest(literals) AS literal FROM pl) x JOIN u USING (repo) WHERE symbol_kind = 'route' AND route_path <> '' AND {_MATCH('route_path', 'literal')}), rt AS (SELECT DISTINCT start FROM an), {_bfs('e', 'rt', 3, G.FANOUT_ROUTE)}, tp AS (SELECT query_id, doc_id AS top FROM cn WHERE \"rank\" = 1) SELECT q.query_id, top, (SELECT count(*) FROM an WHERE an.query_id = q.query_id) AS anchors, CASE WHEN NOT EXISTS (SELECT 1 FROM an WHERE an.query_id = q.query_id) THEN 'unanchored' WHEN EXISTS (SELECT 1 FROM an JOIN s3 USING (start) WHERE an.query_id = q.query_id AND s3.node = top) THEN 'proved' ELSE 'partial' END AS status FROM q LEFT JOIN tp USING (query_id)",
     "multiview_rerank": _CANDS + f",\n  {_RERANK} SELECT query_id, doc_id, rn::INT AS \"rank\", score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, relpath, start_line, doc_id) AS rn FROM rr WHERE score > 0) WHERE rn <= {K}",
     "file_scout": S.with_(S.QUESTIONS, _QX, _PLAN, _FILES) + f"SELECT query_id, relpath, \"rank\", score, matched FROM {S.ranked('sc', K, id_='relpath')}",

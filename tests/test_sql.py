@@ -12,7 +12,7 @@ from lodestone.plans.catalog import ORACLES, QUERIES
 duckdb = pytest.importorskip("duckdb")
 SMALL = "/root/testdata/sf0.001"
 #: Queries for which the smallest tables hold no rows.
-BARE = frozenset("pr_guard guard_annotations claim_conflicts successor_jaccard route_anchors css_imports html_links diff_files diff_lines relevant_edges relations edge_between enclosing_class".split())
+BARE = frozenset("pr_guard guard_annotations claim_conflicts successor_jaccard route_anchors css_imports html_links diff_files diff_lines relevant_edges relations edge_between enclosing_class decoy_audit".split())
 
 
 def same(spark, folder, name):
@@ -67,7 +67,7 @@ def mini(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["pr_guard", "guard_annotations", "claim_conflicts", "successor_jaccard", "route_anchors", "diff_files", "diff_lines", "relevant_edges", "relations", "proof_build", "proof_scorecard", "court_verdict", "mutation_detection", "temporal_status", "graph_delta", "manifest_verify", "counterfactual", "needle_audit", "multiview_rerank", "file_scout", "impact_walk", "css_imports", "html_links", "edge_between", "case_checks", "suite_metrics"])
+@pytest.mark.parametrize("name", ["pr_guard", "guard_annotations", "claim_conflicts", "successor_jaccard", "route_anchors", "diff_files", "diff_lines", "relevant_edges", "relations", "proof_build", "proof_scorecard", "court_verdict", "mutation_detection", "temporal_status", "graph_delta", "manifest_verify", "counterfactual", "needle_audit", "multiview_rerank", "file_scout", "impact_walk", "css_imports", "html_links", "proof_nodes", "question_ppr", "edge_between", "case_checks", "suite_metrics"])
 def test_rows_of_its_own(spark, mini, name):
     assert same(spark, mini, name)
 
@@ -80,5 +80,7 @@ def test_what_the_small_tables_say(spark, mini):
     assert {(r[0], r[1], r[4], r[5]) for r in rows("pr_guard")} == {(1, 1, "warn", 0), (1, 2, "fail", 1)}
     assert rows("claim_conflicts") == {("o/r", "docs/a.md", 2, "r1")} and rows("route_anchors") == {(1, 1, "/items/42", "/items/:id")}
     assert {r[:3] for r in rows("proof_successors")} == {(1, "src/db.py:save", "src/db.py:save_all"), (2, "src/db.py:save", "src/db.py:save_all")} and all(r[3] > 0.7 for r in rows("proof_successors"))
+    assert rows("migration_ops") == {(n, "replace", p, "src/db.py:save_all") for n in (1, 2) for p in ("/proof/top_hit", "/proof/supporting_paths/0/path/2", "/evidence/0/source_label")}
+    assert rows("temporal_scorecard") == {("recovered", 1, 1, 0), ("regression_found", 1, 1, 0)}
     assert {(r[0], r[3]) for r in rows("proof_build")} == {(1, "proved"), (3, "unanchored")}
     assert {r[0]: r[1] for r in rows("manifest_verify")} == {"sha256_mismatch": 1, "no_record": 4, "no_text": 1}
