@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import evaluate as E, index as I, retrieve as R
+from lodestone.operators import blocks as BL, evaluate as E
 from lodestone.sources.tables import chunks, questions, table
 
 from . import retrieval, sql as S
@@ -30,11 +30,7 @@ def qrels(spark, d) -> DataFrame:
 
 def rankings(spark, d, depth: int = 100) -> DataFrame:
     """method, query_id, doc_id, rank: every variant's fusion from one pass over the view scores."""
-    parts = retrieval._parts(spark, d)
-    member = F.array(*(F.struct(F.lit(m).alias("method"), F.array(*map(F.lit, v)).alias("views")) for m, v in VARIANTS.items()))
-    spread = parts.select("query_id", "view", "doc_id", "part", F.inline(member)).where(F.array_contains("views", F.col("view")))
-    fused = spread.groupBy("method", "query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"))
-    return R.top_k(fused, depth, "method", "query_id").select("method", "query_id", "doc_id", "rank")
+    return retrieval._blocked(spark, d, BL.variant_tops(VARIANTS, depth), "method string, query_id long, doc_id long, rank int")
 
 
 def _cases(spark, d):
@@ -219,7 +215,7 @@ def needle_audit(spark, d):
 
 def counterfactual(spark, d):
     """Per variant: how often the right chunk comes first, and how often a distractor of the case does, over the cases that have distractors."""
-    r = rankings(spark, d).where("rank <= 10")
+    r = rankings(spark, d, 10)
     c = table(spark, d, "benchmark_challenge_suite").select(F.col("case_no").alias("query_id"), F.transform("distractor_symbol_contains", lambda x: F.lower(x)).alias("wrong")).where(F.size("wrong") > 0)
     named = r.join(c, "query_id").join(chunks(spark, d).select(F.col("chunk_no").alias("doc_id"), F.lower(F.coalesce("symbol_name", F.lit(""))).alias("name")), "doc_id")
     wrong = F.exists("wrong", lambda w: (w != "") & F.col("name").contains(w))
