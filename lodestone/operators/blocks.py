@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -20,22 +21,22 @@ from .index import B, K1, VIEWS
 from .lineage import FEW_KEYS, checkpointed
 
 #: Questions per block, and most blocks per repository: beyond, blocks grow.
-BLOCK, MOST_BLOCKS = 256, 12
+BLOCK, MOST_BLOCKS = 768, 6
 #: Codes of the token lists; overlaps are lists of distinct tokens, of which only the documents count.
 CODES = {v: i for i, v in enumerate((*VIEWS, "chunk", "file", "symbol", "relpath", "route", "language"))}
 OVERLAPS = ("symbol", "relpath", "route", "language")
 K_VIEWS = 30
 
 
-def ranked_blocks(docs: DataFrame, spec: dict, terms: DataFrame, kernel: Callable, schema: str, per_query: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
+def ranked_blocks(sources: list[tuple[DataFrame, dict]], terms: DataFrame, kernel: Callable, schema: str, per_query: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
     """What ``kernel(postings, questions)`` yields, as tuples of columns, for every block of a repository's questions.
 
-    docs: repo, doc_id and columns of which spec makes tokens, see ``token_rows``.  terms: query_id, repo, term.
+    sources: documents (repo, doc_id and columns) and the spec of their tokens, see ``token_rows``.  terms: query_id, repo, term.
     per_query: (query_id, repo) and more columns; its questions take part even without terms.  facts: (repo, doc_id) and
     more columns.  The distinct words of all questions go to every task; with their repositories they settle what is shuffled."""
     terms = checkpointed(terms)
     words = [r[0] for r in terms.select("term").distinct().collect()]
-    tid = docs.sparkSession.createDataFrame(list(enumerate(words)), "tid long, term string")
+    tid = terms.sparkSession.createDataFrame(list(enumerate(words)), "tid long, term string")
     terms = checkpointed(terms.join(F.broadcast(tid), "term").select("query_id", "repo", "tid"))
     asked = terms.groupBy("query_id", "repo").agg(F.collect_list("tid").alias("tids"))  # a question's own terms
     asked = checkpointed(asked if per_query is None else per_query.join(asked, ["query_id", "repo"], "left"))
@@ -45,7 +46,7 @@ def ranked_blocks(docs: DataFrame, spec: dict, terms: DataFrame, kernel: Callabl
     sent = lambda x: F.broadcast(x) if x.count() <= FEW_KEYS else x
     known, blocks = sent(known), sent(blocks)
 
-    rows = token_rows(docs.where("repo is not null"), spec, words).join(known, ["repo", "tid"])
+    rows = reduce(DataFrame.unionByName, (token_rows(docs.where("repo is not null"), spec, words) for docs, spec in sources)).join(known, ["repo", "tid"])
     copies = F.explode(F.sequence(F.col("g0"), F.col("g0") + F.col("blocks") - 1))
     rows = rows.join(blocks, "repo").select(copies.alias("g"), "tid", "doc_id", "packed")
     other = asked.join(blocks, "repo").select((F.col("g0") + F.pmod(F.xxhash64("query_id"), F.col("blocks"))).alias("g"), *(c for c in asked.columns if c != "repo"))

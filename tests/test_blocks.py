@@ -34,11 +34,11 @@ def test_fused_as_row_by_row(spark, monkeypatch):
     c, facts = chunks(spark, SMALL), table(spark, SMALL, "file_facts")
     whole = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", "rank", "score").collect()))
     want = whole(R.top_k(R.fuse(R.contributions(R.bm25(I.view_tokens(c, facts), terms))), 9, "query_id"))
-    assert whole(BL.ranked_blocks(I.chunk_texts(c, facts), I.VIEW_TEXTS, terms, BL.fusion_top(9), "query_id long, doc_id long, rank int, score double")) == want
+    assert whole(BL.ranked_blocks(I.chunk_texts(c, facts, I.VIEW_TEXTS), terms, BL.fusion_top(9), "query_id long, doc_id long, rank int, score double")) == want
 
 
 #: Queries that made a row of every question and document with one of its terms.
-PAIRED = ["view_contributions"]
+PAIRED = ["view_contributions", "candidate_union"]
 
 
 @tables
