@@ -38,7 +38,7 @@ def test_fused_as_row_by_row(spark, monkeypatch):
 
 
 #: Queries that made a row of every question and document with one of its terms.
-PAIRED = ["view_contributions", "candidate_union"]
+PAIRED = ["view_contributions", "candidate_union", "file_scout", "eval_per_query"]
 
 
 @tables
