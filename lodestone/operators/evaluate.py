@@ -25,9 +25,13 @@ def per_query(ranking: DataFrame, qrels: DataFrame, methods: tuple[str, ...]) ->
         F.sum(F.col("seen") / F.col("rank")).alias("precision"),
     )
     base = ideal.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
-    full = base.join(got, ["method", "query_id"], "left")
+    return measures(base.join(got, ["method", "query_id"], "left"))
+
+
+def measures(cases: DataFrame) -> DataFrame:
+    """method, query_id and metrics from the first relevant rank, gains, found and relevant documents and summed precision of each."""
     z = lambda c: F.coalesce(c, F.lit(0.0))
-    return full.select(
+    return cases.select(
         "method", "query_id", F.col("first").cast("int").alias("rank"), *(F.coalesce((F.col("first") <= k).cast("int"), F.lit(0)).alias(f"hit{k}") for k in (1, 3, 5)),
         F.round(z(1.0 / F.col("first")), 9).alias("mrr"), F.round(z(F.col("dcg") / F.col("idcg")), 9).alias("ndcg10"), F.round(z(F.col("found") / F.col("relevant")), 9).alias("recall100"), F.round(z(F.col("precision") / F.col("relevant")), 9).alias("map100"),
     )

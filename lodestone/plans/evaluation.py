@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import blocks as BL, evaluate as E
+from lodestone.operators import blocks as BL, evaluate as E, index as I
+from lodestone.operators.lineage import checkpointed
 from lodestone.sources.tables import chunks, questions, table
 
 from . import retrieval, sql as S
@@ -19,11 +20,15 @@ VARIANTS = {"content": ("content",), "identifier": ("content", "identifier"), "s
 _ASKED = r"(?i)which function (\w+?)s the ([a-z_]+)"
 
 
+def _judged(spark, d) -> DataFrame:
+    """query_id, repo, term: each question's verb and noun."""
+    words = F.array(F.lower(F.regexp_extract("question", _ASKED, 1)), F.lower(F.regexp_extract("question", _ASKED, 2)))
+    return questions(spark, d).select("query_id", "repo", F.explode(F.array_distinct(words)).alias("term")).where("term <> ''")
+
+
 def qrels(spark, d) -> DataFrame:
     """Grade = how many of the question's verb and noun a symbol's name holds, in the question's repository."""
-    q = questions(spark, d)
-    words = F.array(F.lower(F.regexp_extract("question", _ASKED, 1)), F.lower(F.regexp_extract("question", _ASKED, 2)))
-    asked = q.select("query_id", "repo", F.explode(F.array_distinct(words)).alias("term")).where("term <> ''")
+    asked = _judged(spark, d)
     named = chunks(spark, d).where("symbol_name <> ''").select("repo", F.col("chunk_no").alias("doc_id"), F.explode(F.array_distinct(T.tokenize(F.col("symbol_name")))).alias("term"))
     return asked.join(named, ["repo", "term"]).groupBy("query_id", "doc_id").agg(F.count("*").cast("int").alias("relevance"))
 
@@ -33,8 +38,14 @@ def rankings(spark, d, depth: int = 100) -> DataFrame:
     return retrieval._blocked(spark, d, BL.variant_tops(VARIANTS, depth), "method string, query_id long, doc_id long, rank int")
 
 
+_FOUND = "method string, query_id long, first int, dcg double, found long, precision double, idcg double, relevant long"
+
+
 def _cases(spark, d):
-    return E.per_query(rankings(spark, d), qrels(spark, d), tuple(VARIANTS))
+    """Metrics of every judged question, found where its rankings are, so that neither these nor its grades are rows; written once, as most queries read them twice."""
+    sources = I.chunk_texts(chunks(spark, d), table(spark, d, "file_facts"), I.VIEW_TEXTS | {"symbol": (("symbol_name",), ())})
+    found = BL.ranked_blocks(sources, I.query_terms(questions(spark, d)), BL.variant_cases(VARIANTS, 100), _FOUND, judged=_judged(spark, d))
+    return E.measures(checkpointed(found))
 
 
 def eval_qrels(spark, d):
