@@ -236,6 +236,7 @@ class Postings:
         self.docs: dict[str, int] = {}
         self.kept: dict[tuple, np.ndarray] = {}
         self.shares: dict[tuple, np.ndarray] = {}
+        self.named: tuple | None = None
         for name, code in CODES.items():
             mine = view == code
             whole = mine & (tid == -1) & (tf == 0)  # a stored token may be empty too
@@ -289,6 +290,13 @@ class Postings:
             out = self.shares[weight, k] = weight / (k + 1.0 + np.arange(len(self.ids)))
         return out
 
+    def points(self) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Which documents are named, and what routes and calls add to each."""
+        if self.named is None:
+            flag, routed, calls = (self.facts[c].to_numpy(zero_copy_only=False) for c in ("named", "routed", "calls"))
+            self.named = flag.astype(bool), (np.where(routed, 0.3, 0.0), 0.08 * calls)
+        return self.named
+
     def rankings(self, tids: list[int]) -> dict[str, np.ndarray]:
         return {v: r for v in VIEWS if len(r := self.ranking(v, tids))}
 
@@ -418,8 +426,8 @@ def chunk_score_of(p: Postings, q: dict) -> tuple[np.ndarray, np.ndarray, np.nda
     matched, f = p.sums("chunk", tids, ones=True), fused(p, p.rankings(tids))
     own = lambda view, most, each: np.minimum(most, each * p.sums(view, tids, ones=True))
     s = np.minimum(6.0, p.sums("chunk", tids)) + 16.0 * f + own("symbol", 6.0, 2.5) + own("relpath", 8.0, 3.0) + own("route", 5.0, 2.0)
-    flag, routed, calls = (p.facts[c].to_numpy(zero_copy_only=False) for c in ("named", "routed", "calls"))
-    s = np.where(flag, s + 0.25, s * 0.38) + np.where(p.sums("language", tids, ones=True) > 0, 10.0, 0.0) + np.where(routed, 0.3, 0.0) + 0.08 * calls
+    flag, more = p.points()
+    s = np.where(flag, s + 0.25, s * 0.38) + np.where(p.sums("language", tids, ones=True) > 0, 10.0, 0.0) + more[0] + more[1]
     there = np.flatnonzero((matched > 0) | (f >= 0.16))
     return there, rounded(s, 5), matched
 
