@@ -31,21 +31,39 @@ OVERLAPS = ("symbol", "relpath", "route", "language")
 K_VIEWS = 30
 
 
-def ranked_blocks(sources: list[tuple[DataFrame, dict]], terms: DataFrame, kernel: Callable, schema: str, per_query: DataFrame | None = None, facts: DataFrame | None = None, judged: DataFrame | None = None) -> DataFrame:
+def ranked_blocks(sources: list[tuple[DataFrame, dict]], terms: DataFrame, kernel: Callable, schema: str, per_query: DataFrame | None = None, facts: DataFrame | None = None, judged: DataFrame | None = None, shared: dict | None = None) -> DataFrame:
     """What ``kernel(postings, questions)`` yields, as tuples of columns, for every block of a repository's questions.
 
     sources: documents (repo, doc_id and columns) and the spec of their tokens, see ``token_rows``.  terms: query_id, repo, term.
     per_query: (query_id, repo) and more columns; its questions take part even without terms.  facts: (repo, doc_id) and
     more columns.  judged: query_id, repo, term of other words of a question; only its questions take part.  The distinct
-    words of all questions go to every task; with their repositories they settle what is shuffled, one row per document."""
+    words of all questions go to every task; with their repositories they settle what is shuffled, one row per document.
+    shared: an empty dict keeps the postings for a later call that gets it; that call takes the first's sources and terms, and
+    its questions are among the first's."""
+    if shared:
+        asked, blocks, rows = shared["asked"], shared["blocks"], shared["rows"]
+        asked = asked if per_query is None else per_query.join(asked, ["query_id", "repo"], "left")
+    else:
+        asked, blocks, rows = _postings(sources, terms, per_query, judged, shared)
+    copies = F.explode(F.sequence(F.col("g0"), F.col("g0") + F.col("blocks") - 1))
+    rows = rows.join(blocks, "repo").select(copies.alias("g"), "tid", "doc_id", "packed")
+    other = asked.join(blocks, "repo").select((F.col("g0") + F.pmod(F.xxhash64("query_id"), F.col("blocks"))).alias("g"), *(c for c in asked.columns if c != "repo"))
+    if facts is None:
+        facts = asked.limit(0).select("repo", F.col("query_id").alias("doc_id"))
+    other = other.unionByName(facts.join(blocks, "repo").select(copies.alias("g"), *(c for c in facts.columns if c != "repo")), allowMissingColumns=True)
+    return rows.groupBy("g").cogroup(other.groupBy("g")).applyInArrow(_run(kernel, schema), schema)
+
+
+def _postings(sources, terms: DataFrame, per_query: DataFrame | None, judged: DataFrame | None, shared: dict | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions with the numbers of their terms, the blocks of each repository, and one row per document."""
     terms = terms.withColumn("own", F.lit(True))
     terms = checkpointed(terms if judged is None else terms.unionByName(judged.withColumn("own", F.lit(False))))
     words = [r[0] for r in terms.select("term").distinct().collect()]
     tid = terms.sparkSession.createDataFrame(list(enumerate(words)), "tid long, term string")
     terms = checkpointed(terms.join(F.broadcast(tid), "term").select("query_id", "repo", "tid", "own"))
-    asked = terms.groupBy("query_id", "repo").agg(F.collect_list(F.when(F.col("own"), F.col("tid"))).alias("tids"), F.collect_list(F.when(~F.col("own"), F.col("tid"))).alias("judged"))  # a question's own terms
-    asked = asked.drop("judged") if judged is None else asked.where(F.size("judged") > 0)
-    asked = checkpointed(asked if per_query is None else per_query.join(asked, ["query_id", "repo"], "left"))
+    own = terms.groupBy("query_id", "repo").agg(F.collect_list(F.when(F.col("own"), F.col("tid"))).alias("tids"), F.collect_list(F.when(~F.col("own"), F.col("tid"))).alias("judged"))  # a question's own terms
+    own = own.drop("judged") if judged is None else own.where(F.size("judged") > 0)
+    asked = checkpointed(own if per_query is None else per_query.join(own, ["query_id", "repo"], "left"))
     n = asked.groupBy("repo").agg(F.count("*").alias("n"))
     blocks = checkpointed(n.select("repo", F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("n") / BLOCK)).cast("int").alias("blocks"), (F.monotonically_increasing_id() * MOST_BLOCKS).alias("g0")))
     known = checkpointed(blocks.select("repo").join(terms.groupBy("repo").agg(F.collect_set("tid").alias("tids")), "repo", "left"))
@@ -54,13 +72,10 @@ def ranked_blocks(sources: list[tuple[DataFrame, dict]], terms: DataFrame, kerne
     blocks = F.broadcast(blocks) if blocks.count() <= FEW_KEYS else blocks
 
     rows = reduce(DataFrame.unionByName, (token_rows(docs.where("repo is not null"), spec, words, mine, True) for docs, spec in sources))
-    copies = F.explode(F.sequence(F.col("g0"), F.col("g0") + F.col("blocks") - 1))
-    rows = rows.join(blocks, "repo").select(copies.alias("g"), "tid", "doc_id", "packed")
-    other = asked.join(blocks, "repo").select((F.col("g0") + F.pmod(F.xxhash64("query_id"), F.col("blocks"))).alias("g"), *(c for c in asked.columns if c != "repo"))
-    if facts is None:
-        facts = asked.limit(0).select("repo", F.col("query_id").alias("doc_id"))
-    other = other.unionByName(facts.join(blocks, "repo").select(copies.alias("g"), *(c for c in facts.columns if c != "repo")), allowMissingColumns=True)
-    return rows.groupBy("g").cogroup(other.groupBy("g")).applyInArrow(_run(kernel, schema), schema)
+    if shared is not None:
+        rows = checkpointed(rows)
+        shared |= {"asked": own, "blocks": blocks, "rows": rows}
+    return asked, blocks, rows
 
 
 _CAMEL, _TOKEN, _CHINESE = re.compile("([a-z0-9])([A-Z])"), re.compile(TOKEN), re.compile("[一-鿿]+")
@@ -445,7 +460,7 @@ def chunk_tops(k: int) -> Callable:
 
 
 def candidate_tops(best: int, k: int) -> Callable:
-    """query_id, doc_id, rank, score: the chunks of a question's ``files`` that score, and their overviews in any case, with
+    """query_id, doc_id, rank, score, boost: the chunks of a question's ``files`` that score, and their overviews in any case, with
     the file's boost; and the ``best`` chunks overall; the better score of a chunk counts, and k stay."""
 
     def run(p: Postings, questions: list[dict]) -> Iterator[tuple]:
@@ -469,7 +484,7 @@ def candidate_tops(best: int, k: int) -> Callable:
             at = np.flatnonzero(total > -np.inf)
             total[at] = np.sign(total[at]) * rounded(np.abs(total[at]), 5)
             at = first(total, k, at)
-            yield many(q["query_id"], len(at)), p.ids[at], np.arange(1, len(at) + 1), total[at]
+            yield many(q["query_id"], len(at)), p.ids[at], np.arange(1, len(at) + 1), total[at], boost[at]
 
     return run
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lodestone.functions.text import route_literals, route_matches, tokenize
 
+from .lineage import checkpointed
+
 #: Words of a question that tell what it asks for.
 FUNCTION_WORDS = ("which function", "which method", "which handler", "helper", "worker", "writes", "writer", "persists", "loads", "clears", "calls", "function", "函数", "处理函数", "方法")
 ROUTE_WORDS = ("route entrypoint", "route implemented", "api route", "endpoint implemented", "where is the route", "路由入口", "接口入口")
@@ -92,24 +94,32 @@ def total_sql(rules=RULES, start: str = "greatest(0.0, base)") -> str:
     return out
 
 
-def excluded(low, names, candidate) -> "F.Column":
-    """Whether a question rules a candidate out: by ``not the <word>``, or by words behind a contrast."""
+def ruled_out(low) -> "tuple[F.Column, F.Column]":
+    """Of a question: the excluded words that it names as such, by ``not the <word>`` or beside a contrast, and all words behind a contrast."""
+    none = F.array().cast("array<string>")
     contrast = F.lit(False)
     for m in CONTRASTS:
         contrast = contrast | low.contains(m)
-    hit = F.lit(False)
-    for w in EXCLUDED:
-        hit = hit | ((low.contains(f"not the {w}") | low.contains(f"not {w}") | (contrast & low.contains(w))) & names.contains(w))
-    for m in CONTRASTS:
-        behind = F.array_except(tokenize(F.substr(low, F.locate(m, low) + len(m))), F.array(*map(F.lit, NO_CONTRAST)))
-        hit = hit | (low.contains(m) & F.arrays_overlap(candidate, behind))
-    return hit
+    named = [F.when(low.contains(f"not the {w}") | low.contains(f"not {w}") | (contrast & low.contains(w)), F.lit(w)) for w in EXCLUDED]
+    behind = [F.when(low.contains(m), F.array_except(tokenize(F.substr(low, F.locate(m, low) + len(m))), F.array(*map(F.lit, NO_CONTRAST)))).otherwise(none) for m in CONTRASTS]
+    return F.array_compact(F.array(*named)), F.array_distinct(F.flatten(F.array(*behind)))
+
+
+def meets(words, behind, names, candidate) -> "F.Column":
+    """Whether a candidate's names hold one of the words, or its tokens one of those behind a contrast."""
+    return F.exists(words, lambda w: names.contains(w)) | F.arrays_overlap(candidate, behind)
+
+
+def excluded(low, names, candidate) -> "F.Column":
+    """Whether a question rules a candidate out: by ``not the <word>``, or by words behind a contrast."""
+    return meets(*ruled_out(low), names, candidate)
 
 
-def features(candidates: DataFrame, plans: DataFrame, terms: DataFrame, chunks: DataFrame, roles: DataFrame, reached: DataFrame) -> DataFrame:
-    """The rules' columns for every (query_id, doc_id, score, boost) candidate.
+def features(candidates: DataFrame, plans: DataFrame, terms: DataFrame, chunks: DataFrame, roles: DataFrame) -> DataFrame:
+    """The rules' columns for every (query_id, doc_id, score, boost) candidate, a chunk of its question's repository; reachable is a chunk that stands for a route which the question names.
 
-    terms: query_id, terms (expanded, as an array).  roles: repo, relpath, file_roles.  reached: query_id, doc_id."""
+    terms: query_id, terms (expanded, as an array).  roles: repo, relpath, file_roles.  What only the question or only the
+    chunk tells is found once for each, before they meet; the one wide shuffle is by question, as the ranking needs it."""
     actions = F.array(*map(F.lit, ACTIONS))
     same = F.create_map(*(x for k, v in SAME_ACTIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     none = F.array().cast("array<string>")
@@ -118,22 +128,27 @@ def features(candidates: DataFrame, plans: DataFrame, terms: DataFrame, chunks:
     p = plans.join(terms, "query_id").withColumn("own", own).withColumn("first", F.coalesce(first, F.lit("")))
     p = p.withColumn("wanted", F.array_distinct(F.concat("own", F.flatten(F.transform("own", lambda a: F.coalesce(F.try_element_at(same, a), none))))))
     p = p.withColumn("primary", F.when(F.col("first") == "", none).otherwise(F.concat(F.array(F.col("first")), F.coalesce(F.try_element_at(same, F.col("first")), none))))
-    c = chunks.select(F.col("chunk_no").alias("doc_id"), "relpath", F.coalesce("language", F.lit("")).alias("language"), F.coalesce("symbol_kind", F.lit("")).alias("kind"), F.coalesce("symbol_name", F.lit("")).alias("symbol"), F.coalesce("route_path", F.lit("")).alias("route"), F.coalesce("start_line", F.lit(0)).alias("start_line"), tokenize(F.array_join("calls", " ")).alias("called"))
+    words, behind = ruled_out(F.col("low"))
+    p = checkpointed(p.select("query_id", "low", "intent", "target", "literals", "roles", "languages", "terms", "first", "wanted", "primary", F.array_contains("toks", "call").alias("asks_call"), words.alias("words"), behind.alias("behind")))
+    c = chunks.select("repo", "relpath", F.col("chunk_no").alias("doc_id"), F.coalesce("language", F.lit("")).alias("language"), F.coalesce("symbol_kind", F.lit("")).alias("kind"), F.coalesce("symbol_name", F.lit("")).alias("symbol"), F.coalesce("route_path", F.lit("")).alias("route"), F.coalesce("start_line", F.lit(0)).alias("start_line"), tokenize(F.array_join("calls", " ")).alias("called"))
     c = c.withColumn("named", tokenize(F.col("symbol"))).withColumn("placed", tokenize(F.concat_ws(" ", "symbol", "route", "relpath"))).withColumn("label", F.lower(F.concat_ws(":", "relpath", F.when(F.col("symbol") != "", F.col("symbol")))))
-    j = candidates.join(p, "query_id").join(c, "doc_id").join(roles, ["repo", "relpath"], "left").join(reached.withColumn("there", F.lit(True)), ["query_id", "doc_id"], "left")
+    c = c.join(roles, ["repo", "relpath"], "left").drop("repo")
+    j = candidates.join(c, "doc_id").join(p, "query_id")
     file_roles = F.coalesce("file_roles", none)
     acted = F.array_intersect("named", "wanted")
+    on_route = F.exists("literals", lambda x: route_matches(F.col("route"), x))
     return j.select(
         "query_id", "doc_id", "relpath", "start_line", "low", "intent", "target", "language", "kind", "symbol", F.col("score").alias("base"), F.coalesce("boost", F.lit(0.0)).alias("boost"),
-        (F.size("literals") > 0).alias("routed"), F.coalesce("there", F.lit(False)).alias("reachable"), F.arrays_overlap(file_roles, "roles").alias("roles_match"), F.array_contains("languages", F.col("language")).alias("language_match"),
+        (F.size("literals") > 0).alias("routed"), ((F.col("route") != "") & on_route).alias("reachable"), F.arrays_overlap(file_roles, "roles").alias("roles_match"), F.array_contains("languages", F.col("language")).alias("language_match"),
         *(F.array_contains(file_roles, r).alias(n) for n, r in (("logic", "frontend_logic"), ("shell", "page_shell"), ("config_file", "config"), ("test_file", "tests"), ("doc_file", "docs"))),
-        F.size(acted).alias("acts"), F.arrays_overlap(acted, "primary").alias("primary_same"), F.array_contains(acted, F.col("first")).alias("primary_own"), F.size(F.array_intersect("called", "terms")).alias("calls_match"), F.array_contains("toks", "call").alias("asks_call"),
-        excluded(F.col("low"), F.col("label"), F.col("placed")).alias("excluded"), (~F.exists("literals", lambda x: route_matches(F.col("route"), x))).alias("off_route"),
+        F.size(acted).alias("acts"), F.arrays_overlap(acted, "primary").alias("primary_same"), F.array_contains(acted, F.col("first")).alias("primary_own"), F.size(F.array_intersect("called", "terms")).alias("calls_match"), "asks_call",
+        meets("words", F.col("behind"), F.col("label"), F.col("placed")).alias("excluded"), (~on_route).alias("off_route"),
     )
 
 
 def reranked(rows: DataFrame, k: int) -> DataFrame:
     """query_id, doc_id, rank, score of the k best candidates with a score over 0, by score, path and line."""
-    scored = rows.withColumn("score", F.round(F.expr(total_sql()), 5)).where("score > 0")
+    scored = rows.withColumn("score", F.round(F.expr(total_sql()), 5))
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "relpath", "start_line", "doc_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")
+    first = scored.select("query_id", "doc_id", "score", F.row_number().over(order).alias("rank")).where((F.col("rank") <= k) & (F.col("score") > 0))  # tested behind the ranks: the optimizer takes the rules apart where it may move them into a join
+    return first.select("query_id", "doc_id", "rank", "score")

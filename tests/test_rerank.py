@@ -55,3 +55,14 @@ def test_fusion_with_dense_scores(spark):
     dense = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.8)], s)
     got = {(r.query_id, r.doc_id): r.score for r in R.fuse_dense(lexical, dense).collect()}
     assert got[2, 7] == 0.4 and got[1, 2] == round((1 / 32 + 1.2 / 31) / (2.2 / 31), 6) and got[1, 2] > got[1, 3] > got[1, 1]
+
+
+def test_features_take_routes_and_boosts_from_candidates(spark):
+    q = spark.createDataFrame([(1, "o/r", "which handler rather than the admin one serves /api/chat"), (2, "o/r", "load session")], "query_id long, repo string, question string")
+    terms = spark.createDataFrame([(1, ["handler"]), (2, ["load", "session"])], "query_id long, terms array<string>")
+    c = spark.createDataFrame([("o/r", "a.py", 5, "python", "route", "chat_admin", "/api/chat", 3, ["load"]), ("o/r", "b.py", 6, None, None, None, None, None, [])], "repo string, relpath string, chunk_no long, language string, symbol_kind string, symbol_name string, route_path string, start_line int, calls array<string>")
+    roles = spark.createDataFrame([("o/r", "a.py", ["tests"])], "repo string, relpath string, file_roles array<string>")
+    found = spark.createDataFrame([(1, 5, 1.0, 2.0), (1, 6, 1.0, 0.0), (2, 5, 3.0, 0.0)], "query_id long, doc_id long, score double, boost double")
+    got = {(x.query_id, x.doc_id): x for x in RR.features(found, RR.query_plans(q), terms, c, roles).collect()}
+    assert {k: (x.reachable, x.off_route, x.excluded, x.boost, x.test_file, x.calls_match) for k, x in got.items()} == {(1, 5): (True, False, True, 2.0, True, 0), (1, 6): (False, True, False, 0.0, False, 0), (2, 5): (False, True, False, 0.0, True, 1)}
+    assert [(x.query_id, x["rank"]) for x in RR.reranked(RR.features(found.withColumn("score", F.lit(-90.0)), RR.query_plans(q), terms, c, roles).withColumns({"boost": F.lit(0.0), "roles_match": F.lit(False), "language_match": F.lit(False), "reachable": F.lit(False), "test_file": F.lit(False), "excluded": F.lit(True), "acts": F.lit(0), "calls_match": F.lit(0), "symbol": F.lit("")}), 5).collect()] == []
