@@ -95,6 +95,20 @@ def bounded_bfs(e: DataFrame, seeds: DataFrame, depth: int, fanout: int) -> Data
 BOOST, BASE_SHARE, HYBRID_SHARE, LEAST_SEED = 35.0, 0.7, 0.3, 0.05
 
 
+def edges_inside(e: DataFrame, hood: DataFrame) -> DataFrame:
+    """start, source, target, w: merged and clamped edges between two nodes of a start's neighborhood (start, node).
+
+    e holds both directions, so that a pair of nodes weighs the same either way and is looked for once: from its node of fewer
+    neighbors.  A hub's edges are met only from the other end, and no node is asked for more neighbors than the root of twice the edges."""
+    pair = checkpointed(e.where("source < target").groupBy("source", "target").agg(F.sum(F.least(F.lit(4.0), F.greatest(F.lit(0.05), F.col("weight")))).alias("w")))
+    degree = pair.select(F.explode(F.array("source", "target")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    of = lambda c: degree.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
+    fewer = F.col("n_source") <= F.col("n_target")
+    asked = pair.join(of("source"), "source").join(of("target"), "target").select(F.when(fewer, F.col("source")).otherwise(F.col("target")).alias("a"), F.when(fewer, F.col("target")).otherwise(F.col("source")).alias("b"), "w")
+    met = hood.select("start", F.col("node").alias("a")).join(asked, "a").join(hood.select("start", F.col("node").alias("b")), ["start", "b"])
+    return met.select("start", F.inline(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("target"), "w"), F.struct(F.col("b").alias("source"), F.col("a").alias("target"), "w"))))
+
+
 def neighborhood_rank(e: DataFrame, seeds: DataFrame, depth: int, iterations: int, fanout: int = FANOUT_PPR, damping: float = 0.85, every: int = 4) -> DataFrame:
     """start, node, depth, parent, rank: personalised PageRank of each start inside the neighborhood of its own seeds.
 
@@ -104,8 +118,7 @@ def neighborhood_rank(e: DataFrame, seeds: DataFrame, depth: int, iterations: in
     weight = F.greatest(F.lit(LEAST_SEED), F.col("score"))
     total = seeds.groupBy("start").agg(F.sum(weight).alias("total"))
     share = seeds.join(total, "start").select("start", "node", (weight / F.col("total")).alias("share"))
-    clamped = e.where("source <> target").groupBy("source", "target").agg(F.sum(F.least(F.lit(4.0), F.greatest(F.lit(0.05), F.col("weight")))).alias("w"))
-    inside = hood.select("start", F.col("node").alias("source")).join(clamped, "source").join(hood.select("start", F.col("node").alias("target")), ["start", "target"])
+    inside = checkpointed(edges_inside(e, hood))
     out = inside.groupBy("start", "source").agg(F.sum("w").alias("total"))
     moves = checkpointed(inside.join(out, ["start", "source"]).select("start", F.col("source").alias("node"), "target", (F.col("w") / F.col("total")).alias("p")))
     nodes = checkpointed(hood.select("start", "node").join(share, ["start", "node"], "left").join(moves.select("start", "node").distinct().withColumn("moves", F.lit(True)), ["start", "node"], "left").select("start", "node", F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("moves", F.lit(False)).alias("moves")))

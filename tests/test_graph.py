@@ -69,3 +69,17 @@ def test_impact_goes_both_ways(spark):
     got = {(r.node, r.direction, r.depth, r.weight, r.rank) for r in G.impact(e, t, 2).collect()}
     assert got == {(2, "forward", 1, 2.0, 1), (3, "forward", 1, 1.0, 2), (4, "forward", 2, 4.0, 3), (9, "reverse", 1, 1.0, 1)}
     assert len(G.impact(e, t, 2, most=1).collect()) == 2
+
+
+def test_edges_inside_neighborhoods_are_met_from_the_smaller_node(spark):
+    import random
+
+    r = random.Random(3)
+    one = sorted({(0, n) for n in range(1, 400)} | {tuple(r.sample(range(1, 60), 2)) for _ in range(300)})
+    e = G.both_ways(spark.createDataFrame([("r", a, b, "calls", r.choice([0.01, 1.0, 9.0])) for a, b in one] + [("r", 7, 7, "calls", 1.0)], EDGES))
+    hood = spark.createDataFrame([(s, n) for s in range(20) for n in {0, *r.sample(range(60), 8)}], "start long, node long")
+    w = F.sum(F.least(F.lit(4.0), F.greatest(F.lit(0.05), F.col("weight")))).alias("w")
+    plain = hood.select("start", F.col("node").alias("source")).join(e.where("source <> target").groupBy("source", "target").agg(w), "source").join(hood.select("start", F.col("node").alias("target")), ["start", "target"])
+    rows = lambda df: sorted((x.start, x.source, x.target, round(x.w, 9)) for x in df.collect())
+    got = rows(G.edges_inside(e, hood))
+    assert got == rows(plain) and got and all(a != b for _, a, b, _ in got)
