@@ -7,6 +7,7 @@ checkpoints in the folder the session names.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .lineage import checkpointed
@@ -109,27 +110,41 @@ def edges_inside(e: DataFrame, hood: DataFrame) -> DataFrame:
     return met.select("start", F.inline(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("target"), "w"), F.struct(F.col("b").alias("source"), F.col("a").alias("target"), "w"))))
 
 
-def neighborhood_rank(e: DataFrame, seeds: DataFrame, depth: int, iterations: int, fanout: int = FANOUT_PPR, damping: float = 0.85, every: int = 4) -> DataFrame:
+def neighborhood_rank(e: DataFrame, seeds: DataFrame, depth: int, iterations: int, fanout: int = FANOUT_PPR, damping: float = 0.85, block: int = 50_000) -> DataFrame:
     """start, node, depth, parent, rank: personalised PageRank of each start inside the neighborhood of its own seeds.
 
     seeds: start, node, score; mass returns to a seed by its score, at least 0.05.  e holds both directions.  Every start
-    is a graph of its own: rows are keyed by (start, node), at most seeds times ``fanout`` to the power of ``depth`` each."""
+    is a graph of its own: rows are keyed by (start, node), at most seeds times ``fanout`` to the power of ``depth`` each.
+    Blocks of whole starts, of some ``block`` rows, run all rounds as arrays, so that rows are shuffled once."""
     hood = checkpointed(bounded_bfs(e, seeds.select("start", "node").distinct(), depth, fanout))
     weight = F.greatest(F.lit(LEAST_SEED), F.col("score"))
     total = seeds.groupBy("start").agg(F.sum(weight).alias("total"))
     share = seeds.join(total, "start").select("start", "node", (weight / F.col("total")).alias("share"))
-    inside = checkpointed(edges_inside(e, hood))
-    out = inside.groupBy("start", "source").agg(F.sum("w").alias("total"))
-    moves = checkpointed(inside.join(out, ["start", "source"]).select("start", F.col("source").alias("node"), "target", (F.col("w") / F.col("total")).alias("p")))
-    nodes = checkpointed(hood.select("start", "node").join(share, ["start", "node"], "left").join(moves.select("start", "node").distinct().withColumn("moves", F.lit(True)), ["start", "node"], "left").select("start", "node", F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("moves", F.lit(False)).alias("moves")))
-    rank = nodes.select("start", "node", F.col("share").alias("rank"))
-    for i in range(iterations):
-        flow = rank.join(moves, ["start", "node"]).groupBy("start", F.col("target").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
-        lost = rank.join(nodes.where("not moves").select("start", "node"), ["start", "node"], "left_semi").groupBy("start").agg(F.sum("rank").alias("lost"))
-        rank = nodes.join(flow, ["start", "node"], "left").join(lost, "start", "left").select("start", "node", ((1 - damping) * F.col("share") + damping * F.coalesce("flow", F.lit(0.0)) + damping * F.coalesce("lost", F.lit(0.0)) * F.col("share")).alias("rank"))
-        if (i + 1) % every == 0:
-            rank = checkpointed(rank)
-    return hood.join(rank, ["start", "node"])
+    nodes = hood.join(share, ["start", "node"], "left").select("start", "node", "depth", "parent", F.coalesce("share", F.lit(0.0)).alias("share"))
+    n = -(-hood.count() // block) or 1
+    dealt = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns), F.pmod(F.xxhash64("start"), F.lit(n)).alias("block")).groupBy("block")
+
+    def walk(left, right):
+        import pyarrow as pa
+
+        start, node = left["start"].to_numpy(), left["node"].to_numpy()
+        order = np.lexsort((node, start))
+        left, start, node = left.take(order), start[order], node[order]
+        starts, of = np.unique(start, return_inverse=True)
+        names = np.unique(node)
+        key = of * len(names) + np.searchsorted(names, node)
+        at = lambda c: np.searchsorted(key, np.searchsorted(starts, right["start"].to_numpy()) * len(names) + np.searchsorted(names, right[c].to_numpy()))
+        source, target, w = at("source"), at("target"), right["w"].to_numpy()
+        total = np.bincount(source, weights=w, minlength=len(key))
+        p, stays, share = w / total[source], total == 0, left["share"].to_numpy()
+        rank = share
+        for _ in range(iterations):
+            lost = np.bincount(of, weights=rank * stays, minlength=len(starts))[of]
+            rank = (1 - damping) * share + damping * np.bincount(target, weights=rank[source] * p, minlength=len(key)) + damping * lost * share
+        return pa.table({c: left[c] for c in ("start", "node", "depth", "parent")} | {"rank": pa.array(rank, pa.float64())})
+
+    inside = edges_inside(e, hood)
+    return dealt(nodes).cogroup(dealt(inside)).applyInArrow(walk, "start long, node long, depth int, parent long, rank double")
 
 
 def boosted(ranks: DataFrame, hybrid: DataFrame, k: int = 10) -> DataFrame:
