@@ -25,27 +25,31 @@ def units(chunks: DataFrame, latest: bool = True) -> DataFrame:
 
 
 def names_asked(u: DataFrame) -> DataFrame:
-    """repo, source, relpath, kind, label, name: every name a unit calls, references or inherits."""
+    """repo, source, relpath, label, name: every name a unit calls, references or inherits, once per unit and label, without a shuffle."""
+    once = lambda c: F.array_distinct(F.filter(F.transform(c, F.lower), lambda x: x.isNotNull()))
     lists = F.array(
-        F.struct(F.lit("calls").alias("label"), F.concat("calls", "handler_names").alias("names")),
-        F.struct(F.lit("references").alias("label"), F.col("refs").alias("names")),
-        F.struct(F.lit("inherits").alias("label"), F.col("inherits").alias("names")),
-        F.struct(F.lit("routes_to").alias("label"), F.when(F.col("symbol_kind") == "route", F.col("handler_names")).alias("names")),
+        F.struct(F.lit("calls").alias("label"), once(F.concat("calls", "handler_names")).alias("names")),
+        F.struct(F.lit("references").alias("label"), once(F.col("refs")).alias("names")),
+        F.struct(F.lit("inherits").alias("label"), once(F.col("inherits")).alias("names")),
+        F.struct(F.lit("routes_to").alias("label"), F.when(F.col("symbol_kind") == "route", once(F.col("handler_names"))).alias("names")),
     )
-    return u.select("repo", F.col("node").alias("source"), "relpath", F.inline(lists)).select("repo", "source", "relpath", "label", F.explode("names").alias("name")).select("repo", "source", "relpath", "label", F.lower("name").alias("name")).distinct()
+    return u.select("repo", F.col("node").alias("source"), "relpath", F.inline(lists)).select("repo", "source", "relpath", "label", F.explode("names").alias("name"))
 
 
 def resolve(u: DataFrame, asked: DataFrame) -> DataFrame:
     """Prioritised join: qualified names before bare ones, the same file before others; all that tie stay.
 
     The tier of a name is settled among its definitions, before any caller meets them, and callers with a definition in
-    their own file meet that one only; no window sees callers times definitions."""
+    their own file meet that one only; no window sees callers times definitions.  Callers cross one shuffle for both."""
     named = F.array(F.struct(F.lit(1).alias("tier"), F.lower("qualified_name").alias("name")), F.struct(F.lit(2).alias("tier"), F.lower("symbol_name").alias("name")))
     targets = u.select("repo", F.col("node").alias("target"), F.col("relpath").alias("relpath"), F.inline(named)).where("name <> ''")
     tiers = targets.groupBy("repo", "name").agg(F.min("tier").alias("tier"))
     targets = targets.join(tiers, ["repo", "name", "tier"]).select("repo", "name", "tier", "target", "relpath")
-    own = asked.join(targets, ["repo", "name", "relpath"]).select("repo", "source", "target", "label", "name", "tier", F.lit(True).alias("same"))
-    without = asked.join(targets.select("repo", "name", "relpath").distinct(), ["repo", "name", "relpath"], "left_anti")
+    place = F.coalesce(F.concat(F.lit("/"), "relpath"), F.lit("")).alias("place")  # never null, and without a path like no definition's, so that both joins take the same rows
+    asked = asked.where("repo is not null and name is not null").select("repo", "source", place, "label", "name")
+    placed = targets.where("relpath is not null").select("repo", "name", "tier", "target", place)
+    own = asked.join(placed, ["repo", "name", "place"]).select("repo", "source", "target", "label", "name", "tier", F.lit(True).alias("same"))
+    without = asked.join(placed.select("repo", "name", "place").distinct(), ["repo", "name", "place"], "left_anti")
     far = without.join(targets.drop("relpath"), ["repo", "name"]).select("repo", "source", "target", "label", "name", "tier", F.lit(False).alias("same"))
     return own.unionByName(far)
 
@@ -57,14 +61,14 @@ def stem(col):
 
 
 def edges(u: DataFrame) -> DataFrame:
-    """repo, source, target, label, weight: distinct typed edges without loops."""
+    """repo, source, target, label, weight: distinct typed edges without loops, dealt by source, as walks take the best of a source."""
     named = resolve(u, names_asked(u))
     weight = F.when(F.col("label") == "calls", F.when(F.col("same"), 2.6).otherwise(1.8)).when(F.col("label") == "references", F.when(F.col("same"), 1.35).otherwise(0.85)).when(F.col("label") == "inherits", 3.0).otherwise(3.2)
     first = named.select("repo", "source", "target", "label", weight.alias("weight"))
     files = u.where("symbol_name = ''").select("repo", F.col("node").alias("target"), stem(F.col("relpath")).alias("stem"))
-    asked = u.select("repo", F.col("node").alias("source"), F.explode("imports").alias("i")).select("repo", "source", stem(F.col("i")).alias("stem")).distinct()
+    asked = u.select("repo", F.col("node").alias("source"), F.explode(F.array_distinct("imports")).alias("i")).select("repo", "source", stem(F.col("i")).alias("stem"))
     imports = asked.join(files, ["repo", "stem"]).select("repo", "source", "target", F.lit("imports").alias("label"), F.lit(1.4).alias("weight"))
-    return first.unionByName(imports).where("source <> target").groupBy("repo", "source", "target", "label").agg(F.max("weight").alias("weight"))
+    return first.unionByName(imports).where("source <> target").repartition("source").groupBy("repo", "source", "target", "label").agg(F.max("weight").alias("weight"))
 
 
 def both_ways(e: DataFrame) -> DataFrame:

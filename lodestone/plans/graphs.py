@@ -22,7 +22,7 @@ def _edges(spark, d):
 
 def prioritized_resolve(spark, d):
     u = _units(spark, d)
-    return G.resolve(u, G.names_asked(u)).select("source", "target", "label", "name", "tier")
+    return G.resolve(u, G.names_asked(u).distinct()).select("source", "target", "label", "name", "tier")
 
 
 def edge_build(spark, d):
