@@ -490,10 +490,10 @@ def candidate_tops(best: int, k: int) -> Callable:
 
 
 def file_tops(k: int) -> Callable:
-    """query_id, doc_id, rank, score, matched of the k best files: the terms' sum and points for roles that the question asks for."""
+    """query_id, relpath, rank, score, matched of the k best files: the terms' sum and points for roles that the question asks for."""
 
     def run(p: Postings, questions: list[dict]) -> Iterator[tuple]:
-        roles = p.facts["roles"].to_pylist() if "roles" in p.facts.column_names else []
+        roles, paths = p.facts["roles"].to_pylist(), np.array([*values(p.facts["relpath"]), None], dtype=object)[:-1]
         points: dict[tuple, np.ndarray] = {}
         for q in questions:
             tids, asked = q["tids"] or [], tuple(sorted(set(q.get("asked") or ())))
@@ -503,6 +503,6 @@ def file_tops(k: int) -> Callable:
             matched = p.sums("file", tids, ones=True)
             score = rounded(p.sums("file", tids) + points[asked], 6)
             at = first(score, k, np.flatnonzero((matched > 0) | (points[asked] > 0)))
-            yield many(q["query_id"], len(at)), p.ids[at], np.arange(1, len(at) + 1), score[at], matched[at].astype(np.int64)
+            yield many(q["query_id"], len(at)), paths[at], np.arange(1, len(at) + 1), score[at], matched[at].astype(np.int64)
 
     return run
