@@ -40,3 +40,9 @@ def test_proof_build_has_all_anchors(spark, routed):
     folder, wanted = routed
     assert same(spark, folder, "proof_build")
     assert QUERIES["proof_build"](spark, folder).collect()[0]["anchors"] == len(wanted)
+
+
+def test_proof_nodes_has_all_anchors(spark, routed):
+    folder, wanted = routed
+    assert same(spark, folder, "proof_nodes")
+    assert {r["node"] for r in QUERIES["proof_nodes"](spark, folder).collect() if "route_anchor" in r["roles"]} == wanted
